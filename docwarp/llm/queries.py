@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarp.llm import decontaminate, langid, packing, tokenstore
+from docwarp.llm import chat, decontaminate, exact_dedup, langid, licenses, packing, tokenstore, warc
 from docwarp.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,74 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query(
+    "op2_warc_archive",
+    """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h, sha256(b) AS s FROM p),
+w AS (SELECT s, max(page_id) AS first_id FROM d GROUP BY s),
+digits AS (SELECT page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v >> k) & 31 AS INTEGER) + 1, 1), '' ORDER BY g, k DESC) AS b32
+  FROM (SELECT page_id, g, CAST('0x' || substr(h, g * 5 + 1, 5) AS BIGINT) AS v FROM d, unnest(generate_series(0, 7)) AS t(g)), unnest([15, 10, 5, 0]) AS u(k) GROUP BY page_id)
+SELECT d.page_id, CAST(n AS BIGINT) AS payload_bytes, b32 AS payload_digest, CASE WHEN d.page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN d.page_id <> first_id THEN first_id END AS refers_to
+FROM d JOIN w USING (s) JOIN digits ON digits.page_id = d.page_id
+""",
+)
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+_LABELS = "array_sort(array_distinct(transform({}, s -> s.label)))"
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    starts = F.transform("base", lambda s: s["start"])
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.expr(_LABELS.format("base")), ",").alias("base_labels"), F.array_join(F.expr(_LABELS.format("spans")), ",").alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+_ESCAPED = r"regexp_replace({}, '(\\*(?:</?s>|\[/?INST\]|\[SEP\]))', '\\\1', 'g')"
+
+
+@query(
+    "op4_chat_format",
+    f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+p AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_ESCAPED.format('text')}) + CASE WHEN before = role THEN 7 ELSE 24 + length({_ESCAPED.format('role')}) END) AS BIGINT) AS formatted_chars
+FROM p GROUP BY conv_id
+""",
+)
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    read = chat.read_chats(chat.format_chats(turns))
+    flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(flat, 256).alias("turns_sha256"), F.char_length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query(
+    "op6_exact_dedup",
+    r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+k AS (SELECT norm, arg_max(doc_id, (chars, -doc_id)) AS keep_id, count(*) AS group_size FROM n GROUP BY norm)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM n JOIN k USING (norm)
+""",
+)
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.decide(table(spark, sf_dir, "documents"))
