@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from docwarp.llm.common import written
 
-BUCKETS, MANTISSA, ROWS = 8, 10, 7  # 256 registers, 36 bands of 7
+BUCKETS, MANTISSA = 8, 10  # 256 registers of 16 bits
 SMALL = 48  # sets of fewer shingles use prefix keys
 EMPTY = 0xFFFF
 
@@ -98,7 +98,13 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 _ORDER = np.random.default_rng(11).permuted(np.tile(np.arange(1 << BUCKETS), (1 << BUCKETS, 1)), axis=1)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
+def rows_for(percent: int, miss: float = 1e-6) -> int:
+    """Registers a band, the most with which a pair at the threshold shares no band with a probability under ``miss``."""
+    t, m = percent / 100, 1 << BUCKETS
+    return max(r for r in range(1, 17) if r == 1 or (1 - t**r) ** (m // r) < miss)
+
+
+def band_keys(regs: np.ndarray, size: int) -> np.ndarray:
     """One 64-bit key per band. An empty register takes the first full one in a fixed random order of its own."""
     full = regs != EMPTY
     filled = regs.astype(np.uint64)
@@ -106,10 +112,10 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
         gaps = np.flatnonzero(~full)
         source = _ORDER[gaps, full[_ORDER[gaps]].argmax(axis=1)]
         filled[gaps] = regs[source].astype(np.uint64) | (source.astype(np.uint64) << np.uint64(16))
-    n = len(regs) // ROWS
-    rows = filled[: n * ROWS].reshape(n, ROWS)
+    n = len(regs) // size
+    rows = filled[: n * size].reshape(n, size)
     key = np.arange(1, n + 1, dtype=np.uint64)
-    for j in range(ROWS):
+    for j in range(size):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
     return key
 
@@ -121,6 +127,8 @@ def prefix_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _features(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    band = rows_for(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
 
@@ -132,7 +140,7 @@ def _features(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 r = registers(s)
                 regs.append(r.tobytes() if len(s) else None)
                 own = [prefix_keys(s, percent)] if len(s) and percent * len(s) < 100 * SMALL else []
-                own += [band_keys(r)] if len(s) >= SMALL else []
+                own += [band_keys(r, band)] if len(s) >= SMALL else []
                 keys.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
             columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "node", "regs", "keys"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarp.llm import chat, decontaminate, exact_dedup, langid, licenses, near_dedup, packing, tokenstore, warc
+from docwarp.llm import chat, decontaminate, exact_dedup, langid, licenses, near_dedup, packing, substring_dedup, tokenstore, warc
 from docwarp.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,3 +158,20 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_i
 )
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(table(spark, sf_dir, "documents"))
+
+
+@query("op1_substring_dedup")
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"))
+    cleaned = substring_dedup.dedup(docs)
+    return cleaned.select(
+        "doc_id", "n_chars", F.char_length("text").cast("long").alias("n_kept"), F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["start"], r["end"])), ",").alias("removed_chars"), "text",
+    )
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
