@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
+
 from pyspark.sql import DataFrame, SparkSession
 
+from docwarp import plans
 from docwarp.plans.registry import ORACLES, QUERIES, Query
 
+for _m in sorted(m.name for m in pkgutil.iter_modules(plans.__path__)):
+    if _m not in ("registry", "catalog"):
+        importlib.import_module(f"docwarp.plans.{_m}")
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return QUERIES["F4_eligible"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
