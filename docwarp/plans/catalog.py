@@ -16,7 +16,7 @@ for _m in sorted(m.name for m in pkgutil.iter_modules(plans.__path__)):
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["F4_eligible"](spark, sf_dir)
+    return QUERIES["R18_batched_search"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
