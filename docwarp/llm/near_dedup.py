@@ -28,6 +28,8 @@ from docwarp.llm.common import written
 BUCKETS, MANTISSA = 8, 10  # 256 registers of 16 bits
 SMALL = 48  # sets of fewer shingles use prefix keys
 EMPTY = 0xFFFF
+EXACT = 512  # sets of at most so many shingles are compared in full where members meet
+BLOCK = 256  # members of a key that one block compares with the chosen ones
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -231,7 +233,7 @@ def _pairs(pairs: DataFrame, nodes: DataFrame, fields: list[str]) -> DataFrame:
     return pairs
 
 
-def link(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = 16, sigmas: float = 5.5) -> DataFrame:
+def link(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = 16, most_reps: int = 256, sigmas: float = 5.5) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     Documents with 100 * |intersection| >= ``percent`` * |union| of their sets are linked; component_id is the smallest doc_id of a
@@ -247,19 +249,21 @@ def link(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = 16, sig
     live = written(keyed.join(crowd, "key").select("key", "node", "rep"), "members")
     pairs = live.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     live = live.where("node <> rep").select("key", "node")
-    edges, sets, comps = None, None, None
+    edges, sets, comps, sure, data = None, None, None, None, None
     while True:
-        some = written(_estimated(_pairs(pairs.distinct(), nodes, ["n", "regs"]), percent, sigmas), "pairs")
+        some = pairs if data is not None else written(_estimated(_pairs(pairs.distinct(), nodes, ["n", "regs"]), percent, sigmas), "pairs")
+        found = sure
         if not some.isEmpty():
             need = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             if sets is not None:
                 need = need.join(sets.select("node"), "node", "left_anti")
             more = written(_sets(docs, nodes.join(need, "node", "left_semi"), width), "sets")
             sets = more if sets is None else sets.unionByName(more)
-            found = written(_verified(_pairs(some, sets, ["set"]), percent), "links")
-            edges = found if edges is None else edges.unionByName(found)
-            if not found.isEmpty():
-                comps = written(components(edges if comps is None else comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)), "comps")
+            held = written(_verified(_pairs(some, sets, ["set"]), percent), "links")
+            found = held if found is None else found.unionByName(held)
+        if found is not None and not found.isEmpty():
+            edges = found if comps is None else comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
+            comps = written(components(edges), "comps")
         # members still to compare: of keys that more than one component reaches
         now = live if comps is None else live.join(comps, "node", "left")
         now = now.select("key", "node", F.coalesce("comp", "node").alias("comp") if comps is not None else F.col("node").alias("comp"))
@@ -270,9 +274,14 @@ def link(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = 16, sig
         sized = now.join(now.groupBy("key", "comp").agg(F.count("*").alias("size")), ["key", "comp"])
         rank = F.row_number().over(Window.partitionBy("key").orderBy("size", "comp", "node"))
         chosen = written(sized.withColumn("rank", rank).where(F.col("rank") <= reps).select("key", F.col("node").alias("rep"), F.col("comp").alias("rep_comp"), "rank"), "reps")
-        ranked = now.join(chosen.select("key", F.col("rep").alias("node"), F.col("rank").alias("own_rank")), ["key", "node"], "left")
-        pairs = ranked.join(chosen, "key").where("comp <> rep_comp AND (own_rank IS NULL OR own_rank > rank)").select(F.least("node", "rep").alias("a"), F.greatest("node", "rep").alias("b"))
-        live = ranked.where("own_rank IS NULL").select("key", "node")
+        if data is None:  # once, what the members that may still meet are compared by
+            here = nodes.join(now.select("node").distinct(), "node", "left_semi")
+            small = here.where(F.col("n") <= EXACT)
+            data = written(_sets(docs, small, width).join(small.select("node", "n"), "node").select("node", "n", F.col("set").alias("data")).unionByName(here.where(F.col("n") > EXACT).select("node", "n", F.col("regs").alias("data"))), "data")
+        met = written(_meet(now, chosen, data, percent, sigmas), "met")
+        sure, pairs = met.where("sure").select("a", "b"), met.where("NOT sure").select("a", "b")
+        live = now.join(chosen.select("key", F.col("rep").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+        reps = min(4 * reps, most_reps)
     # every node's component, then its smallest document
     of = nodes.select("node", "doc_id") if comps is None else nodes.select("node", "doc_id").join(comps, "node", "left")
     of = of.select("node", "doc_id", F.coalesce("comp", "node").alias("comp") if comps is not None else F.col("node").alias("comp"))
@@ -281,6 +290,85 @@ def link(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = 16, sig
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _meet(now: DataFrame, chosen: DataFrame, data: DataFrame, percent: int, sigmas: float) -> DataFrame:
+    """Compare the chosen members of each key with its members of other components: a, b, sure.
+
+    A key's members are dealt to blocks by a hash and its chosen ones (bounded) go to each of them, so rows grow as the members do; the
+    pairs of a block are compared inside the task and only links come out, or, of large sets, what the registers leave to verify.
+    """
+    sizes = now.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = now.join(sizes, "key").select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "node", "comp")
+    asked = chosen.join(sizes, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("rep").alias("node"), F.col("rep_comp").alias("comp"))
+    rows = members.unionByName(asked).join(data, "node").select("key", "block", "role", "node", "comp", "n", "data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, name, out = [], None, set()
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if row[:2] != name:
+                    out |= _block(group, percent, sigmas)
+                    group, name = [], row[:2]
+                    if len(out) > 20_000:
+                        yield _met(out)
+                        out = set()
+                group.append(row[2:])
+        yield _met(out | _block(group, percent, sigmas))
+
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a binary, b binary, sure boolean").distinct()
+
+
+def _met(out: set) -> pa.RecordBatch:
+    a, b, sure = zip(*out, strict=True) if out else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+
+
+def _block(group: list[tuple], percent: int, sigmas: float) -> set:
+    """(a, b, sure) of a block's rows (role, node, comp, n, data)."""
+    out: set = set()
+    for exact in (True, False):
+        left = [r for r in group if r[0] == 0 and (r[3] <= EXACT or not exact)]
+        right = [r for r in group if r[0] == 1 and (r[3] <= EXACT or not exact)]
+        if not left or not right:
+            continue
+        n_a, n_b = np.array([r[3] for r in left]), np.array([r[3] for r in right])
+        other = np.array([[x[2] != y[2] for y in right] for x in left])
+        other &= 100 * np.minimum.outer(n_a, n_b) >= percent * np.maximum.outer(n_a, n_b)
+        if exact:
+            shared = _shared([np.frombuffer(r[4], np.uint64) for r in left], [np.frombuffer(r[4], np.uint64) for r in right])
+            near = other & (100 * shared >= percent * (n_a[:, None] + n_b[None] - shared))
+        else:
+            near = other & ~((n_a <= EXACT)[:, None] & (n_b <= EXACT)[None])
+            i, j = np.nonzero(near)
+            if len(i):
+                regs = {r[1]: np.frombuffer(r[4], np.uint16) if r[3] > EXACT else registers(np.frombuffer(r[4], np.uint64)) for r in left + right}
+                a, b = (np.stack([regs[side[k][1]] for k in at]) for side, at in ((left, i), (right, j)))
+                t = percent / 100
+                near[i, j] = estimate(a, b, n_a[i], n_b[j]) >= t - sigmas * np.sqrt(t * (1 - t) / (1 << BUCKETS))
+        for i, j in zip(*np.nonzero(near), strict=True):
+            x, y = left[i][1], right[j][1]
+            out.add((min(x, y), max(x, y), exact))
+    return out
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all of ``left`` with all of ``right``: products of indicator matrices, some columns at a time."""
+    names, codes = np.unique(np.concatenate(left + right), return_inverse=True)
+    sides = []
+    for sets, codes_of in ((left, codes[: sum(map(len, left))]), (right, codes[sum(map(len, left)) :])):
+        order = np.argsort(codes_of, kind="stable")
+        sides.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[order], codes_of[order]))
+    shared = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, len(names), columns):
+        parts = []
+        for (rows, cols), sets in zip(sides, (left, right), strict=True):
+            a, b = np.searchsorted(cols, [at, at + columns])
+            m = np.zeros((len(sets), min(columns, len(names) - at)), np.float32)
+            m[rows[a:b], cols[a:b] - at] = 1
+            parts.append(m)
+        shared += (parts[0] @ parts[1].T).astype(np.int64)
+    return shared
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """node, set (sorted hashes) of the given nodes, from the text of one document of each."""
 
