@@ -52,10 +52,11 @@ def write_archive(pages: DataFrame, path: str, least: int = 0) -> str:
         F.lit("\r\n"),
     )
     found.select("page_id", "digest", F.encode(header, "UTF-8").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
-    # one row per payload: the id that the aggregate chose, once even where that row is repeated
-    owners = firsts.select("digest", F.col("first_id").alias("owner"))
-    kept = rows.join(owners, (rows["digest"] == owners["digest"]) & rows["page_id"].eqNullSafe(owners["owner"]), "left_semi")
-    kept.select("digest", "payload").dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    # One row per payload: the owner's. Both steps hash by (digest, owner), so payloads move once; only exact repeats of a row meet.
+    owner = lambda c: F.coalesce(c, F.lit(-(2**63)))
+    owners = firsts.select("digest", owner(F.col("first_id")).alias("owner"))
+    kept = rows.select("digest", owner(F.col("page_id")).alias("owner"), "payload").join(owners, ["digest", "owner"], "left_semi")
+    kept.dropDuplicates(["digest", "owner"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
 
