@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words whose pre-tokens are one run of letters and maybe one run of stops.
-_STOPS = ".,;:!?"
+_STOPS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe, which may begin a contraction
 _LETTERS = "^[a-zA-ZÀ-ÖØ-öø-ÿ]+"
-_PLAIN = f"{_LETTERS}[{_STOPS}]*$"
+_PLAIN = _LETTERS + r"[!-&(-/:-@\[-`{-~]*$"
 #: The pre-tokenizer pattern under which words are independent. Fixed value.
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -42,7 +42,7 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class Encoder:
-    def __init__(self, spec: str, memo: int = 1_000_000, chars: int = 4_000_000):
+    def __init__(self, spec: str, memo: int = 2_000_000, chars: int = 4_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)

@@ -28,21 +28,30 @@ WINDOW, LEAST, MOST, BITS = 8, 64, 4096, 9  # rolling window; least and most ids
 _WRITE = "kind string, row_id long, no long, doc_id long, digest binary, n_ids long, ids binary"
 
 
-def _gear(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit mix of each id (splitmix64; its constants are fixed values)."""
-    x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def candidates(ids: np.ndarray) -> np.ndarray:
-    """Positions after which a rolling hash of the last WINDOW ids allows a cut."""
-    g = _gear(ids)
-    h = g.copy()
-    for j in range(1, WINDOW):
-        h[j:] += g[:-j] << np.uint64(j)
-    return np.flatnonzero(h >> np.uint64(64 - BITS) == 0) + 1
+_GEAR = [np.zeros(0, np.uint32)]
+
+
+def _gear(most: int) -> np.ndarray:
+    """A 32-bit mix of every id up to ``most`` (bounded by the vocabulary); the constants are fixed values of murmur3's finish."""
+    if most >= len(_GEAR[0]):
+        x = np.arange(max(1 << 16, most + 1), dtype=np.uint32) + np.uint32(0x9E3779B9)
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        _GEAR[0] = x ^ (x >> np.uint32(16))
+    return _GEAR[0]
+
+
+def candidates(ids: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """Positions after which a rolling hash of the last WINDOW ids allows a cut; in blocks that stay in the processor's cache."""
+    gear, out = _gear(int(ids.max(initial=0))), []
+    for at in range(0, len(ids), block):
+        first = max(0, at - WINDOW + 1)
+        g = gear[ids[first : at + block]]
+        h = g.copy()
+        for j in range(1, WINDOW):
+            h[j:] += g[:-j] << np.uint32(j)
+        out.append(np.flatnonzero(h[at - first :] >> np.uint32(32 - BITS) == 0) + at + 1)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def cuts(found: np.ndarray, start: int, end: int) -> list[int]:
