@@ -81,11 +81,12 @@ def union_rrf(semantic: DataFrame, lexical: DataFrame, gate: bool, depth: int =
     return fused.join(lexical.select("request_id").distinct(), "request_id", "left_semi") if gate else fused
 
 
-def chunk_lexical(found: DataFrame, chunks: DataFrame, asks: DataFrame) -> DataFrame:
-    """body_lexical: the best word similarity of any chunk of each document (0 without chunks)."""
-    own = chunks.select(F.col("revision_id").alias("current_revision_id"), "text")
-    rows = found.select("request_id", F.col("id").alias("document_id"), "current_revision_id").join(own, "current_revision_id").join(small(asks.select("request_id", "query")), "request_id")
-    return rows.groupBy(*KEYS).agg(F.max(F.round(sim.word_similarity(F.col("query"), F.col("text")), 6)).alias("body_lexical"))
+def chunk_lexical(found: DataFrame, chunks: DataFrame, asks: DataFrame, least: float = 0.6) -> DataFrame:
+    """body_lexical: the best word similarity of any chunk of each document that reaches ``least``; candidates come from shared trigrams."""
+    docs = found.select("request_id", F.col("id").alias("document_id"), "current_revision_id")
+    own = chunks.select(F.col("id").alias("key"), F.col("revision_id").alias("current_revision_id"), "text").join(docs.select("current_revision_id").distinct(), "current_revision_id", "left_semi")
+    near = similar_texts(own.select("key", "text"), asks.select("request_id", "query"), least).join(own.select("key", "current_revision_id"), "key")
+    return near.join(docs, ["request_id", "current_revision_id"]).groupBy(*KEYS).agg(F.max("score").alias("body_lexical"))
 
 
 def components(found: DataFrame, chunks: DataFrame, best: DataFrame, asks: DataFrame) -> DataFrame:

@@ -16,10 +16,10 @@ def trg(text: str) -> str:
     return rf"flatten([[substr('  ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 2)] FOR w IN list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')])"
 
 
-def ws(rows: str, keep: str, q: str = "query", t: str = "text") -> str:
-    """Rows (a CTE name) with their word similarity as ``ws``, kept columns ``keep``."""
+def ws(rows: str, keep: str, q: str = "query", t: str = "text", bound: str = "") -> str:
+    """Rows (a CTE name) with their word similarity as ``ws``, kept columns ``keep``; ``bound`` leaves out extents too long for a high value."""
     return f"""SELECT {keep}, coalesce(max(c / (n + d - c)), 0) AS ws FROM (SELECT {keep}, len(q) AS n, len(list_intersect(t[i:j], q)) AS c, len(list_distinct(t[i:j])) AS d
-  FROM (SELECT *, unnest(m) AS i FROM (SELECT *, [k FOR k IN range(1, len(t) + 1) IF list_contains(q, t[k])] AS m FROM (SELECT {keep}, list_distinct({trg(q)}) AS q, {trg(t)} AS t FROM {rows}))) x, unnest(m) AS u(j) WHERE j >= i) GROUP BY {keep}"""
+  FROM (SELECT *, unnest(m) AS i FROM (SELECT *, [k FOR k IN range(1, len(t) + 1) IF list_contains(q, t[k])] AS m FROM (SELECT {keep}, list_distinct({trg(q)}) AS q, {trg(t)} AS t FROM {rows}))) x, unnest(m) AS u(j) WHERE j >= i{bound}) GROUP BY {keep}"""
 
 
 ASK = {"requests": "SELECT request_id, user_id FROM asks"}
@@ -36,12 +36,13 @@ SCORED = ASK | {
   LEFT JOIN body_hit h ON h.request_id = b.request_id AND h.document_id = b.document_id LEFT JOIN body_fire f ON f.request_id = b.request_id""",
     "paged": "SELECT * FROM (SELECT request_id, document_id, chunk_id, total_score AS score, row_number() OVER (PARTITION BY request_id ORDER BY total_score DESC, document_id) AS rank, count(*) OVER (PARTITION BY request_id) AS total FROM meant) WHERE rank <= 20",
     "body_rows": "SELECT e.request_id, e.id AS document_id, c.id AS chunk_id, c.text, a.query FROM eligible e JOIN chunks c ON c.revision_id = e.current_revision_id JOIN asks a ON a.request_id = e.request_id",
-    "body_ws": ws("body_rows", "request_id, document_id, chunk_id"),
-    "body_lex": "SELECT request_id, document_id, round(max(ws), 6) AS body_lexical FROM body_ws GROUP BY 1, 2",
+    "body_near": f"SELECT * FROM body_rows WHERE len(list_intersect({trg('text')}, {trg('query')})) >= {{0}} * len(list_distinct({trg('query')}))".replace("{0}", "0.6"),
+    "body_ws": ws("body_near", "request_id, document_id, chunk_id", bound=" AND j - i < 3 * len(q)"),
+    "body_lex": "SELECT request_id, document_id, round(max(ws), 6) AS body_lexical FROM body_ws WHERE round(ws, 6) >= 0.6 GROUP BY 1, 2",
     "parts": r"""SELECT e.request_id, e.id AS document_id, round(b.score, 6) AS semantic, coalesce(round(t.ws, 6), 0) AS title_trigram, coalesce(l.body_lexical, 0) AS body_lexical, contains(regexp_replace(lower(e.extracted_text), '[\s_.,/()\[\]-]+', ' ', 'g'), regexp_replace(lower(a.query), '[\s_.,/()\[\]-]+', ' ', 'g')) AS body_contains,
   contains(e.title, a.title_query) AS title_contains FROM eligible e JOIN asks a ON a.request_id = e.request_id JOIN best b ON b.request_id = e.request_id AND b.document_id = e.id LEFT JOIN title_ws2 t ON t.request_id = e.request_id AND t.document_id = e.id LEFT JOIN body_lex l ON l.request_id = e.request_id AND l.document_id = e.id""",
     "sem": "SELECT request_id, document_id, semantic AS score FROM parts",
-    "lex": "SELECT request_id, document_id, body_lexical AS score FROM parts WHERE body_lexical >= 0.5",
+    "lex": "SELECT request_id, document_id, body_lexical AS score FROM parts WHERE body_lexical >= 0.6",
 }
 
 
@@ -75,7 +76,7 @@ class Asked:
 
     @property
     def lex(self):
-        return self.parts.where("body_lexical >= 0.5").select("request_id", "document_id", F.col("body_lexical").alias("score"))
+        return self.parts.where("body_lexical >= 0.6").select("request_id", "document_id", F.col("body_lexical").alias("score"))
 
 
 def ranks(df, k=1 << 30):
@@ -143,12 +144,12 @@ def r9(spark, sf):
 
 
 @query("R10_lexical_chunk", orc("""SELECT h.request_id, h.document_id, c.chunk_id, c.chunk_score FROM (SELECT request_id, document_id FROM body_hit WHERE has) h LEFT JOIN
-  (SELECT request_id, document_id, chunk_id, round(ws, 6) AS chunk_score FROM body_ws WHERE round(ws, 6) >= 0.2 QUALIFY row_number() OVER (PARTITION BY request_id, document_id ORDER BY round(ws, 6) DESC, chunk_id) = 1) c USING (request_id, document_id)"""))
+  (SELECT request_id, document_id, chunk_id, round(ws, 6) AS chunk_score FROM body_ws WHERE round(ws, 6) >= 0.6 QUALIFY row_number() OVER (PARTITION BY request_id, document_id ORDER BY round(ws, 6) DESC, chunk_id) = 1) c USING (request_id, document_id)"""))
 def r10(spark, sf):
     a = Asked(spark, sf)
     rows = a.found.select("request_id", F.col("id").alias("document_id"), "extracted_text").join(F.broadcast(a.asks.select("request_id", "query")), "request_id")  # eight rows
     hits = rows.where(sim.contains_text(F.col("extracted_text"), F.col("query"))).select("request_id", "document_id")
-    return rk.lexical_chunks(hits, a.found, a.t.chunks, a.asks)
+    return rk.lexical_chunks(hits, a.found, a.t.chunks, a.asks, 0.6)
 
 
 @query("R11_pagination", orc("SELECT * FROM (SELECT request_id, id AS document_id, row_number() OVER (PARTITION BY request_id ORDER BY updated_at DESC, id) AS rank, count(*) OVER (PARTITION BY request_id) AS total FROM eligible) WHERE rank > 40 AND rank <= 60"))

@@ -64,6 +64,10 @@ CTES: dict[str, str] = {
 }
 
 
+#: Costly definitions that a query may use more than once.
+_ONCE = {"parts", "body_ws", "states", "rankings", "qrels"}
+
+
 def oracle(sql: str, **more: str) -> str:
     """``sql`` with the definitions that it needs in front."""
     known = CTES | more
@@ -78,7 +82,7 @@ def oracle(sql: str, **more: str) -> str:
 
     add(sql)
     body = sql.strip()
-    head = "WITH " + ", ".join(f"{n} AS ({known[n]})" for n in need) if need else ""
+    head = "WITH " + ", ".join(f"{n} AS {'MATERIALIZED ' if n in _ONCE else ''}({known[n]})" for n in need) if need else ""
     if body.upper().startswith("WITH "):
         body = (", " if need else "WITH ") + body[5:]
     return f"{head} {body}"
