@@ -187,7 +187,7 @@ class Tables:
         text = self.raw("documents").select("doc_id", F.split("text", " ").alias("w"))
         rows = self.spark.range(1, 9).withColumnRenamed("id", "q").join(text, F.col("doc_id") == q * 13)
         user = F.element_at(F.array(F.lit(1), F.lit(9), F.lit(3), F.lit(10)), (q % 4 + 1).cast("int")).cast("long")
-        return rows.select(q.alias("request_id"), user.alias("user_id"), ((q * 7) % 500).alias("vec_id"), F.concat(F.lit("doc"), (q * 3).cast("string")).alias("title_query"), F.concat_ws(" ", F.get("w", F.lit(1)), F.get("w", F.lit(2))).alias("query"))
+        return rows.select(q.alias("request_id"), user.alias("user_id"), ((q * 7) % 500).alias("vec_id"), F.concat(F.lit("doc"), (q * 3).cast("string")).alias("title_query"), F.concat(F.get("w", F.lit(1)), F.lit(" "), F.get("w", F.lit(2))).alias("query"))
 
     @cached_property
     def n_documents(self) -> DataFrame:
