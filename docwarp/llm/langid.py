@@ -140,9 +140,15 @@ def train(
     Rows without text or lang are not learned from. Without any usable row there is no model (None).
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # A hash threshold per language leaves about twice what is wanted, so that the ranking below is small whatever the corpus.
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    share = F.least(F.lit(1.0), F.lit(2.0 * docs_per_lang + 50) / F.col("n"))
+    limits = F.broadcast(sizes.select("lang", share.alias("share")))  # max_langs rows at most
+    order = F.xxhash64("doc_id")
+    near = usable.join(limits, "lang").where(F.pmod(order, F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    pick = Window.partitionBy("lang").orderBy(order, "doc_id")
     data = F.encode("text", "UTF-8")
-    picked = usable.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= docs_per_lang)
+    picked = near.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= docs_per_lang)
     step = F.greatest(F.lit(window), F.floor(F.octet_length("text") / windows_per_doc).cast("int"))
     sample = (
         picked.select("lang", "doc_id", data.alias("data"), step.alias("step"))
@@ -151,11 +157,7 @@ def train(
         .select("lang", "doc_id", "k", F.expr(f"substring(data, at, {window})").alias("data"))
     )
     rows = sorted((r[0], r[1], r[2], bytes(r[3])) for r in sample.collect())  # bounded by the parameters
-    sizes: dict[str, int] = {}
-    for r in rows:
-        sizes[r[0]] = sizes.get(r[0], 0) + 1
-    langs = sorted(sorted(sizes, key=lambda x: (-sizes[x], x))[:max_langs])
-    rows = [r for r in rows if r[0] in set(langs)]
+    langs = sorted({r[0] for r in rows})
     if not rows:
         return None
     rng = np.random.default_rng(seed)
