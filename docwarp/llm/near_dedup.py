@@ -5,9 +5,10 @@ of the set), so copies never multiply. Per class, each of ``2**BUCKETS`` buckets
 and MANTISSA further bits in 16 bits. Bands of neighbouring registers (empty ones filled from others by a fixed rule) are the candidate
 keys; sets too small for registers to say much use the hashes of an exact prefix filter as keys instead.
 
-Candidates of a key are not all pairs: every round compares a few members with the rest of the key, first the smallest id, then
-those of the smallest components, and only across components; who has been compared leaves. So a group of near copies costs a
-few rows per member, and no link between different texts is lost: rounds go on until every key lies within one component.
+Candidates of a key are not all pairs: first the smallest id is compared with the rest of the key, then members are dealt to blocks of
+bounded size, compared inside a block and with some members chosen from the smallest components, and only across components; who has
+been compared with all leaves, a key of one block at once. So a group of near copies costs a few rows per member, and no link between
+different texts is lost: rounds go on until every key lies within one component.
 A pair's Jaccard is estimated from the registers, corrected for registers that agree by chance; what is clearly below the threshold
 goes, the rest is verified on the full sets, exactly.
 """
@@ -29,7 +30,8 @@ BUCKETS, MANTISSA = 8, 10  # 256 registers of 16 bits
 SMALL = 48  # sets of fewer shingles use prefix keys
 EMPTY = 0xFFFF
 EXACT = 512  # sets of at most so many shingles are compared in full where members meet
-BLOCK = 256  # members of a key that one block compares with the chosen ones
+BLOCK = 256  # members of a key that one block compares with each other and with the chosen ones
+PAIRS = 1 << 14  # pairs whose registers are compared at a time
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -233,7 +235,7 @@ def _pairs(pairs: DataFrame, nodes: DataFrame, fields: list[str]) -> DataFrame:
     return pairs
 
 
-def link(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = 16, most_reps: int = 256, sigmas: float = 5.5) -> DataFrame:
+def link(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = BLOCK, block: int = BLOCK, sigmas: float = 5.5) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
     Documents with 100 * |intersection| >= ``percent`` * |union| of their sets are linked; component_id is the smallest doc_id of a
@@ -278,10 +280,10 @@ def link(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = 16, mos
             here = nodes.join(now.select("node").distinct(), "node", "left_semi")
             small = here.where(F.col("n") <= EXACT)
             data = written(_sets(docs, small, width).join(small.select("node", "n"), "node").select("node", "n", F.col("set").alias("data")).unionByName(here.where(F.col("n") > EXACT).select("node", "n", F.col("regs").alias("data"))), "data")
-        met = written(_meet(now, chosen, data, percent, sigmas), "met")
+        met = written(_meet(now, chosen, data, percent, sigmas, block), "met")
         sure, pairs = met.where("sure").select("a", "b"), met.where("NOT sure").select("a", "b")
-        live = now.join(chosen.select("key", F.col("rep").alias("node")), ["key", "node"], "left_anti").select("key", "node")
-        reps = min(4 * reps, most_reps)
+        rest = now.join(now.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block), "key", "left_semi")
+        live = rest.join(chosen.select("key", F.col("rep").alias("node")), ["key", "node"], "left_anti").select("key", "node")
     # every node's component, then its smallest document
     of = nodes.select("node", "doc_id") if comps is None else nodes.select("node", "doc_id").join(comps, "node", "left")
     of = of.select("node", "doc_id", F.coalesce("comp", "node").alias("comp") if comps is not None else F.col("node").alias("comp"))
@@ -290,15 +292,16 @@ def link(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = 16, mos
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _meet(now: DataFrame, chosen: DataFrame, data: DataFrame, percent: int, sigmas: float) -> DataFrame:
+def _meet(now: DataFrame, chosen: DataFrame, data: DataFrame, percent: int, sigmas: float, block: int = BLOCK) -> DataFrame:
     """Compare the chosen members of each key with its members of other components: a, b, sure.
 
-    A key's members are dealt to blocks by a hash and its chosen ones (bounded) go to each of them, so rows grow as the members do; the
-    pairs of a block are compared inside the task and only links come out, or, of large sets, what the registers leave to verify.
+    A key's members are dealt to blocks by a hash and its chosen ones (bounded) go to each of them, so rows grow as the members do; a
+    key of one block needs no chosen ones. The members of a block are compared inside the task with each other and the chosen ones, and
+    only links come out, or, of large sets, what the registers leave to verify.
     """
-    sizes = now.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = now.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = now.join(sizes, "key").select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "node", "comp")
-    asked = chosen.join(sizes, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("rep").alias("node"), F.col("rep_comp").alias("comp"))
+    asked = chosen.join(sizes.where("blocks > 1"), "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("rep").alias("node"), F.col("rep_comp").alias("comp"))
     rows = members.unionByName(asked).join(data, "node").select("key", "block", "role", "node", "comp", "n", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +329,7 @@ def _block(group: list[tuple], percent: int, sigmas: float) -> set:
     """(a, b, sure) of a block's rows (role, node, comp, n, data)."""
     out: set = set()
     for exact in (True, False):
-        left = [r for r in group if r[0] == 0 and (r[3] <= EXACT or not exact)]
+        left = [r for r in group if r[3] <= EXACT or not exact]
         right = [r for r in group if r[0] == 1 and (r[3] <= EXACT or not exact)]
         if not left or not right:
             continue
@@ -341,9 +344,11 @@ def _block(group: list[tuple], percent: int, sigmas: float) -> set:
             i, j = np.nonzero(near)
             if len(i):
                 regs = {r[1]: np.frombuffer(r[4], np.uint16) if r[3] > EXACT else registers(np.frombuffer(r[4], np.uint64)) for r in left + right}
-                a, b = (np.stack([regs[side[k][1]] for k in at]) for side, at in ((left, i), (right, j)))
+                of_left, of_right = (np.stack([regs[r[1]] for r in side]) for side in (left, right))
                 t = percent / 100
-                near[i, j] = estimate(a, b, n_a[i], n_b[j]) >= t - sigmas * np.sqrt(t * (1 - t) / (1 << BUCKETS))
+                for at in range(0, len(i), PAIRS):
+                    x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+                    near[x, y] = estimate(of_left[x], of_right[y], n_a[x], n_b[y]) >= t - sigmas * np.sqrt(t * (1 - t) / (1 << BUCKETS))
         for i, j in zip(*np.nonzero(near), strict=True):
             x, y = left[i][1], right[j][1]
             out.add((min(x, y), max(x, y), exact))

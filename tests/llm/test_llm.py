@@ -166,7 +166,7 @@ def test_near_dedup_brute_force(spark, odd, none):
         words = [f"q{i}_{k}" for k in range(14)]
         rows += [(400 + 2 * i, " ".join(words)), (401 + 2 * i, " ".join(words[: 14 - i % 3]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter(tuple(r) for r in near_dedup.link(docs, reps=2, most_reps=4).select("doc_id", "n_shingles", "component_id").collect())
+    got = Counter(tuple(r) for r in near_dedup.link(docs, reps=2, block=4).select("doc_id", "n_shingles", "component_id").collect())
     assert got == Counter(components(rows))
     assert near_dedup.link(none).count() == 0 and near_dedup.dedup(odd).columns == odd.columns
 
