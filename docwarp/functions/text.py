@@ -158,3 +158,21 @@ def assemble_context(chunks: DataFrame, most: int, budget: int) -> DataFrame:
 
     folded = lists.select("request_id", F.aggregate("c", zero, step).alias("f"))
     return folded.select("request_id", "f.ids", F.col("f.used").alias("used"))
+
+
+def anchors_complete(indexes: Column) -> Column:
+    """Whether paragraph indexes (in order) count from 0 without gaps; true where there are none."""
+    n = F.size(indexes)
+    return (n == 0) | (indexes == F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)).cast("long") - 1))
+
+
+def refine_year(discovered: Column, has_text: Column, decided: Column) -> Column:
+    """The year found in the text, null included, where there is text; else the year from the file name."""
+    return F.when(has_text, decided).otherwise(discovered)
+
+
+def save_vectors(chunks: DataFrame, fresh: DataFrame, touched: DataFrame) -> DataFrame:
+    """Chunks (id, revision_id, vec_id, ...) once all vectors of the ``touched`` revisions are replaced by ``fresh`` (id, vec_id); chunks without a new one lose theirs."""
+    marks = touched.select("revision_id").distinct().withColumn("_touched", F.lit(True))
+    rows = chunks.join(marks, "revision_id", "left").join(fresh.select("id", F.col("vec_id").alias("_fresh")), "id", "left")
+    return rows.withColumn("vec_id", F.when(F.col("_touched"), F.col("_fresh")).otherwise(F.col("vec_id"))).drop("_touched", "_fresh")

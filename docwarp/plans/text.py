@@ -210,3 +210,25 @@ def g14(spark, sf):
     rows = t.sources.join(t.messages.select(F.col("id").alias("message_id"), "session_id"), "message_id").join(opened(t).withColumn("ok", F.lit(True)), ["session_id", "document_id"], "left")
     rows = rows.join(t.docs.select(F.col("id").alias("document_id"), "title", "source_path"), "document_id")
     return rows.select("message_id", "source_label", "retrieval_rank", F.when(F.col("ok"), F.col("title")).alias("title"), F.when(F.col("ok"), F.col("source_path")).alias("source_path"))
+
+
+@query("C4_anchor_completeness", oracle("SELECT revision_id, bool_and(i = rn - 1) AS complete FROM (SELECT revision_id, index AS i, row_number() OVER (PARTITION BY revision_id ORDER BY index) AS rn FROM paragraphs WHERE NOT (revision_id % 4 = 1 AND index = 1)) GROUP BY 1"))
+def c4(spark, sf):
+    kept = Tables(spark, sf).paragraphs.where("NOT (revision_id % 4 = 1 AND index = 1)")
+    lists = kept.groupBy("revision_id").agg(F.array_sort(F.collect_list("index")).alias("indexes"))
+    return lists.select("revision_id", tx.anchors_complete(F.col("indexes")).alias("complete"))
+
+
+@query("T26_late_year", oracle("SELECT d, CAST(CASE WHEN d % 3 = 0 THEN CASE WHEN d % 7 <> 6 THEN 2010 + d % 15 END WHEN d % 2 = 0 THEN 2000 + d % 20 END AS BIGINT) AS year FROM base"))
+def t26(spark, sf):
+    d = F.col("d")
+    decided, discovered = F.when(d % 2 == 0, F.lit(2000) + d % 20), F.when(d % 7 != 6, F.lit(2010) + d % 15)
+    return Tables(spark, sf).base.select("d", tx.refine_year(discovered, d % 3 != 0, decided).cast("long").alias("year"))
+
+
+@query("E4_vector_write_back", oracle("SELECT id, CASE WHEN revision_id % 3 <> 0 THEN vec_id WHEN chunk_index % 2 = 0 THEN (id * 3) % 500 END AS vec_id FROM chunks"))
+def e4(spark, sf):
+    chunks = Tables(spark, sf).chunks.select("id", "revision_id", "chunk_index", "vec_id")
+    touched = chunks.where("revision_id % 3 = 0")
+    fresh = touched.where("chunk_index % 2 = 0").select("id", (F.col("id") * 3 % 500).alias("vec_id"))
+    return tx.save_vectors(chunks, fresh, touched).select("id", "vec_id")
