@@ -176,3 +176,18 @@ def save_vectors(chunks: DataFrame, fresh: DataFrame, touched: DataFrame) -> Dat
     marks = touched.select("revision_id").distinct().withColumn("_touched", F.lit(True))
     rows = chunks.join(marks, "revision_id", "left").join(fresh.select("id", F.col("vec_id").alias("_fresh")), "id", "left")
     return rows.withColumn("vec_id", F.when(F.col("_touched"), F.col("_fresh")).otherwise(F.col("vec_id"))).drop("_touched", "_fresh")
+
+
+def citation_labels(context: DataFrame, cited: DataFrame) -> DataFrame:
+    """request_id, chunk_id, retrieval_rank (its place in the context, from 1), source_label for the cited chunks of each context (request_id, position, chunk_id)."""
+    ranked = context.withColumn("retrieval_rank", F.row_number().over(Window.partitionBy("request_id").orderBy("position")).cast("long"))
+    rows = ranked.join(cited.select("request_id", "chunk_id").distinct(), ["request_id", "chunk_id"], "left_semi")
+    number = F.row_number().over(Window.partitionBy("request_id").orderBy("retrieval_rank"))
+    return rows.select("request_id", "chunk_id", "retrieval_rank", F.concat(F.lit("SOURCE "), number.cast("string")).alias("source_label"))
+
+
+def scoped_sessions(requests: DataFrame, visible: DataFrame) -> DataFrame:
+    """Session requests (session_id, document_id) with ``created``: those without a scope, or whose document their user may see (``visible``: session_id, document_id)."""
+    seen = visible.select("session_id", "document_id").distinct().withColumn("_seen", F.lit(True))
+    rows = requests.join(seen, ["session_id", "document_id"], "left")
+    return rows.withColumn("created", F.col("document_id").isNull() | F.coalesce("_seen", F.lit(False))).drop("_seen")

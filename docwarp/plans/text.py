@@ -232,3 +232,15 @@ def e4(spark, sf):
     touched = chunks.where("revision_id % 3 = 0")
     fresh = touched.where("chunk_index % 2 = 0").select("id", (F.col("id") * 3 % 500).alias("vec_id"))
     return tx.save_vectors(chunks, fresh, touched).select("id", "vec_id")
+
+
+@query("G10_citation_labels", oracle("SELECT revision_id AS request_id, id AS chunk_id, retrieval_rank, 'SOURCE ' || row_number() OVER (PARTITION BY revision_id ORDER BY retrieval_rank) AS source_label FROM (SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY chunk_index) AS retrieval_rank FROM chunks) WHERE id % 3 = 1"))
+def g10(spark, sf):
+    rows = Tables(spark, sf).chunks.select(F.col("revision_id").alias("request_id"), F.col("chunk_index").alias("position"), F.col("id").alias("chunk_id"))
+    return tx.citation_labels(rows, rows.where("chunk_id % 3 = 1"))
+
+
+@query("G15_scoped_sessions", oracle("SELECT s.id AS session_id, s.document_id, s.document_id IS NULL OR o.request_id IS NOT NULL AS created FROM sessions s LEFT JOIN open_docs o ON o.request_id = s.id AND o.document_id = s.document_id", **MASK))
+def g15(spark, sf):
+    t = Tables(spark, sf)
+    return tx.scoped_sessions(t.sessions.select(F.col("id").alias("session_id"), "document_id"), opened(t)).select("session_id", "document_id", "created")
