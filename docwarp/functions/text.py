@@ -191,3 +191,18 @@ def scoped_sessions(requests: DataFrame, visible: DataFrame) -> DataFrame:
     seen = visible.select("session_id", "document_id").distinct().withColumn("_seen", F.lit(True))
     rows = requests.join(seen, ["session_id", "document_id"], "left")
     return rows.withColumn("created", F.col("document_id").isNull() | F.coalesce("_seen", F.lit(False))).drop("_seen")
+
+
+def transcript(messages: DataFrame, sources: DataFrame, visible: DataFrame) -> DataFrame:
+    """Messages (session_id, id, turn, role, content) with ``sources`` (their labels by rank, nulls last) and content hidden where a cited document may not be seen.
+
+    ``sources``: message_id, document_id, retrieval_rank, source_label; ``visible``: session_id, document_id.
+    """
+    seen = visible.select("session_id", "document_id").distinct().withColumn("_seen", F.lit(True))
+    cited = sources.join(messages.select(F.col("id").alias("message_id"), "session_id"), "message_id").join(seen, ["session_id", "document_id"], "left")
+    lists = cited.groupBy(F.col("message_id").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("retrieval_rank").isNull().alias("last"), "retrieval_rank", "source_label"))).alias("_all"), F.bool_or(F.col("_seen").isNull()).alias("_hidden")
+    )
+    rows = messages.join(lists, "id", "left")
+    content = F.when((F.col("role") == "assistant") & F.coalesce("_hidden", F.lit(False)), None).otherwise(F.col("content"))
+    return rows.select("session_id", "id", "turn", "role", content.alias("content"), F.coalesce(F.transform("_all", lambda s: s["source_label"]), F.array().cast("array<string>")).alias("sources"))

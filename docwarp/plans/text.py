@@ -244,3 +244,10 @@ def g10(spark, sf):
 def g15(spark, sf):
     t = Tables(spark, sf)
     return tx.scoped_sessions(t.sessions.select(F.col("id").alias("session_id"), "document_id"), opened(t)).select("session_id", "document_id", "created")
+
+
+@query("G13_transcript", oracle("SELECT m.session_id, m.id, m.turn, CASE WHEN m.role <> 'assistant' OR NOT coalesce(bool_or(s.message_id IS NOT NULL AND o.request_id IS NULL), false) THEN m.content END AS content, coalesce(string_agg(s.source_label, ',' ORDER BY s.retrieval_rank NULLS LAST), '') AS sources FROM messages m LEFT JOIN sources s ON s.message_id = m.id LEFT JOIN open_docs o ON o.request_id = m.session_id AND o.document_id = s.document_id GROUP BY m.session_id, m.id, m.turn, m.role, m.content", **MASK))
+def g13(spark, sf):
+    t = Tables(spark, sf)
+    rows = tx.transcript(t.messages, t.sources, opened(t))
+    return rows.select("session_id", "id", "turn", "content", F.array_join("sources", ",").alias("sources"))
