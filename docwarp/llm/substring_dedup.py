@@ -1,7 +1,8 @@
 """Substring deduplication over sliding spans of sentences.
 
 A text is cut into units: sentences (they end after ``. ! ?`` before white space, or at a line's end), and sentences of more than
-LONG words into parts of LONG words. A span is the shortest run of several (two at least) consecutive units from a given unit on
+LONG words into parts. A part begins at each word whose hash (with the word before) is the least of those at most NEAR words away, so
+equal passages are cut alike wherever they begin, but for some words at their ends. A span is the shortest run of several (two at least) consecutive units from a given unit on
 that has ``least_words`` words at least. Every span of every text is hashed (128 bits, over the units' words); hashes are joined
 globally; the first occurrence (smallest doc_id, then position) stays and every unit under another occurrence is removed.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,10 +21,17 @@ from pyspark.sql import functions as F
 from docwarp.llm.common import written
 
 LONG = 25
+NEAR = 3  # parts of long sentences have more words than this, equal hashes apart, and 2 * NEAR + 1 on average
 _SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s)|[^\n]+|\n", re.ASCII)
 _WORD = re.compile(r"\S+")
 
 
+def cuts(words: list[bytes]) -> list[int]:
+    """Where parts of a long sentence begin: its start and the least hashes nearby. Equal hashes all count, so repeated words are cut alike too."""
+    hashes = [crc32(w, crc32(v)) for v, w in zip([b"", *words], words)]  # noqa: B905, the last word has no next
+    return [0, *(i for i in range(1, len(words)) if hashes[i] <= min(hashes[max(i - NEAR, 0) : i + NEAR + 1]))]
+
+
 def units(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the units with words, by character offsets."""
     out = []
@@ -34,9 +43,9 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
             out.append((m.start(), m.end(), words))
         else:
             at = [w.span() for w in _WORD.finditer(text, m.start(), m.end())]
-            for k in range(0, len(at), LONG):
-                part = at[k : k + LONG]
-                out.append((part[0][0], part[-1][1], [text[a:b] for a, b in part]))
+            first = cuts([w.encode() for w in words])
+            for a, b in zip(first, [*first[1:], len(at)], strict=True):
+                out.append((at[a][0], at[b - 1][1], words[a:b]))
     return out
 
 

@@ -87,6 +87,28 @@ def test_substring_dedup_brute_force(spark, sf):
     assert {r.doc_id: r.text for r in substring_dedup.dedup(docs).collect()} == want
 
 
+def test_substring_dedup_inside_long_sentences(spark):
+    """A passage without stops that begins after a differing number of words, with and without other scripts' stops."""
+    rng = random.Random(4)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for stop in ("", "。"):
+        passage = " ".join(w + stop * (i % 9 == 8) for i, w in enumerate(new(60)))
+        rows = [(i, " ".join([*new(10 + i), passage, *new(30 - i)])) for i in range(26)]
+        out = {r.doc_id: r for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert out[0].text == rows[0][1] and not out[0].removed
+        for i, text in rows[1:]:
+            gone = " ".join(text[r.start : r.end] for r in out[i].removed)
+            assert gone in passage and len(gone.split()) >= 35
+
+
+def test_substring_dedup_cuts_repeated_words(spark):
+    for p in (1, 2, 3, 4, 7):
+        words = [f"v{i % p}" for i in range(400)]
+        rows = [(i, " ".join([f"own{i}_{k}" for k in range(i)] + words)) for i in range(1, 9)]
+        out = {r.doc_id: r.text.split() for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all(len(out[i]) < i + 60 for i in range(2, 9))
+
+
 def test_warc(spark):
     rows = [(1, "http://a", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (None, "u", "y"), (2, None, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
