@@ -2,9 +2,10 @@
 
 A text is cut into units: sentences (they end after ``. ! ?`` before white space, or at a line's end), and sentences of more than
 LONG words into parts. A part begins at each word whose hash (with the word before) is the least of those at most NEAR words away, so
-equal passages are cut alike wherever they begin, but for some words at their ends. A span is the shortest run of several (two at least) consecutive units from a given unit on
-that has ``least_words`` words at least. Every span of every text is hashed (128 bits, over the units' words); hashes are joined
-globally; the first occurrence (smallest doc_id, then position) stays and every unit under another occurrence is removed.
+equal passages are cut alike wherever they begin, but for some words at their ends. A span is the shortest run of several (two at
+least) consecutive units from a given unit on, or up to it, that has ``least_words`` words at least; together they cover whatever any
+longer run that repeats does. Every span of every text is hashed (128 bits, over the units' words); equal hashes meet globally, in one
+exchange; the first occurrence (smallest doc_id, then position) stays and every unit under another occurrence is removed.
 """
 
 from __future__ import annotations
@@ -17,8 +18,7 @@ from zlib import crc32
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from docwarp.llm.common import written
+from pyspark.sql.window import Window
 
 LONG = 25
 NEAR = 3  # parts of long sentences have more words than this, equal hashes apart, and 2 * NEAR + 1 on average
@@ -50,22 +50,34 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 def spans(text: str, several: int, least_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of the span that begins at each unit; none where the text ends too early."""
+    """(start, end, digest) of the shortest spans that begin and that end at each unit, each once and by place; none where the text is too short."""
     found = units(text)
     data = [" ".join(w).encode() for _, _, w in found]
     sizes = [len(w) for _, _, w in found]
+    shortest: set[tuple[int, int]] = set()
     end, words = 0, 0
     for i in range(len(found)):
         while end < len(found) and (end - i < several or words < least_words):
             words += sizes[end]
             end += 1
         if end - i < several or words < least_words:
-            return
-        yield found[i][0], found[end - 1][1], blake2b(b" ".join(data[i:end]), digest_size=16).digest()
+            break
+        shortest.add((i, end))
         words -= sizes[i]
+    begin, words = 0, 0
+    for end in range(1, len(found) + 1):
+        words += sizes[end - 1]
+        while end - begin > several and words - sizes[begin] >= least_words:
+            words -= sizes[begin]
+            begin += 1
+        if end - begin >= several and words >= least_words:
+            shortest.add((begin, end))
+    for i, end in sorted(shortest):
+        yield found[i][0], found[end - 1][1], blake2b(b" ".join(data[i:end]), digest_size=16).digest()
 
 
-_SPANS = "doc_id long, mark long, start long, end long, h1 long, h2 long"
+_SPANS = "doc_id long, mark long, at long, h1 long, h2 long"
+_AT = 31  # bits of a span's length; its start is above them, so spans sort by start
 
 
 def find_repeats(docs: DataFrame, several: int = 2, least_words: int = 25) -> DataFrame:
@@ -74,7 +86,7 @@ def find_repeats(docs: DataFrame, several: int = 2, least_words: int = 25) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], []]
             digests: list[bytes] = []
 
             def flush() -> pa.RecordBatch:
@@ -83,11 +95,11 @@ def find_repeats(docs: DataFrame, several: int = 2, least_words: int = 25) -> Da
                 for c in out:
                     c.clear()
                 digests.clear()
-                return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "start", "end", "h1", "h2"])
+                return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "at", "h1", "h2"])
 
             for i in range(batch.num_rows):
                 for start, end, digest in spans(batch.column(2)[i].as_py() or "", several, least_words):
-                    for column, value in zip(out, (ids[i], marks[i], start, end), strict=True):
+                    for column, value in zip(out, (ids[i], marks[i], start << _AT | end - start), strict=True):
                         column.append(value)
                     digests.append(digest)
                 if len(digests) > 50_000:
@@ -95,10 +107,10 @@ def find_repeats(docs: DataFrame, several: int = 2, least_words: int = 25) -> Da
             if digests:
                 yield flush()
 
-    found = written(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, _SPANS), "spans")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark", "start")
-    firsts = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    later = found.join(firsts, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "mark", "start", "end")
+    found = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, _SPANS)
+    place = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").isNull(), "doc_id", "mark", "at")
+    start = F.shiftright("at", _AT)
+    later = found.withColumn("rank", F.rank().over(place)).where("rank > 1").select("doc_id", "mark", start.alias("start"), (start + F.col("at").bitwiseAND(F.lit((1 << _AT) - 1))).alias("end"))
     lists = later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
     merged = F.aggregate(
         "found",

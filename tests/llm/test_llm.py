@@ -101,6 +101,31 @@ def test_substring_dedup_inside_long_sentences(spark):
             assert gone in passage and len(gone.split()) >= 35
 
 
+def test_substring_dedup_all_runs(spark):
+    """Against every run of at least 2 sentences and 25 words, by its own cutting of texts without long sentences."""
+    rng = random.Random(6)
+    pool = [" ".join(f"p{i}_{k}" for k in range(rng.randint(1, 25))) + "." for i in range(60)]
+    pool[:4] = [" ".join(f"p{i}_{k}" for k in range(n)) + "." for i, n in enumerate((12, 14, 15, 5))]
+    texts = [pool[:4], ["First here.", *pool[:4], "Last here."]]
+    for i in range(60):
+        at = rng.randrange(4, 50)
+        texts.append([f"Begins {i}.", *pool[at : at + rng.randint(1, 9)], f"Parts {i}.", *pool[at // 2 : at // 2 + 4], f"Ends {i}."])
+    seen, want = set(), {}
+    for d, sentences in enumerate(texts):
+        gone = set()
+        for i in range(len(sentences)):
+            for j in range(i + 2, len(sentences) + 1):
+                run = " ".join(sentences[i:j])
+                if len(run.split()) >= 25:
+                    if run in seen:
+                        gone |= set(range(i, j))
+                    seen.add(run)
+        want[d] = [s for i, s in enumerate(sentences) if i not in gone]
+    assert want[1] == ["First here.", "Last here."]
+    docs = spark.createDataFrame([(d, " ".join(s)) for d, s in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.text.split() for r in substring_dedup.dedup(docs).collect()} == {d: " ".join(s).split() for d, s in want.items()}
+
+
 def test_substring_dedup_cuts_repeated_words(spark):
     for p in (1, 2, 3, 4, 7):
         words = [f"v{i % p}" for i in range(400)]
