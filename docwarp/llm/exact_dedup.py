@@ -23,23 +23,23 @@ def normalised(text: Column) -> Column:
 def _keyed(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("content", normalised(F.col("text")))
     return rows.select(
-        "doc_id", "content", F.char_length("text").alias("chars"), F.sha2("content", 256).alias("digest"), F.xxhash64("content").alias("mark")
+        "doc_id", "content", F.char_length("text").alias("chars"), F.sha2("content", 256).alias("digest"), F.xxhash64("content").alias("mark"), F.xxhash64("text").alias("own")
     )
 
 
 def groups(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """One row per distinct text: ``digest, mark`` (a second hash), ``keep_id, group_size``.
+    """One row per distinct text: ``digest, mark`` (a second hash), ``keep_id, keep_own`` (hash of the original text), ``group_size``.
 
-    Of equal texts the row with the most code points in the original text, then the smallest doc_id stays; a null doc_id comes
-    after all others. Should two different texts ever share both hashes, the job fails rather than mix them.
+    Of equal texts the row with the most code points in the original text, then the smallest doc_id, then the largest hash of
+    the original text stays; a null doc_id comes after all others. Should two different texts ever share both hashes, the job fails rather than mix them.
     """
     salted = _keyed(docs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    best = F.struct("chars", F.bitwise_not("doc_id").alias("order"))  # ~id falls as id grows, without overflow
+    best = F.struct("chars", F.bitwise_not("doc_id").alias("order"), "own")  # ~id falls as id grows, without overflow
     merged = salted.groupBy("digest", "mark", "content", "salt").agg(F.max(best).alias("best"), F.count("*").alias("n"))
     whole = merged.groupBy("digest", "mark", "content").agg(F.max("best").alias("best"), F.sum("n").alias("n"))
     once = whole.groupBy("digest", "mark").agg(F.first("best").alias("best"), F.first("n").alias("n"), F.count("*").alias("texts"))
     return once.select(
-        "digest", "mark", F.bitwise_not("best.order").alias("keep_id"),
+        "digest", "mark", F.bitwise_not("best.order").alias("keep_id"), F.col("best.own").alias("keep_own"),
         F.when(F.col("texts") == 1, F.col("n")).otherwise(F.raise_error(F.lit("two texts share their digests"))).alias("group_size"),
     )
 
@@ -58,6 +58,15 @@ def decide(docs: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def dedup(docs: DataFrame, salts: int = 16) -> DataFrame:
-    """``docs`` with one document of each group, all columns kept, extra ones too."""
-    dropped = decide(docs, salts).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_id"]) & (F.sha2(normalised(docs["text"]), 256) == dropped["_digest"]), "left_anti")
+    """``docs`` with one document of each group, all columns kept, extra ones too.
+
+    Rows with equal doc_id and original text are one document and stay together; of those without an id one row stays.
+    """
+    found = _keyed(docs).select("doc_id", "digest", "mark", "own").join(groups(docs, salts), ["digest", "mark"])
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own") == F.col("keep_own"))
+    dropped = found.where(~kept).select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("own").alias("_mark"))
+    rows = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
+    left = rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["_id"]) & (rows["_sha"] == dropped["_digest"]) & (rows["_own"] == dropped["_mark"]), "left_anti")
+    if not docs.where("doc_id IS NULL").isEmpty():
+        left = left.where("doc_id IS NOT NULL").unionByName(left.where("doc_id IS NULL").dropDuplicates(["_sha"]))
+    return left.select(*docs.columns)

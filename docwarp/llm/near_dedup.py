@@ -243,6 +243,12 @@ def link(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = BLOCK,
     and documents with equal sets are linked. Rows that share a doc_id are told apart by their texts; a null doc_id never names a
     component others have an id for. Extra columns are ignored; an empty table gives no rows.
     """
+    return _linked(docs, width, percent, reps, block, sigmas).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _linked(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = BLOCK, block: int = BLOCK, sigmas: float = 5.5) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, mark`` (hash of the text)``, n_shingles, component_id, best`` (last, doc_id, mark of the
+    component's row that stays; null without words)."""
     features = written(_features(docs, width, percent), "features")
     own = features.where("node IS NOT NULL").select("node", F.struct("doc_id", "mark", "n", "regs", "keys").alias("own"))
     nodes = written(own.groupBy("node").agg(F.min_by("own", F.struct(F.col("own.doc_id").isNull(), F.col("own.doc_id"), F.col("own.mark"))).alias("o")).select("node", "o.*"), "nodes")
@@ -285,11 +291,12 @@ def link(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = BLOCK,
         rest = now.join(now.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block), "key", "left_semi")
         live = rest.join(chosen.select("key", F.col("rep").alias("node")), ["key", "node"], "left_anti").select("key", "node")
     # every node's component, then its smallest document
-    of = nodes.select("node", "doc_id") if comps is None else nodes.select("node", "doc_id").join(comps, "node", "left")
-    of = of.select("node", "doc_id", F.coalesce("comp", "node").alias("comp") if comps is not None else F.col("node").alias("comp"))
-    names = of.join(of.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "comp").select("node", "component_id")
+    of = nodes.select("node", "doc_id", "mark") if comps is None else nodes.select("node", "doc_id", "mark").join(comps, "node", "left")
+    of = of.select("node", "doc_id", "mark", F.coalesce("comp", "node").alias("comp") if comps is not None else F.col("node").alias("comp"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("best")
+    names = of.join(of.groupBy("comp").agg(F.min("doc_id").alias("component_id"), best), "comp").select("node", "component_id", "best")
     out = features.join(names, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id", "best")
 
 
 def _meet(now: DataFrame, chosen: DataFrame, data: DataFrame, percent: int, sigmas: float, block: int = BLOCK) -> DataFrame:
@@ -389,6 +396,20 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
 
 def dedup(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` with one document of each component, all columns kept, extra ones too. Rows with the kept doc_id stay."""
-    dropped = link(docs, **kw).where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["_id"]), "left_anti")
+    """``docs`` with one document of each component, all columns kept, extra ones too.
+
+    It is the one with the smallest doc_id (null after all others), then the smallest hash of its text. Rows with equal doc_id and
+    text are one document and stay together; of those without an id one row stays. Rows whose text has no words all stay.
+    """
+    linked = _linked(docs, **kw).where("best IS NOT NULL")
+    own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
+    dropped = linked.where(~own).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    rows = docs.withColumn("_own", F.xxhash64("text"))
+    left = rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["_id"]) & (rows["_own"] == dropped["_mark"]), "left_anti")
+    again = linked.where("doc_id IS NULL").groupBy(F.col("mark").alias("_own")).agg(F.count("*").alias("_n")).where("_n > 1").select("_own")
+    if again.isEmpty():
+        return left.drop("_own")
+    again = written(again, "again")
+    one = left.where("doc_id IS NULL").join(again, "_own", "left_semi").dropDuplicates(["_own"])
+    others = left.where("doc_id IS NOT NULL").unionByName(left.where("doc_id IS NULL").join(again, "_own", "left_anti"))
+    return others.unionByName(one).select(*docs.columns)

@@ -218,6 +218,23 @@ def test_near_dedup_brute_force(spark, odd, none):
     assert near_dedup.link(none).count() == 0 and near_dedup.dedup(odd).columns == odd.columns
 
 
+def test_dedup_by_rows(spark):
+    """Rows with null or shared ids: unrelated texts stay, one row of each group stays."""
+    w = lambda k, n=40: " ".join(f"{k}{i}" for i in range(n))
+    for far in (w("a") + " z", w("a").replace(" ", "\t")):  # a near and an exact copy
+        rows = [(1, w("a"), "x"), (None, far, "y"), (None, w("b"), "clean"), (2, w("c"), "x"), (7, w("d"), "x"), (7, w("e"), "clean")]
+        rows += [(None, w("f"), "r1"), (None, w("f"), "r2"), (None, far.replace("a", "f"), "r3"), (9, w("g"), "r1"), (9, far.replace("a", "g"), "r2"), (None, None, "n"), (5, w("h"), "x"), (5, w("h"), "x")]
+        rows += [(6, w("d"), "x")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
+        near = "\t" not in far
+        kept = (near_dedup if near else exact_dedup).dedup(docs)
+        assert kept.columns == docs.columns
+        got = Counter((r.doc_id, (r.text or "")[:1]) for r in kept.collect())
+        assert got == Counter({(1, "a"): 1, (None, "b"): 1, (2, "c"): 1, (6, "d"): 1, (7, "e"): 1, (None, "f"): 1, (9, "g"): 1, (None, ""): 1, (5, "h"): 2})
+    blank = spark.createDataFrame([(None, None), (None, None), (None, " ")], "doc_id long, text string")
+    assert near_dedup.dedup(blank).count() == 3 and exact_dedup.dedup(blank).count() == 1
+
+
 def test_register_estimate():
     rng = np.random.default_rng(1)
     found = []
