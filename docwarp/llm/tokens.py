@@ -1,8 +1,8 @@
 """Token ids of whole text columns with the ``tokenizers`` library, inside Arrow tasks.
 
 Ids always come from the library. For a tokenizer whose rules never look across white space the words of a batch are
-made distinct first and each distinct word is encoded once per worker (bounded memo); any other tokenizer encodes whole
-texts. Both give the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
+made distinct first and each distinct word of a bounded slice is encoded once (the first words seen are kept in a small memo);
+any other tokenizer encodes whole texts. Both give the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,16 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class Encoder:
-    def __init__(self, spec: str, memo: int = 2_000_000, chars: int = 4_000_000):
+    def __init__(self, spec: str, memo: int = 1_000_000, chars: int = 16_000_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec)
         self.memo, self.chars = memo, chars
         self.by_word = self._by_word(json.loads(spec))
-        self.alphabet = _byte_alphabet()
-        self._reset()
+        self.alphabet = {b: c for b, c in _byte_alphabet().items() if b != 10}  # no word has a line feed
+        self.words = pa.array([], pa.string())
+        self.ids = np.zeros(0, np.uint32)
+        self.counts = np.zeros(0, np.int64)
 
     @staticmethod
     def _by_word(spec: dict) -> bool:
@@ -69,41 +72,42 @@ class Encoder:
         except (KeyError, TypeError, ValueError):
             return False
 
-    def _reset(self) -> None:
-        self.words = pa.array([], pa.string())
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.counts = np.zeros(0, np.int64)
-        self.used = 0
-
-    def _letters(self, word: str) -> list[int]:
-        """Ids of one pre-token, given lower-case: its bytes in the byte alphabet, then the library's BPE model."""
-        mapped = word if word.isascii() else "".join(self.alphabet[b] for b in word.encode())
-        return [t.id for t in self.tok.model.tokenize(mapped)]
-
-    def _keys(self, words: pa.Array, plain: np.ndarray) -> np.ndarray:
-        """Positions in the memo; unknown words are encoded and added."""
-        keys = pc.index_in(words, value_set=self.words)
-        if not keys.null_count:
-            return keys.to_numpy()
-        new = words.filter(pc.is_null(keys)).dictionary_encode().dictionary
-        if len(self.words) and len(self.words) + len(new) > self.memo:
-            self._reset()
-            return self._keys(words, plain)
-        whole = set(words.filter(pa.array(~plain)).to_pylist())
-        ids = [
-            self.tok.encode(w, add_special_tokens=False).ids if w in whole else self._letters(w) for w in new.to_pylist()
-        ]
-        counts = np.array([len(x) for x in ids], np.int64)
-        flat = np.array([i for x in ids for i in x], np.uint32)
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.words = pa.concat_arrays([self.words, new])
-        return pc.index_in(words, value_set=self.words).to_numpy()
+    def _ids(self, words: pa.Array, plain: np.ndarray) -> list[list[int]]:
+        """Ids of each word. A plain one is a pre-token, given lower-case: its bytes in the byte alphabet go to the library's BPE model; others go through the tokenizer."""
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")
+        mapped = joined[0].as_py().encode().decode("latin-1").translate(self.alphabet).split("\n") if len(words) else []
+        others = np.flatnonzero(~plain)
+        for i in others:
+            mapped[i] = ""
+        run = self.tok.model.tokenize
+        ids = [[t.id for t in run(m)] for m in mapped]
+        for i, w in zip(others, words.take(pa.array(others)).to_pylist(), strict=True):
+            ids[i] = self.tok.encode(w, add_special_tokens=False).ids
+        return ids
+
+    def _encoded(self, words: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per word). Words of the memo are looked up, others encoded once each; the first ones fill the memo."""
+        found = words.dictionary_encode()
+        names, codes = found.dictionary, found.indices.to_numpy()
+        known = pc.index_in(names, value_set=self.words)
+        unknown = pc.is_null(known).to_numpy(zero_copy_only=False)
+        simple = np.ones(len(names), bool)
+        simple[codes[~plain]] = False
+        new = names.filter(pa.array(unknown))
+        ids = self._ids(new, simple[unknown])
+        counts = np.concatenate([self.counts, np.array([len(x) for x in ids], np.int64)])
+        flat = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32)])
+        starts = np.cumsum(counts) - counts
+        slots = np.empty(len(names), np.int64)
+        slots[~unknown] = known.drop_null().to_numpy()
+        slots[unknown] = len(self.words) + np.arange(len(new))
+        more = min(self.memo - len(self.words), len(new))
+        if more > 0:
+            self.words = pa.concat_arrays([self.words, new.slice(0, more)])
+            self.counts = counts[: len(self.words)]
+            self.ids = flat[: self.counts.sum()]
+        slots = slots[codes]
+        return ragged(flat, starts[slots], counts[slots])
 
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, ids per word). Letters then stops are two pre-tokens; all else goes through the whole tokenizer."""
@@ -112,9 +116,8 @@ class Encoder:
         stops = pc.if_else(pa.array(plain), pc.replace_substring_regex(words, _LETTERS, ""), "")
         core = pc.if_else(pa.array(plain), core, words)
         n = len(words)
-        keys = self._keys(pa.concat_arrays([core, stops]), np.concatenate([plain, np.ones(n, bool)]))
-        keys = keys.reshape(2, n).T.ravel()
-        ids, sizes = ragged(self.pool, self.starts[keys], self.counts[keys])
+        both = pa.concat_arrays([core, stops]).take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
+        ids, sizes = self._encoded(both, np.stack([plain, np.ones(n, bool)], axis=1).ravel())
         return ids, sizes.reshape(n, 2).sum(axis=1)
 
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

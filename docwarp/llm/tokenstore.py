@@ -1,17 +1,20 @@
 """A content-addressed store of token ids.
 
-Layout under one folder (Parquet): ``chunks`` (digest, n_ids, ids: little-endian unsigned 32-bit; every distinct chunk once),
-``recipes`` (row_id, chunk_no, digest: which chunks make up a document, in order), ``manifests`` (row_id, doc_id, start, n_tokens,
-n_chunks, merkle_root: one row per document in ascending doc_id order; start counts the ids of all documents before it).
+Layout under one folder (Parquet): ``parts/kind=chunk`` (digest, n_ids, ids: little-endian, unsigned, two bytes an id where the
+vocabulary allows it and else four; every distinct chunk once), ``parts/kind=document`` (row_id, doc_id, n_ids, digest: the Merkle
+root, parts: the digests of its chunks in order, which is its recipe), ``manifests`` (row_id, doc_id, start, n_tokens, n_chunks,
+merkle_root: one row per document in ascending doc_id order; start counts the ids of all documents before it).
 
 Chunks are cut where a rolling hash of the last ids says so, so equal stretches give equal chunks wherever they stand. A
-digest is the SHA-256 of a chunk's bytes. The Merkle root is taken over the chunk digests; a reader recomputes every digest
-from the stored bytes and every root from the recipe, and fails on a difference.
+digest is the SHA-256 of a chunk's bytes, the Merkle root is taken over the chunk digests. A reader joins recipes and chunks, rebuilds
+the id stream of each document, recomputes every digest from the stored bytes and the root from them, and fails on a difference.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,7 @@ from docwarp.llm.common import running_offsets, scratch_path
 from docwarp.llm.tokens import encoder, tokenizer_json
 
 WINDOW, LEAST, MOST, BITS = 8, 64, 4096, 9  # rolling window; least and most ids of a chunk; 2**BITS ids apart on average
-_WRITE = "kind string, row_id long, no long, doc_id long, digest binary, n_ids long, ids binary"
-
+_WRITE = "kind string, row_id long, doc_id long, digest binary, n_ids long, ids binary, parts array<binary>"
 
 _GEAR = [np.zeros(0, np.uint32)]
 
@@ -54,15 +56,15 @@ def candidates(ids: np.ndarray, block: int = 1 << 15) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def cuts(found: np.ndarray, start: int, end: int) -> list[int]:
+def cuts(found: list[int], start: int, end: int) -> list[int]:
     """Chunk ends of one document that spans [start, end) of a stream with the given candidates.
 
     LEAST exceeds WINDOW, so a cut never depends on ids before the chunk: equal documents are cut alike.
     """
     out, at = [], start
     while end - at > LEAST:
-        k = int(np.searchsorted(found, at + LEAST))
-        nxt = min(int(found[k]) if k < len(found) else end, at + MOST, end)
+        k = bisect_left(found, at + LEAST)
+        nxt = min(found[k] if k < len(found) else end, at + MOST, end)
         if nxt >= end:
             break
         out.append(nxt)
@@ -80,43 +82,52 @@ def merkle(digests: list[bytes]) -> bytes:
     return level[0]
 
 
-def _rows(docs: DataFrame, spec, end_id: int) -> DataFrame:
-    """Recipe and manifest rows of each document, and each chunk once per task."""
+def _binary(values: list[bytes]) -> pa.Array:
+    return pa.array(values, pa.binary())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, row, seen, rows = encoder(spec.value), TaskContext.get().partitionId() << 40, set(), []
 
-        def flush() -> pa.RecordBatch:
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()]
-            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [c.split()[0] for c in _WRITE.split(", ")])
-            rows.clear()
-            return batch
+def _rows(docs: DataFrame, spec, end_id: int) -> DataFrame:
+    """A row per document with its recipe, and each chunk once per task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, row, seen = encoder(spec.value), TaskContext.get().partitionId() << 40, set()
+        width = "<u2" if max(enc.tok.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
             for at, n, ids, sizes in enc.encode(batch.column(1)):
                 ends = np.cumsum(sizes + 1)
-                stream = np.insert(ids, np.cumsum(sizes), end_id).astype("<u4")
-                found = candidates(stream)
-                for k in range(n):
-                    end, start = int(ends[k]), int(ends[k] - sizes[k] - 1)
+                stream = np.insert(ids, np.cumsum(sizes), end_id)
+                data, size = memoryview(stream.astype(width).tobytes()), int(width[2])
+                found = candidates(stream).tolist()
+                roots, parts, counts, new, new_sizes, new_ids = [], [], [], [], [], []
+                start = 0
+                for end in ends.tolist():
                     digests = []
                     for stop in cuts(found, start, end):
-                        data = stream[start:stop].tobytes()
-                        digest = hashlib.sha256(data).digest()
-                        rows.append(("recipe", row, len(digests), None, digest, stop - start, None))
+                        piece = data[size * start : size * stop]
+                        digest = hashlib.sha256(piece).digest()
                         digests.append(digest)
                         short = digest[:16]
                         if short not in seen:
                             if len(seen) < 200_000:  # only spares shuffle; the store below is exact
                                 seen.add(short)
-                            rows.append(("chunk", None, None, None, digest, stop - start, data))
+                            new.append(digest)
+                            new_sizes.append(stop - start)
+                            new_ids.append(bytes(piece))
                         start = stop
-                    rows.append(("manifest", row, len(digests), doc_ids[at + k], merkle(digests), end - int(ends[k] - sizes[k] - 1), None))
-                    row += 1
-                if len(rows) > 4000:
-                    yield flush()
-        yield flush()
+                    roots.append(merkle(digests))
+                    parts += digests
+                    counts.append(len(digests))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), _binary(parts))
+                names = [c.split()[0] for c in _WRITE.split(", ")]
+                long = pa.int64()
+                kinds = pa.array(["document"]).take(pa.array(np.zeros(n, np.int8)))
+                heads = [kinds, pa.array(np.arange(row, row + n)), batch.column(0).slice(at, n), _binary(roots), pa.array(sizes + 1, long), pa.nulls(n, pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(heads, names)
+                k = len(new)
+                kinds = pa.array(["chunk"]).take(pa.array(np.zeros(k, np.int8)))
+                chunks = [kinds, pa.nulls(k, long), pa.nulls(k, long), _binary(new), pa.array(new_sizes, long), _binary(new_ids), pa.nulls(k, lists.type)]
+                yield pa.RecordBatch.from_arrays(chunks, names)
+                row += n
 
     return docs.select("doc_id", "text").mapInArrow(run, _WRITE)
 
@@ -130,23 +141,27 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str | None = None, e
     """
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(tokenizer_json(tokenizer_path))
-    rows = _rows(docs, spec, end_id)
-    once = rows.groupBy("kind", "digest", "row_id", "no", "doc_id").agg(
-        F.first("ids").alias("ids"), F.min("n_ids").alias("n_ids"), F.max("n_ids").alias("most")
+    # by digest for chunks and by row for documents, of which many may be equal; tasks have merged their chunks already
+    key = F.xxhash64("row_id", F.when(F.col("row_id").isNull(), F.col("digest")))
+    rows = _rows(docs, spec, end_id).withColumn("key", key).repartition("key")
+    once = rows.groupBy("kind", "key", "digest", "row_id").agg(
+        F.first("doc_id").alias("doc_id"), F.first("ids").alias("ids"), F.first("parts").alias("parts"), F.min("n_ids").alias("n_ids"), F.max("n_ids").alias("most")
+    )
+    sound = F.when(F.col("n_ids") == F.col("most"), F.col("n_ids")).otherwise(F.raise_error(F.lit("two chunks share a digest")))
+    columns = ["row_id", "doc_id", "digest", sound.alias("n_ids"), "ids", "parts", "kind"]
+    once.select(*columns).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
+    heads = _part(spark, path, "document").select(
+        "row_id", "doc_id", F.col("n_ids").alias("n_tokens"), F.size("parts").cast("long").alias("n_chunks"), F.col("digest").alias("merkle_root")
     )
-    once.select(
-        "row_id", "no", "doc_id", "digest", F.when(F.col("n_ids") == F.col("most"), F.col("n_ids")).otherwise(F.raise_error(F.lit("two chunks share a digest"))).alias("n_ids"), "ids", "kind"
-    ).write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/parts")
-    parts = _part(spark, path)
-    heads = parts("manifest").select("row_id", "doc_id", F.col("n_ids").alias("n_tokens"), F.col("no").alias("n_chunks"), F.col("digest").alias("merkle_root"))
     ordered = running_offsets(heads, ["doc_id", "row_id"], "n_tokens")
     ordered.repartitionByRange("doc_id", "row_id").sortWithinPartitions("doc_id", "row_id").write.parquet(f"{path}/manifests")
     return path
 
 
-def _part(spark: SparkSession, path: str):
-    schema = T.StructType.fromDDL("row_id long, no long, doc_id long, digest binary, n_ids long, ids binary")
-    return lambda kind: spark.read.schema(schema).parquet(f"{path}/parts/kind={kind}") if _exists(spark, f"{path}/parts/kind={kind}") else spark.createDataFrame([], schema)
+def _part(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    schema = T.StructType.fromDDL("row_id long, doc_id long, digest binary, n_ids long, ids binary, parts array<binary>")
+    at = f"{path}/parts/kind={kind}"
+    return spark.read.schema(schema).parquet(at) if _exists(spark, at) else spark.createDataFrame([], schema)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -155,14 +170,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """digest, n_ids, ids of every stored chunk; a chunk whose bytes don't have its digest fails the job."""
-    sound = (F.unhex(F.sha2("ids", 256)) == F.col("digest")) & (F.octet_length("ids") == 4 * F.col("n_ids"))
-    chunks = _part(spark, path)("chunk").select("digest", "n_ids", "ids")
-    return chunks.withColumn("ids", F.when(sound, F.col("ids")).otherwise(F.raise_error(F.lit("a chunk is damaged"))))
+    """digest, n_ids, ids of every stored chunk."""
+    return _part(spark, path, "chunk").select("digest", "n_ids", "ids")
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
-    return _part(spark, path)("recipe").select("row_id", F.col("no").alias("chunk_no"), "digest")
+    """row_id, chunk_no, digest: which chunks make up a document, in order."""
+    return _part(spark, path, "document").select("row_id", F.posexplode("parts").alias("chunk_no", "digest"))
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
@@ -170,90 +184,68 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/manifests")
 
 
+def _rebuilt(spark: SparkSession, path: str, schema: str, value) -> DataFrame:
+    """A row per document: row_id, doc_id, start, n_tokens and ``value`` of its ids' bytes (four an id).
+
+    Recipes join the chunks; a document's manifest and chunks then meet by row_id, in order, and only one document is held at a time.
+    A chunk whose bytes don't have the digest that the recipe names, or a document whose root, number of chunks or of ids is not the
+    manifest's, fails the job.
+    """
+    pieces = read_recipes(spark, path).join(read_chunks(spark, path).select("digest", "ids"), "digest").select("row_id", "chunk_no", "ids")
+    heads = read_manifests(spark, path).withColumn("chunk_no", F.lit(-1))
+    rows = heads.unionByName(pieces, allowMissingColumns=True).repartition("row_id").sortWithinPartitions("row_id", "chunk_no")
+    order = ["row_id", "chunk_no", "ids", "doc_id", "start", "n_tokens", "n_chunks", "merkle_root"]
+    names = [c.split()[0] for c in schema.split(", ")]
+    types = [pa.int64()] * 4 + [pa.binary() if "binary" in schema else pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, leaves, data, out = None, [], [], []
+
+        def close() -> None:
+            if head is None:
+                return
+            row_id, doc_id, start, n_tokens, n_chunks, root = head
+            whole = b"".join(data)
+            if len(leaves) != n_chunks or merkle(leaves) != root or len(whole) not in (2 * n_tokens, 4 * n_tokens):
+                raise ValueError("a document's chunks don't match its manifest")
+            ids = np.frombuffer(whole, "<u2").astype("<u4").tobytes() if len(whole) == 2 * n_tokens else whole
+            out.append((row_id, doc_id, start, n_tokens, value(ids)))
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), types, strict=True)], names)
+            out.clear()
+            return batch
+
+        for batch in batches:
+            row_ids, nos = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = np.flatnonzero(nos < 0)
+            heads = {int(i): r for i, r in zip(edges, zip(*(batch.column(j).take(pa.array(edges)).to_pylist() for j in (0, 3, 4, 5, 6, 7))), strict=True)}
+            for i, piece in enumerate(batch.column(2)):
+                if i in heads:
+                    close()
+                    head, leaves, data = heads[i], [], []
+                else:
+                    if head is None or row_ids[i] != head[0]:
+                        raise ValueError("a document has no manifest")
+                    data.append(piece.as_py())
+                    leaves.append(hashlib.sha256(data[-1]).digest())
+            if len(out) > 4000:
+                yield flush()
+        close()
+        if out:
+            yield flush()
+
+    return rows.select(*order).mapInArrow(run, schema)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``row_id, doc_id, start, n_tokens, ids`` (binary, little-endian unsigned 32-bit), rebuilt by joining recipes and chunks."""
-    parts = read_recipes(spark, path).join(read_chunks(spark, path), "digest")
-    whole = parts.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "digest", "ids"))).alias("parts"))
-    bytes_of = F.aggregate("parts", F.lit(b"").cast("binary"), lambda acc, p: F.concat(acc, p["ids"]))
-    return (
-        read_manifests(spark, path).join(whole, "row_id").select("row_id", "doc_id", "start", "n_tokens", bytes_of.alias("ids"))
-    )
+    """``row_id, doc_id, start, n_tokens, ids`` (binary, little-endian unsigned 32-bit), rebuilt by joining recipes and chunks, and verified."""
+    return _rebuilt(spark, path, "row_id long, doc_id long, start long, n_tokens long, ids binary", lambda ids: ids)
 
 
 def verified_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``row_id, doc_id, start, n_tokens, ids_crc32`` of every stored document, without moving chunk bytes.
-
-    Each chunk is read and checked once where it lies and gives its length and CRC-32; recipes join these, roots are compared
-    with the manifests, and the CRC-32 of a document is combined from those of its chunks (CRC-32 is linear).
-    """
-    sums = read_chunks(spark, path).select("digest", "n_ids", F.crc32("ids").alias("crc"))
-    parts = read_recipes(spark, path).join(sums, "digest")
-    lists = parts.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "digest", "n_ids", "crc"))).alias("parts"))
-    joined = read_manifests(spark, path).join(lists, "row_id", "left").select(
-        "row_id", "doc_id", "start", "n_tokens", "n_chunks", "merkle_root",
-        F.transform("parts", lambda p: p["digest"]).alias("digests"), F.transform("parts", lambda p: p["n_ids"]).alias("sizes"), F.transform("parts", lambda p: p["crc"]).alias("crcs"),
-    )
-    return joined.mapInArrow(_combine, "row_id long, doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shift = Shift()
-    for batch in batches:
-        roots, digests, totals, counts = (batch.column(c).to_pylist() for c in ("merkle_root", "digests", "n_tokens", "n_chunks"))
-        lists = [pa.array(batch.column(c)) for c in ("sizes", "crcs")]
-        sizes, crcs = (np.asarray(x.flatten(), np.int64) for x in lists)
-        n = np.array([len(d or ()) for d in digests], np.int64)
-        ends = np.cumsum(n)
-        for i, (root, own, total, count) in enumerate(zip(roots, digests, totals, counts, strict=True)):
-            if merkle(own or []) != root or n[i] != count or sizes[ends[i] - n[i] : ends[i]].sum() != total:
-                raise ValueError("a document's chunks don't match its manifest")
-        behind = np.cumsum(sizes)
-        behind = np.repeat(np.concatenate([[0], behind])[ends], n) - behind  # ids after each chunk in its document
-        moved = shift(crcs.astype(np.uint32), 4 * behind)
-        out = np.zeros(len(n), np.uint32)
-        np.bitwise_xor.at(out, np.repeat(np.arange(len(n)), n), moved)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_id", "doc_id", "start", "n_tokens")), pa.array(out.astype(np.int64))], ["row_id", "doc_id", "start", "n_tokens", "ids_crc32"])
-
-
-class Shift:
-    """CRC-32 values as if so many zero bytes followed: multiplication by a power of x modulo the CRC-32 polynomial."""
-
-    def __init__(self) -> None:
-        bits = np.uint32(1) << np.arange(32, dtype=np.uint32)
-        one = np.array([int(b) >> 1 ^ (0xEDB88320 if b & 1 else 0) for b in map(int, bits)], np.uint32)  # by one bit
-        byte = one
-        for _ in range(3):
-            byte = self._times(byte, byte)
-        self.tables = []
-        for _ in range(48):  # by 1, 2, 4, ... bytes
-            self.tables.append(self._lookup(byte))
-            byte = self._times(byte, byte)
-
-    @staticmethod
-    def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Columns of the matrix product over bits: a applied to each column of b."""
-        out = np.zeros(32, np.uint32)
-        for i in range(32):
-            out ^= np.where(b >> np.uint32(i) & np.uint32(1), a[i], np.uint32(0)).astype(np.uint32)
-        return out
-
-    @staticmethod
-    def _lookup(m: np.ndarray) -> np.ndarray:
-        codes = np.arange(256)
-        out = np.zeros((4, 256), np.uint32)
-        for k in range(4):
-            for i in range(8):
-                out[k] ^= np.where(codes >> i & 1, m[8 * k + i], 0).astype(np.uint32)
-        return out
-
-    def __call__(self, crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
-        crc = crc.copy()
-        for k, t in enumerate(self.tables):
-            on = np.flatnonzero(n_bytes >> k & 1)
-            if len(on):
-                v = crc[on]
-                crc[on] = t[0][v & 255] ^ t[1][v >> 8 & 255] ^ t[2][v >> 16 & 255] ^ t[3][v >> 24]
-        return crc
+    """``row_id, doc_id, start, n_tokens, ids_crc32`` of every stored document: as ``read_documents``, with the CRC-32 of the rebuilt ids in their place."""
+    return _rebuilt(spark, path, "row_id long, doc_id long, start long, n_tokens long, ids_crc32 long", zlib.crc32)
 
 
 def store_and_read(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = 2) -> DataFrame:
