@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,9 +21,15 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
+def compose(text: Column) -> Column:
+    """NFC; only texts with other than ASCII go through Python."""
+    odd = F.regexp_like(text, F.lit(r"[^\x00-\x7F]"))
+    return F.when(odd, _nfc(F.when(odd, text))).otherwise(text)
+
+
 def normalize(text: Column) -> Column:
-    """NFC (only where a text has other than ASCII), odd spaces folded, white space collapsed, trimmed; case stays."""
-    composed = F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), _nfc(F.when(F.regexp_like(text, F.lit(r"[^\x00-\x7F]")), text))).otherwise(text)
+    """NFC, odd spaces folded, white space collapsed, trimmed; case stays."""
+    composed = compose(text)
     return F.trim(F.regexp_replace(F.translate(composed, "   　﻿", "     "), r"\s+", " "))
 
 
@@ -35,26 +43,45 @@ def token_spans(text: Column, limit: int) -> Column:
 
 
 def chunk_documents(blocks: DataFrame, limit: int) -> DataFrame:
-    """Greedy paragraph-aware chunks of (revision_id, index, text, page): revision_id, chunk_index, text, paragraph_start, paragraph_end.
+    """Greedy paragraph-aware chunks of blocks (revision_id, index, text, page, maybe section_title): revision_id, chunk_index, text,
+    paragraph_start, paragraph_end, token_count, section_title and page_number (the first ones that are not null).
 
-    A fold per revision over its ordered blocks: a block joins the open chunk while the tokens fit; a new page closes it; a block over the
-    limit is cut into spans that keep its anchor. Blank blocks are left out.
+    Blocks are joined by an empty line while their tokens fit; a new page begins a chunk; a block over the limit is cut into spans that
+    keep its anchor. Blank blocks are left out. Only the numbers of the open chunk are carried from block to block.
     """
-    rows = blocks.where(F.trim("text") != "").select("revision_id", "index", "text", "page", token_count(F.col("text")).alias("n"))
+    title = F.col("section_title") if "section_title" in blocks.columns else F.lit(None).cast("string")
+    rows = blocks.where(F.trim("text") != "").select("revision_id", "index", "text", "page", title.alias("section_title"), token_count(F.col("text")).alias("n"))
+    cut = F.col("n") > limit
     # spans of an oversize block become blocks of their own that nothing may join
-    pieces = rows.select("revision_id", "index", "page", F.col("n").alias("whole"), F.posexplode(F.when(F.col("n") > limit, F.transform(token_spans(F.col("text"), limit), F.rtrim)).otherwise(F.array("text"))).alias("part", "text"))
-    lists = pieces.groupBy("revision_id").agg(F.array_sort(F.collect_list(F.struct("index", "part", "text", "page", token_count(F.col("text")).alias("n"), (F.col("whole") > limit).alias("cut")))).alias("blocks"))
-    shape = "array<struct<first:bigint,last:bigint,n:bigint,page:bigint,open:boolean,text:string>>"
-
-    def step(acc: Column, b: Column) -> Column:
-        top = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & F.coalesce(top["open"], F.lit(False)) & ~b["cut"] & (top["n"] + b["n"] <= limit) & top["page"].eqNullSafe(b["page"])
-        own = F.struct(b["index"].alias("first"), b["index"].alias("last"), b["n"].alias("n"), b["page"].alias("page"), (~b["cut"]).alias("open"), b["text"].alias("text"))
-        grown = F.struct(top["first"].alias("first"), b["index"].alias("last"), (top["n"] + b["n"]).alias("n"), top["page"].alias("page"), F.lit(True).alias("open"), F.concat(top["text"], F.lit("\n"), b["text"]).alias("text"))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(own)))
-
-    folded = lists.select("revision_id", F.posexplode(F.aggregate("blocks", F.array().cast(shape), step)).alias("chunk_index", "c"))
-    return folded.select("revision_id", F.col("chunk_index").cast("long").alias("chunk_index"), "c.text", F.col("c.first").alias("paragraph_start"), F.col("c.last").alias("paragraph_end"), F.col("c.n").alias("token_count"))
+    spans = F.when(cut, F.transform(token_spans(F.col("text"), limit), lambda s: F.rtrim(s))).otherwise(F.array("text"))
+    pieces = rows.select("revision_id", "index", "page", "section_title", cut.alias("cut"), "n", F.posexplode(spans).alias("part", "text"))
+    pieces = pieces.withColumn("n", F.when(F.col("cut"), token_count(F.col("text"))).otherwise(F.col("n")))
+    ordered = pieces.repartition("revision_id").sortWithinPartitions("revision_id", "index", "part")
+    schema = T.StructType([*ordered.schema.fields, T.StructField("chunk_index", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        revision, chunk, used, page, shut = None, 0, 0, None, True
+        for batch in batches:
+            numbers = []
+            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("revision_id", "cut", "n", "page"))
+            for r, is_cut, n, p in zip(*columns, strict=True):
+                if r != revision:
+                    revision, chunk, used = r, 0, n
+                elif shut or is_cut or p != page or used + n > limit:
+                    chunk, used = chunk + 1, n
+                else:
+                    used += n
+                page, shut = p, is_cut
+                numbers.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "chunk_index"])
+
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("index", "part"))).alias(c)
+    chunks = ordered.mapInArrow(run, schema).groupBy("revision_id", "chunk_index").agg(
+        F.array_sort(F.collect_list(F.struct("index", "part", "text"))).alias("blocks"), F.min("index").alias("paragraph_start"), F.max("index").alias("paragraph_end"),
+        F.sum("n").alias("token_count"), first("section_title"), first("page"),
+    )
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n")
+    return chunks.select("revision_id", "chunk_index", text.alias("text"), "paragraph_start", "paragraph_end", "token_count", "section_title", F.col("page").alias("page_number"))
 
 
 def sentence_chunks(docs: DataFrame) -> DataFrame:
@@ -63,45 +90,70 @@ def sentence_chunks(docs: DataFrame) -> DataFrame:
     return docs.select("document_id", F.posexplode(F.concat(F.array("title"), parts)).alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
-def front_matter(text: Column, lines: int = 20, most: int = 2000) -> Column:
-    return F.substring(F.substring_index(text, "\n", lines), 1, most)
+#: Markers of the blocks of a document's normalised text. Fixed values.
+PARAGRAPH, TABLE, CELL = "[문단]", "[표]", " | "
+
+
+def front_matter(text: Column, blocks: int = 20, most: int = 2000) -> Column:
+    """The text before its 21st block marker, at most 2000 characters."""
+    head = F.substring(text, 1, most + 8)  # a marker that begins within ``most`` is whole here
+    parts = F.split(head, r"(?<![^\n])(?=\[(?:문단|표)\](?:\n|\z))", -1)
+    marked = F.regexp_like(F.get(parts, F.lit(0)), F.lit(r"\A\[(?:문단|표)\](?:\n|\z)"))
+    return F.substring(F.array_join(F.slice(parts, F.lit(1), F.lit(blocks + 1) - marked.cast("int")), ""), 1, most)
+
+
+#: Forms of a date with year, month and day. Fixed values.
+_DATE = (
+    r"(?<![0-9])[0-9]{4}\p{IsWhite_Space}*[.\-/]\p{IsWhite_Space}*[0-9]{1,2}\p{IsWhite_Space}*[.\-/]\p{IsWhite_Space}*[0-9]{1,2}(?![0-9])"
+    r"|(?<![0-9])[0-9]{4}\p{IsWhite_Space}*년\p{IsWhite_Space}*[0-9]{1,2}\p{IsWhite_Space}*월\p{IsWhite_Space}*[0-9]{1,2}\p{IsWhite_Space}*일"
+)
+LEAST_YEAR, MOST_YEAR = 1900, 2100
 
 
 def full_dates(text: Column) -> Column:
-    """Distinct valid dates written with year, month and day, 1900 to 2100."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![0-9])[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}(?![0-9])"), F.lit(0))
-    dates = F.transform(found, lambda d: F.try_to_date(F.regexp_replace(d, "[./]", "-"), "yyyy-M-d"))
-    return F.array_distinct(F.filter(dates, lambda d: d.isNotNull() & F.year(d).between(1900, 2100)))
+    """Array of struct(date, evidence): all valid dates written with year, month and day, 1900 to 2100, in order."""
+    found = F.regexp_extract_all(text, F.lit(_DATE), F.lit(0))
+
+    def read(m: Column) -> Column:
+        numbers = F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))
+        return F.struct(F.try_to_date(F.array_join(numbers, "-"), "yyyy-M-d").alias("date"), F.trim(F.regexp_replace(m, r"\p{IsWhite_Space}+", " ")).alias("evidence"))
+
+    return F.filter(F.transform(found, read), lambda x: x["date"].isNotNull() & F.year(x["date"]).between(LEAST_YEAR, MOST_YEAR))
 
 
 def bare_years(text: Column) -> Column:
-    """Distinct four-digit numbers from 1900 to 2100 that stand alone."""
-    numbers = F.filter(F.split(text, "[^0-9]+"), lambda n: F.char_length(n) == 4)
-    return F.array_distinct(F.filter(F.transform(numbers, lambda n: n.cast("int")), lambda y: y.between(1900, 2100)))
+    """Four-digit numbers from 1900 to 2100 that stand alone, in order."""
+    numbers = F.regexp_extract_all(text, F.lit("(?<![0-9])[0-9]{4}(?![0-9])"), F.lit(0))
+    return F.filter(F.transform(numbers, lambda n: n.cast("int")), lambda y: y.between(LEAST_YEAR, MOST_YEAR))
 
 
 def decide_year(title: Column, text: Column) -> Column:
-    """struct(year, reason): the one year of full dates, else the one bare year, else the title's; several stop the chain."""
-    front = front_matter(text)
-    dated, bare, named = F.array_distinct(F.transform(full_dates(front), F.year)), bare_years(front), bare_years(title)
-    pick = lambda a, r: F.struct(F.get(a, F.lit(0)).alias("year"), F.lit(r).alias("reason"))
-    none = lambda r: F.struct(F.lit(None).cast("int").alias("year"), F.lit(r).alias("reason"))
-    return (
-        F.when(F.size(dated) == 1, pick(dated, "FULL_DATE")).when(F.size(dated) > 1, none("AMBIGUOUS_DATE")).when(F.size(bare) == 1, pick(bare, "BARE_YEAR")).when(F.size(bare) > 1, none("AMBIGUOUS_YEAR"))
-        .when(F.size(named) == 1, pick(named, "TITLE_YEAR")).otherwise(none("NO_YEAR"))
-    )
-
+    """struct(year, reason, evidence): of the text's front matter the one year of its full dates, else its one bare year; else the file name's.
 
-def to_canonical(path: Column) -> Column:
-    return F.replace(path, F.lit("%"), F.lit("%25"))
+    Several years at one step stop the chain. Evidence is what was read, or the years that compete.
+    """
+    front = front_matter(F.coalesce(text, F.lit("")))
+    dates, bare, named = full_dates(front), bare_years(front), bare_years(F.coalesce(title, F.lit("")))
 
+    def step(years: Column, evidence: Column, found: str, several: str, other: Column) -> Column:
+        distinct = F.array_sort(F.array_distinct(years))
+        one = F.struct(F.get(distinct, F.lit(0)).alias("year"), F.lit(found).alias("reason"), evidence.alias("evidence"))
+        many = F.struct(F.lit(None).cast("int").alias("year"), F.lit(several).alias("reason"), F.array_join(F.transform(distinct, lambda y: y.cast("string")), ", ").alias("evidence"))
+        return F.when(F.size(distinct) == 1, one).when(F.size(distinct) > 1, many).otherwise(other)
 
-def from_canonical(path: Column) -> Column:
-    return F.replace(path, F.lit("%25"), F.lit("%"))
+    none = F.struct(
+        F.lit(None).cast("int").alias("year"), F.when(F.coalesce(title, F.lit("")) == "", "EMPTY_TITLE").otherwise("NO_YEAR_IN_RANGE").alias("reason"), F.lit(None).cast("string").alias("evidence")
+    )
+    first = lambda years: F.get(years, F.lit(0)).cast("string")
+    by_name = step(named, first(named), "SINGLE_YEAR_IN_TITLE", "AMBIGUOUS_MULTIPLE_YEARS", none)
+    by_year = step(bare, first(bare), "YEAR_IN_FRONT_MATTER", "AMBIGUOUS_YEARS_IN_FRONT_MATTER", by_name)
+    return step(F.transform(dates, lambda x: F.year(x["date"])), F.get(dates, F.lit(0))["evidence"], "FULL_DATE_IN_FRONT_MATTER", "AMBIGUOUS_FULL_DATES", by_year)
 
 
-def is_canonical(path: Column) -> Column:
-    return ~F.regexp_like(path, F.lit("%(?![0-9A-F]{2})"))
+def document_date(text: Column) -> Column:
+    """The one date that the front matter states, else null; a file name never gives one."""
+    days = F.array_distinct(F.transform(full_dates(front_matter(F.coalesce(text, F.lit("")))), lambda x: x["date"]))
+    return F.when(F.size(days) == 1, F.get(days, F.lit(0)))
 
 
 def carry_headings(paragraphs: DataFrame) -> DataFrame:
@@ -119,12 +171,25 @@ def cell_grid(cells: DataFrame) -> DataFrame:
     return places.join(texts, ["table_id", "row", "column"], "left").select("table_id", "row", "column", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def classify_empty(n_chars: Column, images: Column) -> Column:
-    return F.when((n_chars == 0) & (images > 0), "OCR_REQUIRED").when(n_chars == 0, "EMPTY_DOCUMENT").when((images >= 3) & (n_chars < 200), "POSSIBLE_SCANNED").otherwise("TEXT_EXTRACTED")
+def classify_empty(text: Column, images: Column, least: int = 1, few: int = 200, many: int = 3) -> Column:
+    """struct(code, warnings) by a document's text without outer white space and its number of images."""
+    n = F.char_length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\A\p{IsWhite_Space}+|\p{IsWhite_Space}+\z", ""))
+    code = F.when(n >= least, "TEXT_EXTRACTED").when(images > 0, "OCR_REQUIRED").otherwise("EMPTY_DOCUMENT")
+    suspect = (n >= least) & (n < few) & (images >= many)
+    return F.struct(code.alias("code"), F.when(suspect, F.array(F.lit("POSSIBLE_SCANNED_DOCUMENT"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
+
+
+#: Result codes that a parser reached on purpose. Fixed values.
+DETERMINED = ("TEXT_EXTRACTED", "EMPTY_DOCUMENT", "OCR_REQUIRED", "ENCRYPTED", "CORRUPT", "UNSUPPORTED_FORMAT")
 
 
 def parse_status(code: Column) -> Column:
-    return F.when(code.isin("TEXT_EXTRACTED", "OCR_REQUIRED", "EMPTY_DOCUMENT"), "SUCCESS").when(code.isin("UNSUPPORTED", "ENCRYPTED"), "UNSUPPORTED").otherwise("FAILED")
+    return F.when(code.isNull(), "PENDING").when(code.isin(*DETERMINED), "SUCCESS").otherwise("FAILED")
+
+
+def downstream_status(code: Column) -> Column:
+    """The embedding status that a parse outcome leads to."""
+    return F.when(code.isNull() | (code == "TEXT_EXTRACTED"), "PENDING").otherwise("SKIPPED")
 
 
 def vector_problem(vector: Column, size: int) -> Column:

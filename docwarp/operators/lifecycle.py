@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docwarp.functions.text import compose
+
 ACTIVE = ("PENDING", "RUNNING")
 
 
@@ -101,25 +103,49 @@ def reconcile(manifest: DataFrame, docs: DataFrame, now: Column, grace: str) ->
     return kept.unionByName(new)
 
 
-KINDS = {"report": "보고서", "manual": "매뉴얼", "requirements": "요구사항", "rfp": "제안요청서", "guide": "가이드"}
-OTHER = "기타"
+#: Labels of the kinds and the words that name them in a file name. Fixed values.
+LABELS = {"MANUAL": "매뉴얼", "REQUIREMENTS": "요구사항 정의서", "PROPOSAL": "제안·입찰 문서", "REPORT": "보고서", "OTHER": "기타"}
+KEYWORDS = {
+    "REQUIREMENTS": (
+        "요구사항정의서", "기능요구사항정의서", "요구사항명세서", "요구사항명세", "기능요구사항", "요구사항", "기능정의서",
+        "requirementspecification", "requirements", "requirement",
+    ),
+    "PROPOSAL": ("제안요청서", "과업지시서", "입찰공고", "제안평가", "제안서", "견적요청서", "입찰", "낙찰", "rfp"),
+    "REPORT": ("완료보고서", "착수보고서", "중간보고서", "결과보고서", "최종보고서", "수행보고서", "완료보고", "착수보고", "보고서", "report"),
+    "MANUAL": ("사용자매뉴얼", "설치매뉴얼", "운영매뉴얼", "관리자매뉴얼", "사용자가이드", "사용설명서", "설치가이드", "매뉴얼", "안내서", "manual", "guide"),
+}
+OTHER = "OTHER"
+#: Characters that are left out of a name before its words are sought. Fixed values.
+SEPARATORS = r"""[\s_\-.,\[\]()<>~!@#$%^&+=|/\\'"`:;]+"""
+
+
+def fold_name(name: Column) -> Column:
+    """A file name without its extension and separators, composed and in lower case."""
+    stem = F.when(F.contains(name, F.lit(".")), F.regexp_extract(name, r"(?s)\A(.*)\.", 1)).otherwise(name)
+    return F.regexp_replace(F.lower(compose(stem)), SEPARATORS, "")
 
 
 def classify_kind(names: DataFrame) -> DataFrame:
-    """id, kind, reason of (id, name): the kind of the longest keyword in the name; equally long ones of several kinds give OTHER."""
-    words = names.sparkSession.createDataFrame([(kind, w, len(w)) for w, kind in KINDS.items()], "kind string, word string, len int")
-    hits = names.join(F.broadcast(words), F.contains(F.lower("name"), F.col("word")))  # a fixed vocabulary
-    best = hits.groupBy("id", "kind").agg(F.max("len").alias("len"))
-    top = best.groupBy("id").agg(F.max("len").alias("len"))
-    found = best.join(top, ["id", "len"]).groupBy("id").agg(F.min("kind").alias("kind"), F.count("*").alias("n"))
-    rows = names.select("id").join(found, "id", "left")
-    return rows.select("id", F.when(F.col("n") == 1, F.col("kind")).otherwise(OTHER).alias("kind"), F.when(F.col("n").isNull(), "NO_KEYWORD").when(F.col("n") > 1, "AMBIGUOUS").otherwise("KEYWORD").alias("reason"))
+    """id, kind, reason, matched of (id, name): the kind with the longest keyword in the folded name; equally long ones of several kinds give OTHER."""
+    folded = names.select("id", fold_name(F.coalesce("name", F.lit(""))).alias("folded"))
+    rows = [(kind, w, len(w), i) for kind, ws in KEYWORDS.items() for i, w in enumerate(ws)]
+    words = names.sparkSession.createDataFrame(rows, "kind string, word string, len int, no int")
+    hits = folded.join(F.broadcast(words), F.contains("folded", F.col("word")))  # a fixed vocabulary
+    best = hits.groupBy("id", "kind").agg(F.max("len").alias("len"), F.min_by("word", F.struct(-F.col("len"), "no")).alias("word"))
+    ranked = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("len")).alias("less"), "kind", "word"))).alias("b"))  # four kinds at most
+    winners = F.filter("b", lambda x: x["less"] == F.get("b", F.lit(0))["less"])
+    out = folded.join(ranked, "id", "left").withColumn("w", winners)
+    one = F.size("w") == 1
+    several = F.concat(F.lit("AMBIGUOUS_"), F.array_join(F.array_sort(F.transform("w", lambda x: x["kind"])), "_"))
+    reason = F.when(F.col("folded") == "", "EMPTY_FILENAME").when(F.col("w").isNull(), "NO_KEYWORD_MATCH").when(one, "KEYWORD_MATCH").otherwise(several)
+    winner = F.get("w", F.lit(0))
+    return out.select("id", F.when(one, winner["kind"]).otherwise(OTHER).alias("kind"), reason.alias("reason"), F.when(one, winner["word"]).alias("matched"))
 
 
 def upsert_kind_tags(doc_tags: DataFrame, kinds: DataFrame) -> DataFrame:
     """document_id, tag, changed: exactly one kind tag per document, others stay; ``changed`` says whether it is new."""
     old = doc_tags.where(F.startswith("tag", F.lit("종류:"))).select("document_id", F.col("tag").alias("old"))
-    new = kinds.select(F.col("id").alias("document_id"), F.concat(F.lit("종류:"), "kind").alias("tag"))
+    new = kinds.select(F.col("id").alias("document_id"), F.concat(F.lit("종류:"), F.element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), F.col("kind"))).alias("tag"))
     same = old.groupBy("document_id").agg(F.count("*").alias("n"), F.min("old").alias("old"))
     flagged = new.join(same, "document_id", "left").select("document_id", "tag", (~F.coalesce((F.col("n") == 1) & (F.col("old") == F.col("tag")), F.lit(False))).alias("changed"))
     others = doc_tags.where(~F.startswith("tag", F.lit("종류:"))).select("document_id", "tag", F.lit(False).alias("changed"))
@@ -163,3 +189,39 @@ def retry_failed(jobs: DataFrame) -> DataFrame:
 def stage_outcomes(jobs: DataFrame) -> DataFrame:
     """Counts by job type and result code, with totals (null) from a rollup."""
     return jobs.withColumn("result_code", F.coalesce("result_code", F.lit("NONE"))).rollup("job_type", "result_code").agg(F.count("*").alias("n"))
+
+
+def skip_summaries(revisions: DataFrame, of: DataFrame) -> DataFrame:
+    """Revisions once no summary will be written for those of ``of`` (revision_id): PENDING becomes SKIPPED, any other state stays."""
+    marks = of.select(F.col("revision_id").alias("id")).distinct().withColumn("_skip", F.lit(True))
+    rows = revisions.join(marks, "id", "left")
+    status = F.when(F.col("_skip") & (F.col("summary_status") == "PENDING"), "SKIPPED").otherwise(F.col("summary_status"))
+    return rows.withColumn("summary_status", status).drop("_skip")
+
+
+def resume_skipped(revisions: DataFrame, ready: Column, limit: int = 1000) -> DataFrame:
+    """revision_id of the first ``limit`` READY revisions without a summary that were skipped; they become PENDING."""
+    return revisions.where(ready & (F.col("summary_status") == "SKIPPED") & F.col("summary").isNull()).orderBy("created_at", "id").limit(limit).select(F.col("id").alias("revision_id"))
+
+
+def unsummarised(revisions: DataFrame, ready: Column, jobs: DataFrame, limit: int) -> DataFrame:
+    """revision_id of the first ``limit`` READY revisions whose summary is PENDING and that no job is at work on."""
+    rows = revisions.where(ready & (F.col("summary_status") == "PENDING"))
+    free = enqueue(rows.select(F.col("id").alias("revision_id")), jobs, "SUMMARIZE").select(F.col("revision_id").alias("id"))
+    return rows.join(free, "id", "left_semi").orderBy("created_at", "id").limit(limit).select(F.col("id").alias("revision_id"))
+
+
+def reconcile_summaries(revisions: DataFrame, ready: Column, jobs: DataFrame, enabled: bool, limit: int = 1000) -> DataFrame:
+    """revision_id, outcome: READY revisions without an answer get a job where generation is ``enabled``, else they are skipped."""
+    return unsummarised(revisions, ready, jobs, limit).withColumn("outcome", F.lit("queued" if enabled else "skipped"))
+
+
+def save_summary(revisions: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """Revisions (id, summary_status, summary, summary_provider, summary_model, summary_prompt_version, summarized_at) once ``results``
+    (id, status, and new values or nulls) are written; a null leaves the old value, only SUCCESS sets the time, no other revision changes."""
+    fields = ["summary", "summary_provider", "summary_model", "summary_prompt_version"]
+    rows = revisions.join(results.select("id", F.col("status").alias("_status"), *[F.col(c).alias(f"_{c}") for c in fields]), "id", "left")
+    values = {c: F.coalesce(f"_{c}", c) for c in fields} | {
+        "summary_status": F.coalesce("_status", "summary_status"), "summarized_at": F.when(F.col("_status") == "SUCCESS", now).otherwise(F.col("summarized_at"))
+    }
+    return rows.select(*[values.get(c, F.col(c)).alias(c) for c in revisions.columns])

@@ -109,16 +109,20 @@ def vocabulary(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     return page.withColumn("rank", (rank + offset).cast("long")).crossJoin(F.broadcast(named.agg(F.count("*").alias("total"))))
 
 
-REASONS = {"NO_CHUNKS": "no text", "TIMEOUT": "took too long", "TOO_LARGE": "too large"}
+#: Codes that may be told. Fixed values.
+REASONS = ("NO_TEXT", "TOO_LARGE", "PROVIDER_DISABLED")
 
 
-def summary_state(revisions: DataFrame, jobs: DataFrame) -> DataFrame:
-    """revision_id, state, reason: content only after SUCCESS; for SKIPPED the latest SUMMARIZE job's code if it may be told."""
+def summary_state(revisions: DataFrame, jobs: DataFrame, available: bool = True) -> DataFrame:
+    """revision_id, state, reason: only SKIPPED has one, the code of the latest SUMMARIZE job that has any, null if it may not be told.
+
+    Where generation is not ``available``, or no job decided, the provider was off.
+    """
     order = F.struct(F.col("finished_at").isNotNull(), F.col("finished_at"), "created_at", "id")
-    latest = jobs.where("job_type = 'SUMMARIZE'").groupBy("revision_id").agg(F.max_by("result_code", order).alias("code"))
-    told = F.create_map(*[F.lit(x) for kv in REASONS.items() for x in kv])
+    latest = jobs.where("job_type = 'SUMMARIZE' AND result_code IS NOT NULL").groupBy("revision_id").agg(F.max_by("result_code", order).alias("code"))
     rows = revisions.select(F.col("id").alias("revision_id"), F.col("summary_status").alias("state")).join(latest, "revision_id", "left")
-    return rows.select("revision_id", "state", F.when(F.col("state") == "SKIPPED", F.coalesce(F.try_element_at(told, F.col("code")), F.lit("other"))).alias("reason"))
+    code = F.when(F.col("code").isNull() | F.lit(not available), "PROVIDER_DISABLED").when(F.col("code").isin(*REASONS), F.col("code"))
+    return rows.select("revision_id", "state", F.when(F.col("state") == "SKIPPED", code).alias("reason"))
 
 
 def relocation_state(docs: DataFrame, revisions: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -6,27 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docwarp.operators.sinks import global_rank
+
 CODES = ("TEXT_EXTRACTED", "OCR_REQUIRED", "ENCRYPTED", "EMPTY_DOCUMENT", "PARSE_FAILED")
-BUCKETS = ((0, 1 << 20, "<1MiB"), (1 << 20, 4 << 20, "1-4MiB"), (4 << 20, 16 << 20, "4-16MiB"), (16 << 20, None, ">=16MiB"))
+#: Size classes, half open, in bytes; sizes outside all of them are in the last. Fixed values.
+BUCKETS = (("< 1 MB", 0, 1 << 20), ("1-5 MB", 1 << 20, 5 << 20), ("5-20 MB", 5 << 20, 20 << 20), ("20-50 MB", 20 << 20, 50 << 20), ("> 50 MB", 50 << 20, 1 << 62))
 
 
 def anonymous_ids(records: DataFrame) -> DataFrame:
-    """id, anonymous_id: EXT-001 onwards by the path's hash."""
-    rank = F.row_number().over(Window.partitionBy("format").orderBy(F.sha2("path", 256), "id"))
-    return records.select("id", F.concat(F.upper("format"), F.lit("-"), F.lpad(rank.cast("string"), 6, "0")).alias("anonymous_id"))
+    """id, anonymous_id: EXT-001 onwards within a format, by the path's hash. Ranked over all rows by range, so no format meets in one task."""
+    hashed = records.select("id", "format", F.sha2("path", 256).alias("hash"))
+    ranked = global_rank(hashed, [F.asc("format"), F.asc("hash"), F.asc("id")])
+    ahead = ranked.groupBy("format").agg((F.min("rank") - 1).alias("ahead"))
+    return ranked.join(ahead, "format").select("id", F.format_string("%s-%03d", F.upper("format"), F.col("rank") - F.col("ahead")).alias("anonymous_id"))
 
 
-def failure_reason(message: Column) -> Column:
-    """A message without paths, quoted parts and digits, at most 80 characters."""
-    for pattern, to in ((r'"[^"]*"', '"…"'), (r"(?:/[A-Za-z0-9_.-]+)+", "<path>"), (r"[0-9]+", "N"), (r"\s+", " ")):
-        message = F.regexp_replace(message, pattern, to)
-    return F.substring(F.trim(message), 1, 80)
+def failure_reason(message: Column, detail: Column) -> Column:
+    """The detail, or else the message, without paths and quoted parts and with its numbers as N, at most 80 characters; UNKNOWN where nothing is left."""
+    text = F.when(detail != "", detail).otherwise(F.coalesce(message, F.lit("")))
+    for pattern, to in ((r"""(/[^\s'"]+)+|([A-Za-z]:\\[^\s'"]+)""", " "), (r"""['"][^'"]*['"]""", " "), (r"[0-9]+", "N"), (r"\s+", " ")):
+        text = F.regexp_replace(text, pattern, to)
+    short = F.substring(F.btrim(text, F.lit(" .:;,-")), 1, 80)
+    return F.when(short == "", "UNKNOWN").otherwise(short)
 
 
 def size_bucket(size: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for low, high, name in reversed(BUCKETS):
-        out = F.when((size >= low) & (F.lit(True) if high is None else size < high), name).otherwise(out)
+    out = F.lit(BUCKETS[-1][0])
+    for name, low, high in BUCKETS[:-1]:
+        out = F.when((size >= low) & (size < high), name).otherwise(out)
     return out
 
 
@@ -68,7 +75,7 @@ def stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def failure_buckets(records: DataFrame) -> DataFrame:
     rows = records.where(code_of(F.col("result_code")) != "TEXT_EXTRACTED")
-    return rows.groupBy(code_of(F.col("result_code")).alias("code"), failure_reason(F.col("message")).alias("reason")).agg(F.count("*").alias("n"))
+    return rows.groupBy(code_of(F.col("result_code")).alias("code"), failure_reason(F.col("message"), F.col("detail")).alias("reason")).agg(F.count("*").alias("n"))
 
 
 def determinism_sample(records: DataFrame, limit: int) -> DataFrame:

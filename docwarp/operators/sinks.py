@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docwarp.operators.scratch import written
+
 
 def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """rank over all rows. Rows are sorted by range; only a count per partition meets in one place."""
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).persist()
+    """rank over all rows. They are sorted by range and written once; only a count per partition meets in one place."""
+    parts = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()), "ranked")
     counts = parts.groupBy("_part").agg(F.count("*").alias("n"))
     ahead = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.join(F.broadcast(ahead), "_part").withColumn("rank", (F.col("_before") + inside).cast("long")).drop("_part", "_before")
+    ranked = parts.join(F.broadcast(ahead), "_part")  # one row per partition of the sort
+    return ranked.withColumn("rank", (F.col("_before") + inside).cast("long")).drop("_part", "_before")
 
 
 EXTENSIONS = ("hwp", "hwpx", "docx", "pdf")
@@ -48,11 +51,12 @@ def replace_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("revision_id").distinct(), "revision_id", "left_anti").unionByName(new)
 
 
-FORBIDDEN = ("password", "token", "secret", "text")
+#: Keys that must never be written down. Fixed values.
+FORBIDDEN = ("password", "password_hash", "new_password", "current_password", "token", "token_hash", "session_token", "reset_token", "secret")
 
 
 def scrub(metadata: Column) -> Column:
-    """The map without forbidden keys, which ``_redacted`` names."""
-    gone = F.array_sort(F.filter(F.map_keys(metadata), lambda k: F.lower(k).isin(*FORBIDDEN)))
-    kept = F.map_filter(metadata, lambda k, v: ~F.lower(k).isin(*FORBIDDEN))
-    return F.when(F.size(gone) > 0, F.map_concat(kept, F.create_map(F.lit("_redacted"), F.array_join(gone, ",")))).otherwise(kept)
+    """struct(kept, _redacted): the map without forbidden keys, and the sorted forbidden keys that it had (null: none)."""
+    gone = F.array_sort(F.filter(F.map_keys(metadata), lambda k: k.isin(*FORBIDDEN)))
+    kept = F.map_filter(metadata, lambda k, v: ~k.isin(*FORBIDDEN))
+    return F.struct(kept.alias("kept"), F.when(F.size(gone) > 0, gone).alias("_redacted"))

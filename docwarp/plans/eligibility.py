@@ -203,11 +203,19 @@ def with_summary(revs):
     return revs.withColumn("summary_status", status)
 
 
-@query("D8_summary_state", oracle("""SELECT s.id AS revision_id, summary_status AS state, CASE WHEN summary_status = 'SKIPPED' THEN CASE code WHEN 'NO_CHUNKS' THEN 'no text' WHEN 'TIMEOUT' THEN 'took too long' WHEN 'TOO_LARGE' THEN 'too large' ELSE 'other' END END AS reason
-  FROM states s LEFT JOIN (SELECT revision_id, result_code AS code FROM jobs WHERE job_type = 'SUMMARIZE' QUALIFY row_number() OVER (PARTITION BY revision_id ORDER BY finished_at DESC NULLS LAST, created_at DESC, id DESC) = 1) j ON j.revision_id = s.id""", states=_STATE))
+_CODED = "SELECT * REPLACE (CASE WHEN result_code IS NOT NULL THEN ['NO_TEXT', 'TOO_LARGE', 'PROVIDER_DISABLED', 'TIMEOUT'][CAST(id % 4 + 1 AS INT)] END AS result_code) FROM jobs"
+
+
+@query("D8_summary_state", oracle("""SELECT s.id AS revision_id, summary_status AS state, CASE WHEN summary_status = 'SKIPPED' THEN CASE WHEN code IS NULL THEN 'PROVIDER_DISABLED' WHEN code IN ('NO_TEXT', 'TOO_LARGE', 'PROVIDER_DISABLED') THEN code END END AS reason,
+  CASE WHEN summary_status = 'SKIPPED' THEN 'PROVIDER_DISABLED' END AS reason_when_off
+  FROM states s LEFT JOIN (SELECT revision_id, result_code AS code FROM coded WHERE job_type = 'SUMMARIZE' AND result_code IS NOT NULL QUALIFY row_number() OVER (PARTITION BY revision_id ORDER BY finished_at DESC NULLS LAST, created_at DESC, id DESC) = 1) j ON j.revision_id = s.id""", states=_STATE, coded=_CODED))
 def d8(spark, sf):
     t = Tables(spark, sf)
-    return nv.summary_state(with_summary(t.revisions), t.jobs)
+    codes = F.array(*[F.lit(c) for c in ("NO_TEXT", "TOO_LARGE", "PROVIDER_DISABLED", "TIMEOUT")])
+    jobs = t.jobs.withColumn("result_code", F.when(F.col("result_code").isNotNull(), F.get(codes, F.col("id") % 4)))
+    revisions = with_summary(t.revisions)
+    off = nv.summary_state(revisions, jobs, available=False).select("revision_id", F.col("reason").alias("reason_when_off"))
+    return nv.summary_state(revisions, jobs).join(off, "revision_id")
 
 
 @query("D9_relocation_state", oracle("""SELECT d.id AS document_id, coalesce(r.embedding_status = 'PENDING', false) AS latest_pending, d.id IN (SELECT document_id FROM active) AS has_active_job, NOT coalesce(r.embedding_status = 'PENDING', false) AND d.id NOT IN (SELECT document_id FROM active) AS may_move

@@ -122,30 +122,39 @@ def y13(spark, sf):
     return lc.reconcile(c.manifest, c.docs, now(), "interval 86400 seconds")
 
 
-_WORDS = ", ".join(f"('{k}', '{w}', {len(w)})" for w, k in lc.KINDS.items())
+_WORDS = ", ".join(f"('{k}', '{w}', {len(w)}, {i})" for k, ws in lc.KEYWORDS.items() for i, w in enumerate(ws))
+_NAMES = ["", "사용자 매뉴얼 v2.hwp", "Final_Report.pdf", "요구사항_정의서 최종보고서.docx", "rfp-guide.v1.pdf", "착수보고 및 입찰.hwp", "...", "기능정의서"]
 KIND = {
-    "kind_hits": f"SELECT id, kind, max(len) AS len FROM docs, (VALUES {_WORDS}) AS w(kind, word, len) WHERE contains(lower(title), word) GROUP BY 1, 2",
-    "kind_best": "SELECT id, min(kind) AS kind, count(*) AS n FROM (SELECT * FROM kind_hits QUALIFY len = max(len) OVER (PARTITION BY id)) GROUP BY id",
-    "kinds": f"SELECT d.id, CASE WHEN n = 1 THEN kind ELSE '{lc.OTHER}' END AS kind, CASE WHEN n IS NULL THEN 'NO_KEYWORD' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'KEYWORD' END AS reason FROM docs d LEFT JOIN kind_best b ON b.id = d.id",
-    "old_tags": f"SELECT id AS document_id, 'tag' || (id % 5) AS tag FROM docs UNION ALL SELECT id, '종류:' || CASE id % 3 WHEN 0 THEN '보고서' ELSE '{lc.OTHER}' END FROM docs WHERE id % 2 = 0",
+    "named": "SELECT id, CASE WHEN id % 3 = 0 THEN [" + ", ".join(f"'{n}'" for n in _NAMES) + "][CAST(id % 8 + 1 AS INT)] ELSE original_filename END AS name FROM docs",
+    "folded": r"""SELECT id, regexp_replace(lower(CASE WHEN contains(name, '.') THEN regexp_replace(name, '\.[^.]*$', '') ELSE name END), '[\s_\-.,\[\]()<>~!@#$%^&+=|/\\''"`:;]+', '', 'g') AS f FROM named""",
+    "kind_hits": f"SELECT id, kind, len, word FROM folded, (VALUES {_WORDS}) AS w(kind, word, len, no) WHERE contains(f, word) QUALIFY row_number() OVER (PARTITION BY id, kind ORDER BY len DESC, no) = 1",
+    "kind_best": "SELECT id, min(kind) AS kind, min(word) AS word, count(*) AS n, string_agg(kind, '_' ORDER BY kind) AS all_kinds FROM (SELECT * FROM kind_hits QUALIFY len = max(len) OVER (PARTITION BY id)) GROUP BY id",
+    "kinds": "SELECT d.id, CASE WHEN n = 1 THEN kind ELSE 'OTHER' END AS kind, CASE WHEN f = '' THEN 'EMPTY_FILENAME' WHEN n IS NULL THEN 'NO_KEYWORD_MATCH' WHEN n > 1 THEN 'AMBIGUOUS_' || all_kinds ELSE 'KEYWORD_MATCH' END AS reason, CASE WHEN n = 1 THEN word END AS matched FROM folded d LEFT JOIN kind_best b ON b.id = d.id",
+    "labelled": "SELECT k.id, '종류:' || CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lc.LABELS.items()) + " END AS tag FROM kinds k",
+    "old_tags": f"SELECT id AS document_id, 'tag' || (id % 5) AS tag FROM docs UNION ALL SELECT id, '종류:' || CASE id % 3 WHEN 0 THEN '보고서' ELSE '{lc.LABELS[lc.OTHER]}' END FROM docs WHERE id % 2 = 0",
 }
 
 
+def named(t: Tables):
+    odd = F.array(*[F.lit(n) for n in _NAMES])
+    return t.docs.select("id", F.when(F.col("id") % 3 == 0, F.get(odd, F.col("id") % 8)).otherwise(F.col("original_filename")).alias("name"))
+
+
 def old_tags(t: Tables):
     d = F.col("id")
     plain = t.docs.select(d.alias("document_id"), F.concat(F.lit("tag"), (d % 5).cast("string")).alias("tag"))
-    return plain.unionByName(t.docs.where(d % 2 == 0).select(d.alias("document_id"), F.concat(F.lit("종류:"), F.when(d % 3 == 0, "보고서").otherwise(lc.OTHER)).alias("tag")))
+    return plain.unionByName(t.docs.where(d % 2 == 0).select(d.alias("document_id"), F.concat(F.lit("종류:"), F.when(d % 3 == 0, "보고서").otherwise(lc.LABELS[lc.OTHER])).alias("tag")))
 
 
 @query("T17_classify_name", oracle("SELECT * FROM kinds", **KIND))
 def t17(spark, sf):
-    return lc.classify_kind(Tables(spark, sf).docs.select("id", F.col("title").alias("name")))
+    return lc.classify_kind(named(Tables(spark, sf)))
 
 
-@query("Y14_kind_tags", oracle("""SELECT document_id, tag, false AS changed FROM old_tags WHERE NOT starts_with(tag, '종류:') UNION ALL SELECT k.id, '종류:' || k.kind, NOT coalesce(o.tag = '종류:' || k.kind, false) FROM kinds k LEFT JOIN (SELECT * FROM old_tags WHERE starts_with(tag, '종류:')) o ON o.document_id = k.id""", **KIND))
+@query("Y14_kind_tags", oracle("""SELECT document_id, tag, false AS changed FROM old_tags WHERE NOT starts_with(tag, '종류:') UNION ALL SELECT k.id, k.tag, NOT coalesce(o.tag = k.tag, false) FROM labelled k LEFT JOIN (SELECT * FROM old_tags WHERE starts_with(tag, '종류:')) o ON o.document_id = k.id""", **KIND))
 def y14(spark, sf):
     t = Tables(spark, sf)
-    return lc.upsert_kind_tags(old_tags(t), lc.classify_kind(t.docs.select("id", F.col("title").alias("name"))))
+    return lc.upsert_kind_tags(old_tags(t), lc.classify_kind(named(t)))
 
 
 @query("Y15_reparse_candidates", oracle("SELECT r.id, r.document_id FROM revisions r JOIN docs d ON d.latest_revision_id = r.id WHERE r.document_id % 5 = 1 AND NOT d.is_deleted AND d.missing_since IS NULL AND d.file_type IN ('pdf', 'hwp') ORDER BY r.created_at, r.id LIMIT 25"))
@@ -198,11 +207,32 @@ def j7(spark, sf):
     return rows.join(free, rows["id"] == free["revision_id"], "left_semi").orderBy("created_at", "id").limit(40).select(F.col("id").alias("revision_id"))
 
 
-@query("J8_resume_skipped", oracle("SELECT id AS revision_id, CASE WHEN id IN (SELECT id FROM ready) AND document_id % 3 = 1 THEN 'PENDING' ELSE ['SUCCESS', 'SKIPPED', 'PENDING'][CAST(document_id % 3 + 1 AS INT)] END AS summary_status FROM revisions"))
+_SUMMED = "SELECT *, ['SUCCESS', 'SKIPPED', 'PENDING'][CAST(document_id % 3 + 1 AS INT)] AS summary_status, CASE WHEN document_id % 3 = 0 OR document_id % 7 = 1 THEN left(extracted_text, 40) END AS summary FROM {}"
+
+
+def summed(revs):
+    return with_summary(revs).withColumn("summary", F.when((F.col("document_id") % 3 == 0) | (F.col("document_id") % 7 == 1), F.substring("extracted_text", 1, 40)))
+
+
+@query("J8_resume_skipped", oracle(f"SELECT id AS revision_id FROM ({_SUMMED.format('ready')}) WHERE summary_status = 'SKIPPED' AND summary IS NULL ORDER BY created_at, id LIMIT 1000"))
 def j8(spark, sf):
-    rows = with_summary(Tables(spark, sf).revisions)
-    again = el.is_ready() & (F.col("summary_status") == "SKIPPED")
-    return rows.select(F.col("id").alias("revision_id"), F.when(again, "PENDING").otherwise(F.col("summary_status")).alias("summary_status"))
+    return lc.resume_skipped(summed(Tables(spark, sf).revisions), el.is_ready())
+
+
+@query("J8_skip_summaries", oracle(f"SELECT id AS revision_id, CASE WHEN revision_no = 1 AND summary_status = 'PENDING' THEN 'SKIPPED' ELSE summary_status END AS summary_status FROM ({_SUMMED.format('revisions')})"))
+def j8b(spark, sf):
+    rows = summed(Tables(spark, sf).revisions)
+    return lc.skip_summaries(rows, rows.where("revision_no = 1").select(F.col("id").alias("revision_id"))).select(F.col("id").alias("revision_id"), "summary_status")
+
+
+_IDLE = f"SELECT id AS revision_id, {{}} AS outcome FROM ({_SUMMED.format('ready')}) WHERE summary_status = 'PENDING' AND id NOT IN (SELECT revision_id FROM jobs WHERE job_type = 'SUMMARIZE' AND status IN ('PENDING', 'RUNNING')) ORDER BY created_at, id LIMIT 1000"
+
+
+@query("J8_reconcile_summaries", oracle("SELECT * FROM (" + _IDLE.format("'queued'") + ") UNION ALL SELECT * FROM (" + _IDLE.format("'skipped'") + ")"))
+def j8c(spark, sf):
+    t = Tables(spark, sf)
+    done = lambda on: lc.reconcile_summaries(summed(t.revisions), el.is_ready(), t.jobs, on)
+    return done(True).unionByName(done(False))
 
 
 @query("J9_stage_outcomes", oracle("SELECT job_type, result_code, count(*) AS n FROM (SELECT job_type, coalesce(result_code, 'NONE') AS result_code FROM jobs) GROUP BY ROLLUP (job_type, result_code)"))

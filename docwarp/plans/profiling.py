@@ -12,8 +12,16 @@ from docwarp.plans.registry import query
 from docwarp.sources.fixtures import Tables, oracle
 
 CODE = "coalesce(result_code, 'PARSE_FAILED')"
-REASON = r"""substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message, '"[^"]*"', '"…"', 'g'), '(?:/[A-Za-z0-9_.-]+)+', '<path>', 'g'), '[0-9]+', 'N', 'g'), '\s+', ' ', 'g')), 1, 80)"""
-BUCKET = "CASE WHEN size_bytes < 1048576 THEN '<1MiB' WHEN size_bytes < 4194304 THEN '1-4MiB' WHEN size_bytes < 16777216 THEN '4-16MiB' ELSE '>=16MiB' END"
+REASON = r"""coalesce(nullif(substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN detail <> '' THEN detail ELSE coalesce(message, '') END, '(/[^\s''"]+)+|([A-Za-z]:\\[^\s''"]+)', ' ', 'g'), '[''"][^''"]*[''"]', ' ', 'g'), '[0-9]+', 'N', 'g'), '\s+', ' ', 'g'), ' .:;,-'), 1, 80), ''), 'UNKNOWN')"""
+BUCKET = "CASE WHEN size_bytes < 1048576 THEN '< 1 MB' WHEN size_bytes < 5242880 THEN '1-5 MB' WHEN size_bytes < 20971520 THEN '5-20 MB' WHEN size_bytes < 52428800 THEN '20-50 MB' ELSE '> 50 MB' END"
+DETAILED = {"detailed": r"SELECT *, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'C:\docs\' || source || '\a.hwp: bad ' || chr(39) || 'x' || id || chr(39) || ' at ' || id || ';' WHEN 2 THEN '/srv/' || id END AS detail FROM records JOIN (SELECT doc_id AS id, source FROM documents) USING (id)"}
+
+
+def detailed(t: Tables):
+    d, text = F.col("id"), F.col("id").cast("string")
+    windows = F.concat(F.lit("C:\\docs\\"), "source", F.lit("\\a.hwp: bad 'x"), text, F.lit("' at "), text, F.lit(";"))
+    rows = t.records.join(t.raw("documents").select(F.col("doc_id").alias("id"), "source"), "id")
+    return rows.withColumn("detail", F.when(d % 5 == 0, "").when(d % 5 == 1, windows).when(d % 5 == 2, F.concat(F.lit("/srv/"), text)))
 
 
 def stats_sql(rows: str, by: str, value: str) -> str:
@@ -22,14 +30,14 @@ def stats_sql(rows: str, by: str, value: str) -> str:
     return f"SELECT {by}, max(n) AS n, {pick(50)} AS p50, {pick(95)} AS p95, max({value}) AS most FROM (SELECT {by}, {value}, row_number() OVER (PARTITION BY {by} ORDER BY {value}) AS k, count(*) OVER (PARTITION BY {by}) AS n FROM ({rows})) GROUP BY {by}"
 
 
-@query("C1_anonymous_ids", oracle("SELECT id, upper(format) || '-' || lpad(CAST(row_number() OVER (PARTITION BY format ORDER BY sha256(path), id) AS VARCHAR), 6, '0') AS anonymous_id FROM records"))
+@query("C1_anonymous_ids", oracle("SELECT id, upper(format) || '-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS anonymous_id FROM (SELECT *, row_number() OVER (PARTITION BY format ORDER BY sha256(path), id) AS n FROM records)"))
 def c1(spark, sf):
     return pf.anonymous_ids(Tables(spark, sf).records)
 
 
-@query("C2_failure_reason", oracle(f"SELECT id, {REASON} AS reason FROM records"))
+@query("C2_failure_reason", oracle(f"SELECT id, {REASON} AS reason FROM detailed", **DETAILED))
 def c2(spark, sf):
-    return Tables(spark, sf).records.select("id", pf.failure_reason(F.col("message")).alias("reason"))
+    return detailed(Tables(spark, sf)).select("id", pf.failure_reason(F.col("message"), F.col("detail")).alias("reason"))
 
 
 @query("C5_size_buckets", oracle(f"SELECT {BUCKET} AS bucket, count(*) AS n FROM records GROUP BY 1"))
@@ -64,9 +72,9 @@ def c10(spark, sf):
     return pf.stats(rows, ["format"], "ratio")
 
 
-@query("C11_failure_buckets", oracle(f"SELECT {CODE} AS code, {REASON} AS reason, count(*) AS n FROM records WHERE {CODE} <> 'TEXT_EXTRACTED' GROUP BY 1, 2"))
+@query("C11_failure_buckets", oracle(f"SELECT {CODE} AS code, {REASON} AS reason, count(*) AS n FROM detailed WHERE {CODE} <> 'TEXT_EXTRACTED' GROUP BY 1, 2", **DETAILED))
 def c11(spark, sf):
-    return pf.failure_buckets(Tables(spark, sf).records)
+    return pf.failure_buckets(detailed(Tables(spark, sf)))
 
 
 @query("C11_container_mismatches", oracle("SELECT format, count(*) AS n FROM records WHERE container_ok = false GROUP BY 1"))

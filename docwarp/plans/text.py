@@ -38,11 +38,17 @@ def s8(spark, sf):
     return sk.replace_chunks(chunks, chunks.where("revision_id % 3 = 0 AND chunk_index < 2")).select("id", "revision_id")
 
 
-@query("S9_audit_redaction", oracle("SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN NULL ELSE 'password' END AS redacted, event_type AS kind FROM events"))
+_KEYS = "[" + ", ".join(f"'{k}'" for k in sk.FORBIDDEN) + "]"
+
+
+@query("S9_audit_redaction", oracle(f"""SELECT event_id AS id, CASE WHEN event_id % 10 <> 9 THEN array_to_string(list_sort(list_distinct([k[CAST(event_id % 9 + 1 AS INT)], k[CAST(event_id // 9 % 9 + 1 AS INT)]])), ',') END AS redacted,
+  event_type AS kind, CAST(1 AS BIGINT) AS n_kept FROM events, (SELECT {_KEYS} AS k)"""))
 def s9(spark, sf):
-    meta = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("kind"), "event_type")).otherwise(F.create_map(F.lit("kind"), F.col("event_type"), F.lit("password"), F.lit("x")))
-    rows = Tables(spark, sf).raw("events").select(F.col("event_id").alias("id"), sk.scrub(meta).alias("m"))
-    return rows.select("id", F.try_element_at("m", F.lit("_redacted")).alias("redacted"), F.try_element_at("m", F.lit("kind")).alias("kind"))
+    e, keys = F.col("event_id"), F.array(*[F.lit(k) for k in sk.FORBIDDEN])
+    secret = F.array_distinct(F.array(F.get(keys, e % 9), F.get(keys, F.expr("event_id div 9") % 9)))
+    secret = F.map_from_entries(F.transform(F.when(e % 10 != 9, secret).otherwise(F.array().cast("array<string>")), lambda k: F.struct(k, F.lit("x"))))
+    rows = Tables(spark, sf).raw("events").select(e.alias("id"), sk.scrub(F.map_concat(F.create_map(F.lit("kind"), "event_type"), secret)).alias("m"))
+    return rows.select("id", F.array_join("m._redacted", ",").alias("redacted"), F.element_at("m.kept", F.lit("kind")).alias("kind"), F.size("m.kept").cast("long").alias("n_kept"))
 
 
 @query("T1_normalize", oracle(r"SELECT d AS id, sha256(trim(regexp_replace(translate(nfc_normalize(text), chr(160) || chr(8199) || chr(8239) || chr(12288) || chr(65279), '     '), '\s+', ' ', 'g'))) AS digest FROM base"))
@@ -60,10 +66,25 @@ def t6(spark, sf):
     return Tables(spark, sf).base.select(F.col("d").alias("id"), F.size(tx.token_spans(F.col("text"), 64)).cast("long").alias("n"))
 
 
-@query("T7_chunk_documents")
+HEADING = "length(trim(text)) > 0 AND length(text) < 40 AND NOT ends_with(text, '.')"
+_SPAN = r"(?:(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])\s*){1,64}"
+CHUNKED = {
+    "titled": f"SELECT *, last_value(CASE WHEN {HEADING} THEN trim(text) END IGNORE NULLS) OVER (PARTITION BY revision_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_title, CAST(len(regexp_extract_all(text, '{TOKEN}')) AS BIGINT) AS n FROM paragraphs",
+    "spanned": f"SELECT revision_id, index, page_number, section_title, n > 64 AS cut, CASE WHEN n > 64 THEN [rtrim(x) FOR x IN regexp_extract_all(text, '{_SPAN}')] ELSE [text] END AS texts FROM titled WHERE trim(text) <> ''",
+    "pieces": f"SELECT revision_id, index, page_number, section_title, cut, part, texts[part] AS text, CAST(len(regexp_extract_all(texts[part], '{TOKEN}')) AS BIGINT) AS n FROM spanned, generate_series(1, len(texts)) AS g(part)",
+    "numbered": "SELECT *, row_number() OVER (PARTITION BY revision_id ORDER BY index, part) AS i FROM pieces",
+}
+_T7 = """RECURSIVE kept AS (SELECT revision_id, i, CAST(0 AS BIGINT) AS c, n, page_number, cut FROM numbered WHERE i = 1
+  UNION ALL SELECT q.revision_id, q.i, CASE WHEN k.cut OR q.cut OR k.page_number IS DISTINCT FROM q.page_number OR k.n + q.n > 64 THEN k.c + 1 ELSE k.c END,
+  CASE WHEN k.cut OR q.cut OR k.page_number IS DISTINCT FROM q.page_number OR k.n + q.n > 64 THEN q.n ELSE k.n + q.n END, q.page_number, q.cut FROM kept k JOIN numbered q ON q.revision_id = k.revision_id AND q.i = k.i + 1)
+SELECT q.revision_id, k.c AS chunk_index, string_agg(text, chr(10) || chr(10) ORDER BY q.i) AS text, min(index) AS paragraph_start, max(index) AS paragraph_end, CAST(sum(q.n) AS BIGINT) AS token_count,
+  arg_min(section_title, q.i) FILTER (section_title IS NOT NULL) AS section_title, arg_min(q.page_number, q.i) FILTER (q.page_number IS NOT NULL) AS page_number FROM kept k JOIN numbered q USING (revision_id, i) GROUP BY 1, 2"""
+
+
+@query("T7_chunk_documents", oracle("WITH " + _T7, **CHUNKED).replace("WITH ", "WITH RECURSIVE ", 1).replace(", RECURSIVE kept", ", kept"))
 def t7(spark, sf):
-    p = Tables(spark, sf).paragraphs
-    return tx.chunk_documents(p.select("revision_id", "index", "text", F.col("page_number").alias("page")), 64)
+    p = tx.carry_headings(Tables(spark, sf).paragraphs)
+    return tx.chunk_documents(p.select("revision_id", "index", "text", F.col("page_number").alias("page"), "section_title"), 64)
 
 
 @query("T10_sentence_chunks")
@@ -71,38 +92,76 @@ def t10(spark, sf):
     return tx.sentence_chunks(Tables(spark, sf).base.select(F.col("d").alias("document_id"), "title", "text"))
 
 
-@query("T13_front_matter", oracle("SELECT d AS id, substr(array_to_string(list_slice(string_split(text, chr(10)), 1, 20), chr(10)), 1, 2000) AS front FROM base"))
+# a document's lines as blocks of normalised text, every fifth one as a table's
+_MARKED = "array_to_string([CASE WHEN i % 5 = 0 THEN '[표]' ELSE '[문단]' END || chr(10) || string_split(text, chr(10))[i] FOR i IN range(1, len(string_split(text, chr(10))) + 1)], chr(10))"
+
+
+def marked():
+    marker = lambda i: F.when((i + 1) % 5 == 0, F.lit("[표]")).otherwise("[문단]")
+    return F.array_join(F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(marker(i), F.lit("\n"), x)), "\n")
+
+
+@query("T13_front_matter", oracle("SELECT d AS id, substr(CASE WHEN len(places) > 20 THEN array_to_string(lines[1 : places[21] - 1], chr(10)) || chr(10) ELSE m END, 1, 2000) AS front FROM (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: lines[i] IN ('[문단]', '[표]')) AS places FROM (SELECT d, m, string_split(m, chr(10)) AS lines FROM marked))", marked=f"SELECT d, {_MARKED} AS m FROM base"))
 def t13(spark, sf):
-    return Tables(spark, sf).base.select(F.col("d").alias("id"), tx.front_matter(F.col("text")).alias("front"))
+    return Tables(spark, sf).base.select(F.col("d").alias("id"), tx.front_matter(marked()).alias("front"))
 
 
-_DATED = "'Issued 20' || (10 + d % 15) || '-' || (1 + d % 13) || '-' || (1 + d % 31) || CASE WHEN d % 4 = 0 THEN ' and 2011.05.06' WHEN d % 4 = 1 THEN ' for 2020' ELSE '' END"
+# covers that state dates in every form, also impossible and competing ones, in front of the document's text
+_COVER = """'[문단]' || chr(10) || CASE d % 6 WHEN 0 THEN '작성일 ' || y || '. ' || m || '. ' || k || '.' WHEN 1 THEN y || '년 ' || m || '월 ' || k || '일' WHEN 2 THEN 'Issued ' || y || '-' || m || '-' || k || ' (' || y || '/' || m || '/' || k || ')'
+  WHEN 3 THEN y || '.' || m || '.' || k || ', then 2011 . 05 . 06' WHEN 4 THEN 'Plan of ' || y || CASE WHEN d % 12 = 4 THEN ' and 2031' ELSE '' END ELSE 'No. 20260' || k || 'x' END || chr(10) || '[문단]' || chr(10) || left(text, 200)"""
+COVERED = {
+    "covered": f"SELECT d, title, {_COVER} AS cover FROM (SELECT *, 2010 + d % 15 AS y, 1 + d % 13 AS m, 1 + d % 31 AS k FROM base)",
+    "read": r"SELECT d, title, cover, regexp_extract_all(cover, '(?:^|[^0-9])([0-9]{4}\s*[.\-/]\s*[0-9]{1,2}\s*[.\-/]\s*[0-9]{1,2}|[0-9]{4}\s*년\s*[0-9]{1,2}\s*월\s*[0-9]{1,2}\s*일)', 1) AS found FROM covered",
+    "parsed": r"SELECT d, title, cover, list_filter([{'e': trim(regexp_replace(x, '\s+', ' ', 'g')), 'v': try_strptime(array_to_string(regexp_extract_all(x, '[0-9]+'), '-'), '%Y-%m-%d')} FOR x IN found], lambda s: s.v IS NOT NULL) AS dates, list_filter([CAST(n AS BIGINT) FOR n IN list_filter(regexp_split_to_array(cover, '[^0-9]+'), lambda n: length(n) = 4)], lambda n: n BETWEEN 1900 AND 2100) AS bare, list_filter([CAST(n AS BIGINT) FOR n IN list_filter(regexp_split_to_array(title, '[^0-9]+'), lambda n: length(n) = 4)], lambda n: n BETWEEN 1900 AND 2100) AS named FROM read",
+}
 
 
-def dated():
+def covered(spark, sf):
     d = F.col("d")
-    return F.concat(F.lit("Issued 20"), (d % 15 + 10).cast("string"), F.lit("-"), (d % 13 + 1).cast("string"), F.lit("-"), (d % 31 + 1).cast("string"), F.when(d % 4 == 0, " and 2011.05.06").when(d % 4 == 1, " for 2020").otherwise(""))
+    y, m, k = ((d % 15 + 2010).cast("string"), (d % 13 + 1).cast("string"), (d % 31 + 1).cast("string"))
+    dash = lambda c: F.concat(y, F.lit(c), m, F.lit(c), k)
+    line = (
+        F.when(d % 6 == 0, F.concat(F.lit("작성일 "), y, F.lit(". "), m, F.lit(". "), k, F.lit("."))).when(d % 6 == 1, F.concat(y, F.lit("년 "), m, F.lit("월 "), k, F.lit("일")))
+        .when(d % 6 == 2, F.concat(F.lit("Issued "), dash("-"), F.lit(" ("), dash("/"), F.lit(")"))).when(d % 6 == 3, F.concat(dash("."), F.lit(", then 2011 . 05 . 06")))
+        .when(d % 6 == 4, F.concat(F.lit("Plan of "), y, F.when(d % 12 == 4, " and 2031").otherwise(""))).otherwise(F.concat(F.lit("No. 20260"), k, F.lit("x")))
+    )
+    cover = F.concat(F.lit("[문단]\n"), line, F.lit("\n[문단]\n"), F.substring("text", 1, 200))
+    return Tables(spark, sf).base.select("d", "title", cover.alias("cover"))
+
+
+@query("T14_full_dates", oracle("SELECT d, CAST(len(dates) AS BIGINT) AS n, strftime(list_min([s.v FOR s IN dates]), '%Y-%m-%d') AS first, array_to_string([s.e FOR s IN dates], ';') AS evidence FROM parsed", **COVERED))
+def t14(spark, sf):
+    rows = covered(spark, sf).select("d", tx.full_dates(F.col("cover")).alias("dates"))
+    return rows.select("d", F.size("dates").cast("long").alias("n"), F.array_min(F.transform("dates", lambda x: x["date"])).cast("string").alias("first"), F.array_join(F.transform("dates", lambda x: x["evidence"]), ";").alias("evidence"))
 
 
-_DATES = f"SELECT d, list_distinct(list_filter([try_strptime(regexp_replace(x, '[./]', '-', 'g'), '%Y-%m-%d') FOR x IN regexp_extract_all({_DATED}, '[0-9]{{4}}[-./][0-9]{{1,2}}[-./][0-9]{{1,2}}')], lambda x: x IS NOT NULL)) AS dates, list_distinct(list_filter(regexp_split_to_array({_DATED}, '[^0-9]+'), lambda n: length(n) = 4)) AS years FROM base"
+_ONE = "len(list_distinct({y}))"
+_YEARS = "[CAST(year(s.v) AS BIGINT) FOR s IN dates]"
+_CASE = " ".join(
+    f"WHEN len(list_distinct({y})) = 1 THEN {one} WHEN len(list_distinct({y})) > 1 THEN {many}"
+    for y, one, many in ((_YEARS, "{0}", "{1}"), ("bare", "{2}", "{3}"), ("named", "{4}", "{5}"))
+)
 
 
-@query("T14_full_dates", oracle("SELECT d, CAST(len(dates) AS BIGINT) AS n, strftime(list_min(dates), '%Y-%m-%d') AS first FROM dates_", dates_=_DATES))
-def t14(spark, sf):
-    rows = Tables(spark, sf).base.select("d", tx.full_dates(dated()).alias("dates"))
-    return rows.select("d", F.size("dates").cast("long").alias("n"), F.array_min("dates").cast("string").alias("first"))
+def _chain(*values: str) -> str:
+    return "CASE " + _CASE.format(*values[:6]) + f" ELSE {values[6]} END"
+
 
+_SEVERAL = "array_to_string(list_sort(list_distinct({})), ', ')"
 
-@query("T15_year_decision", oracle("SELECT d, CASE WHEN n = 1 THEN y WHEN n = 0 AND len(years) = 1 THEN CAST(years[1] AS BIGINT) END AS year, CASE WHEN n = 1 THEN 'FULL_DATE' WHEN n > 1 THEN 'AMBIGUOUS_DATE' WHEN len(years) = 1 THEN 'BARE_YEAR' WHEN len(years) > 1 THEN 'AMBIGUOUS_YEAR' ELSE 'NO_YEAR' END AS reason FROM (SELECT d, years, len(list_distinct([year(x) FOR x IN dates])) AS n, year(list_min(dates)) AS y FROM dates_)", dates_=_DATES))
+
+@query("T15_year_decision", oracle(
+    f"SELECT d, {_chain(_YEARS + '[1]', 'NULL', 'bare[1]', 'NULL', 'named[1]', 'NULL', 'NULL')} AS year, "
+    + _chain("'FULL_DATE_IN_FRONT_MATTER'", "'AMBIGUOUS_FULL_DATES'", "'YEAR_IN_FRONT_MATTER'", "'AMBIGUOUS_YEARS_IN_FRONT_MATTER'", "'SINGLE_YEAR_IN_TITLE'", "'AMBIGUOUS_MULTIPLE_YEARS'", "'NO_YEAR_IN_RANGE'")
+    + f" AS reason, {_chain('dates[1].e', _SEVERAL.format(_YEARS), 'CAST(bare[1] AS VARCHAR)', _SEVERAL.format('bare'), 'CAST(named[1] AS VARCHAR)', _SEVERAL.format('named'), 'NULL')} AS evidence FROM parsed", **COVERED))
 def t15(spark, sf):
-    rows = Tables(spark, sf).base.select("d", tx.decide_year(F.col("title"), dated()).alias("y"))
-    return rows.select("d", F.col("y.year").cast("long").alias("year"), "y.reason")
+    rows = covered(spark, sf).select("d", tx.decide_year(F.col("title"), F.col("cover")).alias("y"))
+    return rows.select("d", F.col("y.year").cast("long").alias("year"), "y.reason", "y.evidence")
 
 
-@query("T16_document_date", oracle("SELECT d, CASE WHEN len(dates) = 1 THEN strftime(dates[1], '%Y-%m-%d') END AS date FROM dates_", dates_=_DATES))
+@query("T16_document_date", oracle("SELECT d, CASE WHEN len(list_distinct([s.v FOR s IN dates])) = 1 THEN strftime(dates[1].v, '%Y-%m-%d') END AS date FROM parsed", **COVERED))
 def t16(spark, sf):
-    rows = Tables(spark, sf).base.select("d", tx.full_dates(dated()).alias("dates"))
-    return rows.select("d", F.when(F.size("dates") == 1, F.get("dates", F.lit(0)).cast("string")).alias("date"))
+    return covered(spark, sf).select("d", tx.document_date(F.col("cover")).cast("string").alias("date"))
 
 
 @query("T18_canonical_path", oracle("SELECT d, replace(p, '%', '%25') AS canonical, p AS back, NOT regexp_matches(regexp_replace(p, '%[0-9A-F]{2}', '', 'g'), '%') AS ok FROM (SELECT d, CASE d % 3 WHEN 0 THEN source || '/50%' WHEN 1 THEN source || '/a%2Fb' ELSE source END AS p FROM base)"))
@@ -128,15 +187,21 @@ def t21(spark, sf):
     return tx.cell_grid(cells.select("table_id", "row", F.col("column").cast("long").alias("column"), "text", F.lit(1).alias("row_span"), span.alias("column_span")))
 
 
-@query("T23_classify_empty", oracle("SELECT d, CASE WHEN n = 0 AND i > 0 THEN 'OCR_REQUIRED' WHEN n = 0 THEN 'EMPTY_DOCUMENT' WHEN i >= 3 AND n < 200 THEN 'POSSIBLE_SCANNED' ELSE 'TEXT_EXTRACTED' END AS code FROM (SELECT d, CASE WHEN d % 5 = 0 THEN 0 ELSE length(text) END AS n, d % 6 AS i FROM base)"))
+@query("T23_classify_empty", oracle("SELECT d, CASE WHEN n >= 1 THEN 'TEXT_EXTRACTED' WHEN i > 0 THEN 'OCR_REQUIRED' ELSE 'EMPTY_DOCUMENT' END AS code, CASE WHEN n >= 1 AND n < 200 AND i >= 3 THEN 'POSSIBLE_SCANNED_DOCUMENT' ELSE '' END AS warnings FROM (SELECT d, CASE WHEN d % 5 = 0 THEN 0 ELSE length(trim(left(text, 250), chr(32) || chr(9) || chr(10))) END AS n, d % 6 AS i FROM base)"))
 def t23(spark, sf):
     d = F.col("d")
-    return Tables(spark, sf).base.select("d", tx.classify_empty(F.when(d % 5 == 0, 0).otherwise(F.char_length("text")), d % 6).alias("code"))
+    rows = Tables(spark, sf).base.select("d", tx.classify_empty(F.when(d % 5 == 0, F.lit(" \n\t")).otherwise(F.substring("text", 1, 250)), d % 6).alias("c"))
+    return rows.select("d", "c.code", F.array_join("c.warnings", ",").alias("warnings"))
+
+
+_OUTCOMES = "[NULL, 'TEXT_EXTRACTED', 'EMPTY_DOCUMENT', 'OCR_REQUIRED', 'ENCRYPTED', 'CORRUPT', 'UNSUPPORTED_FORMAT', 'PARSE_FAILED', 'ELSE']"
 
 
-@query("T24_parse_status", oracle("SELECT id, CASE WHEN result_code IN ('TEXT_EXTRACTED', 'OCR_REQUIRED', 'EMPTY_DOCUMENT') THEN 'SUCCESS' WHEN result_code IN ('UNSUPPORTED', 'ENCRYPTED') THEN 'UNSUPPORTED' ELSE 'FAILED' END AS status FROM records"))
+@query("T24_parse_status", oracle(f"SELECT id, CASE WHEN code IS NULL THEN 'PENDING' WHEN code IN ('PARSE_FAILED', 'ELSE') THEN 'FAILED' ELSE 'SUCCESS' END AS status, CASE WHEN code IS NULL OR code = 'TEXT_EXTRACTED' THEN 'PENDING' ELSE 'SKIPPED' END AS downstream FROM (SELECT id, {_OUTCOMES}[CAST(id % 9 + 1 AS INT)] AS code FROM records)"))
 def t24(spark, sf):
-    return Tables(spark, sf).records.select("id", tx.parse_status(F.col("result_code")).alias("status"))
+    codes = F.array(F.lit(None).cast("string"), *[F.lit(c) for c in (*tx.DETERMINED, "PARSE_FAILED", "ELSE")])
+    code = F.get(codes, F.col("id") % 9)
+    return Tables(spark, sf).records.select("id", tx.parse_status(code).alias("status"), tx.downstream_status(code).alias("downstream"))
 
 
 @query("E2_vector_validation", oracle("SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'MISSING' WHEN 1 THEN 'DIMENSION' WHEN 2 THEN 'NOT_UNIT' END AS problem FROM vectors"))
