@@ -7,10 +7,11 @@ keys; sets too small for registers to say much use the hashes of an exact prefix
 
 Candidates of a key are not all pairs: first the smallest id is compared with the rest of the key, then members are dealt to blocks of
 bounded size, compared inside a block and with some members chosen from the smallest components, and only across components; who has
-been compared with all leaves, a key of one block at once. So a group of near copies costs a few rows per member, and no link between
-different texts is lost: rounds go on until every key lies within one component.
+been compared with all leaves, a key of one block at once. A key that many members share which are no copies is split first by what else
+near pairs must share. So a group costs a few rows per member, and no link between different texts is lost: rounds go on until every
+key lies within one component.
 A pair's Jaccard is estimated from the registers, corrected for registers that agree by chance; what is clearly below the threshold
-goes, the rest is verified on the full sets, exactly.
+goes, the rest is verified on the full sets, exactly. Of a block's links those that join components come out, one a join.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ EMPTY = 0xFFFF
 EXACT = 512  # sets of at most so many shingles are compared in full where members meet
 BLOCK = 256  # members of a key that one block compares with each other and with the chosen ones
 PAIRS = 1 << 14  # pairs whose registers are compared at a time
+EACH = 4  # pairs with large sets that a member of a block leaves to verify in a round; the rest waits for their outcome
+CROWD = 16  # keys of more blocks are split
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -124,10 +127,10 @@ def band_keys(regs: np.ndarray, size: int) -> np.ndarray:
     return key
 
 
-def prefix_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Sets with a Jaccard of ``percent`` / 100 share one of these: the smallest hashes, as many as the prefix filter needs."""
+def prefix_keys(hashes: np.ndarray, percent: int, more: int = 0) -> np.ndarray:
+    """Sets with a Jaccard of ``percent`` / 100 share 1 + ``more`` of these (or all of the smaller set): the smallest hashes, as many as the prefix filter needs."""
     n = len(hashes)
-    return hashes[: n - (-(-percent * n // 100)) + 1] ^ np.uint64(0x5BD1E9955BD1E995)
+    return hashes[: n - (-(-percent * n // 100)) + 1 + more] ^ np.uint64(0x5BD1E9955BD1E995)
 
 
 def _features(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -171,6 +174,13 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return (same / np.maximum(either, 1) - chance) / (1 - chance)
 
 
+def _may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int, sigmas: float) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs may reach the threshold, their estimates); sets of fewer than SMALL shingles always may."""
+    used = np.maximum(((a != EMPTY) | (b != EMPTY)).sum(axis=1), 1)
+    t, found = percent / 100, estimate(a, b, n_a, n_b)
+    return (found >= t - sigmas * np.sqrt(t * (1 - t) / used) - 1.0 / used) | (np.minimum(n_a, n_b) < SMALL), found
+
+
 def _estimated(pairs: DataFrame, percent: int, sigmas: float) -> DataFrame:
     """Pairs (a, b, with regs and sizes) that may reach the threshold."""
 
@@ -178,10 +188,7 @@ def _estimated(pairs: DataFrame, percent: int, sigmas: float) -> DataFrame:
         for batch in batches:
             n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(len(n_a), -1) for c in ("regs_a", "regs_b"))
-            used = np.maximum(((a != EMPTY) | (b != EMPTY)).sum(axis=1), 1)
-            t = percent / 100
-            keep = estimate(a, b, n_a, n_b) >= t - sigmas * np.sqrt(t * (1 - t) / used) - 1.0 / used
-            keep |= np.minimum(n_a, n_b) < SMALL
+            keep, _ = _may_reach(a, b, n_a, n_b, percent, sigmas)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
     close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
@@ -257,7 +264,7 @@ def _linked(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = BLOC
     live = written(keyed.join(crowd, "key").select("key", "node", "rep"), "members")
     pairs = live.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     live = live.where("node <> rep").select("key", "node")
-    edges, sets, comps, sure, data = None, None, None, None, None
+    edges, sets, comps, sure, data, refuted, again = None, None, None, None, None, None, None
     while True:
         some = pairs if data is not None else written(_estimated(_pairs(pairs.distinct(), nodes, ["n", "regs"]), percent, sigmas), "pairs")
         found = sure
@@ -269,27 +276,33 @@ def _linked(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = BLOC
             sets = more if sets is None else sets.unionByName(more)
             held = written(_verified(_pairs(some, sets, ["set"]), percent), "links")
             found = held if found is None else found.unionByName(held)
+            if again is not None:
+                fell = written(some.join(held, ["a", "b"], "left_anti"), "refuted")
+                refuted = fell if refuted is None else refuted.unionByName(fell)
         if found is not None and not found.isEmpty():
             edges = found if comps is None else comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
             comps = written(components(edges), "comps")
         # members still to compare: of keys that more than one component reaches
-        now = live if comps is None else live.join(comps, "node", "left")
-        now = now.select("key", "node", F.coalesce("comp", "node").alias("comp") if comps is not None else F.col("node").alias("comp"))
-        mixed = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-        now = written(now.join(mixed, "key", "left_semi"), "members")
+        now = written(_mixed(_with_comps(live, comps)), "members")
         if now.isEmpty():
             break
-        sized = now.join(now.groupBy("key", "comp").agg(F.count("*").alias("size")), ["key", "comp"])
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("size", "comp", "node"))
-        chosen = written(sized.withColumn("rank", rank).where(F.col("rank") <= reps).select("key", F.col("node").alias("rep"), F.col("comp").alias("rep_comp"), "rank"), "reps")
         if data is None:  # once, what the members that may still meet are compared by
             here = nodes.join(now.select("node").distinct(), "node", "left_semi")
             small = here.where(F.col("n") <= EXACT)
-            data = written(_sets(docs, small, width).join(small.select("node", "n"), "node").select("node", "n", F.col("set").alias("data")).unionByName(here.where(F.col("n") > EXACT).select("node", "n", F.col("regs").alias("data"))), "data")
-        met = written(_meet(now, chosen, data, percent, sigmas, block), "met")
+            exact = _sets(docs, small, width).join(small.select("node", "n"), "node").select("node", "n", F.col("set").alias("data"))
+            data = written(exact.unionByName(here.where(F.col("n") > EXACT).select("node", "n", F.col("regs").alias("data"))), "data")
+            now = _split(now, data, percent, CROWD * block)
+        sized = now.join(now.groupBy("key", "comp").agg(F.count("*").alias("size")), ["key", "comp"])
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("size", "comp", "node"))
+        chosen = written(sized.withColumn("rank", rank).where(F.col("rank") <= reps).select("key", F.col("node").alias("rep"), F.col("comp").alias("rep_comp"), "rank"), "reps")
+        met = written(_meet(now, chosen, data, refuted, percent, sigmas, block), "met")
         sure, pairs = met.where("sure").select("a", "b"), met.where("NOT sure").select("a", "b")
+        waiting = met.where("key IS NOT NULL").select("key").distinct()
+        again = None if waiting.isEmpty() else waiting
         rest = now.join(now.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block), "key", "left_semi")
         live = rest.join(chosen.select("key", F.col("rep").alias("node")), ["key", "node"], "left_anti").select("key", "node")
+        if again is not None:
+            live = live.join(again, "key", "left_anti").unionByName(now.join(again, "key", "left_semi").select("key", "node"))
     # every node's component, then its smallest document
     of = nodes.select("node", "doc_id", "mark") if comps is None else nodes.select("node", "doc_id", "mark").join(comps, "node", "left")
     of = of.select("node", "doc_id", "mark", F.coalesce("comp", "node").alias("comp") if comps is not None else F.col("node").alias("comp"))
@@ -299,67 +312,187 @@ def _linked(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = BLOC
     return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id", "best")
 
 
-def _meet(now: DataFrame, chosen: DataFrame, data: DataFrame, percent: int, sigmas: float, block: int = BLOCK) -> DataFrame:
-    """Compare the chosen members of each key with its members of other components: a, b, sure.
+def _with_comps(live: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Add ``comp`` to (key, node): the node's component, or the node itself."""
+    if comps is None:
+        return live.select("key", "node", F.col("node").alias("comp"))
+    return live.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members (key, node, comp) of keys that more than one component reaches."""
+    mixed = members.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    return members.join(mixed, "key", "left_semi")
+
+
+def _split(now: DataFrame, data: DataFrame, percent: int, most: int) -> DataFrame:
+    """Members of keys with more than ``most`` of them come under finer keys instead: pairs of a near pair's shared features.
+
+    Near sets below the prefix keys' bound share two elements of a prefix that is longer by one, exactly; sets with bands share one of
+    the many bands of few registers apart from the key's own, more surely than one of the first keys.
+    """
+    if percent <= 50:  # small near sets may share one element only
+        return now
+    wide_band, fine_band = rows_for(percent), rows_for(percent, 1e-12)
+    crowds = written(now.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > most).select("key"), "crowds")
+    if crowds.isEmpty():
+        return now
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes = (batch.column(i).to_numpy() for i in (0, 3))
+            finer, counts = [], []
+            for key, n, value in zip(keys, sizes, batch.column(4), strict=True):
+                value = value.as_py()
+                regs = np.frombuffer(value, np.uint16) if n > EXACT else registers(np.frombuffer(value, np.uint64))
+                own = []
+                if n >= SMALL:
+                    fine = band_keys(regs, fine_band)
+                    at = np.flatnonzero(band_keys(regs, wide_band) == key.view(np.uint64)) * wide_band  # the key's registers
+                    starts = np.arange(len(fine)) * fine_band
+                    apart = (starts[:, None] + fine_band <= at) | (starts[:, None] >= at + wide_band)
+                    own.append(fine[apart.all(axis=1)])
+                own += [prefix_keys(np.frombuffer(value, np.uint64), percent, 1)] if percent * n < 100 * SMALL else []
+                own = np.concatenate(own)
+                own = own[own != key.view(np.uint64)]
+                finer.append(_mix(own ^ _mix(key.view(np.uint64) + np.uint64(1))).view(np.int64))
+                counts.append(len(own))
+            who = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            columns = [pa.array(np.concatenate(finer)), batch.column(1).take(who), batch.column(2).take(who)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "comp"])
+
+    wide = now.join(crowds, "key", "left_semi").join(data, "node").select("key", "node", "comp", "n", "data")
+    finer = _mixed(written(wide.mapInArrow(run, "key long, node binary, comp binary").distinct(), "finer"))
+    return written(now.join(crowds, "key", "left_anti").unionByName(finer), "members")
+
+
+def _meet(now: DataFrame, chosen: DataFrame, data: DataFrame, refuted: DataFrame | None, percent: int, sigmas: float, block: int = BLOCK) -> DataFrame:
+    """Compare the chosen members of each key with its members of other components: a, b, sure, or the key that has to be met again.
 
     A key's members are dealt to blocks by a hash and its chosen ones (bounded) go to each of them, so rows grow as the members do; a
     key of one block needs no chosen ones. The members of a block are compared inside the task with each other and the chosen ones, and
-    only links come out, or, of large sets, what the registers leave to verify.
+    only links that join components come out, or, of large sets, a few pairs per member to verify. ``refuted`` pairs are not tried again.
     """
     sizes = now.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     members = now.join(sizes, "key").select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("role"), "node", "comp")
-    asked = chosen.join(sizes.where("blocks > 1"), "key").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("rep").alias("node"), F.col("rep_comp").alias("comp"))
-    rows = members.unionByName(asked).join(data, "node").select("key", "block", "role", "node", "comp", "n", "data")
+    asked = chosen.join(sizes.where("blocks > 1"), "key").select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("rep").alias("node"), F.col("rep_comp").alias("comp")
+    )
+    rows = members.unionByName(asked).join(data, "node")
+    if refuted is None:
+        rows = rows.withColumn("no", F.lit(None).cast("array<binary>"))
+    else:
+        rows = rows.join(refuted.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("no")), "node", "left")
+    rows = rows.select("key", "block", "role", "node", "comp", "n", "data", "no")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, name, out = [], None, set()
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if row[:2] != name:
-                    out |= _block(group, percent, sigmas)
+                    out |= _block(name and name[0], group, percent, sigmas)
                     group, name = [], row[:2]
                     if len(out) > 20_000:
                         yield _met(out)
                         out = set()
                 group.append(row[2:])
-        yield _met(out | _block(group, percent, sigmas))
+        yield _met(out | _block(name and name[0], group, percent, sigmas))
 
-    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a binary, b binary, sure boolean").distinct()
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a binary, b binary, sure boolean, key long").distinct()
 
 
 def _met(out: set) -> pa.RecordBatch:
-    a, b, sure = zip(*out, strict=True) if out else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+    columns = list(zip(*out, strict=True)) or [()] * 4
+    types = [pa.binary(), pa.binary(), pa.bool_(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["a", "b", "sure", "key"])
+
+
+class _Joined:
+    """Which components are one."""
 
+    def __init__(self, n: int):
+        self.root = list(range(n))
 
-def _block(group: list[tuple], percent: int, sigmas: float) -> set:
-    """(a, b, sure) of a block's rows (role, node, comp, n, data)."""
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.find(i), self.find(j)
+        self.root[i] = j
+        return i != j
+
+    def all(self) -> np.ndarray:
+        return np.array([self.find(i) for i in range(len(self.root))])
+
+
+def _block(key: int | None, group: list[tuple], percent: int, sigmas: float) -> set:
+    """(a, b, sure, null) of a block's rows (role, node, comp, n, data, no), and (null, null, null, key) if pairs are left for the next round."""
     out: set = set()
-    for exact in (True, False):
-        left = [r for r in group if r[3] <= EXACT or not exact]
-        right = [r for r in group if r[0] == 1 and (r[3] <= EXACT or not exact)]
-        if not left or not right:
+    if len(group) < 2:
+        return out
+    roles, nodes, names, sizes, data, refuted = zip(*group, strict=True)
+    n, asked = np.array(sizes), np.array(roles) == 0
+    known: dict[bytes, int] = {}
+    comp = np.array([known.setdefault(c, len(known)) for c in names])
+    may = np.triu(comp[:, None] != comp[None]) & ~(asked[:, None] & asked[None])
+    may &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
+    places: dict[bytes, list[int]] = {}
+    for i, node in enumerate(nodes):
+        places.setdefault(node, []).append(i)
+    for i, partners in enumerate(refuted):
+        for j in (j for p in partners or () for j in places.get(p, ())):
+            may[min(i, j), max(i, j)] = False
+    first, second = np.nonzero(may)
+    if not len(first):
+        return out
+    # what the registers leave, likely pairs first
+    regs = np.stack([np.frombuffer(d, np.uint16) if k > EXACT else registers(np.frombuffer(d, np.uint64)) for d, k in zip(data, sizes, strict=True)])
+    parts = [slice(at, at + PAIRS) for at in range(0, len(first), PAIRS)]
+    tried = [_may_reach(regs[first[p]], regs[second[p]], n[first[p]], n[second[p]], percent, sigmas) for p in parts]
+    keep, likely = (np.concatenate([t[i] for t in tried]) for i in (0, 1))
+    first, second, likely = first[keep], second[keep], likely[keep]
+    order = np.argsort(-likely, kind="stable")
+    first, second = first[order], second[order]
+    joined = _Joined(len(known))
+    pair = lambda i, j, sure: (min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), sure, None)
+    # both sets are here: verify pair by pair while that joins components, the rest of them all at once
+    here = (n[first] <= EXACT) & (n[second] <= EXACT)
+    sets = {i: np.frombuffer(data[i], np.uint64) for i in np.flatnonzero(n <= EXACT).tolist()}
+    i_here, j_here = first[here].tolist(), second[here].tolist()
+    tries = 4 * len(group)
+    for at, (i, j) in enumerate(zip(i_here, j_here, strict=True)):
+        if joined.find(comp[i]) == joined.find(comp[j]):
+            continue
+        if tries == 0:
+            root = joined.all()[comp]
+            i, j = (np.array(x[at:]) for x in (i_here, j_here))
+            open_ = root[i] != root[j]
+            i, j = i[open_], j[open_]
+            left, right = np.unique(i), np.unique(j)
+            shared = _shared([sets[k] for k in left.tolist()], [sets[k] for k in right.tolist()])[np.searchsorted(left, i), np.searchsorted(right, j)]
+            near = 100 * shared >= percent * (n[i] + n[j] - shared)
+            out |= {pair(x, y, True) for x, y in zip(i[near].tolist(), j[near].tolist(), strict=True) if joined.join(comp[x], comp[y])}
+            break
+        tries -= 1
+        shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if 100 * shared >= percent * (n[i] + n[j] - shared):
+            joined.join(comp[i], comp[j])
+            out.add(pair(i, j, True))
+    # large sets: some pairs per member to verify
+    root, held, waits = joined.all()[comp], np.zeros(len(group), np.int64), False
+    hoped = _Joined(len(known))
+    for i, j in zip(first[~here].tolist(), second[~here].tolist(), strict=True):
+        if root[i] == root[j]:
             continue
-        n_a, n_b = np.array([r[3] for r in left]), np.array([r[3] for r in right])
-        other = np.array([[x[2] != y[2] for y in right] for x in left])
-        other &= 100 * np.minimum.outer(n_a, n_b) >= percent * np.maximum.outer(n_a, n_b)
-        if exact:
-            shared = _shared([np.frombuffer(r[4], np.uint64) for r in left], [np.frombuffer(r[4], np.uint64) for r in right])
-            near = other & (100 * shared >= percent * (n_a[:, None] + n_b[None] - shared))
+        if hoped.join(root[i], root[j]) or max(held[i], held[j]) < EACH:
+            held[[i, j]] += 1
+            out.add(pair(i, j, False))
         else:
-            near = other & ~((n_a <= EXACT)[:, None] & (n_b <= EXACT)[None])
-            i, j = np.nonzero(near)
-            if len(i):
-                regs = {r[1]: np.frombuffer(r[4], np.uint16) if r[3] > EXACT else registers(np.frombuffer(r[4], np.uint64)) for r in left + right}
-                of_left, of_right = (np.stack([regs[r[1]] for r in side]) for side in (left, right))
-                t = percent / 100
-                for at in range(0, len(i), PAIRS):
-                    x, y = i[at : at + PAIRS], j[at : at + PAIRS]
-                    near[x, y] = estimate(of_left[x], of_right[y], n_a[x], n_b[y]) >= t - sigmas * np.sqrt(t * (1 - t) / (1 << BUCKETS))
-        for i, j in zip(*np.nonzero(near), strict=True):
-            x, y = left[i][1], right[j][1]
-            out.add((min(x, y), max(x, y), exact))
-    return out
+            waits = True
+    return out | {(None, None, None, key)} if waits else out
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
