@@ -27,10 +27,14 @@ def compose(text: Column) -> Column:
     return F.when(odd, _nfc(F.when(odd, text))).otherwise(text)
 
 
+def collapse(text: Column) -> Column:
+    """Odd spaces folded, white space collapsed, trimmed."""
+    return F.trim(F.regexp_replace(F.translate(text, "\ufeff", " "), r"[\p{IsWhite_Space}\x1c-\x1f]+", " "))
+
+
 def normalize(text: Column) -> Column:
     """NFC, odd spaces folded, white space collapsed, trimmed; case stays."""
-    composed = compose(text)
-    return F.trim(F.regexp_replace(F.translate(composed, "   　﻿", "     "), r"\s+", " "))
+    return collapse(compose(text))
 
 
 def token_count(text: Column) -> Column:

@@ -164,13 +164,6 @@ def t16(spark, sf):
     return covered(spark, sf).select("d", tx.document_date(F.col("cover")).cast("string").alias("date"))
 
 
-@query("T18_canonical_path", oracle("SELECT d, replace(p, '%', '%25') AS canonical, p AS back, NOT regexp_matches(regexp_replace(p, '%[0-9A-F]{2}', '', 'g'), '%') AS ok FROM (SELECT d, CASE d % 3 WHEN 0 THEN source || '/50%' WHEN 1 THEN source || '/a%2Fb' ELSE source END AS p FROM base)"))
-def t18(spark, sf):
-    d = F.col("d")
-    p = F.when(d % 3 == 0, F.concat("source", F.lit("/50%"))).when(d % 3 == 1, F.concat("source", F.lit("/a%2Fb"))).otherwise(F.col("source"))
-    return Tables(spark, sf).base.select("d", p.alias("p")).select("d", tx.to_canonical(F.col("p")).alias("canonical"), tx.from_canonical(tx.to_canonical(F.col("p"))).alias("back"), tx.is_canonical(F.col("p")).alias("ok"))
-
-
 @query("T20_carry_headings", oracle("SELECT revision_id, index, last_value(CASE WHEN length(trim(text)) > 0 AND length(text) < 40 AND NOT ends_with(text, '.') THEN trim(text) END IGNORE NULLS) OVER (PARTITION BY revision_id ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_title FROM paragraphs"))
 def t20(spark, sf):
     return tx.carry_headings(Tables(spark, sf).paragraphs).select("revision_id", "index", "section_title")
