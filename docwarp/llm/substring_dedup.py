@@ -5,7 +5,9 @@ LONG words into parts. A part begins at each word whose hash (with the word befo
 equal passages are cut alike wherever they begin, but for some words at their ends. A span is the shortest run of several (two at
 least) consecutive units from a given unit on, or up to it, that has ``least_words`` words at least; together they cover whatever any
 longer run that repeats does. Every span of every text is hashed (128 bits, over the units' words); equal hashes meet globally, in one
-exchange; the first occurrence (smallest doc_id, then position) stays and every unit under another occurrence is removed.
+exchange; the first occurrence (smallest doc_id, then position) stays and every unit under another occurrence is removed. Within a
+bounded slice of a task's spans all occurrences but the first are known to go already, so that a span which half of the documents
+hold sends one row per slice to where its occurrences meet.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,51 +79,73 @@ def spans(text: str, several: int, least_words: int) -> Iterator[tuple[int, int,
         yield found[i][0], found[end - 1][1], blake2b(b" ".join(data[i:end]), digest_size=16).digest()
 
 
-_SPANS = "doc_id long, mark long, at long, h1 long, h2 long"
+SLICE = 500_000  # spans that a task compares at a time
+_SPANS = "doc_id long, mark long, at long, h1 long, h2 long, sure boolean"
 _AT = 31  # bits of a span's length; its start is above them, so spans sort by start
 
 
+def _slice(ids: list, marks: list[int], ats: list[int], digests: list[bytes]) -> pa.RecordBatch:
+    """A batch of _SPANS. Spans that follow an equal one of the same slice are sure to go; their hashes no longer matter and spread them."""
+    pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).copy()
+    doc_ids = pa.array(ids, pa.int64())
+    last, ident = np.asarray(doc_ids.is_null()), doc_ids.fill_null(0).to_numpy()
+    mark, at = np.array(marks, np.int64), np.array(ats, np.int64)
+    sure = np.zeros(len(ids), bool)
+    order = np.argsort(pair[:, 0], kind="stable")
+    same = np.diff(pair[order, 0]) == 0
+    some = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    if len(some):
+        keys = np.stack([pair[some, 0], pair[some, 1], last[some], ident[some], mark[some], at[some]])
+        by = np.lexsort(keys[::-1])
+        keys, some = keys[:, by], some[by]
+        begins = np.concatenate([[True], (np.diff(keys[:2]) != 0).any(axis=0)])
+        first = np.maximum.accumulate(np.where(begins, np.arange(len(some)), 0))
+        sure[some] = (keys[2:] != keys[2:, first]).any(axis=0)  # repeated rows of the first one stay with it
+    pair[sure] = np.stack([ident ^ mark, at], axis=1)[sure]
+    columns = [doc_ids, pa.array(mark), pa.array(at), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(sure)]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SPANS.split(", ")])
+
+
 def find_repeats(docs: DataFrame, several: int = 2, least_words: int = 25) -> DataFrame:
     """``doc_id, mark`` (hash of the text)``, removed``: sorted merged ranges [start, end) of characters under non-first spans; only documents with any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list, list] = ([], [], [], [])
         for batch in batches:
             ids, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[list] = [[], [], []]
-            digests: list[bytes] = []
-
-            def flush() -> pa.RecordBatch:
-                pair = pa.Array.from_buffers(pa.int64(), 2 * len(digests), [None, pa.py_buffer(b"".join(digests))]).to_numpy().reshape(-1, 2)
-                columns = [pa.array(c, pa.int64()) for c in out] + [pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())]
-                for c in out:
-                    c.clear()
-                digests.clear()
-                return pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "at", "h1", "h2"])
-
             for i in range(batch.num_rows):
                 for start, end, digest in spans(batch.column(2)[i].as_py() or "", several, least_words):
-                    for column, value in zip(out, (ids[i], marks[i], start << _AT | end - start), strict=True):
+                    for column, value in zip(held, (ids[i], marks[i], start << _AT | end - start, digest), strict=True):
                         column.append(value)
-                    digests.append(digest)
-                if len(digests) > 50_000:
-                    yield flush()
-            if digests:
-                yield flush()
+                if len(held[0]) > SLICE:
+                    yield _slice(*held)
+                    held = ([], [], [], [])
+        if held[0]:
+            yield _slice(*held)
 
     found = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, _SPANS)
-    place = Window.partitionBy("h1", "h2").orderBy(F.col("doc_id").isNull(), "doc_id", "mark", "at")
+    place = Window.partitionBy("h1", "h2", "sure").orderBy(F.col("doc_id").isNull(), "doc_id", "mark", "at")
     start = F.shiftright("at", _AT)
-    later = found.withColumn("rank", F.rank().over(place)).where("rank > 1").select("doc_id", "mark", start.alias("start"), (start + F.col("at").bitwiseAND(F.lit((1 << _AT) - 1))).alias("end"))
-    lists = later.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("found"))
-    merged = F.aggregate(
-        "found",
-        F.array().cast("array<struct<start:long,end:long>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    return lists.select("doc_id", "mark", merged.alias("removed"))
+    end = start + F.col("at").bitwiseAND(F.lit((1 << _AT) - 1))
+    later = found.withColumn("rank", F.rank().over(place)).where("sure OR rank > 1").select("doc_id", "mark", start.alias("start"), end.alias("end"))
+    # ranges that touch are one: a range begins where none before reaches
+    inside = Window.partitionBy("doc_id", "mark").orderBy("start", "end")
+    reach = F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = later.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("no", F.sum("new").over(inside))
+    merged = ranges.groupBy("doc_id", "mark", "no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.groupBy("doc_id", "mark").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("removed"))
+
+
+def _without(text: pa.Array, removed: pa.Array) -> pa.Array:
+    """Texts without their ranges; null where there are none."""
+    out = []
+    for t, ranges in zip(text.to_pylist(), removed.to_pylist(), strict=True):
+        if ranges is None:
+            out.append(None)
+        else:
+            at = [0, *(x for r in ranges for x in (r["start"], r["end"])), len(t)]
+            out.append("".join(t[a:b] for a, b in zip(at[::2], at[1::2], strict=True)))
+    return pa.array(out, pa.string())
 
 
 def dedup(docs: DataFrame, several: int = 2, least_words: int = 25) -> DataFrame:
@@ -130,13 +155,11 @@ def dedup(docs: DataFrame, several: int = 2, least_words: int = 25) -> DataFrame
     document and are cleaned alike; a null doc_id comes after all others. An extra column named ``removed`` is replaced. Very
     long texts are processed whole. What was left between removed ranges is joined as it stands.
     """
-    repeats = find_repeats(docs, several, least_words).withColumnsRenamed({"doc_id": "_id", "mark": "_mark", "removed": "_removed"})
-    rows = docs.drop("removed").withColumn("_own", F.xxhash64("text"))
-    joined = rows.join(repeats, rows["doc_id"].eqNullSafe(repeats["_id"]) & (rows["_own"] == repeats["_mark"]), "left")
-    gaps = F.transform(
-        "_removed", lambda r, i: F.substring(F.col("text"), F.when(i == 0, 0).otherwise(F.get("_removed", i - 1)["end"]).cast("int") + 1, (r["start"] - F.when(i == 0, 0).otherwise(F.get("_removed", i - 1)["end"])).cast("int"))
-    )
-    rest = F.substring(F.col("text"), F.element_at("_removed", -1)["end"].cast("int") + 1, F.char_length("text"))
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.concat(F.array_join(gaps, ""), rest))
+    repeats = find_repeats(docs, several, least_words).withColumnsRenamed({"doc_id": "id", "mark": "of"})
+    kept = [c for c in docs.columns if c != "removed"]
+    rows = docs.select(F.struct(*kept).alias("row"), F.col("doc_id"), F.xxhash64("text").alias("own"))  # no name of the table's meets ours
+    joined = rows.join(repeats, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("of")), "left")
+    cleaned = F.arrow_udf(_without, "string")(F.when(F.col("removed").isNotNull(), F.col("row.text")), "removed")
     none = F.array().cast("array<struct<start:long,end:long>>")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "removed"], F.coalesce("_removed", none).alias("removed"))
+    fields = [F.coalesce("cleaned", F.col("row.text")).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in kept]
+    return joined.withColumn("cleaned", cleaned).select(*fields, F.coalesce("removed", none).alias("removed"))
