@@ -204,13 +204,6 @@ def e2(spark, sf):
     return Tables(spark, sf).vectors.select("vec_id", tx.vector_problem(bent, 64).alias("problem"))
 
 
-@query("E3_revision_embedding", oracle("SELECT revision_id, CASE WHEN count(*) = count(vec_id) THEN 'SUCCESS' ELSE 'INVALID_VECTOR' END AS code FROM chunks GROUP BY 1"))
-def e3(spark, sf):
-    t = Tables(spark, sf)
-    rows = t.chunks.join(t.vectors, "vec_id", "left").withColumn("bad", tx.vector_problem(F.col("embedding"), 64).isNotNull())
-    return rows.groupBy("revision_id").agg(F.when(F.bool_or("bad"), "INVALID_VECTOR").otherwise("SUCCESS").alias("code"))
-
-
 @query("G1_section_islands", oracle("SELECT id AS chunk_id, sum(CASE WHEN rn = 1 OR s IS DISTINCT FROM b THEN 1 ELSE 0 END) OVER (PARTITION BY revision_id ORDER BY chunk_index) AS island FROM (SELECT *, lag(s) OVER w AS b, row_number() OVER w AS rn FROM (SELECT *, CASE WHEN (chunk_index // 3) % 4 <> 3 THEN 's' || (chunk_index // 3) % 4 END AS s FROM chunks) WINDOW w AS (PARTITION BY revision_id ORDER BY chunk_index))"))
 def g1(spark, sf):
     block = F.expr("(chunk_index div 3) % 4")
