@@ -1,8 +1,8 @@
 """A content-addressed WARC archive.
 
-``payloads`` (digest, payload) holds the bytes of every distinct payload once under its SHA-256; ``headers`` (page_id, digest,
-header) holds the exact header bytes of every record. A join of the two rebuilds every original record; digests are computed
-again from the stored bytes and compared.
+``payloads`` (digest, payload, first_id, parts, salts) holds the bytes of every distinct payload once under its SHA-256; ``headers``
+(page_id, digest, part, header) holds the exact header bytes of every record. A join of the two rebuilds every original record; digests
+are computed again from the stored bytes and compared. Records of a payload that very many share are dealt to ``parts`` joins of it.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from docwarp.llm.common import scratch_path
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+SALTS = 128  # tasks over which the records of one payload spread when they are written
+PART = 256  # records of one payload that meet it in one place when they are read
 
 
 def base32_sha1(data: Column) -> Column:
@@ -23,51 +25,63 @@ def base32_sha1(data: Column) -> Column:
     return F.array_join(F.transform(groups, lambda n: F.concat(*(digit(n, by) for by in (15, 10, 5, 0)))), "")
 
 
-def write_archive(pages: DataFrame, path: str, least: int = 0) -> str:
+def write_archive(pages: DataFrame, path: str, least: int = 0, date: str = "1970-01-01T00:00:00Z") -> str:
     """Write a record per row of ``pages`` (page_id, url, html) under ``path``; returns ``path``.
 
     The payload is the html in UTF-8 (null: empty). Of records whose payloads are equal and at least ``least`` bytes long, the one with the
     largest page_id is the response and the others revisit it; shorter ones are responses all. Repeated rows: the response and
-    its exact repeats are responses. Null url: an empty target; null page_id: a record of its own that others come before.
-    Extra columns are ignored; an empty table gives an empty archive.
+    its exact repeats are responses. Null url: an empty target; null page_id: a record of its own that others come before. ``date``: the
+    WARC-Date of all records, as pages have none. Rows with one page_id share a record id. Extra columns are ignored; an empty table
+    gives an empty archive.
     """
+    spark = pages.sparkSession
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    heads = rows.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "digest", F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("sha1"))
-    firsts = heads.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.min("n").alias("least"), F.max("n").alias("most"))
-    found = heads.join(firsts, "digest").withColumn(
-        "refers_to", F.when(F.col("least") != F.col("most"), F.raise_error(F.lit("two payloads share a digest")).cast("long")).when((F.col("n") >= least) & (F.col("page_id") != F.col("first_id")), F.col("first_id"))
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+    rows = pages.select("page_id", "url", payload.alias("payload"), salt.alias("salt")).withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload").cast("long"))
+    # Payloads move once; tasks merge equal ones before.
+    once = rows.groupBy("digest").agg(
+        F.first("payload").alias("payload"), F.max("page_id").alias("first_id"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("records"), F.collect_set("salt").alias("salts")
     )
+    sound = F.when(F.col("least") == F.col("most"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads share a digest")).cast("binary"))
+    once.select("digest", sound.alias("payload"), "first_id", F.ceil(F.col("records") / PART).cast("int").alias("parts"), "salts").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    firsts = _payloads(spark, path).select("digest", "first_id", "parts", F.explode("salts").alias("salt"))
+    heads = rows.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "digest", "salt", "n", base32_sha1(F.col("payload")).alias("sha1"))
+    found = heads.join(firsts, ["digest", "salt"]).withColumn("refers_to", F.when((F.col("n") >= least) & (F.col("page_id") != F.col("first_id")), F.col("first_id")))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace("url", "[\r\n]+", " ")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(F.col("refers_to").isNull(), F.lit("")).otherwise(
             F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))))
         ),
+        line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(F.col("refers_to").isNull(), F.col("n")).otherwise(F.lit(0)).cast("string")),
         F.lit("\r\n"),
     )
-    found.select("page_id", "digest", F.encode(header, "UTF-8").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
-    # One row per payload: the owner's. Both steps hash by (digest, owner), so payloads move once; only exact repeats of a row meet.
-    owner = lambda c: F.coalesce(c, F.lit(-(2**63)))
-    owners = firsts.select("digest", owner(F.col("first_id")).alias("owner"))
-    kept = rows.select("digest", owner(F.col("page_id")).alias("owner"), "payload").join(owners, ["digest", "owner"], "left_semi")
-    kept.dropDuplicates(["digest", "owner"]).select("digest", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    part = F.pmod(F.xxhash64("page_id", "url"), F.col("parts")).cast("int")
+    found.select("page_id", "digest", part.alias("part"), F.encode(header, "UTF-8").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
     return path
 
 
+def _payloads(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("digest string, payload binary, first_id long, parts int, salts array<int>").parquet(f"{path}/payloads")
+
+
+def _sound(payload: Column) -> Column:
+    return F.when(F.sha2(payload, 256) == F.col("digest"), payload).otherwise(F.raise_error(F.lit("a payload is damaged")))
+
+
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """digest, payload; a payload without its digest fails the job."""
-    stored = spark.read.schema("digest string, payload binary").parquet(f"{path}/payloads")
-    return stored.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(F.raise_error(F.lit("a payload is damaged"))))
+    return _payloads(spark, path).select("digest", _sound(F.col("payload")).alias("payload"))
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("page_id long, digest string, header binary").parquet(f"{path}/headers")
+    return spark.read.schema("page_id long, digest string, part int, header binary").parquet(f"{path}/headers")
 
 
 def field(header: Column, name: str) -> Column:
@@ -78,21 +92,20 @@ def field(header: Column, name: str) -> Column:
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record as it was: ``page_id, header, payload`` (the full one, for revisits too) and ``record`` (its WARC bytes)."""
-    joined = read_headers(spark, path).join(read_payloads(spark, path), "digest")
+    dealt = _payloads(spark, path).select("digest", _sound(F.col("payload")).alias("payload"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    joined = read_headers(spark, path).join(dealt, ["digest", "part"])
     body = F.when(F.contains(F.decode("header", "UTF-8"), F.lit("\r\nWARC-Refers-To: ")), F.lit(b"")).otherwise(F.col("payload"))
     return joined.select("page_id", "header", "payload", F.concat("header", body, F.lit(b"\r\n\r\n")).alias("record"))
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record, read back from the archive.
+    """``page_id, payload_bytes, payload_digest, record_type, refers_to`` of every record as it is rebuilt from the archive.
 
-    Sizes and digests come from the stored bytes, computed where those lie, so that only they and the headers are joined; a
-    header that names another digest fails the job.
+    A header that names another digest than its record's payload has fails the job.
     """
-    sums = read_payloads(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    joined = read_headers(spark, path).join(sums, "digest").withColumn("header", F.decode("header", "UTF-8"))
+    records = read_records(spark, path).select("page_id", F.decode("header", "UTF-8").alias("header"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
     named = field(F.col("header"), "WARC-Payload-Digest") == F.concat(F.lit("sha1:"), F.col("payload_digest"))
-    return joined.select(
+    return records.select(
         "page_id", "payload_bytes", F.when(named, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record names another digest"))).alias("payload_digest"),
         field(F.col("header"), "WARC-Type").alias("record_type"), F.regexp_extract(field(F.col("header"), "WARC-Refers-To"), "page:(-?[0-9]+)>", 1).try_cast("long").alias("refers_to"),
     )
