@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _CONTROL = r"(?:</?s>|\[/?INST\]|\[SEP\])"
 OPEN, HEAD, TAIL, SEP, CLOSE = "<s>", "[INST] ", " [/INST] ", " [SEP] ", " </s>"
@@ -39,23 +40,17 @@ def format_chats(turns: DataFrame) -> DataFrame:
     lead = lambda t, i: F.when(same(t, i), F.lit(SEP)).otherwise(
         F.concat(F.when(i > 0, F.lit(CLOSE)).otherwise(F.lit("")), F.lit(OPEN + HEAD), escape(t["role"]), F.lit(TAIL))
     )
-    pieces = lists.withColumn(
-        "pieces", F.transform("turns", lambda t, i: F.struct(lead(t, i).alias("lead"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")))
-    )
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.char_length(p["lead"]) + F.char_length(p["text"])).cast("long").alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.char_length(p["lead"])).cast("long").alias("start"), F.char_length(p["text"]).cast("long").alias("length")))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    text = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(CLOSE))
-    return pieces.select("conv_id", text.alias("formatted"), spans.alias("loss"))
+    piece = lambda t, i: F.struct(lead(t, i).alias("lead"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss"))
+    pieces = lists.select("conv_id", F.posexplode(F.transform("turns", piece)).alias("no", "p"))
+    # where each text starts: lengths run over the pieces of a conversation, which stay where they were collected
+    before = Window.partitionBy("conv_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    size, head = F.char_length("p.lead") + F.char_length("p.text"), F.char_length("p.lead")
+    placed = pieces.withColumn("start", (F.coalesce(F.sum(size).over(before), F.lit(0)) + head).cast("long"))
+    kept = F.struct("no", F.concat("p.lead", "p.text").alias("text"), "p.loss", "start", F.char_length("p.text").cast("long").alias("length"))
+    whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(kept)).alias("pieces"))
+    text = F.concat(F.array_join(F.transform("pieces", lambda p: p["text"]), ""), F.lit(CLOSE))
+    loss = F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["length"].alias("length")))
+    return whole.select("conv_id", text.alias("formatted"), loss.alias("loss"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:

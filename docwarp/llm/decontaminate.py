@@ -2,8 +2,9 @@
 
 Text and items are normalised alike: A-Z lower-cased, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` joined by single spaces. A window is
 ``width`` consecutive item words; an item with fewer words (but not none) is one window. One automaton holds all windows and
-scans each text once. Its size is checked: items are put into blocks of at most ``block_chars`` characters of windows, one
-automaton per block, and a benchmark beyond one block scans the text once per block, in bounded memory and with the same result.
+scans each text once. Its size is checked: items are put into blocks of at most ``block_chars`` characters of windows (an automaton
+takes some 50 bytes for each), one automaton per block, and a benchmark beyond one block scans the text once per block, in bounded
+memory and with the same result. Blocks hold the items' words, cut with overlap where an item is longer; the driver sees one at a time.
 """
 
 from __future__ import annotations
@@ -35,20 +36,25 @@ def windows(words: list[bytes], width: int) -> Iterator[bytes]:
         yield b" ".join(words[i : i + width])
 
 
-def blocks(items: Iterator, width: int, block_chars: int) -> Iterator[dict[bytes, list[int]]]:
-    """Windows with the items that have them, in blocks of bounded size."""
-    block: dict[bytes, list[int]] = {}
+Block = list[tuple[int, bytes]]
+
+
+def blocks(items: Iterator, width: int, block_chars: int) -> Iterator[Block]:
+    """(item_id, words joined by spaces) of the items, in blocks whose windows have a bounded number of characters; never cut inside a window."""
+    block: Block = []
     used = 0
     for item_id, text in items:
-        for w in windows(words_of(text), width):
-            if used > block_chars:
+        words = words_of(text)
+        start = 0
+        for i, w in enumerate(windows(words, width)):
+            if used and used + len(w) > block_chars:
+                if i > start:
+                    block.append((item_id, b" ".join(words[start : i + width - 1])))
                 yield block
-                block, used = {}, 0
-            if w not in block:
-                block[w] = []
-                used += len(w)
-            if item_id not in block[w]:
-                block[w].append(item_id)
+                block, used, start = [], 0, i
+            used += len(w)
+        if words:
+            block.append((item_id, b" ".join(words[start:])))
     if block:
         yield block
 
@@ -56,14 +62,18 @@ def blocks(items: Iterator, width: int, block_chars: int) -> Iterator[dict[bytes
 _AUTOMATA: dict[str, object] = {}
 
 
-def _automaton(block: dict[bytes, list[int]], key: str):
+def _automaton(block: Block, key: str, width: int):
     """One automaton per worker process and block."""
     if key not in _AUTOMATA:
         import ahocorasick
 
         _AUTOMATA.clear()
+        owners: dict[bytes, set[int]] = {}
+        for item_id, words in block:
+            for w in windows(words.split(b" "), width):
+                owners.setdefault(w, set()).add(item_id)
         auto = ahocorasick.Automaton()
-        for w, ids in block.items():
+        for w, ids in owners.items():
             auto.add_word(f" {w.decode('latin-1')} ", (len(w) + 2, w.count(b" ") + 1, tuple(ids)))
         auto.make_automaton()
         _AUTOMATA[key] = auto
@@ -95,11 +105,11 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _BETWEEN = "doc_id long, text string, items array<long>, runs array<struct<start:long,end:long>>"
 
 
-def _scan(docs: DataFrame, block: dict, last: bool, with_spans: bool) -> DataFrame:
+def _scan(docs: DataFrame, block: Block, width: int, last: bool, with_spans: bool) -> DataFrame:
     value, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(value.value, key)
+        auto = _automaton(value.value, key, width)
         for batch in batches:
             n, first = batch.num_rows, batch.num_columns == 2
             texts = batch.column(1)
@@ -129,14 +139,16 @@ def _scan(docs: DataFrame, block: dict, last: bool, with_spans: bool) -> DataFra
     return docs.mapInArrow(run, SCHEMA if last else _BETWEEN)
 
 
-def _blocks_of(benchmark: DataFrame, width: int, block_chars: int) -> list[dict]:
-    """The benchmark streams to the driver; each block is bounded. An empty benchmark is one empty block."""
+def _blocks_of(benchmark: DataFrame, width: int, block_chars: int) -> Iterator[Block]:
+    """The benchmark streams through the driver, a bounded block at a time. An empty benchmark is one empty block."""
     rows = benchmark.where(F.col("item_id").isNotNull()).select("item_id", "text").toLocalIterator()
-    return list(blocks(((r[0], r[1]) for r in rows), width, block_chars)) or [{}]
+    found = blocks(((r[0], r[1]) for r in rows), width, block_chars)
+    yield next(found, [])
+    yield from found
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 16_000_000, with_spans: bool = True
+    docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 2_000_000, with_spans: bool = True
 ) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_words, n_hit, items`` (sorted ids of items with an occurring window) and ``spans``
     of hit words as character offsets [start, end) in the original text (empty without ``with_spans``).
@@ -147,19 +159,20 @@ def find_contamination(
     """
     out = docs.select("doc_id", "text")
     parts = _blocks_of(benchmark, width, block_chars)
-    for i, block in enumerate(parts):
-        out = _scan(out, block, i == len(parts) - 1, with_spans)
-    return out
+    block = next(parts)
+    for following in parts:
+        out, block = _scan(out, block, width, False, with_spans), following
+    return _scan(out, block, width, True, with_spans)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 16_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 2_000_000) -> DataFrame:
     """``docs`` without the rows that hold any window of a benchmark item. All columns of the rest stay, extra ones too."""
     at = docs.columns.index("text")
     for block in _blocks_of(benchmark, width, block_chars):
         value, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], value=value, key=key) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(value.value, key)
+            auto = _automaton(value.value, key, width)
             for batch in batches:
                 texts = batch.column(at)
                 yield batch.filter(pa.array([not _found(auto, words_of(texts[i].as_py())) for i in range(batch.num_rows)], pa.bool_()))

@@ -135,17 +135,19 @@ def train(
     widths: tuple[int, ...] = (2, 3, 4), dims: int = 8, filters: int = 16, epochs: int = 4, batch: int = 64, rate: float = 0.01, seed: int = 7,
 ) -> ByteCNN | None:
     """Fit on a bounded sample of ``labelled`` (doc_id, text, lang): at most ``docs_per_lang`` documents of a language, picked by
-    a hash of the id, at most ``windows_per_doc`` evenly spaced windows of each, the ``max_langs`` most frequent languages.
+    a hash of id and text, at most ``windows_per_doc`` evenly spaced windows of each, the ``max_langs`` most frequent languages
+    (others can never be predicted). Every one of these languages is in the sample, also where all of its rows are alike.
 
     Rows without text or lang are not learned from. Without any usable row there is no model (None).
     """
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
     # A hash threshold per language leaves about twice what is wanted, so that the ranking below is small whatever the corpus.
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs)
+    # The least hash of a language always stays.
+    order = F.xxhash64("doc_id", "text")
+    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"), F.min(order).alias("least")).orderBy(F.desc("n"), "lang").limit(max_langs)
     share = F.least(F.lit(1.0), F.lit(2.0 * docs_per_lang + 50) / F.col("n"))
-    limits = F.broadcast(sizes.select("lang", share.alias("share")))  # max_langs rows at most
-    order = F.xxhash64("doc_id")
-    near = usable.join(limits, "lang").where(F.pmod(order, F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    limits = F.broadcast(sizes.select("lang", share.alias("share"), "least"))  # max_langs rows at most
+    near = usable.join(limits, "lang").where((F.pmod(order, F.lit(1 << 30)) < F.col("share") * (1 << 30)) | (order == F.col("least")))
     pick = Window.partitionBy("lang").orderBy(order, "doc_id")
     data = F.encode("text", "UTF-8")
     picked = near.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= docs_per_lang)
@@ -181,7 +183,10 @@ def predict(docs: DataFrame, model: ByteCNN | None, batch_windows: int = 256) ->
 
 
 def keep_identified(docs: DataFrame, model: ByteCNN | None, min_score: float = 0.0, batch_windows: int = 256) -> DataFrame:
-    """``docs`` without rows whose language is ``und`` or whose score is under ``min_score``; all columns stay."""
+    """``docs`` without rows whose language is ``und`` or whose score is under ``min_score``; all columns stay.
+
+    Where there is no model, only rows without text or without a letter go.
+    """
     value, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
     return docs.mapInArrow(lambda batches: _predict(batches, value.value, batch_windows, (at, min_score)), docs.schema)
 
@@ -192,7 +197,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: ByteCNN | None, batch_win
         texts = batch.column(keep[0] if keep else 1)
         n = batch.num_rows
         total = np.zeros((n, len(model.langs) if model else 1))
-        sizes = np.zeros(n)
+        sizes, lettered = np.zeros(n), np.zeros(n, bool)
         pending: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         weights: list[np.ndarray] = []
@@ -209,9 +214,12 @@ def _predict(batches: Iterator[pa.RecordBatch], model: ByteCNN | None, batch_win
             held = 0
 
         for i in range(n):
-            text = texts[i].as_py() if model else None
+            text = texts[i].as_py()
             if not text or not has_letter(text):
                 continue
+            lettered[i] = True
+            if not model:
+                continue
             data = text.encode()
             sizes[i] = len(data)
             x = cut(data, model.window)
@@ -228,7 +236,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: ByteCNN | None, batch_win
         known = sizes > 0
         score = np.where(known, total[np.arange(n), best] / np.maximum(sizes, 1), 0.0).clip(0, 1)
         if keep:
-            yield batch.filter(pa.array(known & (score >= keep[1])))
+            yield batch.filter(pa.array(known & (score >= keep[1]) if model else lettered))
         else:
             langs = [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])

@@ -1,9 +1,9 @@
 """License scans by diagonal voting, with DataFrame operations only.
 
 All rolling word 2-gram hashes of all texts join the positions of the same hashes in license templates. A match votes for the
-diagonal (text position minus template position); neighbouring diagonals with several votes merge, so that a word added or
-left out does not break a match; each merged span is verified on the words themselves. Short base phrases must match word
-for word on one diagonal.
+diagonal (text position minus template position); neighbouring diagonals with several votes merge and take single votes beside
+them, so that a word added or left out does not break a match; each merged span is verified on the words themselves. Short base
+phrases must match word for word on one diagonal.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docwarp.llm.common import ascii_lower
+
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -41,8 +43,7 @@ BROADCAST_WORDS = 200_000
 
 
 def words_of(text: Column) -> Column:
-    """``lower`` also changes letters beyond A-Z, but neither where words end nor (but for the Kelvin sign) any a-z letter."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORDS), F.lit(0))
 
 
 def _grams(words: Column) -> Column:
@@ -83,13 +84,21 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, tole
     )
     diagonals = diagonals.join(F.broadcast(info.select("tid", "base", "n_template")) if small else info.select("tid", "base", "n_template"), "tid")
     exact = diagonals.where(F.col("base") & (F.size("seen") == F.col("n_template") - 1)).select("doc_id", "_mark", "tid", "first", "last")
-    by = Window.partitionBy("doc_id", "_mark", "tid").orderBy("diagonal")
-    strong = diagonals.where(~F.col("base") & (F.size("seen") >= 2))
-    islands = strong.withColumn("new", F.when(F.col("diagonal") - F.lag("diagonal").over(by) <= tolerance, 0).otherwise(1)).withColumn("island", F.sum("new").over(by))
+    # islands of strong diagonals; a single vote joins the one that it is next to
+    whole = Window.partitionBy("doc_id", "_mark", "tid").orderBy("diagonal")
+    upto, onward = whole.rowsBetween(Window.unboundedPreceding, 0), whole.rowsBetween(0, Window.unboundedFollowing)
+    strong = F.when(F.size("seen") >= 2, F.col("diagonal"))
+    near = diagonals.where(~F.col("base")).withColumn("below", F.last(strong, ignorenulls=True).over(upto)).withColumn("above", F.first(strong, ignorenulls=True).over(onward))
+    near = near.withColumn("core", F.when(F.col("diagonal") - F.col("below") <= tolerance, F.col("below")).when(F.col("above") - F.col("diagonal") <= tolerance, F.col("above"))).where("core IS NOT NULL")
+    by = Window.partitionBy("doc_id", "_mark", "tid").orderBy("core", "diagonal")
+    islands = near.withColumn("new", F.when(F.col("core") - F.lag("core").over(by) <= tolerance, 0).otherwise(1)).withColumn("island", F.sum("new").over(by))
+    # an island of many diagonals is split, so that no span is longer than two templates
+    begin = F.min("core").over(Window.partitionBy("doc_id", "_mark", "tid", "island"))
+    parts = islands.withColumn("part", F.floor((F.col("core") - begin) / (F.floor(F.col("n_template") / 2) + 1)))
     merged = (
-        islands.groupBy("doc_id", "_mark", "tid", "n_template", "island")
+        parts.groupBy("doc_id", "_mark", "tid", "n_template", "island", "part")
         .agg(F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-        .where((F.col("votes") >= 0.5 * (F.col("n_template") - 1)) & (F.col("last") - F.col("first") <= 2 * F.col("n_template")))
+        .where(F.col("votes") >= 0.5 * (F.col("n_template") - 1))
         .select("doc_id", "_mark", "tid", "first", "last")
     )
     found = exact.unionByName(merged).join(F.broadcast(info) if small else info, "tid")
