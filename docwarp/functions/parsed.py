@@ -155,9 +155,9 @@ def structured(docs: DataFrame, layouts: DataFrame) -> DataFrame:
     found = layouts.groupBy("id").agg(F.collect_list(F.struct("source_text", "header", "rows")).alias("layouts"))
     rows = docs.join(found, "id", "left").withColumn("layouts", F.coalesce("layouts", F.array().cast(found.schema["layouts"].dataType)))
     place = lambda x: F.struct(F.instr(F.col("text"), x["source_text"]).alias("at"), F.char_length(x["source_text"]).alias("n"), x.alias("t"))
-    times = lambda x: (F.char_length("text") - F.char_length(F.replace(F.col("text"), x["source_text"], F.lit("")))) / F.char_length(x["source_text"])
+    times = lambda x: (F.char_length("text") - F.char_length(F.replace(F.col("text"), x["source_text"], F.lit("")))) / F.nullif(F.char_length(x["source_text"]), F.lit(0))
     again = lambda x: F.instr(F.substring(F.col("text"), F.instr(F.col("text"), x["source_text"]) + 1, F.char_length("text")), x["source_text"]) > 0
-    rows = rows.withColumn("stray", F.exists("layouts", lambda x: (times(x) != 1) | again(x))).withColumn("spots", F.array_sort(F.transform("layouts", place), lambda a, b: a["at"] - b["at"]))
+    rows = rows.withColumn("stray", F.exists("layouts", lambda x: F.coalesce(times(x) != 1, F.lit(True)) | again(x))).withColumn("spots", F.array_sort(F.transform("layouts", place), lambda a, b: a["at"] - b["at"]))
     end = lambda i: F.when(i < 0, 1).otherwise(F.get("spots", i)["at"] + F.get("spots", i)["n"])
     rows = rows.withColumn("overlap", F.exists(F.transform("spots", lambda s, i: s["at"] < end(i - 1)), lambda x: x))
     prose = lambda text: F.transform(F.filter(F.split(F.replace(text, F.lit("다. "), F.lit("다.\n")), "\n", -1), lambda s: collapse(s) != ""), lambda s: F.struct(F.lit("TEXT").alias("kind"), F.trim(s).alias("text")))

@@ -1 +1 @@
-"""Part of docwarp; see the README for the map of modules."""
+"""Streaming twins of the batch transitions: manifest intake, and timers for missing documents and stale jobs."""
