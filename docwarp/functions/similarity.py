@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,24 +48,34 @@ def word_similarity_short(query: Column, text: Column) -> Column:
 
 
 def similarity(query: str, text: str) -> float:
-    """word_similarity of two strings; an extent stops growing once it cannot beat the best so far."""
-    q, t = set(_trigrams(query)), _trigrams(text)
+    """word_similarity of two strings. The best extent begins and ends on a trigram of the query, so only those places are visited; an
+    extent stops growing once it cannot beat the best so far."""
+    q = frozenset(_trigrams(query))
+    trigrams, places = _indexed(text)
+    hits = sorted(i for t in q for i in places.get(t, ()))
     best = 0.0
-    for i, start in enumerate(t):
-        if start not in q:
-            continue
-        shared, other = set(), set()
-        for tri in t[i:]:
-            if tri in q:
-                shared.add(tri)
-                best = max(best, len(shared) / (len(q) + len(other)))
-            else:
-                other.add(tri)
-                if best and len(q) / (len(q) + len(other)) <= best:
-                    break
+    for k, start in enumerate(hits):
+        shared, other, last = set(), set(), start
+        for at in hits[k:]:
+            other.update(trigrams[last:at])
+            other -= q
+            if best and len(q) / (len(q) + len(other)) <= best:
+                break
+            shared.add(trigrams[at])
+            best = max(best, len(shared) / (len(q) + len(other)))
+            last = at
     return best
 
 
+@lru_cache(maxsize=256)
+def _indexed(text: str) -> tuple[list[str], dict[str, list[int]]]:
+    """A text's trigrams and where each stands; kept for the next queries of the same text."""
+    trigrams, places = _trigrams(text), {}
+    for i, t in enumerate(trigrams):
+        places.setdefault(t, []).append(i)
+    return trigrams, places
+
+
 def _trigrams(text: str | None) -> list[str]:
     import regex
 
@@ -78,10 +90,22 @@ def word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
 
 def cosine(a: Column, b: Column) -> Column:
     """Exact cosine in double precision; null for a null or zero vector; vectors of unequal size fail."""
-    total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(total(a, a)) * F.sqrt(total(b, b))
+    return cosine_by(a, b, length(a), length(b))
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def length(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine_by(a: Column, b: Column, length_a: Column, length_b: Column) -> Column:
+    """``cosine`` of vectors whose lengths are known."""
+    norm = length_a * length_b
     sized = F.when(F.size(a) == F.size(b), F.lit(1.0)).otherwise(F.raise_error(F.lit("vectors differ in size")).cast("double"))
-    return F.when(a.isNotNull() & b.isNotNull() & (norm > 0), sized * total(a, b) / norm)
+    return F.when(a.isNotNull() & b.isNotNull() & (norm > 0), sized * dot(a, b) / norm)
 
 
 def contains_text(text: Column, needle: Column) -> Column:

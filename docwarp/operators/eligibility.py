@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Tables of at most this many rows are broadcast; larger ones are joined by the shuffle.
+BROADCAST_ROWS = 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has been counted to be small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 READ_PERMISSIONS = ("READ", "WRITE", "ADMIN")
 
 
@@ -16,7 +25,7 @@ def readable(requests: DataFrame, users: DataFrame, perms: DataFrame) -> DataFra
     callers = requests.select("request_id", "user_id").join(users.select(F.col("id").alias("user_id"), F.lit(True).alias("known"), "department_id", "is_active", "status"), "user_id", "left")
     grants = perms.where(F.col("permission").isin(*READ_PERMISSIONS))
     active = callers.where("known AND is_active AND status = 'ACTIVE'").select("request_id")
-    public = grants.where("is_public").select("document_id").distinct().crossJoin(active)
+    public = grants.where("is_public").select("document_id").distinct().join(small(active))  # every public document is readable to every active caller
     own = grants.where("user_id IS NOT NULL").select("document_id", "user_id").join(callers.select("request_id", "user_id"), "user_id").select("document_id", "request_id")
     team = grants.where("department_id IS NOT NULL").select("document_id", "department_id").join(callers.where("department_id IS NOT NULL").select("request_id", "department_id"), "department_id").select("document_id", "request_id")
     return public.unionByName(own).unionByName(team).distinct().select("request_id", "document_id")
@@ -42,7 +51,9 @@ def eligible(requests: DataFrame, users: DataFrame, perms: DataFrame, docs: Data
     rows = live.join(ready, ["id", "current_revision_id"])
     if where is not None:
         rows = rows.where(where)
-    return readable(requests, users, perms).withColumnRenamed("document_id", "id").join(rows, "id").join(names, "department_id", "left")
+    # grants of other documents never meet a request
+    grants = perms.join(rows.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    return readable(requests, users, grants).withColumnRenamed("document_id", "id").join(rows, "id").join(names, "department_id", "left")
 
 
 def in_folder(folder: str) -> Column:

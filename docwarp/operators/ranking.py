@@ -11,17 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docwarp.functions import similarity as sim
+from docwarp.operators.eligibility import small
 
 TITLE_BOOST, BODY_BOOST, SELECTIVITY, FLOOR = 0.075, 0.10, 0.50, 0.20
-#: Query tables of at most this many rows are broadcast; larger ones are joined by the shuffle.
-BROADCAST_ROWS = 10_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it has been counted to be small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """rank and total per request. A page past the end is empty (so its total is 0); the total is an aggregate, not a window."""
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
@@ -37,10 +29,12 @@ def browse(found: DataFrame, offset: int = 0, limit: int = 20) -> DataFrame:
 
 def scored_chunks(found: DataFrame, chunks: DataFrame, vectors: DataFrame, asks: DataFrame) -> DataFrame:
     """request_id, document_id, chunk_id, chunk_index, score of every embedded chunk of an eligible document. No chunk is cut off before documents are ranked."""
-    own = chunks.where("vec_id IS NOT NULL").join(vectors, "vec_id").select(F.col("revision_id").alias("current_revision_id"), F.col("id").alias("chunk_id"), "chunk_index", "embedding")
-    queries = asks.select("request_id", "vec_id").join(vectors.withColumnRenamed("embedding", "query_vector"), "vec_id").select("request_id", "query_vector")
+    own = chunks.where("vec_id IS NOT NULL").join(vectors.withColumn("n", sim.length(F.col("embedding"))), "vec_id")
+    own = own.select(F.col("revision_id").alias("current_revision_id"), F.col("id").alias("chunk_id"), "chunk_index", "embedding", "n")
+    queries = asks.select("request_id", "vec_id").join(vectors.withColumnRenamed("embedding", "query_vector"), "vec_id").select("request_id", "query_vector", sim.length(F.col("query_vector")).alias("m"))
     rows = found.select("request_id", F.col("id").alias("document_id"), "current_revision_id").join(own, "current_revision_id").join(small(queries), "request_id")
-    return rows.select("request_id", "document_id", "chunk_id", "chunk_index", sim.cosine(F.col("embedding"), F.col("query_vector")).alias("score"))
+    score = sim.cosine_by(F.col("embedding"), F.col("query_vector"), F.col("n"), F.col("m"))
+    return rows.select("request_id", "document_id", "chunk_id", "chunk_index", score.alias("score"))
 
 
 def best_chunk(scored: DataFrame) -> DataFrame:
@@ -49,26 +43,48 @@ def best_chunk(scored: DataFrame) -> DataFrame:
     return scored.where("score IS NOT NULL").withColumn("rn", rank).where("rn = 1").drop("rn")
 
 
+def title_hits(found: DataFrame, asks: DataFrame, query: str = "query") -> DataFrame:
+    """request_id, document_id, title_score of the eligible titles that share a trigram with the query; all others have none.
+
+    A title's trigrams are made once, whatever the number of requests, and only pairs that meet over one are compared.
+    """
+    keys = ["request_id", "document_id"]
+    titles = found.select(F.col("id").alias("document_id"), "title").dropDuplicates(["document_id"])
+    queries = asks.select("request_id", F.col(query).alias("q"))
+    wanted = queries.select("request_id", F.explode(sim.distinct_trigrams(F.col("q"))).alias("tri"))
+    met = titles.select("document_id", F.explode(sim.distinct_trigrams(F.col("title"))).alias("tri")).join(small(wanted), "tri").select(*keys).distinct()
+    pairs = met.join(found.select("request_id", F.col("id").alias("document_id"), "title"), keys).join(small(queries), "request_id")
+    return pairs.select(*keys, sim.word_similarity(F.col("q"), F.col("title")).alias("title_score"))
+
+
 def title_scores(found: DataFrame, asks: DataFrame, query: str = "query") -> DataFrame:
-    rows = found.select("request_id", F.col("id").alias("document_id"), "title").join(small(asks.select("request_id", F.col(query).alias("q"))), "request_id")
-    return rows.select("request_id", "document_id", sim.word_similarity_short(F.col("q"), F.col("title")).alias("title_score"))
+    """request_id, document_id, title_score of every eligible document."""
+    keys = ["request_id", "document_id"]
+    rows = found.select("request_id", F.col("id").alias("document_id")).join(title_hits(found, asks, query), keys, "left")
+    return rows.select(*keys, F.coalesce("title_score", F.lit(0.0)).alias("title_score"))
+
+
+def body_hits(found: DataFrame, asks: DataFrame, holds) -> DataFrame:
+    """request_id, document_id of eligible documents whose text ``holds`` the query. Each text is read once and meets all requests there."""
+    texts = found.select(F.col("id").alias("document_id"), "extracted_text").dropDuplicates(["document_id"])
+    met = texts.join(small(asks.select("request_id", "query")), holds(F.col("extracted_text"), F.col("query"))).select("request_id", "document_id")
+    return met.join(found.select("request_id", F.col("id").alias("document_id")), ["request_id", "document_id"], "left_semi")
 
 
 def body_matches(found: DataFrame, asks: DataFrame, most: float = SELECTIVITY) -> DataFrame:
     """request_id, document_id of documents whose text has the query, where so few of the eligible ones do that it says something."""
-    rows = found.select("request_id", F.col("id").alias("document_id"), "extracted_text").join(small(asks.select("request_id", "query")), "request_id")
-    flagged = rows.select("request_id", "document_id", sim.contains_text(F.col("extracted_text"), F.col("query")).alias("has"))
-    counts = flagged.groupBy("request_id").agg(F.count_if("has").alias("n"), F.count("*").alias("total"))
-    fires = counts.where((F.col("n") > 0) & (F.col("n") <= F.col("total") * most)).select("request_id")
-    return flagged.where("has").join(fires, "request_id", "left_semi").select("request_id", "document_id")
+    hits = body_hits(found, asks, sim.contains_text)
+    totals = found.groupBy("request_id").agg(F.count("*").alias("total"))
+    fires = hits.groupBy("request_id").agg(F.count("*").alias("n")).join(totals, "request_id").where(F.col("n") <= F.col("total") * most)
+    return hits.join(fires.select("request_id"), "request_id", "left_semi")
 
 
 def semantic(found: DataFrame, chunks: DataFrame, vectors: DataFrame, asks: DataFrame, title_weight: float = TITLE_BOOST, body_weight: float = BODY_BOOST) -> DataFrame:
     """request_id, document_id, chunk_id, chunk_index, semantic, score of every eligible document with an embedded chunk. Boosts reorder and never filter."""
     keys = ["request_id", "document_id"]
     best = best_chunk(scored_chunks(found, chunks, vectors, asks)).withColumnRenamed("score", "semantic")
-    rows = best.join(title_scores(found, asks), keys).join(body_matches(found, asks).withColumn("hit", F.lit(1.0)), keys, "left")
-    score = F.col("semantic") + title_weight * F.col("title_score") + body_weight * F.coalesce("hit", F.lit(0.0))
+    rows = best.join(title_hits(found, asks), keys, "left").join(body_matches(found, asks).withColumn("hit", F.lit(1.0)), keys, "left")
+    score = F.col("semantic") + title_weight * F.coalesce("title_score", F.lit(0.0)) + body_weight * F.coalesce("hit", F.lit(0.0))
     return rows.select(*keys, "chunk_id", "chunk_index", "semantic", score.alias("score"))
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docwarp.functions import similarity as sim
-from docwarp.operators.ranking import similar_texts, small
+from docwarp.operators.ranking import body_hits, similar_texts, small, title_hits
+from docwarp.operators.sinks import global_rank
 
 RRF_K = 60
 KEYS = ["request_id", "document_id"]
@@ -19,6 +20,13 @@ def top(rows: DataFrame, k: int, score: str = "score") -> DataFrame:
     return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+def full_rank(rows: DataFrame, score: str = "score") -> DataFrame:
+    """Every row with its rank within its request. All requests are ranked together by range, so none meets in one task."""
+    ranked = global_rank(rows, [F.asc("request_id"), F.desc(score), F.asc("document_id")])
+    ahead = ranked.groupBy("request_id").agg((F.min("rank") - 1).alias("ahead"))
+    return ranked.join(ahead, "request_id").withColumn("rank", F.col("rank") - F.col("ahead")).drop("ahead")
+
+
 def token_positions(texts: DataFrame) -> DataFrame:
     """document_id, pos, token of (document_id, text)."""
     return texts.select("document_id", F.posexplode(sim.words(F.col("text"))).alias("pos", "token"))
@@ -75,9 +83,9 @@ def gated(semantic: DataFrame, lexical: DataFrame) -> DataFrame:
     return semantic.join(lexical.select(*KEYS), KEYS, "left_semi")
 
 
-def union_rrf(semantic: DataFrame, lexical: DataFrame, gate: bool, depth: int = 1 << 30) -> DataFrame:
+def union_rrf(semantic: DataFrame, lexical: DataFrame, gate: bool) -> DataFrame:
     """Fusion of both full rankings; with ``gate`` only for requests with a lexical hit."""
-    fused = rrf([top(semantic, depth), top(lexical, depth)])
+    fused = rrf([full_rank(semantic), full_rank(lexical)])
     return fused.join(lexical.select("request_id").distinct(), "request_id", "left_semi") if gate else fused
 
 
@@ -91,10 +99,10 @@ def chunk_lexical(found: DataFrame, chunks: DataFrame, asks: DataFrame, least: f
 
 def components(found: DataFrame, chunks: DataFrame, best: DataFrame, asks: DataFrame) -> DataFrame:
     """One row per request and document: semantic, title_trigram, body_lexical, body_contains, title_contains. Sweeps share it."""
-    rows = found.select("request_id", F.col("id").alias("document_id"), "title", "extracted_text").join(small(asks.select("request_id", "query", "title_query")), "request_id")
-    folded = lambda c: sim.fold_separators(F.col(c))
-    rows = rows.select(
-        *KEYS, F.round(sim.word_similarity_short(F.col("title_query"), F.col("title")), 6).alias("title_trigram"), F.contains(folded("extracted_text"), folded("query")).alias("body_contains"), F.contains(F.col("title"), F.col("title_query")).alias("title_contains")
+    rows = found.select("request_id", F.col("id").alias("document_id"), "title").join(small(asks.select("request_id", "title_query")), "request_id")
+    holds = body_hits(found, asks, lambda text, query: F.contains(sim.fold_separators(text), sim.fold_separators(query))).withColumn("holds", F.lit(True))
+    rows = rows.join(title_hits(found, asks, "title_query"), KEYS, "left").join(holds, KEYS, "left").select(
+        *KEYS, F.round(F.coalesce("title_score", F.lit(0.0)), 6).alias("title_trigram"), F.col("holds").isNotNull().alias("body_contains"), F.contains(F.col("title"), F.col("title_query")).alias("title_contains")
     )
     rows = rows.join(best.select(*KEYS, F.round("score", 6).alias("semantic")), KEYS).join(chunk_lexical(found, chunks, asks), KEYS, "left")
     return rows.withColumn("body_lexical", F.coalesce("body_lexical", F.lit(0.0)))
@@ -122,14 +130,15 @@ def exact_body(parts: DataFrame, boost: Column) -> DataFrame:
 
 def selective(parts: DataFrame, fires: Column, boost: Column, ceiling: Column, by: list[str] | None = None) -> DataFrame:
     """The boost counts only where 0 < n <= max(1, floor(total * ceiling)) of a request's documents have it."""
-    w = Window.partitionBy("request_id", *(by or []))
-    n, total = F.sum(fires.cast("int")).over(w), F.count("*").over(w)
-    told = (n > 0) & (n <= F.greatest(F.lit(1), F.floor(total * ceiling)))
-    return parts.withColumn("score", F.col("semantic") + F.when(told & fires, boost).otherwise(0.0))
+    keys = ["request_id", *(by or [])]
+    counts = parts.groupBy(*keys).agg(F.count_if(fires).alias("n"), F.count("*").alias("total"))
+    told = (F.col("n") > 0) & (F.col("n") <= F.greatest(F.lit(1), F.floor(F.col("total") * ceiling)))
+    rows = parts.join(counts, keys)
+    return rows.withColumn("score", F.col("semantic") + F.when(told & fires, boost).otherwise(0.0)).drop("n", "total")
 
 
 def two_lists(parts: DataFrame) -> DataFrame:
     """Fusion of a semantic and a body ranking over the same documents, ranks from 0."""
-    rank = lambda c: F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc(c), "document_id"))
-    ranks = parts.withColumn("a", rank("semantic")).withColumn("b", rank("body_lexical"))
-    return ranks.select(*KEYS, F.round(1.0 / (RRF_K + F.col("a")) + 1.0 / (RRF_K + F.col("b")), 6).alias("score"))
+    first = full_rank(parts.select(*KEYS, "semantic"), "semantic").select(*KEYS, F.col("rank").alias("a"))
+    second = full_rank(parts.select(*KEYS, "body_lexical"), "body_lexical").select(*KEYS, F.col("rank").alias("b"))
+    return first.join(second, KEYS).select(*KEYS, F.round(1.0 / (RRF_K + F.col("a")) + 1.0 / (RRF_K + F.col("b")), 6).alias("score"))

@@ -79,8 +79,9 @@ class Asked:
         return self.parts.where("body_lexical >= 0.6").select("request_id", "document_id", F.col("body_lexical").alias("score"))
 
 
-def ranks(df, k=1 << 30):
-    return rt.top(df.select("request_id", "document_id", F.round("score", 6).alias("score")), k)
+def ranks(df, k=None):
+    rows = df.select("request_id", "document_id", F.round("score", 6).alias("score"))
+    return rt.full_rank(rows) if k is None else rt.top(rows, k)
 
 
 def top_sql(rows: str, k: int = 1 << 30) -> str:
@@ -147,8 +148,7 @@ def r9(spark, sf):
   (SELECT request_id, document_id, chunk_id, round(ws, 6) AS chunk_score FROM body_ws WHERE round(ws, 6) >= 0.6 QUALIFY row_number() OVER (PARTITION BY request_id, document_id ORDER BY round(ws, 6) DESC, chunk_id) = 1) c USING (request_id, document_id)"""))
 def r10(spark, sf):
     a = Asked(spark, sf)
-    rows = a.found.select("request_id", F.col("id").alias("document_id"), "extracted_text").join(F.broadcast(a.asks.select("request_id", "query")), "request_id")  # eight rows
-    hits = rows.where(sim.contains_text(F.col("extracted_text"), F.col("query"))).select("request_id", "document_id")
+    hits = rk.body_hits(a.found, a.asks, sim.contains_text)
     return rk.lexical_chunks(hits, a.found, a.t.chunks, a.asks, 0.6)
 
 

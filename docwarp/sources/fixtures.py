@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docwarp.operators.eligibility import small
+
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 NOW = "2024-01-15 00:00:00"
 
@@ -45,7 +47,7 @@ CTES: dict[str, str] = {
     "eligible": """SELECT a.request_id, d.*, r.document_year, r.extracted_text, dep.name AS department_name FROM readable a JOIN docs d ON d.id = a.document_id JOIN ready r ON r.id = d.current_revision_id AND r.document_id = d.id
   LEFT JOIN departments dep ON dep.id = d.department_id WHERE NOT d.is_deleted""",
     "asks": """SELECT q AS request_id, [1, 9, 3, 10][CAST(q % 4 + 1 AS INT)] AS user_id, (q * 7) % 500 AS vec_id, 'doc' || (q * 3) AS title_query,
-  string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3] AS query FROM generate_series(1, 8) AS g(q) JOIN documents ON doc_id = q * 13""",
+  string_split(text, ' ')[2] || ' ' || string_split(text, ' ')[3] AS query FROM (SELECT doc_id // 50 + 1 AS q, text FROM documents WHERE doc_id % 50 = 0)""",
     "jobs": """SELECT event_id AS id, (event_id % (SELECT count(*) FROM documents)) * 10 + 1 AS revision_id, ['PARSE', 'EMBED', 'SUMMARIZE'][CAST(event_id % 3 + 1 AS INT)] AS job_type,
   CASE event_type WHEN 'view' THEN 'SUCCESS' WHEN 'purchase' THEN 'SUCCESS' WHEN 'error' THEN 'FAILED' WHEN 'click' THEN 'PENDING' ELSE 'RUNNING' END AS status, CAST(event_id % 4 AS BIGINT) AS attempt_count, CAST(3 AS BIGINT) AS max_attempts,
   ts AS created_at, CASE WHEN event_type <> 'click' THEN ts END AS started_at, CASE WHEN event_type IN ('view', 'purchase', 'error') THEN ts + INTERVAL 60 SECOND END AS finished_at,
@@ -183,9 +185,9 @@ class Tables:
 
     @cached_property
     def asks(self) -> DataFrame:
+        """A request for every document whose id is divisible by 50."""
         q = F.col("q")
-        text = self.raw("documents").select("doc_id", F.split("text", " ").alias("w"))
-        rows = self.spark.range(1, 9).withColumnRenamed("id", "q").join(text, F.col("doc_id") == q * 13)
+        rows = self.raw("documents").where("doc_id % 50 = 0").select((F.expr("doc_id div 50") + 1).alias("q"), F.split("text", " ").alias("w"))
         user = F.element_at(F.array(F.lit(1), F.lit(9), F.lit(3), F.lit(10)), (q % 4 + 1).cast("int")).cast("long")
         return rows.select(q.alias("request_id"), user.alias("user_id"), ((q * 7) % 500).alias("vec_id"), F.concat(F.lit("doc"), (q * 3).cast("string")).alias("title_query"), F.concat(F.get("w", F.lit(1)), F.lit(" "), F.get("w", F.lit(2))).alias("query"))
 
@@ -240,6 +242,13 @@ class Tables:
 
     @cached_property
     def qrels(self) -> DataFrame:
-        """Evaluation queries are a small fixed set; documents stream past them."""
+        """Documents that hold a query's probe: they meet over a word inside the probe, then the whole probe is looked for."""
+        words = F.split("probe", " ")
+        inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))  # whole words of any text that holds the probe
+        longest = F.element_at(F.array_sort(inner, lambda a, b: F.char_length(a) - F.char_length(b)), -1)
+        asked = self.evals.select("query_id", "probe", F.when(F.size(inner) > 0, longest).alias("word"))
         texts = self.raw("documents").select(F.col("doc_id").alias("document_id"), F.col("text").alias("body"))
-        return texts.join(F.broadcast(self.evals.select("query_id", "probe")), F.contains("body", F.col("probe"))).select("query_id", "document_id")
+        met = texts.select("document_id", "body", F.explode(F.array_distinct(F.split("body", " "))).alias("word")).join(small(asked.where("word IS NOT NULL")), "word")
+        rest = texts.join(small(asked.where("word IS NULL")), F.contains("body", F.col("probe")))
+        found = met.where(F.contains("body", F.col("probe"))).select("query_id", "document_id")
+        return found.unionByName(rest.select("query_id", "document_id"))
