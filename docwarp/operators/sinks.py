@@ -23,7 +23,7 @@ EXTENSIONS = ("hwp", "hwpx", "docx", "pdf")
 
 
 def scan_folder(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """path, length, modificationTime of a folder's files; their content is never read."""
+    """path, length, modificationTime of a folder's files; their content is never read. Spark lists no empty files, in which there is nothing to parse."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
     return files.where(F.lower(F.substring_index("path", ".", -1)).isin(*extensions))
 

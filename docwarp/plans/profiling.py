@@ -7,7 +7,9 @@ from pyspark.sql.window import Window
 
 from docwarp.operators import profiling as pf
 from docwarp.operators import ranking as rk
-from docwarp.plans.ranking import Asked, orc
+from docwarp.operators import retrieval as rt
+from docwarp.operators.scratch import written
+from docwarp.plans.ranking import FTS, Asked, orc, texts_of, top_sql
 from docwarp.plans.registry import query
 from docwarp.sources.fixtures import Tables, oracle
 
@@ -122,12 +124,12 @@ def c17(spark, sf):
     return Tables(spark, sf).records.agg(F.count("*").alias("n"), F.count_if(ok).alias("n_success"), F.count_if(ok & (F.col("id") % 4 != 0)).alias("n_deterministic"), F.sum("size_bytes").alias("bytes"), F.max("size_bytes").alias("most"))
 
 
-# -- evaluation: two methods rank documents for the benchmark's queries
+# -- evaluation: full-text search for all and for any of the words ranks documents for the benchmark's queries
 
-METHODS = {
+METHODS = FTS | {
     "queries_": "SELECT query_id, category, (SELECT min(document_id) FROM qrels q WHERE q.query_id = evals.query_id) AS primary_id, query_id IN (SELECT query_id FROM qrels) AS answerable FROM evals",
-    "pool": """SELECT query_id, document_id FROM qrels UNION SELECT query_id, (query_id * 7 + k) % (SELECT count(*) FROM documents) FROM evals, generate_series(0, 9) AS g(k)""",
-    "rankings": """SELECT method, query_id, document_id, row_number() OVER (PARTITION BY method, query_id ORDER BY (document_id * m + query_id) % 101, document_id) AS rank FROM pool, (VALUES ('alpha', 31), ('beta', 57)) AS t(method, m)""",
+    "asks": "SELECT query_id AS request_id, text AS query FROM evals",
+    "rankings": f"SELECT method, request_id AS query_id, document_id, rank FROM (SELECT 'all_words' AS method, * FROM ({top_sql('SELECT * FROM density WHERE k = n', 10)}) UNION ALL SELECT 'any_word', * FROM ({top_sql('SELECT * FROM density', 10)}))",
     "allq": "SELECT query_id, method FROM evals, (SELECT DISTINCT method FROM rankings)",
     "gains": "SELECT q.query_id, document_id, CASE WHEN document_id = primary_id THEN 2 ELSE 1 END AS gain FROM qrels q JOIN queries_ USING (query_id)",
     "rec": "SELECT a.method, a.query_id, CASE WHEN n IS NULL THEN 0.0 ELSE round(coalesce(h, 0) / n, 6) END AS recall FROM allq a LEFT JOIN (SELECT query_id, count(*) AS n FROM qrels GROUP BY 1) USING (query_id) LEFT JOIN (SELECT method, query_id, count(*) AS h FROM rankings JOIN qrels USING (query_id, document_id) WHERE rank <= 5 GROUP BY 1, 2) USING (method, query_id)",
@@ -142,14 +144,12 @@ def ev(sql: str) -> str:
 class Eval:
     def __init__(self, spark, sf):
         t = Tables(spark, sf)
-        self.docs, self.qrels = t.docs, t.qrels
+        self.docs, self.qrels = t.docs, written(t.qrels, "qrels")
         first = self.qrels.groupBy("query_id").agg(F.min("document_id").alias("primary"))
         self.queries = t.evals.join(first, "query_id", "left").select("query_id", "category", "primary", F.col("primary").isNotNull().alias("answerable"))
-        more = t.evals.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")).crossJoin(F.broadcast(t.n_documents)).select("query_id", ((F.col("query_id") * 7 + F.col("k")) % F.col("n")).alias("document_id"))
-        pool = self.qrels.unionByName(more).distinct()
-        methods = spark.createDataFrame([("alpha", 31), ("beta", 57)], "method string, m long")
-        order = Window.partitionBy("method", "query_id").orderBy((F.col("document_id") * F.col("m") + F.col("query_id")) % 101, "document_id")
-        self.rankings = pool.crossJoin(F.broadcast(methods)).withColumn("rank", F.row_number().over(order).cast("long")).drop("m")
+        asks, texts = t.evals.select(F.col("query_id").alias("request_id"), F.col("text").alias("query")), texts_of(t)
+        one = lambda name, every: rt.top(rt.full_text(texts, asks, every), 10).select(F.lit(name).alias("method"), F.col("request_id").alias("query_id"), "document_id", "rank")
+        self.rankings = written(one("all_words", True).unionByName(one("any_word", False)), "rankings")
         self.gains = self.qrels.join(self.queries, "query_id").select("query_id", "document_id", F.when(F.col("document_id") == F.col("primary"), 2).otherwise(1).alias("gain"))
 
 
@@ -209,10 +209,10 @@ def v8(spark, sf):
     return pf.label_violations(e.queries.withColumn("primary", F.col("primary") + q % 2), labels, e.docs)
 
 
-@query("V12_ranking_changes", ev("SELECT query_id, a IS DISTINCT FROM b AS changed, a[1] IS DISTINCT FROM b[1] AS changed_first FROM (SELECT query_id, list(document_id ORDER BY rank) FILTER (method = 'alpha') AS a, list(document_id ORDER BY rank) FILTER (method = 'beta') AS b FROM rankings WHERE rank <= 3 GROUP BY 1)"))
+@query("V12_ranking_changes", ev("SELECT query_id, a IS DISTINCT FROM b AS changed, a[1] IS DISTINCT FROM b[1] AS changed_first FROM (SELECT query_id, list(document_id ORDER BY rank) FILTER (method = 'all_words') AS a, list(document_id ORDER BY rank) FILTER (method = 'any_word') AS b FROM rankings WHERE rank <= 3 GROUP BY 1)"))
 def v12(spark, sf):
     e = Eval(spark, sf)
-    return pf.ranking_changes(e.rankings.where("method = 'alpha'"), e.rankings.where("method = 'beta'"))
+    return pf.ranking_changes(e.rankings.where("method = 'all_words'"), e.rankings.where("method = 'any_word'"))
 
 
 @query("V14_best_configuration", ev("SELECT arg_max(method, (r, m, method)) AS name FROM (SELECT method, round(avg(recall), 6) AS r, round(avg(rr), 6) AS m FROM rec JOIN recip USING (method, query_id) GROUP BY 1)"))

@@ -87,7 +87,7 @@ def t7(spark, sf):
     return tx.chunk_documents(p.select("revision_id", "index", "text", F.col("page_number").alias("page"), "section_title"), 64)
 
 
-@query("T10_sentence_chunks")
+@query("T10_sentence_chunks", oracle(r"SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY k) - 1 AS BIGINT) AS chunk_index, text FROM (SELECT d AS document_id, 0 AS k, title AS text FROM base UNION ALL SELECT d, k, trim(s[k]) FROM (SELECT d, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM base), generate_series(1, len(s)) AS g(k) WHERE trim(s[k]) <> '')"))
 def t10(spark, sf):
     return tx.sentence_chunks(Tables(spark, sf).base.select(F.col("d").alias("document_id"), "title", "text"))
 
@@ -224,7 +224,13 @@ def g6(spark, sf):
     return texts.join(own, "revision_id").select("title", "revision_id", "n", F.sha2(F.array_join(F.transform("c", lambda x: x["text"]), "\n"), 256).alias("digest"))
 
 
-@query("G8_assemble_context")
+_G8 = """WITH RECURSIVE rows_ AS (SELECT revision_id AS request_id, id AS chunk_id, text, length(text) AS n, row_number() OVER (PARTITION BY revision_id ORDER BY chunk_index) AS i FROM chunks),
+kept AS (SELECT request_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids, CAST(0 AS BIGINT) AS used FROM (SELECT DISTINCT request_id FROM rows_)
+  UNION ALL SELECT request_id, j, CASE WHEN ok THEN list_append(ids, chunk_id) ELSE ids END, CASE WHEN ok THEN used + n ELSE used END FROM (SELECT k.request_id, k.ids, k.used, r.i AS j, chunk_id, n, trim(text) <> '' AND NOT list_contains(ids, chunk_id) AND len(ids) < 5 AND used + n <= 1200 AS ok FROM kept k JOIN rows_ r ON r.request_id = k.request_id AND r.i = k.i + 1))
+SELECT request_id, CAST(len(ids) AS BIGINT) AS n, used FROM kept QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY i DESC) = 1"""
+
+
+@query("G8_assemble_context", oracle(_G8.replace("WITH RECURSIVE ", "WITH ", 1)).replace("WITH ", "WITH RECURSIVE ", 1))
 def g8(spark, sf):
     rows = Tables(spark, sf).chunks.select(F.col("revision_id").alias("request_id"), F.col("chunk_index").alias("position"), F.col("id").alias("chunk_id"), "text")
     return tx.assemble_context(rows, 5, 1200).select("request_id", F.size("ids").cast("long").alias("n"), "used")
