@@ -56,6 +56,12 @@ def eligible(requests: DataFrame, users: DataFrame, perms: DataFrame, docs: Data
     return readable(requests, users, grants).withColumnRenamed("document_id", "id").join(rows, "id").join(names, "department_id", "left")
 
 
+def ready_texts(docs: DataFrame, revisions: DataFrame) -> DataFrame:
+    """id, title, extracted_text of every document that somebody may be able to search: not deleted, its current revision READY."""
+    ready = revisions.where(is_ready()).select(F.col("id").alias("current_revision_id"), F.col("document_id").alias("id"), "extracted_text")
+    return docs.where("NOT is_deleted").join(ready, ["id", "current_revision_id"]).select("id", "title", "extracted_text")
+
+
 def in_folder(folder: str) -> Column:
     """Literal subtree test that ends at a separator."""
     return F.startswith(F.col("source_path"), F.lit(folder + "/"))

@@ -43,13 +43,18 @@ def best_chunk(scored: DataFrame) -> DataFrame:
     return scored.where("score IS NOT NULL").withColumn("rn", rank).where("rn = 1").drop("rn")
 
 
-def title_hits(found: DataFrame, asks: DataFrame, query: str = "query") -> DataFrame:
+def texts_of(found: DataFrame) -> DataFrame:
+    """id, title, extracted_text of the eligible documents, once each. Callers that have the documents at hand pass them as ``texts`` instead."""
+    return found.select("id", "title", "extracted_text").dropDuplicates(["id"])
+
+
+def title_hits(found: DataFrame, asks: DataFrame, query: str = "query", texts: DataFrame | None = None) -> DataFrame:
     """request_id, document_id, title_score of the eligible titles that share a trigram with the query; all others have none.
 
     A title's trigrams are made once, whatever the number of requests, and only pairs that meet over one are compared.
     """
     keys = ["request_id", "document_id"]
-    titles = found.select(F.col("id").alias("document_id"), "title").dropDuplicates(["document_id"])
+    titles = found.select(F.col("id").alias("document_id"), "title").distinct() if texts is None else texts.select(F.col("id").alias("document_id"), "title")
     queries = asks.select("request_id", F.col(query).alias("q"))
     wanted = queries.select("request_id", F.explode(sim.distinct_trigrams(F.col("q"))).alias("tri"))
     met = titles.select("document_id", F.explode(sim.distinct_trigrams(F.col("title"))).alias("tri")).join(small(wanted), "tri").select(*keys).distinct()
@@ -64,26 +69,29 @@ def title_scores(found: DataFrame, asks: DataFrame, query: str = "query") -> Dat
     return rows.select(*keys, F.coalesce("title_score", F.lit(0.0)).alias("title_score"))
 
 
-def body_hits(found: DataFrame, asks: DataFrame, holds) -> DataFrame:
-    """request_id, document_id of eligible documents whose text ``holds`` the query. Each text is read once and meets all requests there."""
-    texts = found.select(F.col("id").alias("document_id"), "extracted_text").dropDuplicates(["document_id"])
-    met = texts.join(small(asks.select("request_id", "query")), holds(F.col("extracted_text"), F.col("query"))).select("request_id", "document_id")
+def body_hits(found: DataFrame, asks: DataFrame, fold, texts: DataFrame | None = None) -> DataFrame:
+    """request_id, document_id of eligible documents whose text has the query once both are ``fold``-ed. Each text is folded once and meets all requests there."""
+    own = texts_of(found) if texts is None else texts
+    folded = own.select(F.col("id").alias("document_id"), fold(F.col("extracted_text")).alias("body"))
+    met = folded.join(small(asks.select("request_id", fold(F.col("query")).alias("needle"))), F.contains("body", F.col("needle"))).select("request_id", "document_id")
     return met.join(found.select("request_id", F.col("id").alias("document_id")), ["request_id", "document_id"], "left_semi")
 
 
-def body_matches(found: DataFrame, asks: DataFrame, most: float = SELECTIVITY) -> DataFrame:
+def body_matches(found: DataFrame, asks: DataFrame, most: float = SELECTIVITY, texts: DataFrame | None = None) -> DataFrame:
     """request_id, document_id of documents whose text has the query, where so few of the eligible ones do that it says something."""
-    hits = body_hits(found, asks, sim.contains_text)
+    hits = body_hits(found, asks.where(F.trim("query") != ""), F.lower, texts)
     totals = found.groupBy("request_id").agg(F.count("*").alias("total"))
     fires = hits.groupBy("request_id").agg(F.count("*").alias("n")).join(totals, "request_id").where(F.col("n") <= F.col("total") * most)
     return hits.join(fires.select("request_id"), "request_id", "left_semi")
 
 
-def semantic(found: DataFrame, chunks: DataFrame, vectors: DataFrame, asks: DataFrame, title_weight: float = TITLE_BOOST, body_weight: float = BODY_BOOST) -> DataFrame:
+def semantic(
+    found: DataFrame, chunks: DataFrame, vectors: DataFrame, asks: DataFrame, title_weight: float = TITLE_BOOST, body_weight: float = BODY_BOOST, texts: DataFrame | None = None
+) -> DataFrame:
     """request_id, document_id, chunk_id, chunk_index, semantic, score of every eligible document with an embedded chunk. Boosts reorder and never filter."""
     keys = ["request_id", "document_id"]
     best = best_chunk(scored_chunks(found, chunks, vectors, asks)).withColumnRenamed("score", "semantic")
-    rows = best.join(title_hits(found, asks), keys, "left").join(body_matches(found, asks).withColumn("hit", F.lit(1.0)), keys, "left")
+    rows = best.join(title_hits(found, asks, texts=texts), keys, "left").join(body_matches(found, asks, texts=texts).withColumn("hit", F.lit(1.0)), keys, "left")
     score = F.col("semantic") + title_weight * F.coalesce("title_score", F.lit(0.0)) + body_weight * F.coalesce("hit", F.lit(0.0))
     return rows.select(*keys, "chunk_id", "chunk_index", "semantic", score.alias("score"))
 
@@ -124,12 +132,12 @@ def similar_texts(texts: DataFrame, queries: DataFrame, least: float = FLOOR) ->
     return rows.select("request_id", "key", F.round(sim.word_similarity(F.col("query"), F.col("text")), 6).alias("score")).where(F.col("score") >= least)
 
 
-def lexical(found: DataFrame, asks: DataFrame, least: float = FLOOR) -> DataFrame:
+def lexical(found: DataFrame, asks: DataFrame, least: float = FLOOR, texts: DataFrame | None = None) -> DataFrame:
     """request_id, document_id, score = greatest(title, body similarity) where either reaches ``least``."""
     keys = ["request_id", "document_id"]
     queries = asks.select("request_id", "query")
     pairs = found.select("request_id", F.col("id").alias("document_id"))
-    texts = found.select(F.col("id").alias("key"), "title", "extracted_text").dropDuplicates(["key"])
+    texts = (texts_of(found) if texts is None else texts).select(F.col("id").alias("key"), "title", "extracted_text")
     near = lambda c, out: similar_texts(texts.select("key", F.col(c).alias("text")), queries, least).select("request_id", F.col("key").alias("document_id"), F.col("score").alias(out))
     rows = pairs.join(near("title", "title_score"), keys, "left").join(near("extracted_text", "body_score"), keys, "left")
     score = F.greatest(F.coalesce("title_score", F.lit(0.0)), F.coalesce("body_score", F.lit(0.0)))
@@ -151,15 +159,15 @@ def resolve_mode(query: Column, mode: Column) -> Column:
     return F.when(F.coalesce(F.trim(query), F.lit("")) == "", "browse").otherwise(F.coalesce(F.lower(mode), F.lit("semantic")))
 
 
-def route(found: DataFrame, chunks: DataFrame, vectors: DataFrame, asks: DataFrame, limit: int = 20) -> DataFrame:
+def route(found: DataFrame, chunks: DataFrame, vectors: DataFrame, asks: DataFrame, limit: int = 20, texts: DataFrame | None = None) -> DataFrame:
     """Resolve each request's mode and run its slice: request_id, mode, document_id, score, rank, total."""
     modes = asks.withColumn("mode", resolve_mode(F.col("query"), F.col("mode")))
     only = lambda m: found.join(modes.where(F.col("mode") == m).select("request_id"), "request_id", "left_semi")
     part = lambda m: modes.where(F.col("mode") == m)
     slim = lambda df, m: df.select("request_id", F.lit(m).alias("mode"), "document_id", "score", "rank", "total")
     browsed = slim(browse(only("browse"), 0, limit).withColumn("score", F.lit(None).cast("double")), "browse")
-    meant = slim(ranked(semantic(only("semantic"), chunks, vectors, part("semantic")), 0, limit), "semantic")
-    said = slim(ranked(lexical(only("lexical"), part("lexical")), 0, limit), "lexical")
+    meant = slim(ranked(semantic(only("semantic"), chunks, vectors, part("semantic"), texts=texts), 0, limit), "semantic")
+    said = slim(ranked(lexical(only("lexical"), part("lexical"), texts=texts), 0, limit), "lexical")
     return browsed.unionByName(meant).unionByName(said)
 
 

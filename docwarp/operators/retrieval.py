@@ -97,11 +97,11 @@ def chunk_lexical(found: DataFrame, chunks: DataFrame, asks: DataFrame, least: f
     return near.join(docs, ["request_id", "current_revision_id"]).groupBy(*KEYS).agg(F.max("score").alias("body_lexical"))
 
 
-def components(found: DataFrame, chunks: DataFrame, best: DataFrame, asks: DataFrame) -> DataFrame:
+def components(found: DataFrame, chunks: DataFrame, best: DataFrame, asks: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """One row per request and document: semantic, title_trigram, body_lexical, body_contains, title_contains. Sweeps share it."""
     rows = found.select("request_id", F.col("id").alias("document_id"), "title").join(small(asks.select("request_id", "title_query")), "request_id")
-    holds = body_hits(found, asks, lambda text, query: F.contains(sim.fold_separators(text), sim.fold_separators(query))).withColumn("holds", F.lit(True))
-    rows = rows.join(title_hits(found, asks, "title_query"), KEYS, "left").join(holds, KEYS, "left").select(
+    holds = body_hits(found, asks, sim.fold_separators, texts).withColumn("holds", F.lit(True))
+    rows = rows.join(title_hits(found, asks, "title_query", texts), KEYS, "left").join(holds, KEYS, "left").select(
         *KEYS, F.round(F.coalesce("title_score", F.lit(0.0)), 6).alias("title_trigram"), F.col("holds").isNotNull().alias("body_contains"), F.contains(F.col("title"), F.col("title_query")).alias("title_contains")
     )
     rows = rows.join(best.select(*KEYS, F.round("score", 6).alias("semantic")), KEYS).join(chunk_lexical(found, chunks, asks), KEYS, "left")

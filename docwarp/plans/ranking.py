@@ -57,6 +57,7 @@ class Asked:
         self.t = t = Tables(spark, sf)
         self.asks = t.asks
         self.found = el.eligible(t.asks, t.users, t.perms, t.docs, t.revisions, t.departments)
+        self.texts = el.ready_texts(t.docs, t.revisions)
 
     @property
     def best(self):
@@ -64,11 +65,11 @@ class Asked:
 
     @property
     def meant(self):
-        return rk.semantic(self.found, self.t.chunks, self.t.vectors, self.asks)
+        return rk.semantic(self.found, self.t.chunks, self.t.vectors, self.asks, texts=self.texts)
 
     @property
     def parts(self):
-        return rt.components(self.found, self.t.chunks, self.best, self.asks)
+        return rt.components(self.found, self.t.chunks, self.best, self.asks, self.texts)
 
     @property
     def sem(self):
@@ -113,7 +114,7 @@ def r4(spark, sf):
 @query("R5_body_boost", orc("SELECT request_id, document_id FROM body_hit WHERE has AND request_id IN (SELECT request_id FROM body_fire)"))
 def r5(spark, sf):
     a = Asked(spark, sf)
-    return rk.body_matches(a.found, a.asks)
+    return rk.body_matches(a.found, a.asks, texts=a.texts)
 
 
 @query("R6_semantic_search", orc("SELECT request_id, document_id, chunk_id, score, rank, total FROM paged"))
@@ -141,14 +142,14 @@ def r8(spark, sf):
 @query("R9_lexical_search")
 def r9(spark, sf):
     a = Asked(spark, sf)
-    return rk.ranked(rk.lexical(a.found, a.asks))
+    return rk.ranked(rk.lexical(a.found, a.asks, texts=a.texts))
 
 
 @query("R10_lexical_chunk", orc("""SELECT h.request_id, h.document_id, c.chunk_id, c.chunk_score FROM (SELECT request_id, document_id FROM body_hit WHERE has) h LEFT JOIN
   (SELECT request_id, document_id, chunk_id, round(ws, 6) AS chunk_score FROM body_ws WHERE round(ws, 6) >= 0.6 QUALIFY row_number() OVER (PARTITION BY request_id, document_id ORDER BY round(ws, 6) DESC, chunk_id) = 1) c USING (request_id, document_id)"""))
 def r10(spark, sf):
     a = Asked(spark, sf)
-    hits = rk.body_hits(a.found, a.asks, sim.contains_text)
+    hits = rk.body_hits(a.found, a.asks.where(F.trim("query") != ""), F.lower, a.texts)
     return rk.lexical_chunks(hits, a.found, a.t.chunks, a.asks, 0.6)
 
 
@@ -162,7 +163,7 @@ def r12(spark, sf):
     a = Asked(spark, sf)
     q = F.col("request_id") % 3
     modes = a.asks.withColumn("query", F.when(q == 0, F.lit(" ")).otherwise(F.col("query"))).withColumn("mode", F.when(q == 1, "lexical"))
-    return rk.route(a.found, a.t.chunks, a.t.vectors, modes)
+    return rk.route(a.found, a.t.chunks, a.t.vectors, modes, texts=a.texts)
 
 
 @query("R13_display_snippet", oracle(r"SELECT id AS chunk_id, CASE WHEN length(f) > 200 THEN rtrim(substr(f, 1, 200)) || '…' ELSE f END AS snippet FROM (SELECT id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM chunks)"))
