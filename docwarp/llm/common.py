@@ -2,60 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from docwarp.operators.scratch import scratch_path, shared_dir, written
+
+__all__ = ["LOWER_BYTES", "UPPER", "ascii_lower", "running_offsets", "scratch_path", "shared_dir", "table", "written"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes.translate table that lower-cases A-Z only.
 LOWER_BYTES = bytes(range(256)).translate(bytes.maketrans(UPPER.encode(), UPPER.lower().encode()))
 
-_OWN_DIR: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append(tempfile.mkdtemp(prefix="spark-docwarp-"))
-    return "file://" + _OWN_DIR[0]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when this Python process ends."""
-    path = f"{shared_dir(spark)}/docwarp-{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-
-    def forget() -> None:
-        try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        except Exception:  # the JVM may be gone already
-            pass
-
-    atexit.register(forget)
-    return path
-
-
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())
@@ -66,7 +30,6 @@ def running_offsets(df: DataFrame, order: list[str], value: str, out: str = "sta
 
     Rows are range-partitioned and written once; only one total per partition meets in one place.
     """
-    spark = df.sparkSession
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     parts = written(ranged.withColumn("_part", F.spark_partition_id()), "ranged")
     ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
