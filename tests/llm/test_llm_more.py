@@ -52,7 +52,7 @@ def words(text):
 
 
 def test_license_notices_brute_force(spark, sf):
-    """Each notice with at most one word added, left out or replaced is found where three words stay together, each found span is as like its notice as it says, and no document without a likely window has a label."""
+    """Each notice with at most one word added, left out or replaced is found where three words stay together and what its pairs of words span is alike, each found span is as like its notice as it says, and no document without a likely window has a label."""
     rng = random.Random(8)
     rows, want = [], {}
     for i in range(120):
@@ -62,9 +62,10 @@ def test_license_notices_brute_force(spark, sf):
         changed = w[:at] + {0: [w[at]], 1: ["added", w[at]], 2: [], 3: ["other"]}[kind] + w[at + 1 :]
         noise = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
         rows.append((10_000 + i, " ".join([*noise(rng.randrange(30)), *changed, *noise(rng.randrange(30))]).upper()))
-        like = len(set(w) & set(changed)) / len(set(w) | set(changed))
-        run = max(at, len(w) - at - (kind > 1))  # unchanged words on one side: a diagonal needs two votes
-        want[10_000 + i] = t.label if like >= 0.8 and run >= 3 else None
+        left, right = w[:at], w[at + (kind > 1) :]
+        kept = changed if min(len(left), len(right)) > 1 else max(left, right, key=len)  # a lone word beside the change has no pair
+        like = len(set(w) & set(kept)) / len(set(w) | set(kept))
+        want[10_000 + i] = t.label if like >= 0.8 and max(len(left), len(right)) >= 3 else None  # a diagonal needs two votes
     docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string"))
     found = licenses.scan(docs).collect()
     texts = {r.doc_id: words(r.text) for r in docs.collect()}
