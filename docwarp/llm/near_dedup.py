@@ -17,6 +17,7 @@ goes, the rest is verified on the full sets, exactly. Of a block's links those t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ SMALL = 48  # sets of fewer shingles use prefix keys
 EMPTY = 0xFFFF
 EXACT = 512  # sets of at most so many shingles are compared in full where members meet
 BLOCK = 256  # members of a key that one block compares with each other and with the chosen ones
+TOGETHER = 64  # sets whose registers are made at a time
 PAIRS = 1 << 14  # pairs whose registers are compared at a time
 EACH = 4  # pairs with large sets that a member of a block leaves to verify in a round; the rest waits for their outcome
 CROWD = 16  # keys of more blocks are split
@@ -87,19 +89,22 @@ def shingle_sets(texts: pa.Array, width: int, chars: int = 8_000_000) -> Iterato
         at = end
 
 
-def registers(hashes: np.ndarray) -> np.ndarray:
-    """Per bucket of the top bits, the smallest remaining hash as leading zeros and mantissa; EMPTY where there is none."""
+def registers_of(sets: list[np.ndarray]) -> np.ndarray:
+    """Registers of several sorted sets, a row each: per bucket of the top bits, the smallest remaining hash as leading zeros and mantissa; EMPTY where there is none."""
     n = 1 << BUCKETS
-    edges = np.arange(n, dtype=np.uint64) << np.uint64(64 - BUCKETS)
-    first = np.searchsorted(hashes, edges)
-    held = np.minimum(first, max(len(hashes) - 1, 0))
-    least = hashes[held] if len(hashes) else np.zeros(n, np.uint64)
-    there = (first < len(hashes)) & (least >> np.uint64(64 - BUCKETS) == np.arange(n, dtype=np.uint64))
-    rest = (least << np.uint64(BUCKETS)) | np.uint64(1)
+    out = np.full(len(sets) * n, EMPTY, np.uint16)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    place = np.repeat(np.arange(len(sets)) * n, [len(s) for s in sets]) + (flat >> np.uint64(64 - BUCKETS)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])[: len(flat)])  # sets are sorted
+    rest = (flat[first] << np.uint64(BUCKETS)) | np.uint64(1)
     zeros = (64 - np.frexp((rest >> np.uint64(11)).astype(np.float64))[1] - 11).clip(0, 62).astype(np.uint64)
     mantissa = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
-    code = (zeros << np.uint64(MANTISSA)) | mantissa
-    return np.where(there, code, np.uint64(EMPTY)).astype(np.uint16)
+    out[place[first]] = (zeros << np.uint64(MANTISSA)) | mantissa
+    return out.reshape(-1, n)
+
+
+def registers(hashes: np.ndarray) -> np.ndarray:
+    return registers_of([hashes])[0]
 
 
 _ORDER = np.random.default_rng(11).permuted(np.tile(np.arange(1 << BUCKETS), (1 << BUCKETS, 1)), axis=1)
@@ -111,22 +116,28 @@ def rows_for(percent: int, miss: float = 1e-6) -> int:
     return max(r for r in range(1, 17) if r == 1 or (1 - t**r) ** (m // r) < miss)
 
 
-def band_keys(regs: np.ndarray, size: int) -> np.ndarray:
-    """One 64-bit key per band. An empty register takes the first full one in a fixed random order of its own."""
+def band_keys_of(regs: np.ndarray, size: int) -> np.ndarray:
+    """One 64-bit key per band for each row of registers, of which some are full. An empty one takes the first full one in a fixed random order of its own."""
     full = regs != EMPTY
     filled = regs.astype(np.uint64)
-    if not full.all():
-        gaps = np.flatnonzero(~full)
-        source = _ORDER[gaps, full[_ORDER[gaps]].argmax(axis=1)]
-        filled[gaps] = regs[source].astype(np.uint64) | (source.astype(np.uint64) << np.uint64(16))
-    n = len(regs) // size
-    rows = filled[: n * size].reshape(n, size)
-    key = np.arange(1, n + 1, dtype=np.uint64)
+    rows, gaps = np.nonzero(~full)
+    source, open_, j = _ORDER[gaps, 0], np.arange(len(gaps)), 1
+    while len(open_ := open_[~full[rows[open_], source[open_]]]):
+        source[open_] = _ORDER[gaps[open_], j]
+        j += 1
+    filled[rows, gaps] = regs[rows, source].astype(np.uint64) | (source.astype(np.uint64) << np.uint64(16))
+    n = regs.shape[1] // size
+    parts = filled[:, : n * size].reshape(len(regs), n, size)
+    key = np.tile(np.arange(1, n + 1, dtype=np.uint64), (len(regs), 1))
     for j in range(size):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, j])
     return key
 
 
+def band_keys(regs: np.ndarray, size: int) -> np.ndarray:
+    return band_keys_of(regs[None], size)[0]
+
+
 def prefix_keys(hashes: np.ndarray, percent: int, more: int = 0) -> np.ndarray:
     """Sets with a Jaccard of ``percent`` / 100 share 1 + ``more`` of these (or all of the smaller set): the smallest hashes, as many as the prefix filter needs."""
     n = len(hashes)
@@ -141,14 +152,17 @@ def _features(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         for batch in batches:
             sizes, nodes, regs, keys = [], [], [], []
-            for s in shingle_sets(batch.column(2), width):
-                sizes.append(len(s))
-                nodes.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                r = registers(s)
-                regs.append(r.tobytes() if len(s) else None)
-                own = [prefix_keys(s, percent)] if len(s) and percent * len(s) < 100 * SMALL else []
-                own += [band_keys(r, band)] if len(s) >= SMALL else []
-                keys.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
+            found = shingle_sets(batch.column(2), width)
+            while some := list(islice(found, TOGETHER)):
+                rows = registers_of(some)
+                banded = iter(band_keys_of(rows[[len(s) >= SMALL for s in some]], band))
+                for s, r in zip(some, rows, strict=True):
+                    sizes.append(len(s))
+                    nodes.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    regs.append(r.tobytes() if len(s) else None)
+                    own = [prefix_keys(s, percent)] if len(s) and percent * len(s) < 100 * SMALL else []
+                    own += [next(banded)] if len(s) >= SMALL else []
+                    keys.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))
             columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n", "node", "regs", "keys"])
 
@@ -449,7 +463,11 @@ def _block(key: int | None, group: list[tuple], percent: int, sigmas: float) ->
     if not len(first):
         return out
     # what the registers leave, likely pairs first
-    regs = np.stack([np.frombuffer(d, np.uint16) if k > EXACT else registers(np.frombuffer(d, np.uint64)) for d, k in zip(data, sizes, strict=True)])
+    sets = {i: np.frombuffer(data[i], np.uint64) for i in np.flatnonzero(n <= EXACT).tolist()}
+    regs = np.empty((len(group), 1 << BUCKETS), np.uint16)
+    regs[n <= EXACT] = registers_of(list(sets.values()))
+    for i in np.flatnonzero(n > EXACT).tolist():
+        regs[i] = np.frombuffer(data[i], np.uint16)
     parts = [slice(at, at + PAIRS) for at in range(0, len(first), PAIRS)]
     tried = [_may_reach(regs[first[p]], regs[second[p]], n[first[p]], n[second[p]], percent, sigmas) for p in parts]
     keep, likely = (np.concatenate([t[i] for t in tried]) for i in (0, 1))
@@ -460,7 +478,6 @@ def _block(key: int | None, group: list[tuple], percent: int, sigmas: float) ->
     pair = lambda i, j, sure: (min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), sure, None)
     # both sets are here: verify pair by pair while that joins components, the rest of them all at once
     here = (n[first] <= EXACT) & (n[second] <= EXACT)
-    sets = {i: np.frombuffer(data[i], np.uint64) for i in np.flatnonzero(n <= EXACT).tolist()}
     i_here, j_here = first[here].tolist(), second[here].tolist()
     tries = 4 * len(group)
     for at, (i, j) in enumerate(zip(i_here, j_here, strict=True)):
