@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarp.llm import chat, decontaminate, exact_dedup, langid, licenses, near_dedup, packing, substring_dedup, tokenstore, warc
+from docwarp.llm import chat, collocations, decontaminate, exact_dedup, langid, licenses, near_dedup, packing, substring_dedup, tokenstore, warc
 from docwarp.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,6 +171,30 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op11_collocations",
+    r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(ps) AS piece FROM t)),
+total AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, any_value(w[i : i + k - 1]) AS w, count(*) AS n
+  FROM p, unnest(generate_series(1, 5)) AS s(k), unnest(generate_series(1, len(w) - k + 1)) AS u(i) WHERE len(w) >= k GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (SELECT * FROM f WHERE k > 1),
+inside AS (SELECT DISTINCT c.lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, n FROM c, unnest(generate_series(2, k - 1)) AS s(m), unnest(generate_series(1, k - m + 1)) AS u(i)),
+kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inside WHERE inside.lang = c.lang AND inside.phrase = c.phrase AND 100 * inside.n >= 100 * c.n)),
+cuts AS (SELECT kept.lang, kept.phrase, kept.n AS a, j, x.n AS l, y.n AS r, total.n AS n,
+    (CAST(1000 AS HUGEINT) * kept.n * total.n) // (CAST(x.n AS HUGEINT) * y.n) AS score
+  FROM kept JOIN total USING (lang), unnest(generate_series(1, k - 1)) AS s(j)
+  JOIN f AS x ON x.lang = kept.lang AND x.phrase = array_to_string(kept.w[:j], ' ') JOIN f AS y ON y.lang = kept.lang AND y.phrase = array_to_string(kept.w[j + 1 :], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000
+""",
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
