@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarp.llm import chat, collocations, decontaminate, exact_dedup, langid, licenses, near_dedup, packing, substring_dedup, tokenstore, warc
+from docwarp.llm import align, chat, collocations, decontaminate, exact_dedup, langid, licenses, near_dedup, packing, substring_dedup, tokenstore, warc
 from docwarp.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +195,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+@query("op13_token_alignment")
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
