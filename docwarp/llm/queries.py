@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docwarp.llm import align, chat, collocations, decontaminate, exact_dedup, langid, licenses, near_dedup, packing, substring_dedup, tokenstore, warc
+from docwarp.llm import align, chat, collocations, decontaminate, exact_dedup, langid, licenses, near_dedup, packing, pii, substring_dedup, tokenstore, warc
 from docwarp.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -195,6 +195,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+@query("op12_pii")
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs)).withColumn("base", F.filter("spans", lambda s: s["base"]))
+    counts = [F.size(F.filter("base", lambda s, kind=k: s["kind"] == kind)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 @query("op13_token_alignment")
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"))
