@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from docwarp.llm.common import written
 from docwarp.llm.tokens import _byte_alphabet, ragged
 
-SLICE, ENTRIES, MEMO = 8 << 20, 2_000_000, 200_000
+SLICE, ENTRIES, MEMO, PART = 4 << 20, 1_000_000, 200_000, 4096
 _LOADED: dict[str, "Pair"] = {}
 
 
@@ -55,6 +55,9 @@ class Pair:
     """Both tokenizers, and the units met last with all that is known of them."""
 
     def __init__(self, a: str, b: bytes):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on each core already
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -84,18 +87,18 @@ class Pair:
         return np.fromiter((self.seen[u] for u in units), np.int64, len(units))
 
     def _learn(self, units: list[str]) -> None:
-        sides, counts, equal = [], [], np.ones(len(units), bool)
-        raw = [u.encode() for u in units]
-        for table, found in (
-            (self.a_bytes, [e.ids for e in self.a.encode_batch(units, add_special_tokens=False)]),
-            (self.b_bytes, self.b.encode([u[1:] for u in units])),  # B adds the first blank itself
-        ):
-            equal &= np.fromiter((b"".join([table[i] for i in ids]) == r for ids, r in zip(found, raw, strict=True)), bool, len(units))
-            sides.append(found)
-        for i, found in enumerate(sides):
-            found = [ids if ok else [] for ids, ok in zip(found, equal, strict=True)]
-            counts.append(np.array([len(x) for x in found], np.int64))
-            sides[i] = np.fromiter((x for ids in found for x in ids), np.int64, counts[-1].sum())
+        sides, counts, equal = ([], []), ([], []), []
+        for at in range(0, len(units), PART):
+            part = units[at : at + PART]
+            found = [e.ids for e in self.a.encode_batch_fast(part, add_special_tokens=False)], self.b.encode([u[1:] for u in part])  # B adds the first blank itself
+            same = np.ones(len(part), bool)
+            for table, ids in zip((self.a_bytes, self.b_bytes), found, strict=True):
+                same &= np.fromiter((b"".join([table[i] for i in x]) == u.encode() for x, u in zip(ids, part, strict=True)), bool, len(part))
+            for side, count, ids in zip(sides, counts, found, strict=True):
+                count.append(np.fromiter(map(len, ids), np.int64, len(part)) * same)
+                side.append(np.fromiter((x for own, ok in zip(ids, same, strict=True) if ok for x in own), np.int64, count[-1].sum()))
+            equal.append(same)
+        sides, counts, equal = [np.concatenate(x) for x in sides], [np.concatenate(x) for x in counts], np.concatenate(equal)
         ends = [np.cumsum(size[ids]) for size, ids in zip(self.sizes, sides, strict=True)]
         of_a, of_b, n = jump(*ends)
         in_a, in_b = np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n)
@@ -149,9 +152,25 @@ def unit_cuts(data: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     wide = (at(2) == 0xC2) & ((before == 0x85) | (before == 0xA0)) | (at(3) == 0xE1) & ((at(2) == 0x9A) | (at(2) == 0xA0)) & (before < 0x90)
     wide |= (at(3) == 0xE2) & ((at(2) == 0x80) | (at(2) == 0x81)) | (at(3) == 0xE3) & (at(2) == 0x80) & (before == 0x80)
     ok = (before > 0x20) & (before != 0x7F) & ~wide & (after > 0x20) & (after != 0x7F)
-    # a text's own first blank is a cut anyway, but no blank that ends the text before it is one
-    ends = np.isin(blank + 1, doc_starts)
-    return np.union1d(doc_starts, blank[ok & ~ends])
+    first = np.zeros(n + 1, bool)
+    first[doc_starts] = True
+    cut = first.copy()
+    cut[blank[ok & ~first[blank + 1]]] = True  # a blank that ends a text is none
+    return np.flatnonzero(cut[:n])
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Numbers of any size, compressed, with their lengths before them."""
+    raw = np.concatenate([[len(columns)], [len(c) for c in columns], *columns]).astype(np.int64)
+    small = len(raw) == 0 or (raw.min() >= 0 and raw.max() < 1 << 31)
+    raw = raw.astype(np.int32) if small else raw
+    return (b"s" if small else b"l") + raw.nbytes.to_bytes(8, "little") + pa.compress(raw.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob[9:], int.from_bytes(blob[1:9], "little"), "zstd"), np.int32 if blob[:1] == b"s" else np.int64).astype(np.int64)
+    n = int(raw[0])
+    return np.split(raw[n + 1 :], np.cumsum(raw[1 : n + 1])[:-1])
 
 
 class Batch:
@@ -219,15 +238,15 @@ class Batch:
             rows = end
         packed = []
         for a, b in zip(firsts[:-1], firsts[1:], strict=True):
-            steps = np.diff(code[a:b], prepend=0).astype(np.int32)
-            packed.append(pa.compress(np.concatenate([steps, times[a:b].astype(np.int32)]).tobytes(), "zstd", asbytes=True))
+            steps = np.diff(code[a:b], prepend=0)
+            packed.append(_packed(steps, times[a:b]))
         columns = list(zip(*self.rows, strict=True))
         own = [pa.array([name] * len(packed), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 5 + [pa.string()], strict=True))]
         nothing = pa.nulls(len(packed), pa.binary())
-        blank = [pa.nulls(1, t) for t in [pa.int64()] * 5 + [pa.string(), pa.int64(), pa.binary()]]
-        kinds = ["batch", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_units", "units", "pairs", "docs", "links"]
-        blobs = [pa.array([x.tobytes()], pa.binary()) for x in (links, docs_of, np.concatenate([[len(used)], in_unit, slots, weights]))]
-        yield pa.RecordBatch.from_arrays([*own, pa.array(per_doc, pa.int64()), pa.array(packed, pa.binary()), nothing, nothing, nothing], kinds)
+        blank = [pa.nulls(1, t) for t in [pa.int64()] * 5 + [pa.string(), pa.binary()]]
+        kinds = ["batch", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "units", "pairs", "docs", "links"]
+        blobs = [pa.array([_packed(*x)], pa.binary()) for x in ([links], [docs_of], [in_unit, slots, weights])]
+        yield pa.RecordBatch.from_arrays([*own, pa.array(packed, pa.binary()), nothing, nothing, nothing], kinds)
         yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *blank, *blobs], kinds)
         self.number += 1
         self.clear()
@@ -236,7 +255,7 @@ class Batch:
 
 
 ENCODED = (
-    "batch long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_units long, units binary, "
+    "batch long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, units binary, "
     "pairs binary, docs binary, links binary"
 )
 
@@ -279,7 +298,7 @@ def pairs_of(encoded: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for name, links, docs in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
-                links, docs = np.frombuffer(links, np.int64), np.frombuffer(docs, np.int64)
+                (links,), (docs,) = _unpacked(links), _unpacked(docs)
                 for at in range(0, len(links), 100_000):
                     part = links[at : at + 100_000]
                     columns = [np.full(len(part), name), np.arange(at, at + len(part)), part >> 32, part & 0xFFFFFFFF, docs[at : at + 100_000]]
@@ -302,10 +321,8 @@ def _answers(docs: pa.Table, found: pa.Table) -> pa.Table:
     whole = docs.filter(pc.is_valid(docs["links"]))
     docs = docs.filter(pc.is_null(docs["links"]))
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
-    blob = np.frombuffer(whole["links"][0].as_py(), np.int64)
-    n, order = int(blob[0]), np.argsort(found["place"].to_numpy())
-    in_unit, slots = blob[1 : n + 1], blob[n + 1 : n + 1 + (len(blob) - n - 1) // 2]
-    weights = blob[n + 1 + len(slots) :]
+    in_unit, slots, weights = _unpacked(whole["links"][0].as_py())
+    n, order = len(in_unit), np.argsort(found["place"].to_numpy())
     counts, best = found["count"].to_numpy()[order], found["best"].to_numpy().astype(np.int64)[order]
     unit = np.repeat(np.arange(n), in_unit)
     per_unit = []
@@ -314,10 +331,9 @@ def _answers(docs: pa.Table, found: pa.Table) -> pa.Table:
         np.add.at(total, unit, weights * values[slots])
         per_unit.append(total)
     sums = []
-    for k, packed in zip(docs["n_units"].to_pylist(), docs["units"].to_pylist(), strict=True):
-        steps = np.frombuffer(pa.decompress(packed, 8 * k, "zstd"), np.int32).astype(np.int64) if k else np.zeros(0, np.int64)
-        code, times = np.cumsum(steps[:k]), steps[k:]
-        sums.append([int((t[code] * times).sum()) for t in per_unit])
+    for packed in docs["units"].to_pylist():
+        steps, times = _unpacked(packed)
+        sums.append([int((t[np.cumsum(steps)] * times).sum()) for t in per_unit])
     columns = {c: docs[c] for c in names if c in docs.column_names}
     columns |= {c: pa.array([s[i] for s in sums], pa.int64()) for i, c in enumerate(("n_best", "count_sum"))}
     return pa.table([columns[c] for c in names], names)
