@@ -29,7 +29,7 @@ _KINDS = np.zeros(256, np.uint8)
 _KINDS[[0x20, 0x09]] = 1
 _KINDS[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
 _LOWER = np.frombuffer(LOWER_BYTES, np.uint8)
-SLICE, CHUNK = 16 << 20, 1 << 16
+SLICE, CHUNK = 4 << 20, 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
