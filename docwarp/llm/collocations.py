@@ -5,10 +5,12 @@ missing words are padded with ''. Equal windows are counted once, and Spark's RO
 shorter prefixes: the sum over a prefix of k words is the number of occurrences of that phrase, overlaps included, as each
 occurrence opens exactly one window. No n-gram of any order is exploded by itself.
 
-A window may also end where no candidate can go on. A first pass counts adjacent pairs in a fixed array of counters by hash; a
-counter is never less than the count of any pair in it, so a pair whose counter stays under ``least`` is in no candidate, and
-windows are padded there. Results do not depend on it. The array has ``counters`` bytes whatever the input; it is the
-only thing that is broadcast (as bits).
+A window also ends where no candidate can go on. Before, two passes count phrases by hash in fixed arrays of counters: words and
+pairs first, then longer phrases of pairs that are left. A counter is never less than the count of any phrase in it, so a phrase
+whose counter stays under ``least`` is no candidate or part of one, and windows are padded there (wholly, at a rare word). Results
+do not depend on it; it keeps what is shuffled near the number of frequent phrases as long as the arrays are not crowded: about
+one counter for ten words of the corpus. They have ``counters`` bytes each in a task and an eighth of that as bits, the
+only thing that is broadcast.
 """
 
 from __future__ import annotations
@@ -79,26 +81,48 @@ class Words:
 
         return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in names.to_pylist()), np.uint64, len(names))
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where a next word follows, and the hash of (language, word, next word) there."""
-        names, langs = _mix(self._hashes(self.names)), self._hashes(self.langs)
-        here = np.flatnonzero(self.goes_on)
-        return here, _mix(names[self.code[here]] * np.uint64(3) + _mix(names[self.code[here + 1]] + langs[self.lang[here]]))
-
-
-def pair_bounds(docs: DataFrame, least: int, counters: int) -> np.ndarray:
-    """One bit per counter: whether the pairs in it may reach ``least`` together. The array has a fixed size, whatever the input."""
+    def chains(self, most: int, *allowed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, places, hashes of language and phrase) of the phrases of k words, k from 1 to ``most``. The counters that are given, of up
+        to two words and of more, cut off what they do not allow; phrases go on only where the part after their first word does."""
+        names, langs = self._hashes(self.names), self._hashes(self.langs)
+        at, marks = np.arange(len(self.code)), _mix(names[self.code] + _mix(langs)[self.lang])
+        names = _mix(names)
+        for k in range(1, most + 1):
+            if k > 1:
+                goes = self.goes_on[at + k - 2]
+                if k > 2:
+                    goes = goes & left[at + 1]  # noqa: F821
+                at, marks = at[goes], marks[goes]
+                marks = _mix(marks * np.uint64(3) + names[self.code[at + k - 1]])
+            which = 0 if k < 3 else 1
+            if which < len(allowed):
+                bits = allowed[which]
+                may = bits[marks & np.uint64(len(bits) - 1)]
+                at, marks = at[may], marks[may]
+            yield k, at, marks
+            left = np.zeros(len(self.code) + 1, bool)
+            left[at] = True
+
+
+def bounds(docs: DataFrame, orders: tuple[int, int], least: int, counters: int, before: np.ndarray | None = None) -> np.ndarray:
+    """One bit per counter: whether the phrases of so many words in it (both included) may reach ``least`` together. ``before`` are the
+    bits for words and pairs. The array has a fixed size, whatever the input."""
     chunk, full = min(CHUNK, counters), min(least, 255)
+    bits = None if before is None else docs.sparkSession.sparkContext.broadcast(np.packbits(before))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(counters, np.uint8)
+        allowed = () if bits is None else (np.unpackbits(bits.value).astype(bool),)
         for batch in batches:
             for texts, langs in slices(batch):
-                slots, n = np.unique(Words(texts, langs).pairs()[1] & np.uint64(counters - 1), return_counts=True)
-                own[slots] = np.minimum(own[slots] + np.minimum(n, 255), full)
+                for k, _, marks in Words(texts, langs).chains(orders[1], *allowed):
+                    if k >= orders[0]:
+                        slots, n = np.unique(marks & np.uint64(counters - 1), return_counts=True)
+                        own[slots] = np.minimum(own[slots] + np.minimum(n, 255), full)
         used = np.flatnonzero(own.reshape(-1, chunk).any(axis=1))
-        packed = [pa.compress(own[k * chunk : (k + 1) * chunk].tobytes(), "zstd", asbytes=True) for k in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
+        for part in np.array_split(used, max(1, len(used) // 64)):
+            packed = [pa.compress(own[k * chunk : (k + 1) * chunk].tobytes(), "zstd", asbytes=True) for k in part]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = None, None
@@ -116,7 +140,7 @@ def pair_bounds(docs: DataFrame, least: int, counters: int) -> np.ndarray:
     parts = docs.select("text", "lang").mapInArrow(count, "part int, counts binary")
     merged = parts.repartition("part").sortWithinPartitions("part").mapInArrow(add, "part int, bits binary")
     out = np.zeros((counters // chunk, chunk // 8), np.uint8)
-    for row in merged.toLocalIterator():  # counters / 8 bytes in all
+    for row in merged.collect():  # counters / 8 bytes in all
         out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
     return np.unpackbits(out.ravel()).astype(bool)
 
@@ -125,31 +149,28 @@ def _rank(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1].astype(np.int64)
 
 
-def windows(docs: DataFrame, most: int, allowed: np.ndarray) -> DataFrame:
+def windows(docs: DataFrame, most: int, *allowed: np.ndarray) -> DataFrame:
     """lang, w1 .. w<most>, n: the padded longest windows of a slice of texts and how often it has each."""
     names = [f"w{i + 1}" for i in range(most)]
-    bits, size = docs.sparkSession.sparkContext.broadcast(np.packbits(allowed)), np.uint64(len(allowed) - 1)
+    bits = docs.sparkSession.sparkContext.broadcast([np.packbits(x) for x in allowed])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = np.unpackbits(bits.value).astype(bool)
+        may = [np.unpackbits(x).astype(bool) for x in bits.value]
         for batch in batches:
             for texts, langs in slices(batch):
                 words = Words(texts, langs)
-                here, hashes = words.pairs()
-                goes_on = np.zeros(len(words.code) + most, bool)
-                goes_on[here[may[hashes & size]]] = True
+                length = np.zeros(len(words.code), np.int8)
+                for k, at, _ in words.chains(most, *may):
+                    length[at] = k
                 vocabulary = len(words.names) + 1
                 lead = np.concatenate([words.code, np.full(most, -1)])
-                longer = np.flatnonzero(goes_on[: len(words.code)])
-                # windows of one word are counted by number, longer ones column by column
-                alone = np.ones(len(words.code), bool)
-                alone[longer] = False
-                single, counts = np.unique(words.lang[alone] * vocabulary + words.code[alone], return_counts=True)
-                columns, reach = [lead[longer]], np.ones(len(longer), bool)
-                key = _rank(words.lang[longer] * vocabulary + lead[longer])
+                # windows of at most one word are counted by number (the last one is the padding), longer ones column by column
+                short, longer = np.flatnonzero(length < 2), np.flatnonzero(length > 1)
+                first_word = np.where(length[short] == 0, vocabulary - 1, words.code[short])
+                single, counts = np.unique(words.lang[short] * vocabulary + first_word, return_counts=True)
+                columns, key = [lead[longer]], _rank(words.lang[longer] * vocabulary + lead[longer])
                 for i in range(1, most):
-                    reach = reach & goes_on[longer + i - 1]
-                    columns.append(np.where(reach, lead[longer + i], -1))
+                    columns.append(np.where(length[longer] > i, lead[longer + i], -1))
                     key = _rank(key * vocabulary + columns[-1] + 1)
                 _, first, n = np.unique(key, return_index=True, return_counts=True)
                 texts_of = pa.concat_arrays([words.names.cast(pa.string()), pa.array([""])])  # -1 is the padding
@@ -165,13 +186,16 @@ def windows(docs: DataFrame, most: int, allowed: np.ndarray) -> DataFrame:
     return docs.select("text", "lang").mapInArrow(run, f"{kinds}, n long").groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
-def frequencies(docs: DataFrame, most: int = 5, least: int = 100, counters: int = 1 << 24) -> DataFrame:
+def frequencies(docs: DataFrame, most: int = 5, least: int = 100, counters: int = 1 << 25) -> DataFrame:
     """lang, words (how many; 0: the language as a whole), phrase (space-joined), n: all phrases of up to ``most`` words that occur
     ``least`` times in a language, and the number of all its words."""
     names = [f"w{i + 1}" for i in range(most)]
+    allowed = [bounds(docs, (1, 2), least, counters)]
+    if most > 2:
+        allowed.append(bounds(docs, (3, most), least, counters, *allowed))
     sums = docs.sparkSession.sql(
         f"SELECT lang, {', '.join(names)}, sum(n) AS n FROM {{windows}} GROUP BY lang, ROLLUP ({', '.join(names)})",
-        windows=windows(docs, most, pair_bounds(docs, least, counters)),
+        windows=windows(docs, most, *allowed),
     )
     length = sum(F.col(c).isNotNull().cast("int") for c in names)
     # a prefix that ends in padding is a shorter phrase's row, which is counted at its own length
@@ -181,7 +205,7 @@ def frequencies(docs: DataFrame, most: int = 5, least: int = 100, counters: int
     return written(kept.select("lang", length.alias("words"), phrase.alias("phrase"), "n"), "phrases")
 
 
-def mine(docs: DataFrame, most: int = 5, least: int = 100, percent: int = 100, top: int = 2000, counters: int = 1 << 24, salts: int = 64) -> DataFrame:
+def mine(docs: DataFrame, most: int = 5, least: int = 100, percent: int = 100, top: int = 2000, counters: int = 1 << 25, salts: int = 64) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of 2 to ``most`` words with a >= ``least`` occurrences.
 
     A-Z are lower-cased; words are runs of anything but blanks and tabs inside pieces, which end at ``[.,;:!?\\x0A-\\x0D]``. l and r count
