@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from docwarp.functions.extents import similarities
+
 _SPLIT = r"[^\p{L}\p{N}]+"
 
 
@@ -47,45 +48,17 @@ def word_similarity_short(query: Column, text: Column) -> Column:
     return best(q, t, at)
 
 
-def similarity(query: str, text: str) -> float:
-    """word_similarity of two strings. The best extent begins and ends on a trigram of the query, so only those places are visited; an
-    extent stops growing once it cannot beat the best so far."""
-    q = frozenset(_trigrams(query))
-    trigrams, places = _indexed(text)
-    hits = sorted(i for t in q for i in places.get(t, ()))
-    best = 0.0
-    for k, start in enumerate(hits):
-        shared, other, last = set(), set(), start
-        for at in hits[k:]:
-            other.update(trigrams[last:at])
-            other -= q
-            if best and len(q) / (len(q) + len(other)) <= best:
-                break
-            shared.add(trigrams[at])
-            best = max(best, len(shared) / (len(q) + len(other)))
-            last = at
-    return best
-
-
-@lru_cache(maxsize=256)
-def _indexed(text: str) -> tuple[list[str], dict[str, list[int]]]:
-    """A text's trigrams and where each stands; kept for the next queries of the same text."""
-    trigrams, places = _trigrams(text), {}
-    for i, t in enumerate(trigrams):
-        places.setdefault(t, []).append(i)
-    return trigrams, places
-
-
-def _trigrams(text: str | None) -> list[str]:
-    import regex
-
-    return [f"  {w} "[i : i + 3] for w in regex.split(_SPLIT, (text or "").lower()) if w for i in range(len(w) + 1)]
+def similarity(query: str | None, text: str | None) -> float:
+    """word_similarity of two strings."""
+    return float(similarities([text], [query], np.zeros(1, np.int64), np.zeros(1, np.int64))[0])
 
 
 @pandas_udf(T.DoubleType())
 def word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
-    """word_similarity for texts of any length, in Arrow batches."""
-    return pd.Series([similarity(q, t) if q is not None and t is not None else 0.0 for q, t in zip(query, text, strict=True)], dtype="float64")
+    """word_similarity of pairs of any length, all pairs of an Arrow batch together; 0 where either is null."""
+    text_of, texts = pd.factorize(text.fillna(""))
+    query_of, queries = pd.factorize(query.fillna(""))
+    return pd.Series(similarities(list(texts), list(queries), text_of.astype(np.int64), query_of.astype(np.int64)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -6,14 +6,22 @@ Requests are a table; every operator partitions by request_id, so many searches
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docwarp.functions import similarity as sim
+from docwarp.functions.extents import similarities
 from docwarp.operators.eligibility import small
 
 TITLE_BOOST, BODY_BOOST, SELECTIVITY, FLOOR = 0.075, 0.10, 0.50, 0.20
+
+
 def page(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """rank and total per request. A page past the end is empty (so its total is 0); the total is an aggregate, not a window."""
     rank = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
@@ -126,10 +134,35 @@ def trigram_candidates(texts: DataFrame, queries: DataFrame, least: float = FLOO
     return shared.where(F.col("shared") >= least * F.col("n")).select("request_id", "key", (F.col("shared") / F.col("n")).alias("bound"))
 
 
+#: Queries that go to a task together with one text.
+QUERIES = 256
+
+
 def similar_texts(texts: DataFrame, queries: DataFrame, least: float = FLOOR) -> DataFrame:
-    """request_id, key, score of texts whose word similarity with the query is at least ``least``: candidates, then the exact value."""
-    rows = trigram_candidates(texts, queries, least).select("request_id", "key").join(texts, "key").join(small(queries), "request_id")
-    return rows.select("request_id", "key", F.round(sim.word_similarity(F.col("query"), F.col("text")), 6).alias("score")).where(F.col("score") >= least)
+    """request_id, key, score of texts whose word similarity with the query is at least ``least``: candidates, then the exact value.
+
+    A text meets its candidate queries in blocks, so it goes to Python once a block, and all pairs of an Arrow batch are compared together.
+    """
+    blocks = F.pmod(F.xxhash64("request_id"), F.lit(1 + queries.count() // QUERIES))
+    pairs = trigram_candidates(texts, queries, least).select("request_id", "key").join(small(queries), "request_id")
+    asked = pairs.groupBy("key", blocks.alias("block")).agg(F.collect_list(F.struct("request_id", "query")).alias("asked"))
+    rows = asked.select("key", "asked").join(texts.select("key", "text"), "key").select("key", "text", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                lists = part.column(2)
+                flat = lists.flatten()
+                queries = flat.field(1).dictionary_encode()
+                text_of = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                value = np.round(similarities(part.column(1).to_pylist(), queries.dictionary.to_pylist(), text_of, queries.indices.to_numpy().astype(np.int64), least), 6)
+                kept = np.flatnonzero(value >= least)
+                found = [flat.field(0).take(pa.array(kept)), part.column(0).take(pa.array(text_of[kept])), pa.array(value[kept])]
+                yield pa.RecordBatch.from_arrays(found, ["request_id", "key", "score"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"request_id {dict(queries.dtypes)['request_id']}, key {kinds['key']}, score double")
 
 
 def lexical(found: DataFrame, asks: DataFrame, least: float = FLOOR, texts: DataFrame | None = None) -> DataFrame:

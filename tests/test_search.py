@@ -86,3 +86,30 @@ def test_full_ranks(spark):
         order = sorted((-(d % 7), d) for d in range(1000) if d % 3 == q)
         assert [got[q, d] for _, d in order] == list(range(1, len(order) + 1))
     assert [r.id for r in global_rank(spark.range(50), [F.desc("id")]).orderBy("rank").collect()] == list(range(49, -1, -1))
+
+
+def test_similarities_equal_all_extents():
+    """Every extent of every pair, in all scripts, with repeats, nulls and blanks; a floor may only lower what lies under it."""
+    import random
+
+    import numpy as np
+    import regex
+
+    from docwarp.functions.extents import similarities
+
+    def trigrams(t):
+        return [f"  {w} "[i : i + 3] for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w for i in range(len(w) + 1)]
+
+    def brute(q, t):
+        q, t = set(trigrams(q)), trigrams(t)
+        return max((len(q & set(t[i : j + 1])) / len(q | set(t[i : j + 1])) for i in range(len(t)) for j in range(i, len(t))), default=0)
+
+    r = random.Random(3)
+    words = ["foo", "food", "bar", "barn", "b", "ab", "aaa", "aaaa", "Éa", "x1", "42", "문서"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 8))) for _ in range(40)] + [None, "", "..", "a" * 30, "İx ß"]
+    queries = [" ".join(r.choice(words) for _ in range(r.randint(0, 4))) for _ in range(20)] + [None, "", "-"]
+    t, q = map(np.ravel, np.meshgrid(np.arange(len(texts)), np.arange(len(queries))))
+    want = np.array([brute(queries[j], texts[i]) for i, j in zip(t, q)])
+    assert np.allclose(similarities(texts, queries, t, q), want, atol=1e-12)
+    some = similarities(texts, queries, t, q, 0.4)
+    assert np.allclose(some[want >= 0.4], want[want >= 0.4], atol=1e-12) and (some[want < 0.4] < 0.4).all()
