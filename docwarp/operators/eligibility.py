@@ -17,18 +17,36 @@ def small(df: DataFrame) -> DataFrame:
 READ_PERMISSIONS = ("READ", "WRITE", "ADMIN")
 
 
+#: Shares that the grants of a principal are dealt to, so that no principal (above all: everybody) meets in one task.
+SHARES = 32
+
+
+def principal_sets(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """request_id, caller (who the request may read as: its sorted principals). Requests with equal callers read the same documents.
+
+    Principals are everybody (active accounts only), the user and the user's department.
+    """
+    known = users.select(F.col("id").alias("user_id"), "department_id", ((F.col("status") == "ACTIVE") & F.col("is_active")).alias("active"))
+    rows = requests.select("request_id", "user_id").join(known, "user_id", "left")
+    principals = F.array(F.when(F.col("active"), "all"), F.concat(F.lit("u"), F.col("user_id")), F.concat(F.lit("d"), F.col("department_id")))
+    return rows.select("request_id", F.array_sort(F.array_compact(principals)).alias("caller"))
+
+
 def readable(requests: DataFrame, users: DataFrame, perms: DataFrame) -> DataFrame:
     """request_id, document_id of every grant that reaches the caller. Default deny; three principals; only public grants ask for an active account.
 
-    Each principal kind is an equi-join (or one small side for public grants), not one join over an OR.
+    Grants and callers meet over one key, the principal, once for each distinct caller; requests then take their caller's documents.
     """
-    callers = requests.select("request_id", "user_id").join(users.select(F.col("id").alias("user_id"), F.lit(True).alias("known"), "department_id", "is_active", "status"), "user_id", "left")
-    grants = perms.where(F.col("permission").isin(*READ_PERMISSIONS))
-    active = callers.where("known AND is_active AND status = 'ACTIVE'").select("request_id")
-    public = grants.where("is_public").select("document_id").distinct().join(small(active))  # every public document is readable to every active caller
-    own = grants.where("user_id IS NOT NULL").select("document_id", "user_id").join(callers.select("request_id", "user_id"), "user_id").select("document_id", "request_id")
-    team = grants.where("department_id IS NOT NULL").select("document_id", "department_id").join(callers.where("department_id IS NOT NULL").select("request_id", "department_id"), "department_id").select("document_id", "request_id")
-    return public.unionByName(own).unionByName(team).distinct().select("request_id", "document_id")
+    sets = principal_sets(requests, users)
+    principal = F.when(F.col("is_public"), "all").when(F.col("user_id").isNotNull(), F.concat(F.lit("u"), F.col("user_id")))
+    principal = F.coalesce(principal, F.concat(F.lit("d"), F.col("department_id")))
+    grants = perms.where(F.col("permission").isin(*READ_PERMISSIONS)).select("document_id", principal.alias("principal"))
+    grants = grants.where("principal IS NOT NULL").withColumn("share", F.pmod(F.xxhash64("document_id"), F.lit(SHARES)).cast("int"))
+    callers = sets.select("caller").distinct().select("caller", F.explode("caller").alias("principal"))
+    callers = callers.select("caller", "principal", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    reach = grants.join(callers, ["principal", "share"]).select("caller", "document_id", "share").distinct()
+    asked = sets.select("request_id", "caller", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    return reach.join(asked, ["caller", "share"]).select("request_id", "document_id")
 
 
 def is_ready() -> Column:

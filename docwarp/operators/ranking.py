@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 
 from docwarp.functions import similarity as sim
 from docwarp.functions.extents import similarities
-from docwarp.operators.eligibility import small
+from docwarp.operators.containment import contained
+from docwarp.operators.eligibility import BROADCAST_ROWS, small
 
 TITLE_BOOST, BODY_BOOST, SELECTIVITY, FLOOR = 0.075, 0.10, 0.50, 0.20
 
@@ -51,6 +52,53 @@ def best_chunk(scored: DataFrame) -> DataFrame:
     return scored.where("score IS NOT NULL").withColumn("rn", rank).where("rn = 1").drop("rn")
 
 
+def best_chunks(found: DataFrame, chunks: DataFrame, vectors: DataFrame, asks: DataFrame) -> DataFrame:
+    """``best_chunk`` of ``scored_chunks``: the chunks of a document are one matrix, its requests' vectors another, and one product scores them
+    all; only the best chunk of each request and document leaves the task. Requests beyond what may be broadcast are scored pair by pair."""
+    queries = asks.select("request_id", "vec_id").join(vectors, "vec_id").select("request_id", "embedding").where("embedding IS NOT NULL")
+    if asks.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return best_chunk(scored_chunks(found, chunks, vectors, asks))
+    rows = queries.collect()  # at most BROADCAST_ROWS
+    if not rows:
+        return best_chunk(scored_chunks(found, chunks, vectors, asks))
+    asked = found.sparkSession.sparkContext.broadcast(([r["request_id"] for r in rows], np.array([r["embedding"] for r in rows], np.float64)))
+    own = chunks.where("vec_id IS NOT NULL").join(vectors.where("embedding IS NOT NULL"), "vec_id")
+    own = own.groupBy(F.col("revision_id").alias("current_revision_id")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.col("id").alias("chunk_id"), "embedding"))).alias("own"))
+    docs = found.groupBy(F.col("id").alias("document_id"), "current_revision_id").agg(F.collect_list("request_id").alias("asked")).join(own, "current_revision_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, wanted = asked.value
+        place = {i: k for k, i in enumerate(ids)}
+        lengths = np.sqrt((wanted * wanted).sum(axis=1))
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for row in range(batch.num_rows):
+                own = batch.column(2)[row].values
+                requests = [r for r in batch.column(1)[row].as_py() if r in place]
+                if not requests or not len(own):
+                    continue
+                matrix = own.field(2)
+                values = matrix.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                if len(values) != len(matrix) * wanted.shape[1]:
+                    raise ValueError("vectors differ in size")
+                values = values.reshape(len(matrix), -1)
+                which = np.array([place[r] for r in requests])
+                norm = np.outer(np.sqrt((values * values).sum(axis=1)), lengths[which])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    score = np.where(norm > 0, (values @ wanted[which].T) / norm, -np.inf)
+                best = np.round(score, 12).argmax(axis=0)  # equal vectors may differ in the last bits
+                top = score[best, np.arange(len(which))]
+                for column, found in zip(out, (requests, [batch.column(0)[row].as_py()] * len(which), best, best, top), strict=True):
+                    column.append(np.asarray(found)[top > -np.inf])
+                out[2][-1] = own.field(1).to_numpy()[out[2][-1]]
+                out[3][-1] = own.field(0).to_numpy()[out[3][-1]]
+            kinds = [pa.int64()] * 4 + [pa.float64()]
+            columns = [pa.array(np.concatenate(c) if c else np.zeros(0), k) for c, k in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["request_id", "document_id", "chunk_id", "chunk_index", "score"])
+
+    return docs.select("document_id", "asked", "own").mapInArrow(run, "request_id long, document_id long, chunk_id long, chunk_index long, score double")
+
+
 def texts_of(found: DataFrame) -> DataFrame:
     """id, title, extracted_text of the eligible documents, once each. Callers that have the documents at hand pass them as ``texts`` instead."""
     return found.select("id", "title", "extracted_text").dropDuplicates(["id"])
@@ -78,11 +126,16 @@ def title_scores(found: DataFrame, asks: DataFrame, query: str = "query") -> Dat
 
 
 def body_hits(found: DataFrame, asks: DataFrame, fold, texts: DataFrame | None = None) -> DataFrame:
-    """request_id, document_id of eligible documents whose text has the query once both are ``fold``-ed. Each text is folded once and meets all requests there."""
+    """request_id, document_id of eligible documents whose text has the query once both are ``fold``-ed. Texts and queries meet by grams, never each
+    with each; a query that is empty once folded is in every text."""
+    keys = ["request_id", "document_id"]
     own = texts_of(found) if texts is None else texts
-    folded = own.select(F.col("id").alias("document_id"), fold(F.col("extracted_text")).alias("body"))
-    met = folded.join(small(asks.select("request_id", fold(F.col("query")).alias("needle"))), F.contains("body", F.col("needle"))).select("request_id", "document_id")
-    return met.join(found.select("request_id", F.col("id").alias("document_id")), ["request_id", "document_id"], "left_semi")
+    folded = own.select(F.col("id").alias("key"), fold(F.col("extracted_text")).alias("body"))
+    needles = asks.select("request_id", fold(F.col("query")).alias("needle"))
+    pairs = found.select("request_id", F.col("id").alias("document_id"))
+    met = contained(folded, needles).select("request_id", F.col("key").alias("document_id"))
+    blank = pairs.join(needles.where("needle = ''").select("request_id"), "request_id", "left_semi")
+    return pairs.join(met, keys, "left_semi").unionByName(blank)
 
 
 def body_matches(found: DataFrame, asks: DataFrame, most: float = SELECTIVITY, texts: DataFrame | None = None) -> DataFrame:
@@ -98,7 +151,7 @@ def semantic(
 ) -> DataFrame:
     """request_id, document_id, chunk_id, chunk_index, semantic, score of every eligible document with an embedded chunk. Boosts reorder and never filter."""
     keys = ["request_id", "document_id"]
-    best = best_chunk(scored_chunks(found, chunks, vectors, asks)).withColumnRenamed("score", "semantic")
+    best = best_chunks(found, chunks, vectors, asks).withColumnRenamed("score", "semantic")
     rows = best.join(title_hits(found, asks, texts=texts), keys, "left").join(body_matches(found, asks, texts=texts).withColumn("hit", F.lit(1.0)), keys, "left")
     score = F.col("semantic") + title_weight * F.coalesce("title_score", F.lit(0.0)) + body_weight * F.coalesce("hit", F.lit(0.0))
     return rows.select(*keys, "chunk_id", "chunk_index", "semantic", score.alias("score"))
@@ -156,13 +209,14 @@ def similar_texts(texts: DataFrame, queries: DataFrame, least: float = FLOOR) ->
                 flat = lists.flatten()
                 queries = flat.field(1).dictionary_encode()
                 text_of = np.repeat(np.arange(part.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-                value = np.round(similarities(part.column(1).to_pylist(), queries.dictionary.to_pylist(), text_of, queries.indices.to_numpy().astype(np.int64), least), 6)
-                kept = np.flatnonzero(value >= least)
+                value = similarities(part.column(1).to_pylist(), queries.dictionary.to_pylist(), text_of, queries.indices.to_numpy().astype(np.int64), least - 1e-6)
+                kept = np.flatnonzero(value >= least - 1e-6)
                 found = [flat.field(0).take(pa.array(kept)), part.column(0).take(pa.array(text_of[kept])), pa.array(value[kept])]
                 yield pa.RecordBatch.from_arrays(found, ["request_id", "key", "score"])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, f"request_id {dict(queries.dtypes)['request_id']}, key {kinds['key']}, score double")
+    near = rows.mapInArrow(run, f"request_id {dict(queries.dtypes)['request_id']}, key {kinds['key']}, score double")
+    return near.withColumn("score", F.round("score", 6)).where(F.col("score") >= least)
 
 
 def lexical(found: DataFrame, asks: DataFrame, least: float = FLOOR, texts: DataFrame | None = None) -> DataFrame:

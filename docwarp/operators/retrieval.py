@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from docwarp.functions import similarity as sim
 from docwarp.operators.ranking import body_hits, similar_texts, small, title_hits
 from docwarp.operators.sinks import global_rank
+from docwarp.operators.textindex import TextIndex
 
 RRF_K = 60
 KEYS = ["request_id", "document_id"]
@@ -27,29 +28,10 @@ def full_rank(rows: DataFrame, score: str = "score") -> DataFrame:
     return ranked.join(ahead, "request_id").withColumn("rank", F.col("rank") - F.col("ahead")).drop("ahead")
 
 
-def token_positions(texts: DataFrame) -> DataFrame:
-    """document_id, pos, token of (document_id, text)."""
-    return texts.select("document_id", F.posexplode(sim.words(F.col("text"))).alias("pos", "token"))
-
-
-def full_text(texts: DataFrame, asks: DataFrame, every: bool) -> DataFrame:
-    """request_id, document_id, score of documents with all (``every``) or any query tokens, by cover density.
-
-    A minimal cover is a shortest stretch with each query token that the document has; it is worth 0.1 / (1 + other words in it).
-    """
-    q = asks.select("request_id", F.array_distinct(sim.words(F.col("query"))).alias("q")).select("request_id", F.size("q").alias("n"), F.explode("q").alias("token"))
-    hits = token_positions(texts).join(small(q), "token")
-    have = hits.groupBy(*KEYS, "n").agg(F.collect_set("token").alias("own"))  # at most the query's tokens
-    if every:
-        have = have.where(F.size("own") == F.col("n"))
-    places = hits.select(*KEYS, "pos", "token").join(have.select(*KEYS, "own"), KEYS)
-    before = Window.partitionBy(*KEYS, "t").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = places.select(*KEYS, "pos", "token", F.size("own").alias("k"), F.explode("own").alias("t"))
-    last = each.withColumn("last", F.last(F.when(F.col("t") == F.col("token"), F.col("pos")), ignorenulls=True).over(before))
-    ends = last.groupBy(*KEYS, "pos", "k").agg(F.min("last").alias("begin"), F.count("last").alias("there")).where("there = k")
-    covers = ends.groupBy(*KEYS, "k", "begin").agg(F.min("pos").alias("end"))
-    worth = F.lit(0.1) / (1 + F.col("end") - F.col("begin") + 1 - F.col("k"))
-    return covers.groupBy(*KEYS).agg(F.round(F.sum(worth), 6).alias("score"))
+def full_text(texts: DataFrame | TextIndex, asks: DataFrame, every: bool) -> DataFrame:
+    """request_id, document_id, score of documents with all (``every``) or any query tokens, by cover density. (document_id, text) are
+    indexed first; an index that is there already is searched."""
+    return (texts if isinstance(texts, TextIndex) else TextIndex.build(texts)).search(asks, every)
 
 
 def trigram_search(texts: DataFrame, asks: DataFrame, least: float = 0.20) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from docwarp.functions import similarity as sim
 from docwarp.operators import eligibility as el
 from docwarp.operators import ranking as rk
 from docwarp.operators import retrieval as rt
+from docwarp.operators.scratch import written
+from docwarp.operators.textindex import spread
 from docwarp.plans.registry import query
 from docwarp.sources.fixtures import Tables, oracle
 
@@ -51,25 +55,34 @@ def orc(sql: str) -> str:
 
 
 class Asked:
-    """Everything that the ranking queries share, lazily."""
+    """Everything that the branches of a ranking query share, written once and read by each of them."""
 
     def __init__(self, spark, sf):
-        self.t = t = Tables(spark, sf)
-        self.asks = t.asks
-        self.found = el.eligible(t.asks, t.users, t.perms, t.docs, t.revisions, t.departments)
-        self.texts = el.ready_texts(t.docs, t.revisions)
+        self.t = Tables(spark, sf)
+        self.asks = written(self.t.asks, "asks")
 
-    @property
+    @cached_property
+    def found(self):
+        """The eligible documents of each request, without their texts."""
+        t = self.t
+        return written(el.eligible(self.asks, t.users, t.perms, t.docs, t.revisions, t.departments).drop("extracted_text"), "eligible")
+
+    @cached_property
+    def texts(self):
+        return written(spread(el.ready_texts(self.t.docs, self.t.revisions)), "texts")
+
+    @cached_property
     def best(self):
-        return rk.best_chunk(rk.scored_chunks(self.found, self.t.chunks, self.t.vectors, self.asks))
+        return rk.best_chunks(self.found, self.t.chunks, self.t.vectors, self.asks)
 
-    @property
+    @cached_property
     def meant(self):
         return rk.semantic(self.found, self.t.chunks, self.t.vectors, self.asks, texts=self.texts)
 
-    @property
+    @cached_property
     def parts(self):
-        return rt.components(self.found, self.t.chunks, self.best, self.asks, self.texts)
+        """Score components; the rankings that are made of them read one table."""
+        return written(rt.components(self.found, self.t.chunks, self.best, self.asks, self.texts), "components")
 
     @property
     def sem(self):
@@ -253,7 +266,7 @@ def x5(spark, sf):
 @query("X6_vector_max", orc(top_sql("SELECT request_id, document_id, max(score) AS score FROM scored GROUP BY 1, 2", 10)))
 def x6(spark, sf):
     a = Asked(spark, sf)
-    return rt.top(rt.vector_max(rk.scored_chunks(a.found, a.t.chunks, a.t.vectors, a.asks)), 10)
+    return rt.top(rt.vector_max(a.best), 10)
 
 
 _RRF = "SELECT request_id, document_id, sum(1.0 / (60 + rank)) AS score FROM ({}) GROUP BY 1, 2"

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from docwarp.functions import similarity as sim
@@ -12,9 +13,13 @@ from docwarp.operators import lifecycle as lc
 from docwarp.operators import navigate as nv
 
 
+def trigrams(text):
+    return [f"  {w} "[i : i + 3] for w in regex.split(r"[^\p{L}\p{N}]+", (text or "").lower()) if w for i in range(len(w) + 1)]
+
+
 def mirror(query, text):
     """word_similarity over all extents."""
-    q, t = set(sim._trigrams(query)), sim._trigrams(text)
+    q, t = set(trigrams(query)), trigrams(text)
     return max([len(q & set(t[i:j])) / len(q | set(t[i:j])) for i in range(len(t)) for j in range(i + 1, len(t) + 1)], default=0.0)
 
 

@@ -90,26 +90,81 @@ def test_full_ranks(spark):
 
 def test_similarities_equal_all_extents():
     """Every extent of every pair, in all scripts, with repeats, nulls and blanks; a floor may only lower what lies under it."""
-    import random
-
     import numpy as np
-    import regex
 
     from docwarp.functions.extents import similarities
 
-    def trigrams(t):
-        return [f"  {w} "[i : i + 3] for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w for i in range(len(w) + 1)]
-
-    def brute(q, t):
-        q, t = set(trigrams(q)), trigrams(t)
-        return max((len(q & set(t[i : j + 1])) / len(q | set(t[i : j + 1])) for i in range(len(t)) for j in range(i, len(t))), default=0)
-
     r = random.Random(3)
     words = ["foo", "food", "bar", "barn", "b", "ab", "aaa", "aaaa", "Éa", "x1", "42", "문서"]
     texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 8))) for _ in range(40)] + [None, "", "..", "a" * 30, "İx ß"]
     queries = [" ".join(r.choice(words) for _ in range(r.randint(0, 4))) for _ in range(20)] + [None, "", "-"]
     t, q = map(np.ravel, np.meshgrid(np.arange(len(texts)), np.arange(len(queries))))
-    want = np.array([brute(queries[j], texts[i]) for i, j in zip(t, q)])
+    want = np.array([mirror(queries[j], texts[i]) for i, j in zip(t, q)])
     assert np.allclose(similarities(texts, queries, t, q), want, atol=1e-12)
     some = similarities(texts, queries, t, q, 0.4)
     assert np.allclose(some[want >= 0.4], want[want >= 0.4], atol=1e-12) and (some[want < 0.4] < 0.4).all()
+
+
+def test_text_index(spark):
+    """Places, scores of repeated and interleaved tokens, renewal by document, and a plan that reads the query's buckets only."""
+    from docwarp.operators.textindex import TextIndex, bucket
+
+    docs = [(1, "red fish blue fish"), (2, "blue whale, red! RED fish"), (3, None), (4, ""), (5, "one two three")]
+    index = TextIndex.build(spark.createDataFrame(docs, "document_id long, text string"))
+    asks = spark.createDataFrame([(1, "red fish"), (2, "fish whale"), (3, "none here"), (4, "..")], "request_id long, query string")
+    found = lambda i, every: {(r.request_id, r.document_id): r.score for r in i.search(asks, every).collect()}
+    # document 1: red fish(2) is a cover; document 2: the second red with fish, the first one is farther
+    assert found(index, True) == {(1, 1): 0.1, (1, 2): 0.1, (2, 2): round(0.1 / 3, 6)}
+    assert found(index, False) == {(1, 1): 0.1, (1, 2): 0.1, (2, 1): 0.2, (2, 2): round(0.1 / 3, 6)}
+    again = index.renew(spark.createDataFrame([(1, "a whale of a fish"), (2, None)], "document_id long, text string"))
+    assert found(again, True) == {(2, 1): round(0.1 / 3, 6)}
+    assert {r.token: r.documents for r in again.counts.collect()}["fish"] == 1
+    one = spark.createDataFrame([(1, "whale")], "request_id long, query string")
+    plan = index.search(one, True)._jdf.queryExecution().executedPlan().toString()
+    at = spark.range(1).select(bucket(F.lit("whale"))).first()[0]
+    assert f"(bucket#" in plan and "PartitionFilters" in plan and f"= {at})" in plan
+
+
+def test_contained(spark):
+    """Needles of every length class against plain containment, with letters of all scripts, repeats, nulls and blanks; no nested loop."""
+    import random
+
+    from docwarp.operators.containment import contained
+
+    r = random.Random(2)
+    letters = "ab ć문.😀"
+    texts = [(i, "".join(r.choice(letters) for _ in range(r.randint(0, 90)))) for i in range(60)] + [(60, None), (61, ""), (62, "ab" * 300)]
+    cuts = [(lambda t, n: t[r.randint(0, max(0, len(t) - n)) :][:n])(texts[r.randint(0, 59)][1], r.choice([1, 2, 3, 4, 5, 7, 9, 10, 17, 18, 25, 45, 80])) for _ in range(80)]
+    needles = list(enumerate([*cuts, "", None, "zz", "ab" * 20]))
+    found = contained(spark.createDataFrame(texts, "key long, body string"), spark.createDataFrame(needles, "request_id long, needle string"))
+    want = {(i, k) for i, n in needles if n for k, t in texts if t and n in t}
+    assert {tuple(x) for x in found.select("request_id", "key").collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_best_chunks_equal_scored_chunks(spark, sf):
+    """One matrix product a document gives what scoring pair by pair gives, also with zero and null vectors and unknown ones."""
+    from docwarp.operators import ranking as rk
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 0.0]), (4, None), (5, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    chunks = spark.createDataFrame([(i, i // 3, i // 3, i % 3, v) for i, v in enumerate([1, 5, 2, 3, 4, None, 2, 1, 5])], "id long, revision_id long, document_id long, chunk_index long, vec_id long")
+    found = spark.createDataFrame([(q, d, d) for q in (1, 2, 3, 4) for d in (0, 1, 2)], "request_id long, id long, current_revision_id long")
+    asks = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, 9)], "request_id long, vec_id long")
+    rows = lambda df: sorted((r.request_id, r.document_id, r.chunk_id, r.chunk_index, round(r.score, 6)) for r in df.collect())
+    got = rows(rk.best_chunks(found, chunks, vectors, asks))
+    assert got == rows(rk.best_chunk(rk.scored_chunks(found, chunks, vectors, asks))) and (1, 0, 0, 0, 1.0) in got and len(got) == 4
+
+
+def test_callers_with_equal_principals_share_a_set(spark, sf):
+    from docwarp.operators import eligibility as el
+    from docwarp.sources.fixtures import Tables
+
+    t = Tables(spark, sf)
+    many = spark.createDataFrame([(i, (1, 9, 10, -1)[i % 4]) for i in range(200)], "request_id long, user_id long")
+    sets = el.principal_sets(many, t.users)
+    assert sets.count() == 200 and sets.select("caller").distinct().count() == 4
+    rows = el.readable(many, t.users, t.perms)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert rows.where("request_id % 4 = 3").isEmpty() and rows.count() == rows.distinct().count()
