@@ -553,13 +553,14 @@ def dedup(docs: DataFrame, **kw) -> DataFrame:
     """
     linked = _linked(docs, **kw).where("best IS NOT NULL")
     own = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("mark") == F.col("best.mark"))
-    dropped = linked.where(~own).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
-    rows = docs.withColumn("_own", F.xxhash64("text"))
-    left = rows.join(dropped, rows["doc_id"].eqNullSafe(dropped["_id"]) & (rows["_own"] == dropped["_mark"]), "left_anti")
-    again = linked.where("doc_id IS NULL").groupBy(F.col("mark").alias("_own")).agg(F.count("*").alias("_n")).where("_n > 1").select("_own")
+    dropped = linked.where(~own).select(F.col("doc_id").alias("drop_id"), F.col("mark").alias("drop_mark"))
+    # a whole row is one column, so that no name of its columns can clash
+    rows = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("mark"))
+    left = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("drop_id")) & (F.col("mark") == F.col("drop_mark")), "left_anti")
+    again = linked.where("doc_id IS NULL").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     if again.isEmpty():
-        return left.drop("_own")
+        return left.select("row.*")
     again = written(again, "again")
-    one = left.where("doc_id IS NULL").join(again, "_own", "left_semi").dropDuplicates(["_own"])
-    others = left.where("doc_id IS NOT NULL").unionByName(left.where("doc_id IS NULL").join(again, "_own", "left_anti"))
-    return others.unionByName(one).select(*docs.columns)
+    one = left.where("doc_id IS NULL").join(again, "mark", "left_semi").dropDuplicates(["mark"])
+    others = left.where("doc_id IS NOT NULL").unionByName(left.where("doc_id IS NULL").join(again, "mark", "left_anti"))
+    return others.unionByName(one).select("row.*")
