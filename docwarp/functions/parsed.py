@@ -6,14 +6,11 @@ paragraph_index, page_number, declared_rows, declared_columns, merged), ``warnin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from docwarp.functions.segments import segments
 from docwarp.functions.text import CELL, PARAGRAPH, TABLE, collapse, compose, token_count, token_spans
 
 PARAGRAPHS = "array<struct<index:bigint,text:string,page_number:bigint,section_title:string>>"
@@ -116,35 +113,21 @@ def table_chunks(blocks_: DataFrame, size: int) -> DataFrame:
     cut = ~table & (n > limit)
     rows = blocks_.where(table | (F.trim("text") != "")).select("id", "paragraph_index", table.alias("table"), "header", cut.alias("cut"), F.posexplode(spans).alias("part", "text"))
     rows = rows.withColumn("n", token_count(F.col("text"))).withColumn("head", F.when(F.col("table"), token_count(F.col("header"))).otherwise(0).cast("long"))
-    ordered = rows.repartition("id").sortWithinPartitions("id", "paragraph_index", "part")
-    schema = T.StructType([*ordered.schema.fields, T.StructField("chunk_index", T.LongType()), T.StructField("kind", T.StringType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner, chunk, used, block, shut, in_table = None, 0, 0, None, True, False
-        for batch in batches:
-            numbers, kinds = [], []
-            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("id", "paragraph_index", "table", "cut", "n", "head"))
-            for i, at, is_table, is_cut, n, head in zip(*columns, strict=True):
-                wrong = is_table and head + n > size
-                full = head + n if is_table and (not in_table or at != block) else n
-                fresh = shut or is_cut or wrong or is_table != in_table or (is_table and at != block) or used + full > size
-                if i != owner:
-                    owner, chunk, used = i, 0, head + n
-                elif fresh:
-                    chunk, used = chunk + 1, head + n
-                else:
-                    used += n
-                block, in_table, shut = at, is_table, is_cut or wrong
-                numbers.append(chunk)
-                kinds.append("ERROR" if wrong else "TABLE" if is_table else "TEXT")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64()), pa.array(kinds, pa.string())], [*batch.schema.names, "chunk_index", "kind"])
-
-    chunks = ordered.mapInArrow(run, schema).groupBy("id", "chunk_index", "kind").agg(
-        F.array_sort(F.collect_list(F.struct("paragraph_index", "part", "text"))).alias("parts"), F.min("paragraph_index").alias("first"), F.max("paragraph_index").alias("last"), F.max("header").alias("header")
-    )
-    texts = F.transform("parts", lambda b: b["text"])
-    text = F.when(F.col("kind") == "TEXT", F.array_join(texts, "\n\n")).otherwise(F.concat_ws("\n", "header", texts))
-    return chunks.select("id", "chunk_index", "kind", text.alias("text"), "first", "last")
+    rows = rows.withColumn("wrong", F.col("table") & (F.col("head") + F.col("n") > size))
+    lists = rows.groupBy("id").agg(
+        F.array_sort(F.collect_list(F.struct("paragraph_index", "part", "table", "cut", "wrong", "n", "head", "header", "text"))).alias("blocks"))
+    shut = lambda x: x["cut"] | x["wrong"]
+    apart = lambda x, before: (
+        shut(x) | shut(before) | (x["table"] != before["table"]) | (x["table"] & (x["paragraph_index"] != before["paragraph_index"])))
+    cuts = segments(F.col("blocks"), lambda x: x["n"], lambda x: x["head"], apart, size)
+    chunks = lists.select("id", cuts.alias("chunks")).select("id", F.posexplode("chunks").alias("chunk_index", "blocks"))
+    of = lambda c: F.transform("blocks", lambda b: b[c])
+    top = F.get("blocks", F.lit(0))
+    kind = F.when(top["wrong"], "ERROR").when(top["table"], "TABLE").otherwise("TEXT")
+    text = F.when(top["table"], F.concat_ws("\n", top["header"], of("text"))).otherwise(F.array_join(of("text"), "\n\n"))
+    return chunks.select(
+        "id", F.col("chunk_index").cast("long").alias("chunk_index"), kind.alias("kind"), text.alias("text"),
+        F.array_min(of("paragraph_index")).alias("first"), F.array_max(of("paragraph_index")).alias("last"))
 
 
 def structured(docs: DataFrame, layouts: DataFrame) -> DataFrame:

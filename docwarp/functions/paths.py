@@ -6,12 +6,14 @@ In the canonical form ``%`` is ``%25`` and a byte that belongs to no character i
 from __future__ import annotations
 
 import re
-import unicodedata
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docwarp.functions.text import compose
+
 #: A byte that the canonical form escapes. Fixed value.
 _ESCAPE = r"%(25|[89A-F][0-9A-F])"
 _BYTE = r"%[89A-F][0-9A-F]"
@@ -50,24 +52,37 @@ def is_canonical(path: Column) -> Column:
     return ~F.contains(F.regexp_replace(path, _ESCAPE, ""), F.lit("%"))
 
 
-def _legible(segment: bytes) -> str:
-    """A path segment by its whole bytes: UTF-8, else the first encoding that gives no control characters, else its escapes."""
-    for encoding in ("utf-8", *LEGACY):
-        try:
-            text = segment.decode(encoding)
-        except UnicodeDecodeError:
-            continue
-        if encoding == "utf-8" or not any(unicodedata.category(c) == "Cc" for c in text):
-            return text
-    return "".join(f"%{b:02X}" for b in segment)
+def _reading(raw: bytes, encoding: str) -> str | None:
+    try:
+        return str(raw, encoding)
+    except UnicodeDecodeError:
+        return None
+
+
+def _readings(parts: pa.Array) -> pa.Array:
+    """For each list of segments their bytes and what each legacy encoding makes of them (null: nothing); a distinct segment is read once."""
+    coded = parts.flatten().dictionary_encode()
+    raw = pa.array([_bytes_of(s) for s in coded.dictionary.to_pylist()], pa.binary())
+    read = [pa.array([_reading(r, e) for r in raw.to_pylist()], pa.string()) for e in LEGACY]
+    columns = pa.StructArray.from_arrays([raw, *read], ["raw", *(f"c{i}" for i in range(len(LEGACY)))])
+    sizes = parts.value_lengths().fill_null(0).to_pylist()
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(sizes)], pa.int32()), columns.take(coded.indices))
+
+
+_READINGS = "array<struct<raw:binary," + ",".join(f"c{i}:string" for i in range(len(LEGACY))) + ">>"
 
 
-def _shown(paths: pa.Array) -> pa.Array:
-    show = lambda p: unicodedata.normalize("NFC", "/".join(_legible(s) for s in _bytes_of(p).split(b"/")))
-    return pa.array([None if p is None else show(p) for p in paths.to_pylist()], pa.string())
+def _shown(s: Column) -> Column:
+    """A segment as text: its bytes where they are UTF-8, else the first reading that holds no control characters, else each byte escaped."""
+    text = s["raw"].cast("string")
+    calm = [F.when(~F.regexp_like(s[f"c{i}"], F.lit(r"\p{Cc}")), s[f"c{i}"]) for i in range(len(LEGACY))]
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.coalesce(*calm, F.regexp_replace(F.hex(s["raw"]), "(..)", "%$1")))
 
 
 def display_name(path: Column) -> Column:
-    """A readable form of a canonical path, never stored; only paths with escaped bytes go through Python."""
+    """A readable form of a canonical path, never stored. Only paths with escaped bytes go through Python, which reads the encodings that
+    Spark lacks; which reading is shown is decided by columns."""
     odd = F.regexp_like(path, F.lit(_BYTE))
-    return F.when(~odd, F.replace(path, F.lit("%25"), F.lit("%"))).otherwise(F.arrow_udf(_shown, "string")(F.when(odd, path)))
+    read = F.arrow_udf(_readings, _READINGS)(F.when(odd, F.split(path, "/", -1)))
+    shown = compose(F.array_join(F.transform(read, _shown), "/"))
+    return F.when(~odd, F.replace(path, F.lit("%25"), F.lit("%"))).when(odd, shown)

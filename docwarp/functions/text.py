@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
+from docwarp.functions.segments import segments
+
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
@@ -51,7 +51,7 @@ def chunk_documents(blocks: DataFrame, limit: int) -> DataFrame:
     paragraph_start, paragraph_end, token_count, section_title and page_number (the first ones that are not null).
 
     Blocks are joined by an empty line while their tokens fit; a new page begins a chunk; a block over the limit is cut into spans that
-    keep its anchor. Blank blocks are left out. Only the numbers of the open chunk are carried from block to block.
+    keep its anchor. Blank blocks are left out. A revision's blocks meet in one row; next-pointers over running token sums find its chunks.
     """
     title = F.col("section_title") if "section_title" in blocks.columns else F.lit(None).cast("string")
     rows = blocks.where(F.trim("text") != "").select("revision_id", "index", "text", "page", title.alias("section_title"), token_count(F.col("text")).alias("n"))
@@ -60,32 +60,19 @@ def chunk_documents(blocks: DataFrame, limit: int) -> DataFrame:
     spans = F.when(cut, F.transform(token_spans(F.col("text"), limit), lambda s: F.rtrim(s))).otherwise(F.array("text"))
     pieces = rows.select("revision_id", "index", "page", "section_title", cut.alias("cut"), "n", F.posexplode(spans).alias("part", "text"))
     pieces = pieces.withColumn("n", F.when(F.col("cut"), token_count(F.col("text"))).otherwise(F.col("n")))
-    ordered = pieces.repartition("revision_id").sortWithinPartitions("revision_id", "index", "part")
-    schema = T.StructType([*ordered.schema.fields, T.StructField("chunk_index", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        revision, chunk, used, page, shut = None, 0, 0, None, True
-        for batch in batches:
-            numbers = []
-            columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("revision_id", "cut", "n", "page"))
-            for r, is_cut, n, p in zip(*columns, strict=True):
-                if r != revision:
-                    revision, chunk, used = r, 0, n
-                elif shut or is_cut or p != page or used + n > limit:
-                    chunk, used = chunk + 1, n
-                else:
-                    used += n
-                page, shut = p, is_cut
-                numbers.append(chunk)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], [*batch.schema.names, "chunk_index"])
-
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("index", "part"))).alias(c)
-    chunks = ordered.mapInArrow(run, schema).groupBy("revision_id", "chunk_index").agg(
-        F.array_sort(F.collect_list(F.struct("index", "part", "text"))).alias("blocks"), F.min("index").alias("paragraph_start"), F.max("index").alias("paragraph_end"),
-        F.sum("n").alias("token_count"), first("section_title"), first("page"),
+    lists = pieces.groupBy("revision_id").agg(
+        F.array_sort(F.collect_list(F.struct("index", "part", "page", "section_title", "cut", "n", "text"))).alias("blocks"))
+    apart = lambda x, before: x["cut"] | before["cut"] | ~x["page"].eqNullSafe(before["page"])
+    cuts = segments(F.col("blocks"), lambda x: x["n"], lambda x: F.lit(0), apart, limit)
+    chunks = lists.select("revision_id", cuts.alias("chunks")).select("revision_id", F.posexplode("chunks").alias("chunk_index", "blocks"))
+    of = lambda c: F.transform("blocks", lambda b: b[c])
+    first = lambda c: F.get(F.array_compact(of(c)), F.lit(0))
+    return chunks.select(
+        "revision_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join(of("text"), "\n\n").alias("text"),
+        F.array_min(of("index")).alias("paragraph_start"), F.array_max(of("index")).alias("paragraph_end"),
+        F.aggregate(of("n"), F.lit(0).cast("long"), lambda a, n: a + n).alias("token_count"),
+        first("section_title").alias("section_title"), first("page").alias("page_number"),
     )
-    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n")
-    return chunks.select("revision_id", "chunk_index", text.alias("text"), "paragraph_start", "paragraph_end", "token_count", "section_title", F.col("page").alias("page_number"))
 
 
 def sentence_chunks(docs: DataFrame) -> DataFrame:
@@ -215,15 +202,43 @@ def split_oversize(texts: DataFrame, most: int = 5800) -> DataFrame:
     return texts.select("id", F.explode(F.sequence(F.lit(1), n)).alias("part"), "text").select("id", F.col("part").cast("long").alias("part"), F.substring(F.col("text"), (F.col("part") - 1) * most + 1, F.lit(most)).alias("text"))
 
 
+def json_length(*fields: Column) -> Column:
+    """Characters of a flat JSON object with a blank after each colon and comma, null fields included and other than ASCII as it is."""
+    return F.char_length(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})) + 2 * len(fields) - 1
+
+
+#: Formats whose chunks are anchored by paragraph, and those anchored by page. Fixed values.
+BY_PARAGRAPH, BY_PAGE = ("hwp", "hwpx", "docx"), ("pdf",)
+
+
+def evidence_length() -> Column:
+    """Characters of a chunk's JSON item: its ids as strings, title, file type, section, anchor and text."""
+    kind = lambda name: F.lit(name).alias("type")
+    paragraph = json_length(kind("paragraph"), F.col("paragraph_start").alias("paragraph_index"), F.col("paragraph_end").alias("paragraph_end"))
+    page = json_length(kind("page"), F.col("page_number"))
+    anchor = F.when(F.col("file_type").isin(*BY_PARAGRAPH) & F.col("paragraph_start").isNotNull(), paragraph).when(
+        F.col("file_type").isin(*BY_PAGE) & (F.col("page_number") >= 1), page).otherwise(json_length(kind("none")))
+    ids = [F.col(c).cast("string").alias(c) for c in ("document_id", "revision_id", "chunk_id")]
+    rest = json_length(*ids, *map(F.col, ("title", "file_type", "section_title", "text")))
+    return (rest + len(', "anchor": ') + anchor).cast("long")
+
+
 def assemble_context(chunks: DataFrame, most: int, budget: int) -> DataFrame:
-    """request_id, chunk_ids kept in order: blanks and repeats skipped, a chunk that does not fit is skipped and later ones are still tried."""
-    lists = chunks.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("position", "chunk_id", "text"))).alias("c"))
-    zero = F.struct(F.array().cast("array<bigint>").alias("ids"), F.lit(0).cast("long").alias("used"))
+    """request_id, ids of the chunks kept in order, and used: the length of the JSON array of their items, which may not go over ``budget``.
+
+    ``chunks`` has request_id, position, document_id, revision_id, chunk_id, title, file_type, section_title, paragraph_start,
+    paragraph_end, page_number and text. Blank texts and repeats are skipped; a chunk that does not fit is skipped and later ones are
+    still tried. An empty array has two characters. Only lengths are gathered by request.
+    """
+    solid = F.coalesce(F.regexp_like("text", F.lit(r"[^\p{IsWhite_Space}\x1c-\x1f]")), F.lit(False))
+    rows = chunks.select("request_id", F.struct("position", "chunk_id", evidence_length().alias("n"), solid.alias("solid")).alias("c"))
+    lists = rows.groupBy("request_id").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    zero = F.struct(F.array().cast("array<bigint>").alias("ids"), F.lit(2).cast("long").alias("used"))
 
     def step(acc: Column, c: Column) -> Column:
-        n = F.char_length(c["text"]).cast("long")
-        fits = (F.trim(c["text"]) != "") & ~F.array_contains(acc["ids"], c["chunk_id"]) & (F.size(acc["ids"]) < most) & (acc["used"] + n <= budget)
-        return F.when(fits, F.struct(F.concat(acc["ids"], F.array(c["chunk_id"])).alias("ids"), (acc["used"] + n).alias("used"))).otherwise(acc)
+        used = acc["used"] + c["n"] + F.when(F.size(acc["ids"]) > 0, 2).otherwise(0)
+        fits = c["solid"] & ~F.array_contains(acc["ids"], c["chunk_id"]) & (F.size(acc["ids"]) < most) & (used <= budget)
+        return F.when(fits, F.struct(F.concat(acc["ids"], F.array(c["chunk_id"])).alias("ids"), used.alias("used"))).otherwise(acc)
 
     folded = lists.select("request_id", F.aggregate("c", zero, step).alias("f"))
     return folded.select("request_id", "f.ids", F.col("f.used").alias("used"))

@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docwarp.operators.scratch import written
 from docwarp.operators.sinks import global_rank
 
 CODES = ("TEXT_EXTRACTED", "OCR_REQUIRED", "ENCRYPTED", "EMPTY_DOCUMENT", "PARSE_FAILED")
 #: Size classes, half open, in bytes; sizes outside all of them are in the last. Fixed values.
 BUCKETS = (("< 1 MB", 0, 1 << 20), ("1-5 MB", 1 << 20, 5 << 20), ("5-20 MB", 5 << 20, 20 << 20), ("20-50 MB", 20 << 20, 50 << 20), ("> 50 MB", 50 << 20, 1 << 62))
+#: What is taken out of a failure's message, in this order, and what takes its place. Fixed values.
+REASON_PATTERNS = ((r"""(/[^\s'"]+)+|([A-Za-z]:\\[^\s'"]+)""", " "), (r"""['"][^'"]*['"]""", " "), (r"[0-9]+", "N"), (r"\s+", " "))
 
 
 def anonymous_ids(records: DataFrame) -> DataFrame:
@@ -24,7 +27,7 @@ def anonymous_ids(records: DataFrame) -> DataFrame:
 def failure_reason(message: Column, detail: Column) -> Column:
     """The detail, or else the message, without paths and quoted parts and with its numbers as N, at most 80 characters; UNKNOWN where nothing is left."""
     text = F.when(detail != "", detail).otherwise(F.coalesce(message, F.lit("")))
-    for pattern, to in ((r"""(/[^\s'"]+)+|([A-Za-z]:\\[^\s'"]+)""", " "), (r"""['"][^'"]*['"]""", " "), (r"[0-9]+", "N"), (r"\s+", " ")):
+    for pattern, to in REASON_PATTERNS:
         text = F.regexp_replace(text, pattern, to)
     short = F.substring(F.btrim(text, F.lit(" .:;,-")), 1, 80)
     return F.when(short == "", "UNKNOWN").otherwise(short)
@@ -55,22 +58,57 @@ def format_summary(records: DataFrame) -> DataFrame:
     return records.groupingSets([["format"], []], "format").agg(F.count("*").alias("n"), ok.alias("n_success"), F.round(ok / F.count("*"), 6).alias("rate"))
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """Nearest-rank percentile of a collected column: index round-half-even(p / 100 * n + 0.5), clamped."""
-    ordered = F.array_sort(values)
-    n = F.size(ordered)
-    at = F.least(F.greatest(F.bround(F.lit(p / 100.0) * n + 0.5).cast("int"), F.lit(1)), n)
-    return F.get(ordered, at - 1)
+def _bin(v: Column, low: Column, high: Column, kind: str, bins: int) -> Column:
+    """The bin of a value between low and high (low < high), never falling as values grow; low is in the first bin and high in the last."""
+    if kind in ("double", "float"):
+        width, half = high - low, lambda x: x / 2  # a width beyond all numbers is halved
+        share = F.when(F.abs(width) < float("inf"), (v - low) / width).otherwise((half(v) - half(low)) / (half(high) - half(low)))
+        odd = F.isnan(high) | (F.abs(high) == float("inf")) | (F.abs(low) == float("inf"))
+    else:
+        exact = lambda x: x.cast("decimal(20,0)") if kind in ("tinyint", "smallint", "int", "bigint") else x
+        share, odd = (exact(v) - exact(low)).cast("double") / (exact(high) - exact(low)).cast("double"), F.lit(False)
+    inner = F.when(odd, 1).otherwise(F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int"))
+    return F.when(v == high, bins - 1).when(v == low, 0).otherwise(inner)
+
+
+def nearest_ranks(rows: DataFrame, by: list[str], value: str, percents: list[int], bins: int = 4096, few: int = 10_000) -> DataFrame:
+    """by, percent, n, found, most: exact nearest-rank percentiles of a group's numbers that are not null, by narrowing histograms.
+
+    The rank of p is round-half-even(p / 100 * n + 0.5), clamped. Each round counts the values between a goal's bounds in ``bins`` equal
+    widths, with each bin's least and largest value, and goes on in the bin that holds the rank, until its values are equal or at most
+    ``few``, which are then sorted. No step sorts or gathers a group, whatever its size. Null group keys are a group; empty input gives no row.
+    """
+    kept = written(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")), "ranked")
+    kind = kept.schema["_v"].dataType.simpleString()
+    ends = kept.groupBy(*by).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    at = F.bround(F.lit(1.0) * F.col("percent") / 100.0 * F.col("n") + 0.5).cast("long")
+    goals = ends.select(*by, F.explode(F.array(*map(F.lit, percents))).alias("percent"), "n", F.col("high").alias("most"), "low", "high", F.col("n").alias("c"))
+    goals = written(goals.withColumn("rank", F.least(F.greatest(at, F.lit(1)), F.col("n"))), "goals")
+    names = [F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]
+
+    def values_of(some: DataFrame) -> DataFrame:
+        """The rows between the bounds of goals; these are few, so that Spark sends them to the rows."""
+        on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+        return kept.join(some.select(*names, *[c for c in some.columns if c not in by]), [*on, F.col("_v").between(F.col("low"), F.col("high"))])
+
+    wide = (F.col("low") != F.col("high")) & (F.col("c") > few)
+    while not goals.where(wide).isEmpty():
+        spread = values_of(goals.where(wide)).groupBy(*by, "percent", "n", "most", "rank", _bin(F.col("_v"), F.col("low"), F.col("high"), kind, bins).alias("bin"))
+        counts = spread.agg(F.count("*").alias("c"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        upto = F.sum("c").over(Window.partitionBy(*by, "percent").orderBy("bin"))  # over at most ``bins`` rows
+        held = counts.withColumn("upto", upto).where((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("c")))
+        inside = held.withColumn("rank", F.col("rank") - F.col("upto") + F.col("c")).select(*goals.columns)
+        goals = written(goals.where(~wide).unionByName(inside), "goals")
+    equal = goals.where(F.col("low") == F.col("high")).withColumn("found", F.col("low"))
+    last = values_of(goals.where(F.col("low") != F.col("high"))).groupBy(*by, "percent", "n", "most", "rank").agg(F.array_sort(F.collect_list("_v")).alias("v"))
+    columns = [*by, "percent", "n", "found", "most"]
+    return equal.select(*columns).unionByName(last.withColumn("found", F.get("v", (F.col("rank") - 1).cast("int"))).select(*columns))
 
 
 def stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, p50, p95, most of ``value`` by group, by counting equal values: percentiles never gather a group's rows in one list."""
-    keyed = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    upto = Window.partitionBy(*by).orderBy(value)
-    ranked = keyed.withColumn("upto", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    at = lambda p: F.least(F.greatest(F.bround(F.lit(p / 100.0) * F.col("n") + 0.5).cast("long"), F.lit(1)), F.col("n"))
-    pick = lambda p: F.min(F.when(F.col("upto") >= at(p), F.col(value)))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), pick(50).alias("p50"), pick(95).alias("p95"), F.max(value).alias("most"))
+    """n, p50, p95, most of ``value`` by group."""
+    pick = lambda p: F.max(F.when(F.col("percent") == p, F.col("found"))).alias(f"p{p}")
+    return nearest_ranks(rows, by, value, [50, 95]).groupBy(*by).agg(F.max("n").alias("n"), pick(50), pick(95), F.max("most").alias("most"))
 
 
 def failure_buckets(records: DataFrame) -> DataFrame:

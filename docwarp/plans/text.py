@@ -224,15 +224,24 @@ def g6(spark, sf):
     return texts.join(own, "revision_id").select("title", "revision_id", "n", F.sha2(F.array_join(F.transform("c", lambda x: x["text"]), "\n"), 256).alias("digest"))
 
 
-_G8 = """WITH RECURSIVE rows_ AS (SELECT revision_id AS request_id, id AS chunk_id, text, length(text) AS n, row_number() OVER (PARTITION BY revision_id ORDER BY chunk_index) AS i FROM chunks),
-kept AS (SELECT request_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids, CAST(0 AS BIGINT) AS used FROM (SELECT DISTINCT request_id FROM rows_)
-  UNION ALL SELECT request_id, j, CASE WHEN ok THEN list_append(ids, chunk_id) ELSE ids END, CASE WHEN ok THEN used + n ELSE used END FROM (SELECT k.request_id, k.ids, k.used, r.i AS j, chunk_id, n, trim(text) <> '' AND NOT list_contains(ids, chunk_id) AND len(ids) < 5 AND used + n <= 1200 AS ok FROM kept k JOIN rows_ r ON r.request_id = k.request_id AND r.i = k.i + 1))
+_ITEM = """'{"document_id": "' || c.document_id || '", "revision_id": "' || c.revision_id || '", "chunk_id": "' || c.id || '", "title": ' || to_json(d.title) || ', "file_type": ' || to_json(d.file_type)
+  || ', "section_title": null, "anchor": ' || CASE WHEN d.file_type <> 'pdf' THEN '{"type": "paragraph", "paragraph_index": ' || c.paragraph_start || ', "paragraph_end": ' || c.paragraph_end || '}'
+  WHEN c.page_number >= 1 THEN '{"type": "page", "page_number": ' || c.page_number || '}' ELSE '{"type": "none"}' END || ', "text": ' || to_json(c.text) || '}'"""
+_G8 = f"""WITH RECURSIVE rows_ AS (SELECT c.revision_id AS request_id, c.id AS chunk_id, c.text, length({_ITEM}) AS n, row_number() OVER (PARTITION BY c.revision_id ORDER BY chunk_index) AS i
+  FROM chunks c JOIN docs d ON d.id = c.document_id),
+kept AS (SELECT request_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ids, CAST(2 AS BIGINT) AS used FROM (SELECT DISTINCT request_id FROM rows_)
+  UNION ALL SELECT request_id, j, CASE WHEN ok THEN list_append(ids, chunk_id) ELSE ids END, CASE WHEN ok THEN then_ ELSE used END FROM (
+    SELECT request_id, ids, used, j, chunk_id, then_, solid AND NOT list_contains(ids, chunk_id) AND len(ids) < 5 AND then_ <= 1200 AS ok FROM (
+      SELECT k.request_id, k.ids, k.used, r.i AS j, chunk_id, trim(text) <> '' AS solid, k.used + n + CASE WHEN len(ids) > 0 THEN 2 ELSE 0 END AS then_ FROM kept k JOIN rows_ r ON r.request_id = k.request_id AND r.i = k.i + 1)))
 SELECT request_id, CAST(len(ids) AS BIGINT) AS n, used FROM kept QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY i DESC) = 1"""
 
 
 @query("G8_assemble_context", oracle(_G8.replace("WITH RECURSIVE ", "WITH ", 1)).replace("WITH ", "WITH RECURSIVE ", 1))
 def g8(spark, sf):
-    rows = Tables(spark, sf).chunks.select(F.col("revision_id").alias("request_id"), F.col("chunk_index").alias("position"), F.col("id").alias("chunk_id"), "text")
+    t = Tables(spark, sf)
+    rows = t.chunks.join(t.docs.select(F.col("id").alias("document_id"), "title", "file_type"), "document_id").select(
+        F.col("revision_id").alias("request_id"), F.col("chunk_index").alias("position"), "document_id", "revision_id", F.col("id").alias("chunk_id"), "title", "file_type",
+        F.lit(None).cast("string").alias("section_title"), "paragraph_start", "paragraph_end", "page_number", "text")
     return tx.assemble_context(rows, 5, 1200).select("request_id", F.size("ids").cast("long").alias("n"), "used")
 
 

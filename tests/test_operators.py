@@ -1,5 +1,6 @@
 """Scenarios and invariants on small tables."""
 
+import json
 import random
 
 import pytest
@@ -8,9 +9,11 @@ from pyspark.sql import functions as F
 
 from docwarp.functions import similarity as sim
 from docwarp.functions import text as tx
+from docwarp.functions.segments import segments
 from docwarp.operators import eligibility as el
 from docwarp.operators import lifecycle as lc
 from docwarp.operators import navigate as nv
+from docwarp.operators import profiling as pf
 
 
 def trigrams(text):
@@ -70,7 +73,65 @@ def test_chunks_keep_order_and_budget(spark):
     assert [(c.paragraph_start, c.paragraph_end, c.token_count) for c in out] == [(0, 1, 7), (2, 2, 5), (3, 3, 10), (3, 3, 10), (3, 3, 10), (4, 5, 4)]
 
 
-def test_context_skips_what_does_not_fit(spark):
-    rows = [(1, 0, 5, "x" * 50), (1, 1, 6, "y" * 80), (1, 2, 5, "x" * 50), (1, 3, 7, "z" * 40), (1, 4, 8, " ")]
-    out = tx.assemble_context(spark.createDataFrame(rows, "request_id long, position long, chunk_id long, text string"), 5, 100).first()
-    assert (out.ids, out.used) == ([5, 7], 90)
+def test_context_budget_is_the_length_of_the_json_array(spark):
+    texts = ["x" * 50 + '"\n\t\x01\\', "y" * 400, "x" * 50 + '"\n\t\x01\\', "한글 / \u2028é" * 3, "\u3000 \n", "p" * 10, None]
+    ids = [5, 6, 5, 7, 8, 9, 10]
+    kinds = [("hwp", 3, 4, None), ("hwp", 3, 4, None), ("hwp", 3, 4, None), ("pdf", 1, 1, 12), ("pdf", 1, 1, 2), ("pdf", 1, 1, None), ("txt", 1, 1, 1)]
+    rows = [(1, i, 11, 12, k, "Ti\"tle", f, None if i else "sec", a, z, p, t) for i, (k, t, (f, a, z, p)) in enumerate(zip(ids, texts, kinds, strict=True))]
+    schema = """request_id long, position long, document_id long, revision_id long, chunk_id long, title string, file_type string, section_title string,
+        paragraph_start long, paragraph_end long, page_number long, text string"""
+
+    def item(r):
+        f, a, z, p = r[6], r[8], r[9], r[10]
+        anchor = {"type": "none"}
+        if f in ("hwp", "hwpx", "docx"):
+            anchor = {"type": "paragraph", "paragraph_index": a, "paragraph_end": z}
+        elif f == "pdf" and p:
+            anchor = {"type": "page", "page_number": p}
+        return dict(document_id=str(r[2]), revision_id=str(r[3]), chunk_id=str(r[4]), title=r[5], file_type=f, section_title=r[7], anchor=anchor, text=r[11])
+
+    want = len(json.dumps([item(rows[i]) for i in (0, 3, 5)], ensure_ascii=False))
+    frame = spark.createDataFrame(rows, schema)
+    exact, short = tx.assemble_context(frame, 5, want).first(), tx.assemble_context(frame, 5, want - 1).first()
+    assert (exact.ids, exact.used) == ([5, 7, 9], want)
+    assert short.ids == [5, 7]
+    assert tx.assemble_context(frame, 5, 10).first().used == 2
+
+
+def test_segments_are_greedy(spark):
+    random.seed(4)
+    lists = [[(random.randint(0, 9), random.randint(0, 3), random.random() < 0.1) for _ in range(random.choice([0, 1, 5, 300]))] for _ in range(60)]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "id long, rows array<struct<n:int,h:int,b:boolean>>").repartition(3)
+    cut = segments(F.col("rows"), lambda x: x["n"], lambda x: x["h"], lambda x, before: x["b"], 12)
+    got = {r.id: [[tuple(x) for x in c] for c in r.c] for r in frame.select("id", cut.alias("c")).collect()}
+    for i, rows in enumerate(lists):
+        want, used = [], 0
+        for n, h, b in rows:
+            if not want or b or used + n > 12:
+                want.append([])
+                used = h
+            want[-1].append((n, h, b))
+            used += n
+        assert got[i] == want
+
+
+def test_nearest_rank_of_a_group_of_a_million_values(spark):
+    big = spark.range(0, 1_000_000, 1, 8).select(F.lit("a").alias("g"), ((F.col("id") * 7919 + 13) % 1_000_003).alias("v"))
+    few = spark.createDataFrame([(None, 5), (None, 5), ("b", -3), ("c", None), ("b", 2**62), ("b", -(2**62))], "g string, v long")
+    rows = big.unionByName(few)
+    got = {r.g: tuple(r)[1:] for r in pf.stats(rows, ["g"], "v").collect()}
+    v = sorted((i * 7919 + 13) % 1_000_003 for i in range(1_000_000))
+    at = lambda p, n: max(1, min(n, round(p / 100 * n + 0.5)))
+    assert got == {"a": (1_000_000, v[at(50, len(v)) - 1], v[at(95, len(v)) - 1], v[-1]), None: (2, 5, 5, 5), "b": (3, -3, 2**62, 2**62)}
+
+
+def test_nearest_rank_of_hard_doubles(spark):
+    inf = float("inf")
+    values = [-inf, inf, 1.7e308, -1.7e308, 0.0, 5e-324, *(1.5**k for k in range(-300, 300))]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    percents = [1, 25, 50, 75, 99, 100]
+    got = {r.percent: r.found for r in pf.nearest_ranks(rows, [], "v", percents, bins=8, few=3).collect()}
+    v = sorted(values)
+    assert got == {p: v[max(1, min(len(v), round(p / 100 * len(v) + 0.5))) - 1] for p in percents}
+    assert pf.nearest_ranks(rows.limit(0), [], "v", [50]).where("n > 0").count() == 0
+
