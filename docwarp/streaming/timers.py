@@ -11,48 +11,75 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "key string, started_us long"
 STATE = "since_us long, over boolean"
+#: Timers and value states need this state store.
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def expirations(events: DataFrame, grace_seconds: int, lateness: str) -> DataFrame:
-    """Stream of key, started_at, expired_at for a stream of events (key, ts, starts: true begins, false ends).
+class Expiry(StatefulProcessor):
+    """One open timer a key: since when it runs, or that it is over and rests until the key is ended."""
 
-    A start while one is open changes nothing. What ends after the grace comes too late. After an expiry a key rests until it is ended.
-    ``lateness`` bounds how late an event may come; a key's open timer is all its state.
-    """
-    grace = grace_seconds * 1_000_000
+    def __init__(self, grace: int) -> None:
+        self.grace = grace
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since, over = state.get if state.exists else (None, False)
-        out: list[int] = []
-        if state.hasTimedOut:
-            out.append(since)
-            since, over = None, True
-        else:
-            rows = pd.concat(list(batches)).sort_values(["at", "starts"], ascending=[True, False])
-            for at, starts in zip(rows["at"].tolist(), rows["starts"].tolist(), strict=True):
-                if since is not None and at > since + grace:
-                    out.append(since)
-                    since, over = None, True
-                if not starts:
-                    since, over = None, False
-                elif since is None and not over:
-                    since = at
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("timer", STATE)
+
+    def _due(self, since: int) -> int:
+        return -(-(since + self.grace) // 1000)  # timers count milliseconds
+
+    def _keep(self, old: int | None, since: int | None, over: bool, watermark: int) -> None:
+        if old != since:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if since is not None:
+                self.handle.registerTimer(max(self._due(since), watermark + 1))
         if since is None and not over:
-            if state.exists:
-                state.remove()
+            self.state.clear()
         else:
-            state.update((since, over))
-            if since is not None:
-                state.setTimeoutTimestamp(max(-(-(since + grace) // 1000), state.getCurrentWatermarkMs() + 1))  # in milliseconds
+            self.state.update((since, over))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        old, over = self.state.get() if self.state.exists() else (None, False)
+        since, out = old, []
+        events = pd.concat(list(rows)).sort_values(["at", "starts"], ascending=[True, False])
+        for at, starts in zip(events["at"].tolist(), events["starts"].tolist(), strict=True):
+            if since is not None and at > since + self.grace:
+                out.append(since)
+                since, over = None, True
+            if not starts:
+                since, over = None, False
+            elif since is None and not over:
+                since = at
+        self._keep(old, since, over, timerValues.getCurrentWatermarkInMs())
         if out:
             yield pd.DataFrame({"key": [key[0]] * len(out), "started_us": out})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        since, _ = self.state.get() if self.state.exists() else (None, False)
+        if since is not None and self._due(since) <= timerValues.getCurrentWatermarkInMs():
+            self.state.update((None, True))
+            yield pd.DataFrame({"key": [key[0]], "started_us": [since]})
+
+    def close(self) -> None:
+        pass
+
+
+def expirations(events: DataFrame, grace_seconds: int, lateness: str) -> DataFrame:
+    """Stream of key, started_at, expired_at for a stream of events (key, ts, starts: true begins, false ends).
+
+    A start while one is open changes nothing. What ends after the grace comes too late. After an expiry a key rests until it is ended.
+    ``lateness`` bounds how late an event may come; a key's open timer is all its state.
+    """
+    grace = grace_seconds * 1_000_000
     rows = events.select(F.col("key").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), "starts").withWatermark("ts", lateness)
-    found = rows.withColumn("at", F.unix_micros("ts")).groupBy("key").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    found = rows.withColumn("at", F.unix_micros("ts")).groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Expiry(grace), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
     return found.select("key", F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros(F.col("started_us") + grace).alias("expired_at"))
 
 
@@ -62,6 +89,12 @@ def run(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     def each(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
-    query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER)
+    conf.set(PROVIDER, ROCKS)
+    try:
+        query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(PROVIDER, before)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/batch=*")
