@@ -3,8 +3,9 @@
 Text and items are normalised alike: A-Z lower-cased, words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` joined by single spaces. A window is
 ``width`` consecutive item words; an item with fewer words (but not none) is one window. One automaton holds all windows and
 scans each text once. Its size is checked: items are put into blocks of at most ``block_chars`` characters of windows (an automaton
-takes some 50 bytes for each), one automaton per block, and a benchmark beyond one block scans the text once per block, in bounded
-memory and with the same result. Blocks hold the items' words, cut with overlap where an item is longer; the driver sees one at a time.
+takes some 50 bytes for each), one automaton per block. For a benchmark beyond one block a task holds a bounded part of its texts and
+scans it with the blocks' automata in turn: one worker a task and one automaton a worker, whatever the benchmark, with the same result.
+Blocks hold the items' words, cut with overlap where an item is longer; the driver sees one at a time.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,14 +64,14 @@ def blocks(items: Iterator, width: int, block_chars: int) -> Iterator[Block]:
 _AUTOMATA: dict[str, object] = {}
 
 
-def _automaton(block: Block, key: str, width: int):
-    """One automaton per worker process and block."""
+def _automaton(value: Broadcast, key: str, width: int):
+    """The automaton of one block; a worker process holds one at a time, and the block only while it is built."""
     if key not in _AUTOMATA:
         import ahocorasick
 
         _AUTOMATA.clear()
         owners: dict[bytes, set[int]] = {}
-        for item_id, words in block:
+        for item_id, words in value.load_from_path(value._path) if value._path else value.value:
             for w in windows(words.split(b" "), width):
                 owners.setdefault(w, set()).add(item_id)
         auto = ahocorasick.Automaton()
@@ -102,41 +104,27 @@ def _runs(words: list[bytes], found: list, runs: list[dict]) -> list[dict]:
 
 _LOWER = {ord(c): c.lower() for c in map(chr, range(65, 91))}
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_BETWEEN = "doc_id long, text string, items array<long>, runs array<struct<start:long,end:long>>"
+#: Bytes of text that a task holds while the automata of a benchmark beyond one block are built for it in turn.
+HELD = 64_000_000
 
 
-def _scan(docs: DataFrame, block: Block, width: int, last: bool, with_spans: bool) -> DataFrame:
-    value, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+def _parts(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until they have ``held`` bytes."""
+    some: list[pa.RecordBatch] = []
+    for batch in batches:
+        some.append(batch)
+        if sum(b.nbytes for b in some) >= held:
+            yield pa.concat_batches(some)
+            some = []
+    if some:
+        yield pa.concat_batches(some)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = _automaton(value.value, key, width)
-        for batch in batches:
-            n, first = batch.num_rows, batch.num_columns == 2
-            texts = batch.column(1)
-            before = [[[]] * n, [[]] * n] if first else [batch.column(2).to_pylist(), batch.column(3).to_pylist()]
-            items, runs, counts, hits, spans = [], [], [], [], []
-            for i in range(n):
-                text = texts[i].as_py()
-                words = words_of(text)
-                found = _found(auto, words)
-                own = _runs(words, found, before[1][i]) if found else before[1][i]
-                items.append(sorted({*before[0][i], *(k for _, x in found for k in x[2])}) if found else before[0][i])
-                runs.append(own)
-                counts.append(len(words))
-                hits.append(sum(r["end"] - r["start"] for r in own))
-                if own and last and with_spans:
-                    at = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
-                    spans.append([{"start": at[r["start"]][0], "end": at[r["end"] - 1][1]} for r in own])
-                else:
-                    spans.append([])
-            ids = pa.array(items, pa.list_(pa.int64()))
-            if last:
-                columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, pa.int64()), ids, pa.array(spans, _SPANS)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "items", "spans"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), texts, ids, pa.array(runs, _SPANS)], ["doc_id", "text", "items", "runs"])
-
-    return docs.mapInArrow(run, SCHEMA if last else _BETWEEN)
+
+def _automata(benchmark: DataFrame, width: int, block_chars: int) -> tuple[list[tuple[Broadcast, str]], int]:
+    """The benchmark's blocks as (broadcast, key), and the bytes of text to hold: none for one block, whose automaton a worker keeps."""
+    context = benchmark.sparkSession.sparkContext
+    found = [(context.broadcast(block), uuid.uuid4().hex) for block in _blocks_of(benchmark, width, block_chars)]
+    return found, HELD if len(found) > 1 else 0
 
 
 def _blocks_of(benchmark: DataFrame, width: int, block_chars: int) -> Iterator[Block]:
@@ -157,25 +145,45 @@ def find_contamination(
     item ids are left out. With no items at all every document is clean. Extra columns are ignored. Very long texts are
     scanned whole.
     """
-    out = docs.select("doc_id", "text")
-    parts = _blocks_of(benchmark, width, block_chars)
-    block = next(parts)
-    for following in parts:
-        out, block = _scan(out, block, width, False, with_spans), following
-    return _scan(out, block, width, True, with_spans)
+    automata, held = _automata(benchmark, width, block_chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, held):
+            n, texts = part.num_rows, part.column(1)
+            counts, items = np.zeros(n, np.int64), [set() for _ in range(n)]
+            runs: list[list[dict]] = [[] for _ in range(n)]
+            for value, key in automata:
+                auto = _automaton(value, key, width)
+                for i in range(n):
+                    words = words_of(texts[i].as_py())
+                    counts[i] = len(words)
+                    found = _found(auto, words)
+                    if found:
+                        runs[i] = _runs(words, found, runs[i])
+                        items[i].update(k for _, x in found for k in x[2])
+            hits = [sum(r["end"] - r["start"] for r in own) for own in runs]
+            spans: list[list[dict]] = [[] for _ in range(n)]
+            for i in np.flatnonzero(hits) if with_spans else ():
+                at = [m.span() for m in WORD.finditer(texts[int(i)].as_py().translate(_LOWER))]
+                spans[i] = [{"start": at[r["start"]][0], "end": at[r["end"] - 1][1]} for r in runs[i]]
+            columns = [part.column(0), pa.array(counts), pa.array(hits, pa.int64()), pa.array(map(sorted, items), pa.list_(pa.int64())), pa.array(spans, _SPANS)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "items", "spans"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars: int = 2_000_000) -> DataFrame:
     """``docs`` without the rows that hold any window of a benchmark item. All columns of the rest stay, extra ones too."""
     at = docs.columns.index("text")
-    for block in _blocks_of(benchmark, width, block_chars):
-        value, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
-
-        def run(batches: Iterator[pa.RecordBatch], value=value, key=key) -> Iterator[pa.RecordBatch]:
-            auto = _automaton(value.value, key, width)
-            for batch in batches:
-                texts = batch.column(at)
-                yield batch.filter(pa.array([not _found(auto, words_of(texts[i].as_py())) for i in range(batch.num_rows)], pa.bool_()))
+    automata, held = _automata(benchmark, width, block_chars)
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches, held):
+            texts, clean = part.column(at), np.ones(part.num_rows, bool)
+            for value, key in automata:
+                auto = _automaton(value, key, width)
+                for i in np.flatnonzero(clean):
+                    clean[i] = not _found(auto, words_of(texts[int(i)].as_py()))
+            yield part.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)

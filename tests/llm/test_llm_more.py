@@ -199,3 +199,25 @@ def test_decontamination_brute_force(spark, sf):
     for chars in (2_000_000, 6_000):
         got = decontaminate.find_contamination(docs, items, block_chars=chars)
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got.select("doc_id", "n_words", "n_hit", F.col("items")).collect()} == want
+
+
+def test_decontamination_runs_one_worker_and_automaton(spark, monkeypatch):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(10))
+    items = spark.createDataFrame([(k, words(k)) for k in range(14)], "item_id long, text string")
+    rows = [(k, f"before {words(k)} between {words((k + 1) % 14)} after") for k in range(20)] + [(20, None), (21, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    made = decontaminate._automata(items, 10, 60)[0]
+    assert len(made) == 14
+    for value, key in made:  # only the last one asked for is held
+        decontaminate._automaton(value, key, 10)
+        assert list(decontaminate._AUTOMATA) == [key]
+    monkeypatch.setattr(decontaminate, "HELD", 100)
+    got = decontaminate.find_contamination(docs, items, block_chars=60)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    for r in got.collect():
+        own = {k for k in (r.doc_id, (r.doc_id + 1) % 14) if k < 14} if r.doc_id < 20 else set()
+        assert (set(r["items"]), r.n_hit) == (own, 10 * len(own))
+    left = decontaminate.decontaminate(docs, items, block_chars=60)
+    assert left._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id for r in left.collect()} == {20, 21}
