@@ -1,7 +1,8 @@
 """Substring deduplication over sliding spans of sentences.
 
-A text is cut into units: sentences (they end after ``. ! ?`` before white space, or at a line's end), and sentences of more than
-LONG words into parts. A part begins at each word whose hash (with the word before) is the least of those at most NEAR words away, so
+A text is cut into units: sentences (they end after ``. ! ?`` before white space, after the full stops of other scripts, or at a
+line's end), and sentences of more than LONG words into parts. Words stand between white space; of scripts without blanks, and of runs
+of more than WIDE characters, each character is a word. A part begins at each word whose hash (with the word before) is the least of those at most NEAR words away, so
 equal passages are cut alike wherever they begin, but for some words at their ends. A span is the shortest run of several (two at
 least) consecutive units from a given unit on, or up to it, that has ``least_words`` words at least; together they cover whatever any
 longer run that repeats does. Every span of every text is hashed (128 bits, over the units' words); equal hashes meet globally, in one
@@ -25,8 +26,23 @@ from pyspark.sql.window import Window
 
 LONG = 25
 NEAR = 3  # parts of long sentences have more words than this, equal hashes apart, and 2 * NEAR + 1 on average
-_SENTENCE = re.compile(r"[^\n]*?[.!?]+(?=\s)|[^\n]+|\n", re.ASCII)
-_WORD = re.compile(r"\S+")
+WIDE = 200  # longer runs without white space are words by character
+#: Characters that end a sentence whatever follows: full stops of scripts that set no blank after them.
+_STOPS = "\u3002\uff0e\uff61\uff01\uff1f\u0964\u0965\u104a\u104b\u17d4\u1362\u06d4\u061f"
+#: Scripts that put no blanks between words: Thai to Myanmar, Khmer, kana and Han. A character of them is a word.
+_CLOSE = "\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_SENTENCE = re.compile(rf"[^\n]*?(?:[.!?]+(?=\s)|[{_STOPS}]+)|[^\n]+|\n", re.ASCII)
+_WORD = re.compile(rf"[{_CLOSE}]|[^\s{_CLOSE}]+")
+_HAS_CLOSE = re.compile(f"[{_CLOSE}]")
+
+
+def places(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """(start, end) of the words in a part of a text."""
+    out: list[tuple[int, int]] = []
+    for m in _WORD.finditer(text, start, end):
+        a, b = m.span()
+        out.extend([(a, b)] if b - a <= WIDE else [(i, i + 1) for i in range(a, b)])
+    return out
 
 
 def cuts(words: list[bytes]) -> list[int]:
@@ -38,14 +54,18 @@ def cuts(words: list[bytes]) -> list[int]:
 def units(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the units with words, by character offsets."""
     out = []
+    close = _HAS_CLOSE.search(text) is not None
     for m in _SENTENCE.finditer(text):
         words = m[0].split()
         if not words:
             continue
+        apart = close or max(map(len, words)) > WIDE
+        at = places(text, m.start(), m.end()) if apart or len(words) > LONG else []
+        if apart:
+            words = [text[a:b] for a, b in at]
         if len(words) <= LONG:
             out.append((m.start(), m.end(), words))
         else:
-            at = [w.span() for w in _WORD.finditer(text, m.start(), m.end())]
             first = cuts([w.encode() for w in words])
             for a, b in zip(first, [*first[1:], len(at)], strict=True):
                 out.append((at[a][0], at[b - 1][1], words[a:b]))

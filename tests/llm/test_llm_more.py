@@ -221,3 +221,20 @@ def test_decontamination_runs_one_worker_and_automaton(spark, monkeypatch):
     left = decontaminate.decontaminate(docs, items, block_chars=60)
     assert left._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert {r.doc_id for r in left.collect()} == {20, 21}
+
+
+def test_substring_dedup_without_white_space(spark):
+    import random
+
+    random.seed(8)
+    some = lambda lo, hi, n: "".join(chr(random.randint(lo, hi)) for _ in range(n))
+    chinese = "".join(some(0x4E00, 0x9000, random.randint(4, 30)) + random.choice("。！？") for _ in range(40))
+    thai, code = some(0x0E01, 0x0E30, 400), some(97, 122, 400)
+    for passage in (chinese, thai, code):
+        own = some(0x4E00, 0x9000, 60) + "。"
+        rows = [(1, passage), (2, passage), (3, own), (4, passage + "\n" + own[:20])]
+        out = {r.doc_id: r.text for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert (out[1], out[2], out[3], out[4].strip()) == (passage, "", own, own[:20])
+    inside = spark.createDataFrame([(1, chinese), (2, some(0x4E00, 0x9000, 90) + "。" + chinese + some(0x4E00, 0x9000, 90))], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in substring_dedup.dedup(inside).collect()}
+    assert left[1] == chinese and len(left[2]) <= 200
