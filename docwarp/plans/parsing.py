@@ -92,9 +92,9 @@ def t8(spark, sf):
     return ps.fixed_windows(rows.select("id", F.col("p.index").alias("paragraph_index"), tx.collapse(F.col("p.text")).alias("text")).where("text <> ''"), 64)
 
 
-# prose of 12 lines; every fourth line is a table whose rows are its sentences under a header
+# every fourth line is a table whose rows are its sentences under a header
 _LAID = f"""SELECT d AS id, idx AS paragraph_index, t AS text, CASE WHEN idx % 4 = 3 THEN 'col a | col b' END AS header, CASE WHEN idx % 4 = 3 THEN list_filter(string_split(t, '. '), lambda x: x <> '') END AS rows
-  FROM (SELECT d, idx, {_NORM.format('text')} AS t FROM p_ WHERE idx < 12) WHERE t <> ''"""
+  FROM (SELECT d, idx, {_NORM.format('text')} AS t FROM p_) WHERE t <> ''"""
 def _count(text: str) -> str:
     return f"CAST(len(regexp_extract_all({text}, '{TOKEN}')) AS BIGINT)"
 
@@ -111,7 +111,7 @@ SELECT q.id, c AS chunk_index, CASE WHEN any_value(wrong) THEN 'ERROR' WHEN any_
     x_=f"SELECT id, paragraph_index, header, header IS NOT NULL AS tab, header IS NULL AND {_count('text')} > 64 AS cut, CASE WHEN header IS NOT NULL THEN rows WHEN {_count('text')} > 64 THEN regexp_extract_all(text, '{_SPAN}') ELSE [text] END AS ts FROM laid_",
     r_=f"SELECT *, row_number() OVER (PARTITION BY id ORDER BY paragraph_index, part) AS i, head + n > 64 AND tab AS wrong FROM (SELECT id, paragraph_index, header, tab, cut, part, ts[part] AS text, {_count('ts[part]')} AS n, CASE WHEN tab THEN {_count('header')} ELSE 0 END AS head FROM x_, generate_series(1, len(ts)) AS g(part))").replace("WITH ", "WITH RECURSIVE ", 1))
 def t9(spark, sf):
-    rows = ps.composed(documents(spark, sf)).select(F.col("d").alias("id"), F.explode("paragraphs").alias("p")).where("p.index < 12")
+    rows = ps.composed(documents(spark, sf)).select(F.col("d").alias("id"), F.explode("paragraphs").alias("p"))
     laid = rows.select("id", F.col("p.index").alias("paragraph_index"), tx.collapse(F.col("p.text")).alias("text")).where("text <> ''")
     table = F.col("paragraph_index") % 4 == 3
     return ps.table_chunks(laid.select("*", F.when(table, "col a | col b").alias("header"), F.when(table, F.filter(F.split("text", r"\. ", -1), lambda x: x != "")).alias("rows")), 64)

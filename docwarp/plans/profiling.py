@@ -99,11 +99,11 @@ def c13(spark, sf):
     return pf.determinism_verdict(runs, ["hash", "result_code"])
 
 
-@query("C14_review_worklist", oracle("SELECT id, severity, n_tables, row_number() OVER (ORDER BY severity DESC, n_tables DESC, id) AS rank FROM (SELECT id, id % 3 AS severity, id % 17 AS n_tables FROM records WHERE id % 5 = 0)"))
+@query("C14_review_worklist", oracle("SELECT id, severity, n_tables, row_number() OVER (ORDER BY severity DESC, n_tables DESC, id) AS rank FROM (SELECT id, id % 3 AS severity, id % 17 AS n_tables FROM records)"))
 def c14(spark, sf):
     from docwarp.operators.sinks import global_rank
 
-    rows = Tables(spark, sf).records.where("id % 5 = 0").select("id", (F.col("id") % 3).alias("severity"), (F.col("id") % 17).alias("n_tables"))
+    rows = Tables(spark, sf).records.select("id", (F.col("id") % 3).alias("severity"), (F.col("id") % 17).alias("n_tables"))
     return global_rank(rows, [F.desc("severity"), F.desc("n_tables"), F.asc("id")])
 
 
@@ -195,10 +195,10 @@ def v6(spark, sf):
     return pf.report(rows, e.queries)
 
 
-@query("V7_no_answer", ev("SELECT method, round(count(*) FILTER (NOT answerable AND coalesce(n, 0) = 0) / greatest(count(*) FILTER (NOT answerable), 1), 6) AS zero_rate, CAST(coalesce(sum(n) FILTER (NOT answerable), 0) AS BIGINT) AS false_positives, round(avg(coalesce(bad, 0)), 6) AS irrelevant FROM allq LEFT JOIN (SELECT method, r.query_id, count(*) AS n, count(*) FILTER (q.query_id IS NULL) AS bad FROM rankings r LEFT JOIN qrels q ON q.query_id = r.query_id AND q.document_id = r.document_id WHERE rank <= 4 AND r.query_id % 3 <> 0 GROUP BY 1, 2) USING (method, query_id) JOIN queries_ USING (query_id) GROUP BY 1"))
+@query("V7_no_answer", ev("SELECT method, round(count(*) FILTER (NOT answerable AND coalesce(n, 0) = 0) / greatest(count(*) FILTER (NOT answerable), 1), 6) AS zero_rate, CAST(coalesce(sum(n) FILTER (NOT answerable), 0) AS BIGINT) AS false_positives, round(avg(coalesce(bad, 0)), 6) AS irrelevant FROM allq LEFT JOIN (SELECT method, r.query_id, count(*) AS n, count(*) FILTER (q.query_id IS NULL) AS bad FROM rankings r LEFT JOIN qrels q ON q.query_id = r.query_id AND q.document_id = r.document_id GROUP BY 1, 2) USING (method, query_id) JOIN queries_ USING (query_id) GROUP BY 1"))
 def v7(spark, sf):
     e = Eval(spark, sf)
-    return pf.no_answer(e.rankings.where("rank <= 4 AND query_id % 3 <> 0"), e.qrels, e.queries)
+    return pf.no_answer(e.rankings, e.qrels, e.queries)
 
 
 @query("V8_label_violations", oracle("SELECT query_id, 'UNKNOWN_DOCUMENT' AS rule FROM labels_ WHERE document_id NOT IN (SELECT id FROM docs) UNION ALL SELECT query_id, 'UNKNOWN_QUERY' FROM labels_ WHERE query_id NOT IN (SELECT query_id FROM evals) UNION ALL SELECT query_id, 'REPEATED' FROM labels_ GROUP BY query_id, document_id HAVING count(*) > 1 UNION ALL SELECT query_id, 'PRIMARY_NOT_RELEVANT' FROM (SELECT query_id, primary_id + query_id % 2 AS p FROM queries_ WHERE primary_id IS NOT NULL) x WHERE NOT EXISTS (SELECT 1 FROM labels_ l WHERE l.query_id = x.query_id AND l.document_id = x.p)", **METHODS, labels_="SELECT query_id + CASE WHEN query_id % 7 = 0 THEN 1000 ELSE 0 END AS query_id, document_id + CASE WHEN query_id % 5 = 0 THEN 1000000 ELSE 0 END AS document_id FROM qrels UNION ALL SELECT query_id, document_id FROM qrels WHERE query_id % 3 = 0"))

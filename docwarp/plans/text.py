@@ -180,10 +180,10 @@ def t21(spark, sf):
     return tx.cell_grid(cells.select("table_id", "row", F.col("column").cast("long").alias("column"), "text", F.lit(1).alias("row_span"), span.alias("column_span")))
 
 
-@query("T23_classify_empty", oracle("SELECT d, CASE WHEN n >= 1 THEN 'TEXT_EXTRACTED' WHEN i > 0 THEN 'OCR_REQUIRED' ELSE 'EMPTY_DOCUMENT' END AS code, CASE WHEN n >= 1 AND n < 200 AND i >= 3 THEN 'POSSIBLE_SCANNED_DOCUMENT' ELSE '' END AS warnings FROM (SELECT d, CASE WHEN d % 5 = 0 THEN 0 ELSE length(trim(left(text, 250), chr(32) || chr(9) || chr(10))) END AS n, d % 6 AS i FROM base)"))
+@query("T23_classify_empty", oracle("SELECT d, CASE WHEN n >= 1 THEN 'TEXT_EXTRACTED' WHEN i > 0 THEN 'OCR_REQUIRED' ELSE 'EMPTY_DOCUMENT' END AS code, CASE WHEN n >= 1 AND n < 200 AND i >= 3 THEN 'POSSIBLE_SCANNED_DOCUMENT' ELSE '' END AS warnings FROM (SELECT d, CASE WHEN d % 5 = 0 THEN 0 ELSE length(trim(text, chr(32) || chr(9) || chr(10))) END AS n, d % 6 AS i FROM base)"))
 def t23(spark, sf):
     d = F.col("d")
-    rows = Tables(spark, sf).base.select("d", tx.classify_empty(F.when(d % 5 == 0, F.lit(" \n\t")).otherwise(F.substring("text", 1, 250)), d % 6).alias("c"))
+    rows = Tables(spark, sf).base.select("d", tx.classify_empty(F.when(d % 5 == 0, F.lit(" \n\t")).otherwise(F.col("text")), d % 6).alias("c"))
     return rows.select("d", "c.code", F.array_join("c.warnings", ",").alias("warnings"))
 
 
