@@ -36,16 +36,23 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     lists = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    same = lambda t, i: (i > 0) & (F.get(F.col("turns"), i - 1)["role"] == t["role"])
-    lead = lambda t, i: F.when(same(t, i), F.lit(SEP)).otherwise(
-        F.concat(F.when(i > 0, F.lit(CLOSE)).otherwise(F.lit("")), F.lit(OPEN + HEAD), escape(t["role"]), F.lit(TAIL))
-    )
-    piece = lambda t, i: F.struct(lead(t, i).alias("lead"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss"))
-    pieces = lists.select("conv_id", F.posexplode(F.transform("turns", piece)).alias("no", "p"))
+    # a run of one role is a slice from its first turn to the next run's
+    first = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get("turns", i - 1)["role"] != F.get("turns", i)["role"]))
+    firsts = lists.withColumn("firsts", first)
+    length = lambda k, i: F.coalesce(F.get("firsts", k + 1), F.size("turns")) - i
+    runs = firsts.select("conv_id", F.transform("firsts", lambda i, k: F.slice("turns", i + 1, length(k, i))).alias("runs"))
+    head = lambda t, k: F.concat(F.when(k > 0, F.lit(CLOSE)).otherwise(F.lit("")), F.lit(OPEN + HEAD), escape(t["role"]), F.lit(TAIL))
+
+    def piece(t: Column, i: Column, k: Column) -> Column:
+        lead = F.when(i > 0, F.lit(SEP)).otherwise(head(t, k))
+        return F.struct(lead.alias("lead"), escape(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss"))
+
+    merged = F.flatten(F.transform("runs", lambda run, k: F.transform(run, lambda t, i: piece(t, i, k))))
+    pieces = runs.select("conv_id", F.posexplode(merged).alias("no", "p"))
     # where each text starts: lengths run over the pieces of a conversation, which stay where they were collected
     before = Window.partitionBy("conv_id").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    size, head = F.char_length("p.lead") + F.char_length("p.text"), F.char_length("p.lead")
-    placed = pieces.withColumn("start", (F.coalesce(F.sum(size).over(before), F.lit(0)) + head).cast("long"))
+    size, before_text = F.char_length("p.lead") + F.char_length("p.text"), F.char_length("p.lead")
+    placed = pieces.withColumn("start", (F.coalesce(F.sum(size).over(before), F.lit(0)) + before_text).cast("long"))
     kept = F.struct("no", F.concat("p.lead", "p.text").alias("text"), "p.loss", "start", F.char_length("p.text").cast("long").alias("length"))
     whole = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(kept)).alias("pieces"))
     text = F.concat(F.array_join(F.transform("pieces", lambda p: p["text"]), ""), F.lit(CLOSE))
