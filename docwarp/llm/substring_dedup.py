@@ -3,9 +3,10 @@
 A text is cut into units: sentences (they end after ``. ! ?`` before white space, after the full stops of other scripts, or at a
 line's end), and sentences of more than LONG words into parts. Words stand between white space; of scripts without blanks, and of runs
 of more than WIDE characters, each character is a word. A part begins at each word whose hash (with the word before) is the least of those at most NEAR words away, so
-equal passages are cut alike wherever they begin, but for some words at their ends. A span is the shortest run of several (two at
-least) consecutive units from a given unit on, or up to it, that has ``least_words`` words at least; together they cover whatever any
-longer run that repeats does. Every span of every text is hashed (128 bits, over the units' words); equal hashes meet globally, in one
+equal passages are cut alike wherever they begin, but for some words at their ends. A run of units counts if it has ``several`` whole
+sentences, of whatever length, or, being two units at least, ``least_words`` words: parts of sentences and pairs of sentences are no
+run of several by themselves. A span is the shortest run that counts from a given unit on, or up to it; together they cover whatever
+any longer run that repeats does. Every span of every text is hashed (128 bits, over the units' words); equal hashes meet globally, in one
 exchange; the first occurrence (smallest doc_id, then position) stays and every unit under another occurrence is removed. Within a
 bounded slice of a task's spans all occurrences but the first are known to go already, so that a span which half of the documents
 hold sends one row per slice to where its occurrences meet.
@@ -51,8 +52,8 @@ def cuts(words: list[bytes]) -> list[int]:
     return [0, *(i for i in range(1, len(words)) if hashes[i] <= min(hashes[max(i - NEAR, 0) : i + NEAR + 1]))]
 
 
-def units(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of the units with words, by character offsets."""
+def units(text: str) -> list[tuple[int, int, list[str], bool]]:
+    """(start, end, words, whole) of the units with words, by character offsets; ``whole``: a sentence, no part of one."""
     out = []
     close = _HAS_CLOSE.search(text) is not None
     for m in _SENTENCE.finditer(text):
@@ -64,39 +65,40 @@ def units(text: str) -> list[tuple[int, int, list[str]]]:
         if apart:
             words = [text[a:b] for a, b in at]
         if len(words) <= LONG:
-            out.append((m.start(), m.end(), words))
+            out.append((m.start(), m.end(), words, True))
         else:
             first = cuts([w.encode() for w in words])
             for a, b in zip(first, [*first[1:], len(at)], strict=True):
-                out.append((at[a][0], at[b - 1][1], words[a:b]))
+                out.append((at[a][0], at[b - 1][1], words[a:b], False))
     return out
 
 
 def spans(text: str, several: int, least_words: int) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, digest) of the shortest spans that begin and that end at each unit, each once and by place; none where the text is too short."""
     found = units(text)
-    data = [" ".join(w).encode() for _, _, w in found]
-    sizes = [len(w) for _, _, w in found]
+    data = [" ".join(w).encode() for _, _, w, _ in found]
+    n_words = np.concatenate([[0], np.cumsum([len(w) for _, _, w, _ in found], dtype=np.int64)]).tolist()
+    n_whole = np.concatenate([[0], np.cumsum([whole for _, _, _, whole in found], dtype=np.int64)]).tolist()
+
+    def counts(begin: int, end: int) -> bool:
+        return n_whole[end] - n_whole[begin] >= several or (end - begin >= 2 and n_words[end] - n_words[begin] >= least_words)
+
     shortest: set[tuple[int, int]] = set()
-    end, words = 0, 0
-    for i in range(len(found)):
-        while end < len(found) and (end - i < several or words < least_words):
-            words += sizes[end]
+    end = 0
+    for begin in range(len(found)):
+        while end < len(found) and not counts(begin, end):
             end += 1
-        if end - i < several or words < least_words:
+        if not counts(begin, end):
             break
-        shortest.add((i, end))
-        words -= sizes[i]
-    begin, words = 0, 0
+        shortest.add((begin, end))
+    begin = 0
     for end in range(1, len(found) + 1):
-        words += sizes[end - 1]
-        while end - begin > several and words - sizes[begin] >= least_words:
-            words -= sizes[begin]
+        while counts(begin + 1, end):
             begin += 1
-        if end - begin >= several and words >= least_words:
+        if counts(begin, end):
             shortest.add((begin, end))
-    for i, end in sorted(shortest):
-        yield found[i][0], found[end - 1][1], blake2b(b" ".join(data[i:end]), digest_size=16).digest()
+    for begin, end in sorted(shortest):
+        yield found[begin][0], found[end - 1][1], blake2b(b" ".join(data[begin:end]), digest_size=16).digest()
 
 
 SLICE = 500_000  # spans that a task compares at a time
@@ -126,7 +128,7 @@ def _slice(ids: list, marks: list[int], ats: list[int], digests: list[bytes]) ->
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SPANS.split(", ")])
 
 
-def find_repeats(docs: DataFrame, several: int = 2, least_words: int = 25) -> DataFrame:
+def find_repeats(docs: DataFrame, several: int = 3, least_words: int = 25) -> DataFrame:
     """``doc_id, mark`` (hash of the text)``, removed``: sorted merged ranges [start, end) of characters under non-first spans; only documents with any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +170,7 @@ def _without(text: pa.Array, removed: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def dedup(docs: DataFrame, several: int = 2, least_words: int = 25) -> DataFrame:
+def dedup(docs: DataFrame, several: int = 3, least_words: int = 25) -> DataFrame:
     """``docs``, all columns kept, with ``text`` cleaned and a column ``removed`` (ranges of the original text, maybe none).
 
     Null and empty texts stay as they are. Repeats within a document count as well. Rows with equal doc_id and text are one

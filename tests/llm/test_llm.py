@@ -77,7 +77,7 @@ def test_substring_dedup_brute_force(spark, sf):
     seen, want = set(), {}
     for r in docs.orderBy("doc_id").collect():
         drop = np.zeros(len(r.text) + 1, np.int64)
-        for a, b, digest in substring_dedup.spans(r.text, 2, 25):
+        for a, b, digest in substring_dedup.spans(r.text, 3, 25):
             if digest in seen:
                 drop[a] += 1
                 drop[b] -= 1
@@ -102,7 +102,7 @@ def test_substring_dedup_inside_long_sentences(spark):
 
 
 def test_substring_dedup_all_runs(spark):
-    """Against every run of at least 2 sentences and 25 words, by its own cutting of texts without long sentences."""
+    """Against every run of 3 sentences or more and of 2 with 25 words, by its own cutting of texts without long sentences."""
     rng = random.Random(6)
     pool = [" ".join(f"p{i}_{k}" for k in range(rng.randint(1, 25))) + "." for i in range(60)]
     pool[:4] = [" ".join(f"p{i}_{k}" for k in range(n)) + "." for i, n in enumerate((12, 14, 15, 5))]
@@ -116,7 +116,7 @@ def test_substring_dedup_all_runs(spark):
         for i in range(len(sentences)):
             for j in range(i + 2, len(sentences) + 1):
                 run = " ".join(sentences[i:j])
-                if len(run.split()) >= 25:
+                if j - i >= 3 or len(run.split()) >= 25:
                     if run in seen:
                         gone |= set(range(i, j))
                     seen.add(run)
