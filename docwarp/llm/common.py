@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from docwarp.operators.scratch import scratch_path, shared_dir, written
 
-__all__ = ["LOWER_BYTES", "UPPER", "ascii_lower", "running_offsets", "scratch_path", "shared_dir", "table", "written"]
+__all__ = ["LOWER_BYTES", "UPPER", "ascii_lower", "join_split", "running_offsets", "scratch_path", "shared_dir", "table", "written"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: bytes.translate table that lower-cases A-Z only.
@@ -41,3 +41,30 @@ def running_offsets(df: DataFrame, order: list[str], value: str, out: str = "sta
         .withColumn(out, (F.col("_before") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast(T.LongType()))
         .drop("_part", "_before")
     )
+
+
+HOT = 1000  # a key is hot if it holds more than one in HOT of all rows ...
+HOT_ROWS = 10_000  # ... and more rows than this, which are no burden to a task
+SALTS = 64
+
+
+def _hot(keys: DataFrame) -> list[int]:
+    """Values of the long column ``h`` that are hot; fewer than 2 * HOT of them.
+
+    From a sketch of bounded size that tasks merge, so that no rows are shuffled. It finds all hot values.
+    """
+    got = keys.agg(F.count("h").alias("n"), F.expr(f"approx_top_k(h, {2 * HOT}, {16 * HOT})").alias("top")).first()
+    return [t["item"] for t in got["top"] or [] if t["count"] > max(got["n"] / HOT, HOT_ROWS)]
+
+
+def join_split(rows: DataFrame, single: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``single`` (one row a key) by ``key``; rows of hot keys go to SALTS tasks by ``spread``, single rows to each.
+
+    ``spread`` is a column of ``rows`` that tells a key's rows apart. ``rows`` are read twice. Which keys count as hot changes where
+    rows meet, never what comes out; null keys meet nothing and are spread.
+    """
+    hot = _hot(rows.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")))
+    is_hot = F.xxhash64(key).isin(hot)
+    dealt = rows.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(single.withColumn("_salt", F.explode(salts)), [key, "_salt"], how).drop("_salt")

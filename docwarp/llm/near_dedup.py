@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docwarp.llm.common import written
+from docwarp.llm.common import join_split, written
 
 BUCKETS, MANTISSA = 8, 10  # 256 registers of 16 bits
 SMALL = 48  # sets of fewer shingles use prefix keys
@@ -322,7 +322,7 @@ def _linked(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = BLOC
     of = of.select("node", "doc_id", "mark", F.coalesce("comp", "node").alias("comp") if comps is not None else F.col("node").alias("comp"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("best")
     names = of.join(of.groupBy("comp").agg(F.min("doc_id").alias("component_id"), best), "comp").select("node", "component_id", "best")
-    out = features.join(names, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = join_split(features.drop("regs", "keys"), names, "node", "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id", "best")
 
 

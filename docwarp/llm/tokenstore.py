@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docwarp.llm.common import running_offsets, scratch_path
+from docwarp.llm.common import join_split, running_offsets, scratch_path
 from docwarp.llm.tokens import encoder, tokenizer_json
 
 WINDOW, LEAST, MOST, BITS = 8, 64, 4096, 9  # rolling window; least and most ids of a chunk; 2**BITS ids apart on average
@@ -187,11 +187,11 @@ def read_manifests(spark: SparkSession, path: str) -> DataFrame:
 def _rebuilt(spark: SparkSession, path: str, schema: str, value) -> DataFrame:
     """A row per document: row_id, doc_id, start, n_tokens and ``value`` of its ids' bytes (four an id).
 
-    Recipes join the chunks; a document's manifest and chunks then meet by row_id, in order, and only one document is held at a time.
+    Recipes join the chunks, those of hot chunks in many tasks; a document's manifest and chunks then meet by row_id, in order, and only one document is held at a time.
     A chunk whose bytes don't have the digest that the recipe names, or a document whose root, number of chunks or of ids is not the
     manifest's, fails the job.
     """
-    pieces = read_recipes(spark, path).join(read_chunks(spark, path).select("digest", "ids"), "digest").select("row_id", "chunk_no", "ids")
+    pieces = join_split(read_recipes(spark, path), read_chunks(spark, path).select("digest", "ids"), "digest", "row_id").select("row_id", "chunk_no", "ids")
     heads = read_manifests(spark, path).withColumn("chunk_no", F.lit(-1))
     rows = heads.unionByName(pieces, allowMissingColumns=True).repartition("row_id").sortWithinPartitions("row_id", "chunk_no")
     order = ["row_id", "chunk_no", "ids", "doc_id", "start", "n_tokens", "n_chunks", "merkle_root"]

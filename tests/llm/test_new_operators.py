@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docwarp.llm import align, collocations, near_dedup, pii, queries
+from docwarp.llm import align, collocations, common, near_dedup, pii, queries, substring_dedup
 from docwarp.llm.common import table
 from docwarp.llm.tokens import _byte_alphabet
 
@@ -214,3 +214,29 @@ def test_near_dedup_keeps_clashing_columns(spark):
     left = near_dedup.dedup(docs, width=5, percent=80)
     assert left.columns == docs.columns
     assert sorted(map(tuple, left.collect()), key=repr) == sorted([rows[0], rows[2], rows[4]], key=repr)
+
+
+def test_substring_dedup_short_runs(spark):
+    """Every run of several whole sentences counts, however short; of two sentences if asked for; parts of a sentence do not."""
+    three = "The quick fox ran home today. Then it slept all night long. It was fine."
+    rows = [(1, f"One. {three} Uno."), (2, f"Two. {three} Dos."), (3, "Three. It was fine. The quick fox ran home today. Then it slept all night long. Tres.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = lambda n: {r.doc_id: r.text.split() for r in substring_dedup.dedup(docs, several=n).collect()}
+    assert texts(3) == {1: rows[0][1].split(), 2: ["Two.", "Dos."], 3: rows[2][1].split()}
+    assert texts(2) == {1: rows[0][1].split(), 2: ["Two.", "Dos."], 3: "Three. It was fine. Tres.".split()}
+    for text in ("to " * 40, " ".join(f"w{i}" for i in range(24))):
+        pairs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+        assert (substring_dedup.dedup(pairs).where("doc_id = 2").first().text.strip() == "") == (text.count(" ") > 30)
+
+
+def test_join_split(spark, monkeypatch):
+    """Hot and null keys spread over tasks; results are those of a plain join."""
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    rows = spark.createDataFrame([(i, b"hot" if i % 2 else bytes([i % 7]) if i % 3 else None) for i in range(3000)], "row_id long, k binary")
+    single = spark.createDataFrame([(b"hot", "a"), (b"\x01", "b"), (b"none", "c")], "k binary, v string")
+    for how in ("inner", "left"):
+        got = common.join_split(rows, single, "k", "row_id", how)
+        assert sorted(got.select("row_id", "v").collect()) == sorted(rows.join(single, "k", how).select("row_id", "v").collect())
+    assert common._hot(rows.select(F.xxhash64("k").alias("h")).limit(0)) == []
+    salts = rows.where("row_id % 2 = 1").select(F.pmod(F.xxhash64("row_id"), F.lit(common.SALTS)).alias("s")).distinct().count()
+    assert salts == common.SALTS
