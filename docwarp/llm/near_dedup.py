@@ -17,6 +17,7 @@ goes, the rest is verified on the full sets, exactly. Of a block's links those t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import islice
 
 import numpy as np
@@ -210,7 +211,7 @@ def _estimated(pairs: DataFrame, percent: int, sigmas: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, set_a, set_b: sorted hashes) that reach the threshold on their full sets."""
+    """Pairs (a, b, set_a, set_b: sorted hashes) as a, b, near: whether they reach the threshold on their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,31 +222,48 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * shared >= percent * (len(a) + len(b) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "near"])
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary, near boolean")
+
+
+def _star(edges: DataFrame) -> DataFrame:
+    """A round of alternating stars on edges (u, v) with u > v: written edges of the same components, closer to stars."""
+    # large star: every larger neighbour points at the smallest neighbour or the node itself
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    # small star: the node and its smaller neighbours point at the smallest
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return written(small, "edges")
+
+
+def _edges(pairs: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, of pairs (a, b)."""
+    return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+
+
+def _finished(now: DataFrame) -> DataFrame:
+    """Edges (u, v) after as many rounds of stars as it takes: v is the smallest node of u's component."""
+    state = lambda: tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    before, after = None, state()
+    while before != after:
+        now = _star(now)
+        before, after = after, state()
+    return now
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """node, comp for every node of edges (u, v): a node of its component, the smallest one if the stars are finished. Nodes with one
+    label are of one component; before the stars are finished a component may have several labels."""
+    tops = edges.select(F.col("v").alias("node")).distinct().join(edges.select(F.col("u").alias("node")), "node", "left_anti")
+    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("comp")).unionByName(tops.select("node", F.col("node").alias("comp")))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (smallest node of the component) for every node of ``edges`` (a, b), by alternating stars; each round is written."""
-    spark = edges.sparkSession
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        # large star: every larger neighbour points at the smallest neighbour or the node itself
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: the node and its smaller neighbours point at the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        now = written(small, "edges")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if state == before or state[0] == 0:
-            break
-        before = state
-    tops = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("comp"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(tops)
+    return _labels(_finished(_edges(edges)))
 
 
 def _pairs(pairs: DataFrame, nodes: DataFrame, fields: list[str]) -> DataFrame:
@@ -277,27 +295,28 @@ def _linked(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = BLOC
     crowd = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("rep")).where("members > 1")
     live = written(keyed.join(crowd, "key").select("key", "node", "rep"), "members")
     pairs = live.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    pairs = written(_estimated(_pairs(pairs.distinct(), nodes, ["n", "regs"]), percent, sigmas), "pairs")
     live = live.where("node <> rep").select("key", "node")
-    edges, sets, comps, sure, data, refuted, again = None, None, None, None, None, None, None
+    edges, sets, sure, data, refuted, again = None, None, None, None, None, None
+    most, each, check = reps, EACH, not pairs.isEmpty()
     while True:
-        some = pairs if data is not None else written(_estimated(_pairs(pairs.distinct(), nodes, ["n", "regs"]), percent, sigmas), "pairs")
-        found = sure
-        if not some.isEmpty():
-            need = some.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        found = [] if sure is None else [_edges(sure)]
+        if check:
+            need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
             if sets is not None:
                 need = need.join(sets.select("node"), "node", "left_anti")
             more = written(_sets(docs, nodes.join(need, "node", "left_semi"), width), "sets")
             sets = more if sets is None else sets.unionByName(more)
-            held = written(_verified(_pairs(some, sets, ["set"]), percent), "links")
-            found = held if found is None else found.unionByName(held)
+            tried = written(_verified(_pairs(pairs, sets, ["set"]), percent), "links")
+            found.append(_edges(tried.where("near")))
             if again is not None:
-                fell = written(some.join(held, ["a", "b"], "left_anti"), "refuted")
+                fell = tried.where("NOT near").select("a", "b")
                 refuted = fell if refuted is None else refuted.unionByName(fell)
-        if found is not None and not found.isEmpty():
-            edges = found if comps is None else comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
-            comps = written(components(edges), "comps")
+        if found:
+            # one round of stars: labels that are not final cost comparisons, never links
+            edges = _star(reduce(DataFrame.unionByName, found if edges is None else [edges, *found]))
         # members still to compare: of keys that more than one component reaches
-        now = written(_mixed(_with_comps(live, comps)), "members")
+        now = written(_mixed(_with_comps(live, None if edges is None else _labels(edges))), "members")
         if now.isEmpty():
             break
         if data is None:  # once, what the members that may still meet are compared by
@@ -308,16 +327,19 @@ def _linked(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = BLOC
             now = _split(now, data, percent, CROWD * block)
         sized = now.join(now.groupBy("key", "comp").agg(F.count("*").alias("size")), ["key", "comp"])
         rank = F.row_number().over(Window.partitionBy("key").orderBy("size", "comp", "node"))
-        chosen = written(sized.withColumn("rank", rank).where(F.col("rank") <= reps).select("key", F.col("node").alias("rep"), F.col("comp").alias("rep_comp"), "rank"), "reps")
-        met = written(_meet(now, chosen, data, refuted, percent, sigmas, block), "met")
+        chosen = written(sized.withColumn("rank", rank).where(F.col("rank") <= most).select("key", F.col("node").alias("rep"), F.col("comp").alias("rep_comp"), "rank"), "reps")
+        met = written(_meet(now, chosen, data, refuted, percent, sigmas, block, each), "met")
         sure, pairs = met.where("sure").select("a", "b"), met.where("NOT sure").select("a", "b")
-        waiting = met.where("key IS NOT NULL").select("key").distinct()
-        again = None if waiting.isEmpty() else waiting
+        n_sure, n_pairs, n_waiting = met.agg(F.count_if(F.col("sure")), F.count_if(~F.col("sure")), F.count("key")).first()
+        sure, check = sure if n_sure else None, n_pairs > 0
+        again = met.where("key IS NOT NULL").select("key").distinct() if n_waiting else None
         rest = now.join(now.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > block), "key", "left_semi")
         live = rest.join(chosen.select("key", F.col("rep").alias("node")), ["key", "node"], "left_anti").select("key", "node")
         if again is not None:
             live = live.join(again, "key", "left_anti").unionByName(now.join(again, "key", "left_semi").select("key", "node"))
+        most, each = CROWD * reps, CROWD * each  # few keys are left: their members all meet at once, and their pairs are all verified
     # every node's component, then its smallest document
+    comps = None if edges is None else written(_labels(_finished(edges)), "comps")
     of = nodes.select("node", "doc_id", "mark") if comps is None else nodes.select("node", "doc_id", "mark").join(comps, "node", "left")
     of = of.select("node", "doc_id", "mark", F.coalesce("comp", "node").alias("comp") if comps is not None else F.col("node").alias("comp"))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")).alias("best")
@@ -380,7 +402,7 @@ def _split(now: DataFrame, data: DataFrame, percent: int, most: int) -> DataFram
     return written(now.join(crowds, "key", "left_anti").unionByName(finer), "members")
 
 
-def _meet(now: DataFrame, chosen: DataFrame, data: DataFrame, refuted: DataFrame | None, percent: int, sigmas: float, block: int = BLOCK) -> DataFrame:
+def _meet(now: DataFrame, chosen: DataFrame, data: DataFrame, refuted: DataFrame | None, percent: int, sigmas: float, block: int = BLOCK, each: int = EACH) -> DataFrame:
     """Compare the chosen members of each key with its members of other components: a, b, sure, or the key that has to be met again.
 
     A key's members are dealt to blocks by a hash and its chosen ones (bounded) go to each of them, so rows grow as the members do; a
@@ -404,13 +426,13 @@ def _meet(now: DataFrame, chosen: DataFrame, data: DataFrame, refuted: DataFrame
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 if row[:2] != name:
-                    out |= _block(name and name[0], group, percent, sigmas)
+                    out |= _block(name and name[0], group, percent, sigmas, each)
                     group, name = [], row[:2]
                     if len(out) > 20_000:
                         yield _met(out)
                         out = set()
                 group.append(row[2:])
-        yield _met(out | _block(name and name[0], group, percent, sigmas))
+        yield _met(out | _block(name and name[0], group, percent, sigmas, each))
 
     return rows.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(run, "a binary, b binary, sure boolean, key long").distinct()
 
@@ -442,23 +464,32 @@ class _Joined:
         return np.array([self.find(i) for i in range(len(self.root))])
 
 
-def _block(key: int | None, group: list[tuple], percent: int, sigmas: float) -> set:
+def _block(key: int | None, group: list[tuple], percent: int, sigmas: float, each: int = EACH) -> set:
     """(a, b, sure, null) of a block's rows (role, node, comp, n, data, no), and (null, null, null, key) if pairs are left for the next round."""
     out: set = set()
     if len(group) < 2:
         return out
+    # members first; each meets the members after it and the chosen ones of other blocks, of which the smaller one of a pair is asked
+    own = {row[1] for row in group if row[0]}
+    twice = {row[1] for row in group if not row[0]} & own
+    group = sorted((row for row in group if row[0] or row[1] not in own), key=lambda row: not row[0])
+    if len(group) < 2 or not own:
+        return out
     roles, nodes, names, sizes, data, refuted = zip(*group, strict=True)
-    n, asked = np.array(sizes), np.array(roles) == 0
+    n, inside = np.array(sizes), sum(roles)
     known: dict[bytes, int] = {}
     comp = np.array([known.setdefault(c, len(known)) for c in names])
-    may = np.triu(comp[:, None] != comp[None]) & ~(asked[:, None] & asked[None])
-    may &= 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
+    may = np.triu(comp[:inside, None] != comp[None])
+    may &= 100 * np.minimum.outer(n[:inside], n) >= percent * np.maximum.outer(n[:inside], n)
+    order = np.argsort(np.argsort(np.array(nodes, object)))
+    may[:, inside:] &= ~np.array([x in twice for x in nodes[:inside]])[:, None] | (order[:inside, None] < order[None, inside:])
     places: dict[bytes, list[int]] = {}
     for i, node in enumerate(nodes):
         places.setdefault(node, []).append(i)
     for i, partners in enumerate(refuted):
         for j in (j for p in partners or () for j in places.get(p, ())):
-            may[min(i, j), max(i, j)] = False
+            if min(i, j) < inside:
+                may[min(i, j), max(i, j)] = False
     first, second = np.nonzero(may)
     if not len(first):
         return out
@@ -504,7 +535,7 @@ def _block(key: int | None, group: list[tuple], percent: int, sigmas: float) ->
     for i, j in zip(first[~here].tolist(), second[~here].tolist(), strict=True):
         if root[i] == root[j]:
             continue
-        if hoped.join(root[i], root[j]) or max(held[i], held[j]) < EACH:
+        if hoped.join(root[i], root[j]) or max(held[i], held[j]) < each:
             held[[i, j]] += 1
             out.add(pair(i, j, False))
         else:

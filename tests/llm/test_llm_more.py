@@ -238,3 +238,21 @@ def test_substring_dedup_without_white_space(spark):
     inside = spark.createDataFrame([(1, chinese), (2, some(0x4E00, 0x9000, 90) + "。" + chinese + some(0x4E00, 0x9000, 90))], "doc_id long, text string")
     left = {r.doc_id: r.text for r in substring_dedup.dedup(inside).collect()}
     assert left[1] == chinese and len(left[2]) <= 200
+
+
+def test_near_dedup_ends_in_few_rounds(spark, monkeypatch):
+    """Members of a key that are all far apart: rounds take ever more of them, so their number does not grow with the key's size."""
+    rounds, write = [], near_dedup.written
+
+    def counted(df, name, *more):
+        rounds.append(name)
+        assert rounds.count("met") <= 4, "a round for every few members"
+        return write(df, name, *more)
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    common = [f"c{k}" for k in range(300)]
+    rows = [(i, " ".join([*common, *[f"own{i}_{k}" for k in range(50)]])) for i in range(30)]
+    rows.append((30, rows[7][1] + " more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in near_dedup.link(docs, percent=90, reps=1, block=2).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == Counter(components(rows, 90)) and rounds.count("met") > 1
