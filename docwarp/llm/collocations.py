@@ -32,6 +32,7 @@ _KINDS[[0x20, 0x09]] = 1
 _KINDS[list(b".,;:!?\x0a\x0b\x0c\x0d")] = 2
 _LOWER = np.frombuffer(LOWER_BYTES, np.uint8)
 SLICE, CHUNK = 4 << 20, 1 << 16
+ROWS = 1 << 19  # windows that a task holds before it adds up equal ones
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -149,12 +150,32 @@ def _rank(values: np.ndarray) -> np.ndarray:
     return np.unique(values, return_inverse=True)[1].astype(np.int64)
 
 
-def windows(docs: DataFrame, most: int, *allowed: np.ndarray) -> DataFrame:
-    """lang, w1 .. w<most>, n: the padded longest windows of a slice of texts and how often it has each."""
+def combined(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Rows with their last column, n, summed over equal ones; about ``rows`` are held, and what stays above half of it goes out as it is."""
+    held: list[pa.RecordBatch] = []
+
+    def added() -> pa.RecordBatch:
+        *keys, n = held[0].schema.names
+        table = pa.Table.from_batches(held).group_by(keys, use_threads=False).aggregate([(n, "sum")])
+        return table.select([*keys, f"{n}_sum"]).rename_columns([*keys, n]).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(x.num_rows for x in held) > rows:
+            held = [added()]
+            if held[0].num_rows > rows // 2:
+                yield held.pop()
+    if held:
+        yield added()
+
+
+def emitted(docs: DataFrame, most: int, *allowed: np.ndarray) -> DataFrame:
+    """lang, w1 .. w<most>, n: the padded longest windows of a task's texts and how often it has each; equal ones are added up before they leave."""
     names = [f"w{i + 1}" for i in range(most)]
     bits = docs.sparkSession.sparkContext.broadcast([np.packbits(x) for x in allowed])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may = [np.unpackbits(x).astype(bool) for x in bits.value]
         for batch in batches:
             for texts, langs in slices(batch):
@@ -178,12 +199,21 @@ def windows(docs: DataFrame, most: int, *allowed: np.ndarray) -> DataFrame:
                 pad = np.full(len(single), -1)
                 rows = [words.langs.take(pa.array(np.concatenate([single // vocabulary, words.lang[longer][first]])))]
                 rows += [take(np.concatenate([single % vocabulary if i == 0 else pad, c[first]])) for i, c in enumerate(columns)]
-                table = pa.RecordBatch.from_arrays([*rows, pa.array(np.concatenate([counts, n]), pa.int64())], ["lang", *names, "n"])
-                for at in range(0, table.num_rows, 50_000):
-                    yield table.slice(at, 50_000)
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(np.concatenate([counts, n]), pa.int64())], ["lang", *names, "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in combined(found(batches)):
+            for at in range(0, table.num_rows, 50_000):
+                yield table.slice(at, 50_000)
 
     kinds = ", ".join(f"{c} string" for c in ["lang", *names])
-    return docs.select("text", "lang").mapInArrow(run, f"{kinds}, n long").groupBy("lang", *names).agg(F.sum("n").alias("n"))
+    return docs.select("text", "lang").mapInArrow(run, f"{kinds}, n long")
+
+
+def windows(docs: DataFrame, most: int, *allowed: np.ndarray) -> DataFrame:
+    """lang, w1 .. w<most>, n: the padded longest windows of all texts and how often each occurs."""
+    names = [f"w{i + 1}" for i in range(most)]
+    return emitted(docs, most, *allowed).groupBy("lang", *names).agg(F.sum("n").alias("n"))
 
 
 def frequencies(docs: DataFrame, most: int = 5, least: int = 100, counters: int = 1 << 25) -> DataFrame:

@@ -7,6 +7,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,20 @@ def test_collocations_edges(odd, none, spark):
     assert [(r.phrase, r.a, r.l, r.r, r.n, r.score) for r in only] == [("very common pair here", 3000, 3000, 3000, 12000, 4000)]
 
 
+def test_collocations_add_up_equal_windows_of_a_task(spark):
+    """A task that reads several batches gives a window once, not once a batch."""
+    docs = spark.range(30_000).select(F.lit("a few words").alias("text"), F.lit("en").alias("lang")).coalesce(1)
+    got = sorted(map(tuple, collocations.emitted(docs, 3).collect()))
+    assert got == [("en", "a", "few", "words", 30_000), ("en", "few", "words", "", 30_000), ("en", "words", "", "", 30_000)]
+    rows = pa.RecordBatch.from_pydict({"w": [str(i % 7) for i in range(20)], "n": [1] * 20})
+    for limit in (4, 10, 100):  # also where too many different rows are held
+        sums = Counter()
+        for batch in collocations.combined(iter([rows, rows]), limit):
+            for row in batch.to_pylist():
+                sums[row["w"]] += row["n"]
+        assert sums == Counter({str(i): 2 * sum(k % 7 == i for k in range(20)) for i in range(7)})
+
+
 # --- personal data ---------------------------------------------------------------------------------------------------------
 
 
