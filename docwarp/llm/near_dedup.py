@@ -38,6 +38,7 @@ TOGETHER = 64  # sets whose registers are made at a time
 PAIRS = 1 << 14  # pairs whose registers are compared at a time
 EACH = 4  # pairs with large sets that a member of a block leaves to verify in a round; the rest waits for their outcome
 CROWD = 16  # keys of more blocks are split
+MARKS = 1 << 23  # bits that tell which rows a join may want
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -266,8 +267,19 @@ def components(edges: DataFrame) -> DataFrame:
     return _labels(_finished(_edges(edges)))
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, number: str) -> DataFrame:
+    """``rows`` without most of those whose ``number`` (an expression, a hashed long) none of ``wanted`` has, so that they need not travel to a join
+    with these. Bits of wanted numbers, MARKS of them at most, are broadcast in words of 64; no row that has a partner is lost."""
+    word = F.expr(f"shiftrightunsigned({number}, 6) & {MARKS // 64 - 1}")
+    bit = lambda one: F.expr(f"shiftleft({one}, CAST({number} & 63 AS int))")
+    marks = wanted.groupBy(word.alias("_word")).agg(F.bit_or(bit("1L")).alias("_bits"))
+    hit = rows.withColumn("_word", word).join(F.broadcast(marks), "_word")
+    return hit.where(F.col("_bits").bitwiseAND(bit("1L")) != 0).select(*rows.columns)
+
+
 def _pairs(pairs: DataFrame, nodes: DataFrame, fields: list[str]) -> DataFrame:
-    """Add fields of both ends."""
+    """Add fields of both ends of written pairs."""
+    nodes = _likely(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), "xxhash64(node)")
     for end in ("a", "b"):
         side = nodes.select(F.col("node").alias(end), *[F.col(f).alias(f"{f}_{end}") for f in fields])
         pairs = pairs.join(side, end)
@@ -292,8 +304,9 @@ def _linked(docs: DataFrame, width: int = 3, percent: int = 85, reps: int = BLOC
     own = features.where("node IS NOT NULL").select("node", F.struct("doc_id", "mark", "n", "regs", "keys").alias("own"))
     nodes = written(own.groupBy("node").agg(F.min_by("own", F.struct(F.col("own.doc_id").isNull(), F.col("own.doc_id"), F.col("own.mark"))).alias("o")).select("node", "o.*"), "nodes")
     keyed = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    crowd = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("rep")).where("members > 1")
-    live = written(keyed.join(crowd, "key").select("key", "node", "rep"), "members")
+    of_key = Window.partitionBy("key")  # keys travel once: most have one member
+    crowd = keyed.select("key", "node", F.count("*").over(of_key).alias("members"), F.min("node").over(of_key).alias("rep")).where("members > 1")
+    live = written(crowd.select("key", "node", "rep"), "members")
     pairs = live.where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     pairs = written(_estimated(_pairs(pairs.distinct(), nodes, ["n", "regs"]), percent, sigmas), "pairs")
     live = live.where("node <> rep").select("key", "node")
@@ -572,6 +585,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     wanted = nodes.select("node", F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    rows = _likely(rows, nodes.select("mark"), "mark")
     found = rows.join(wanted, (rows["mark"] == wanted["_mark"]) & rows["doc_id"].eqNullSafe(wanted["_id"]))
     return found.select("node", "text").mapInArrow(run, "node binary, set binary").dropDuplicates(["node"])
 

@@ -256,3 +256,36 @@ def test_near_dedup_ends_in_few_rounds(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter(tuple(r) for r in near_dedup.link(docs, percent=90, reps=1, block=2).select("doc_id", "n_shingles", "component_id").collect())
     assert got == Counter(components(rows, 90)) and rounds.count("met") > 1
+
+
+def test_near_dedup_leaves_texts_where_they_are(spark):
+    """Of many texts two are near: no round sends those that no join wants."""
+    draw = random.Random(5)
+    rows = [(i, " ".join(f"w{draw.randrange(10**9)}" for _ in range(1500))) for i in range(150)]
+    rows.append((150, rows[7][1] + " more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sc, name = spark.sparkContext._jsc.sc(), "spark.sql.autoBroadcastJoinThreshold"
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(False).head().totalShuffleWrite()
+
+    before, as_set = moved(), spark.conf.get(name)
+    spark.conf.set(name, -1)  # a small table stands for one too large to be broadcast
+    try:
+        got = Counter(tuple(r) for r in near_dedup.link(docs).select("doc_id", "n_shingles", "component_id").collect())
+    finally:
+        spark.conf.set(name, as_set)
+    assert got == Counter((i, 1498 + (i == 150), 7 if i == 150 else i) for i, _ in rows)
+    assert moved() - before < sum(len(t) for _, t in rows) / 4
+
+
+@pytest.mark.parametrize("marks", [64, 1 << 23])
+def test_near_dedup_likely_rows_lose_no_partner(spark, marks, monkeypatch):
+    """Bits that are crowded let more rows by, never fewer."""
+    monkeypatch.setattr(near_dedup, "MARKS", marks)
+    rows = spark.range(-500, 500).select(F.xxhash64("id").alias("h"), "id")
+    wanted = rows.where("id % 7 = 0")
+    left = near_dedup._likely(rows, wanted.select("h"), "h")
+    assert left.columns == rows.columns and left.join(wanted, "h", "left_semi").count() == wanted.count() <= left.count()
+    assert (left.count() == wanted.count()) == (marks > 64) and near_dedup._likely(rows, wanted.where("false").select("h"), "h").count() == 0
