@@ -105,6 +105,13 @@ class Words:
             left[at] = True
 
 
+def _few(docs: DataFrame) -> DataFrame:
+    """Texts and languages in at most one task a core: a task gives what it counts once, however often it has it, so fewer rows leave the
+    more of the texts a task reads. It holds no more for it."""
+    rows, cores = docs.select("text", "lang"), docs.sparkSession.sparkContext.defaultParallelism
+    return rows.coalesce(cores) if rows.rdd.getNumPartitions() > cores else rows
+
+
 def bounds(docs: DataFrame, orders: tuple[int, int], least: int, counters: int, before: np.ndarray | None = None) -> np.ndarray:
     """One bit per counter: whether the phrases of so many words in it (both included) may reach ``least`` together. ``before`` are the
     bits for words and pairs. The array has a fixed size, whatever the input."""
@@ -219,7 +226,7 @@ def windows(docs: DataFrame, most: int, *allowed: np.ndarray) -> DataFrame:
 def frequencies(docs: DataFrame, most: int = 5, least: int = 100, counters: int = 1 << 25) -> DataFrame:
     """lang, words (how many; 0: the language as a whole), phrase (space-joined), n: all phrases of up to ``most`` words that occur
     ``least`` times in a language, and the number of all its words."""
-    names = [f"w{i + 1}" for i in range(most)]
+    docs, names = _few(docs), [f"w{i + 1}" for i in range(most)]
     allowed = [bounds(docs, (1, 2), least, counters)]
     if most > 2:
         allowed.append(bounds(docs, (3, most), least, counters, *allowed))

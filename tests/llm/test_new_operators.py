@@ -255,3 +255,18 @@ def test_join_split(spark, monkeypatch):
     assert common._hot(rows.select(F.xxhash64("k").alias("h")).limit(0)) == []
     salts = rows.where("row_id % 2 = 1").select(F.pmod(F.xxhash64("row_id"), F.lit(common.SALTS)).alias("s")).distinct().count()
     assert salts == common.SALTS
+
+
+def test_collocations_windows_leave_once_a_core(spark, monkeypatch):
+    """Equal windows of many splits of a table are added up before they leave."""
+    seen, emit = [], collocations.emitted
+
+    def counted(*args):
+        seen.append(emit(*args).count())
+        return emit(*args)
+
+    monkeypatch.setattr(collocations, "emitted", counted)
+    rows = [(f"alpha beta gamma delta. epsilon zeta eta {'theta iota' if i % 2 else 'kappa'}", "en") for i in range(640)]
+    docs, cores = spark.createDataFrame(rows, "text string, lang string"), spark.sparkContext.defaultParallelism
+    got = [sorted(map(tuple, collocations.frequencies(d, counters=1 << 16).collect())) for d in (docs.coalesce(1), docs.repartition(8 * cores))]
+    assert got[0] == got[1] and len(got[0]) > 10 and seen[1] <= cores * seen[0]
