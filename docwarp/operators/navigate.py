@@ -74,7 +74,7 @@ def comparable_pairs(revisions: DataFrame) -> DataFrame:
 
 def paragraph_units(text: Column) -> Column:
     """Lines that carry content: trimmed, without blanks, block markers and rows of separators alone."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda t: F.trim(t))  # bare F.trim would take a line's place as the characters to trim
     return F.filter(lines, lambda t: (t != "") & ~t.isin("[문단]", "[표]") & ~F.regexp_like(t, F.lit(r"^[\s|]+$")))
 
 
