@@ -77,7 +77,7 @@ def chunk_documents(blocks: DataFrame, limit: int) -> DataFrame:
 
 def sentence_chunks(docs: DataFrame) -> DataFrame:
     """document_id, chunk_index, text: the title, then the sentences."""
-    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
     return docs.select("document_id", F.posexplode(F.concat(F.array("title"), parts)).alias("chunk_index", "text")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
