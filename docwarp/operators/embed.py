@@ -18,6 +18,8 @@ PREFIX = {"passage": "passage: ", "query": "query: "}
 EMBEDDED, NO_CHUNKS, INVALID_VECTOR = "EMBEDDED", "NO_CHUNKS", "INVALID_VECTOR"
 Model = Callable[[list[str]], np.ndarray]
 _TOKEN = re.compile(r"[^\W_]+")
+#: Letters that str.lower() makes two of, or lowers by their place in a word, and what they are letter by letter.
+_SIMPLE = str.maketrans("\u0130\u03a3", "i\u03c3")
 
 
 def hashing_model(dimension: int = 64) -> Model:
@@ -26,7 +28,7 @@ def hashing_model(dimension: int = 64) -> Model:
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimension))
         for i, text in enumerate(texts):
-            for token in _TOKEN.findall(text.lower()):
+            for token in _TOKEN.findall(text.translate(_SIMPLE).lower()):
                 digest = hashlib.md5(token.encode(), usedforsecurity=False).digest()
                 out[i, int.from_bytes(digest[:4], "big") % dimension] += 1 if digest[4] < 128 else -1
         norm = np.linalg.norm(out, axis=1, keepdims=True)

@@ -16,7 +16,7 @@ _VECTOR = r"""SELECT id, bucket, s / sqrt(sum(s * s) OVER (PARTITION BY id)) AS
 
 @query("E1_embedding", oracle(" UNION ALL ".join(f"SELECT '{k}' AS kind, id, bucket, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 5) AS value FROM ({_VECTOR.format(repr(p))}) WHERE value <> 0" for k, p in em.PREFIX.items())))
 def e1(spark, sf):
-    texts = Tables(spark, sf).base.select(F.col("d").alias("id"), "text")
+    texts = Tables(spark, sf).base.where("text IS NOT NULL").select(F.col("d").alias("id"), "text")  # in SQL a null text has no vector
     one = lambda kind: em.embed(texts, kind).select(F.lit(kind).alias("kind"), "id", F.posexplode("embedding").alias("bucket", "value"))
     rows = one("passage").unionByName(one("query")).where("value <> 0")
     return rows.select("kind", "id", F.col("bucket").cast("long").alias("bucket"), F.round(F.col("value").cast("double"), 5).alias("value"))
