@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 SCHEMA = "doc_id long, lang_pred string, score double"
@@ -182,13 +183,16 @@ def predict(docs: DataFrame, model: ByteCNN | None, batch_windows: int = 256) ->
     return docs.select("doc_id", "text").mapInArrow(lambda batches: _predict(batches, value.value, batch_windows, None), SCHEMA)
 
 
-def keep_identified(docs: DataFrame, model: ByteCNN | None, min_score: float = 0.0, batch_windows: int = 256) -> DataFrame:
-    """``docs`` without rows whose language is ``und`` or whose score is under ``min_score``; all columns stay.
+def keep_identified(docs: DataFrame, model: ByteCNN | None, min_score: float = 0.0, batch_windows: int = 256, told: bool = False) -> DataFrame:
+    """``docs`` without rows whose language is ``und`` or whose score is under ``min_score``; all columns stay. With ``told`` they get
+    ``lang_pred, score`` of ``predict`` (in the place of columns with these names).
 
     Where there is no model, only rows without text or without a letter go.
     """
+    docs = docs.drop("lang_pred", "score") if told else docs
     value, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
-    return docs.mapInArrow(lambda batches: _predict(batches, value.value, batch_windows, (at, min_score)), docs.schema)
+    schema = T.StructType([*docs.schema, *(T.StructType.fromDDL("lang_pred string, score double") if told else [])])
+    return docs.mapInArrow(lambda batches: _predict(batches, value.value, batch_windows, (at, min_score, told)), schema)
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: ByteCNN | None, batch_windows: int, keep: tuple | None) -> Iterator[pa.RecordBatch]:
@@ -235,8 +239,10 @@ def _predict(batches: Iterator[pa.RecordBatch], model: ByteCNN | None, batch_win
         best = total.argmax(axis=1)
         known = sizes > 0
         score = np.where(known, total[np.arange(n), best] / np.maximum(sizes, 1), 0.0).clip(0, 1)
+        langs = [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)] if not keep or keep[2] else []
         if keep:
+            if keep[2]:
+                batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
             yield batch.filter(pa.array(known & (score >= keep[1]) if model else lettered))
         else:
-            langs = [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
