@@ -32,6 +32,18 @@ def principal_sets(requests: DataFrame, users: DataFrame) -> DataFrame:
     return rows.select("request_id", F.array_sort(F.array_compact(principals)).alias("caller"))
 
 
+def alike(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """request_id, like (the least request that may read the same documents, by equal principals)."""
+    sets = principal_sets(requests, users)
+    return sets.join(sets.groupBy("caller").agg(F.min("request_id").alias("like")), "caller").select("request_id", "like")
+
+
+def for_all(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """``rows`` of one request of each kind for every request of ``same`` (request_id, like)."""
+    out = rows.withColumnRenamed("request_id", "like").join(small(same), "like")
+    return out.select(*rows.columns)
+
+
 def readable(requests: DataFrame, users: DataFrame, perms: DataFrame) -> DataFrame:
     """request_id, document_id of every grant that reaches the caller. Default deny; three principals; only public grants ask for an active account.
 

@@ -67,6 +67,18 @@ class Asked:
         t = self.t
         return unsent(written(el.eligible(self.asks, t.users, t.perms, t.docs, t.revisions, t.departments).drop("extracted_text"), "eligible"))
 
+    @cached_property
+    def same(self):
+        """Which requests may read the same documents."""
+        return written(el.alike(self.asks, self.t.users), "alike")
+
+    @cached_property
+    def kinds(self):
+        """The eligible documents of one request of each kind: as many as callers that differ, whatever the number of requests."""
+        t = self.t
+        asks = self.asks.join(self.same.select(F.col("like").alias("request_id")).distinct(), "request_id", "left_semi")
+        return unsent(written(el.eligible(asks, t.users, t.perms, t.docs, t.revisions, t.departments).drop("extracted_text"), "kinds"))
+
     @cached_property
     def texts(self):
         return written(spread(el.ready_texts(self.t.docs, self.t.revisions)), "texts")
@@ -104,7 +116,8 @@ def top_sql(rows: str, k: int = 1 << 30) -> str:
 
 @query("R1_browse", orc("SELECT * FROM (SELECT request_id, id AS document_id, title, updated_at, row_number() OVER (PARTITION BY request_id ORDER BY updated_at DESC, id) AS rank, count(*) OVER (PARTITION BY request_id) AS total FROM eligible) WHERE rank <= 20"))
 def r1(spark, sf):
-    return rk.browse(Asked(spark, sf).found)
+    a = Asked(spark, sf)
+    return el.for_all(rk.browse(a.kinds), a.same)
 
 
 @query("R2_cosine", orc("SELECT request_id, document_id, chunk_id, round(score, 6) AS score FROM scored"))
@@ -127,7 +140,7 @@ def r4(spark, sf):
 @query("R5_body_boost", orc("SELECT request_id, document_id FROM body_hit WHERE has AND request_id IN (SELECT request_id FROM body_fire)"))
 def r5(spark, sf):
     a = Asked(spark, sf)
-    return rk.body_matches(a.found, a.asks, texts=a.texts)
+    return rk.body_matches(a.kinds, a.asks, texts=a.texts, same=a.same)
 
 
 @query("R6_semantic_search", orc("SELECT request_id, document_id, chunk_id, score, rank, total FROM paged"))
@@ -168,7 +181,8 @@ def r10(spark, sf):
 
 @query("R11_pagination", orc("SELECT * FROM (SELECT request_id, id AS document_id, row_number() OVER (PARTITION BY request_id ORDER BY updated_at DESC, id) AS rank, count(*) OVER (PARTITION BY request_id) AS total FROM eligible) WHERE rank > 40 AND rank <= 60"))
 def r11(spark, sf):
-    return rk.browse(Asked(spark, sf).found, 40, 20).select("request_id", "document_id", "rank", "total")
+    a = Asked(spark, sf)
+    return el.for_all(rk.browse(a.kinds, 40, 20), a.same).select("request_id", "document_id", "rank", "total")
 
 
 @query("R12_mode_routing")
@@ -209,7 +223,7 @@ def r16(spark, sf):
 def r17(spark, sf):
     a = Asked(spark, sf)
     ids = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda k: ((F.col("request_id") * 11 + k * 3) * 10 + 1) * 1000 + k % 3)
-    return rk.hydrate(a.asks.select("request_id", ids.alias("ids")), a.found, a.t.chunks, 250)
+    return rk.hydrate(a.asks.select("request_id", ids.alias("ids")), a.kinds, a.t.chunks, 250, a.same)
 
 
 @query("R18_batched_search", orc(top_sql("SELECT request_id, document_id, total_score AS score FROM meant", 5)))
